@@ -34,8 +34,8 @@ SHARES = {
     "symbols": (100, False),
     "marks": (250, False),
     "capitals": (150, False),
-    "dup_lines": (200, False),
-    "repeats": (100, False),
+    "dup_lines": (500, False),
+    "repeats": (250, False),
     "word_length": (1000, True),
 }
 

@@ -3,8 +3,8 @@
 Learning. From at most ``SAMPLE`` labelled documents (distinct texts, chosen
 by a hash of the text) each feature - a word, and its leading 4 to 8 bytes
 when longer - gets the log-odds of occurring in toxic against other documents
-under an informative Dirichlet prior. Features whose log-odds lie well above
-zero in units of their own deviation form the lexicon, at most ``LEXICON``.
+under an informative Dirichlet prior. Features whose log-odds less
+``MARGIN`` deviations reach ``LEAST_GAIN`` form the lexicon, at most ``LEXICON``.
 
 Scoring. A word scores its best feature's log-odds, any other word a constant
 loss. One linear scan finds all maximal scoring segments of the whole text
@@ -31,7 +31,7 @@ from .textkernel import U64, Cores, flat, mix, slices, span_hashes
 #: Bounds of what is gathered: labelled documents that are learnt from, and lexicon entries.
 SAMPLE, LEXICON = 20_000, 50_000
 PREFIXES = (4, 5, 6, 7, 8)
-PRIOR, MARGIN, LOSS, SIGNIFICANT = 50.0, 2.0, -0.4, 0.5
+PRIOR, MARGIN, LEAST_GAIN, LOSS, SIGNIFICANT = 500.0, 1.5, 2.0, -0.4, 0.5
 
 
 def features(cores: Cores, n_docs: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     top = counts.where((F.col("yes") >= 5) & (F.col("yes") * n_no > 4 * F.col("no") * n_yes)).orderBy(F.desc("yes"), "no", "feature").limit(LEXICON).toPandas()
     odds, dev = log_odds(top["yes"].to_numpy(float), top["no"].to_numpy(float), n_yes, n_no)
     gain = odds - MARGIN * dev
-    lexicon = Lexicon(top["feature"].to_numpy().astype(np.int64).view(np.uint64)[gain > 0], gain[gain > 0])
+    lexicon = Lexicon(top["feature"].to_numpy().astype(np.int64).view(np.uint64)[gain >= LEAST_GAIN], gain[gain >= LEAST_GAIN])
     shared = train.sparkSession.sparkContext.broadcast(lexicon)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
