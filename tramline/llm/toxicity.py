@@ -31,7 +31,8 @@ from .textkernel import U64, Cores, flat, mix, slices, span_hashes
 #: Bounds of what is gathered: labelled documents that are learnt from, and lexicon entries.
 SAMPLE, LEXICON = 20_000, 50_000
 PREFIXES = (4, 5, 6, 7, 8)
-PRIOR, MARGIN, LEAST_GAIN, LOSS, SIGNIFICANT = 500.0, 1.5, 2.0, -0.4, 0.5
+#: The prior weighs as much as this share of the sample.
+PRIOR, MARGIN, LEAST_GAIN, LOSS, SIGNIFICANT = 0.025, 1.5, 2.0, -0.4, 0.5
 
 
 def features(cores: Cores, n_docs: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -138,10 +139,10 @@ class Model:
 
 def log_odds(yes: np.ndarray, no: np.ndarray, n_yes: float, n_no: float) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds under a Dirichlet prior proportional to overall frequency, and their deviation."""
-    both = yes + no
-    prior = PRIOR * both / (n_yes + n_no)
+    both, mass = yes + no, PRIOR * (n_yes + n_no)
+    prior = PRIOR * both
     a, b = yes + prior * n_yes / (n_yes + n_no), no + prior * n_no / (n_yes + n_no)
-    odds = np.log(a / np.maximum(n_yes + PRIOR - a, 1e-9)) - np.log(b / np.maximum(n_no + PRIOR - b, 1e-9))
+    odds = np.log(a / np.maximum(n_yes + mass - a, 1e-9)) - np.log(b / np.maximum(n_no + mass - b, 1e-9))
     return odds, np.sqrt(1 / a + 1 / b)
 
 
