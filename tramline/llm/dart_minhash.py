@@ -45,7 +45,7 @@ BANDS, ROWS, SHINGLE, THRESHOLD = 24, 4, 5, 0.8
 #: 0.8 shares no bucket with a probability of 3e-6, and its 96 coordinates
 #: fall below 0.6 with a probability of about 1e-6.
 SCREEN = 0.6
-BLOCK, BLOCK_CHARS = 2048, 8_000_000
+BLOCK, BLOCK_BYTES = 2048, 8_000_000
 
 
 def counted(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,12 +137,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     part.column("doc_id").cast(pa.int64()),
                     pa.array(words.count, pa.int64()),
+                    pa.array(np.diff(words.off), pa.int64()),
                     pa.array(one.view(np.int64)),
                     pa.array(two.view(np.int64)),
                     pa.array([row.tobytes() for row in sig.astype(np.uint16)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
                 ],
-                names=["doc_id", "n_words", "k1", "k2", "sig", "bands"],
+                names=["doc_id", "n_words", "size", "k1", "k2", "sig", "bands"],
             )
 
 
@@ -296,13 +297,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     sketch = materialize(
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-            _sketch, "doc_id long, n_words long, k1 long, k2 long, sig binary, bands array<long>"
+            _sketch, "doc_id long, n_words long, size long, k1 long, k2 long, sig binary, bands array<long>"
         ),
         "sketch",
     )
     worded = sketch.where("n_words > 0")
     reps = materialize(
-        worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")).where("node IS NOT NULL"),
+        worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"), F.max("size").alias("size")).where("node IS NOT NULL"),
         "reps",
     )
     rows = reps.select("node", F.explode("bands").alias("bkey"))
@@ -310,10 +311,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = rows.join(shared, "bkey").join(reps.select("node", "sig"), "node")
     links = _paired(members, F.ceil(F.col("n") / BLOCK), "bkey").mapInArrow(_screen, "a long, b long")
     clusters = materialize(components(materialize(links.distinct(), "screened")), "clusters")
-    wanted = materialize(reps.select("node", "k1", "k2").join(clusters, "node"), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(wanted.select("node", "component").distinct(), "node").dropDuplicates(["node", "text"])
-    sizes = materialize(texts.groupBy("component").agg(F.sum(F.length("text")).alias("chars")), "sizes")
-    blocks = _paired(texts.join(sizes, "component").withColumnRenamed("component", "cluster"), F.ceil(F.col("chars") / BLOCK_CHARS), "cluster")
+    members = reps.select("node", "size").join(clusters, "node")
+    sizes = materialize(members.groupBy("component").agg(F.sum("size").alias("bytes")), "sizes")
+    wanted = materialize(members.join(sizes, "component").select("node", F.col("component").alias("cluster"), "bytes").distinct(), "wanted")
+    # the texts move once, by a merge join at any size, and only those of clusters go on
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(wanted.hint("merge"), "node").dropDuplicates(["node", "text"])
+    blocks = _paired(texts, F.ceil(F.col("bytes") / BLOCK_BYTES), "cluster")
     exact = materialize(blocks.mapInArrow(_verify, "a long, b long").where("a != b").distinct(), "exact")
     classes = components(exact)
     named = materialize(
