@@ -250,3 +250,25 @@ def test_toxicity_learns_and_ignores_everything_but_text(spark):
 def test_mix_scatters():
     h = mix(np.arange(100_000, dtype=np.uint64))
     assert len(np.unique(h)) == 100_000 and abs(float((h & np.uint64(1)).mean()) - 0.5) < 0.01
+
+
+def test_a_long_run_of_one_lexicon_word_in_clean_text_does_not_set_the_scale(spark):
+    rng = random.Random(7)
+    word = lambda: "w" + str(rng.randrange(400))
+    texts = []
+    for i in range(400):
+        ws = [word() for _ in range(60)]
+        if i % 4 == 0:
+            ws[rng.randrange(60)] = "scum"
+            ws[rng.randrange(60)] = "filler" if i % 8 == 0 else "scum"
+        texts.append(" ".join(ws))
+    texts[1] = " ".join(["filler"] * 5000)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.scale > 0.5
+    got = {r.doc_id: r for r in toxicity.score(docs, model).where("doc_id != 1").collect()}
+    with_word = [i for i in range(400) if "scum" in texts[i].split()]
+    assert all(got[i].predicted == 1 for i in with_word)
+    assert not any(got[i].predicted for i in got if i % 4)
+    assert toxicity.moment_root(np.array([4.0]), 1e4) == pytest.approx(toxicity.moment_root(np.array([4.0] * 3), 3e4), rel=0.01)

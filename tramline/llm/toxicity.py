@@ -10,8 +10,9 @@ Scoring. A word scores its best feature's log-odds, any other word a constant
 loss. One linear scan finds all maximal scoring segments of the whole text
 (every segment that can't be improved by growing or shrinking). Segment scores
 become E-values by the extreme-value law of segment scores, whose scale is the
-root of the score distribution's moment equation and whose location is fitted
-on documents that aren't toxic. Segments with E below ``SIGNIFICANT`` are the
+root of the moment equation of single words' scores in documents that aren't
+toxic (a word counts once per document, so one that repeats a word without end
+doesn't set the law for all) and whose location is fitted on their best segments. Segments with E below ``SIGNIFICANT`` are the
 toxic passages; the surprise of all of them is the document's evidence, which
 a logistic curve fitted on the sample maps to a score.
 """
@@ -107,17 +108,18 @@ class Lexicon:
                 np.maximum.at(out, at[hit], self.gain[i[hit]])
         return out
 
-    def segments(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, dict[int, list[tuple[int, int, float]]]]:
-        """Words per document, and the maximal segments of those that have any."""
+    def segments(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, dict[int, list[tuple[int, int, float]]], dict[int, np.ndarray]]:
+        """Words per document; of those with a gain the maximal segments, and the gains of their distinct words."""
         cores = Cores(raw, off)
         gain = self.word_gains(cores, len(off) - 1)
         hot = np.flatnonzero(gain > 0)
         doc = cores.doc[hot]
-        out = {}
+        out, gains = {}, {}
         for d in np.unique(doc).tolist():
             mine = hot[np.searchsorted(doc, d) : np.searchsorted(doc, d, side="right")]
             out[d] = maximal_segments(mine - cores.first[d], gain[mine])
-        return np.diff(cores.first), out
+            gains[d] = gain[mine[np.unique(cores.hash[mine], return_index=True)[1]]]
+        return np.diff(cores.first), out, gains
 
 
 class Model:
@@ -155,6 +157,16 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     return chosen.groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
+def moment_root(hits: np.ndarray, words: float) -> float:
+    """The scale at which scores of ``hits``, and LOSS for the rest of ``words``, have an exponential moment of one."""
+    lo, hi = 0.0, 50.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        moment = np.exp(np.minimum(mid * hits, 600)).sum() / words + (1 - len(hits) / words) * np.exp(mid * LOSS)
+        lo, hi = (mid, hi) if moment < 1 else (lo, mid)
+    return max(lo, 1e-3)
+
+
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     """Learn lexicon and calibration; without labels of both kinds every text scores 0."""
     train = materialize(sample(docs, labels, size), "toxic-sample")
@@ -173,23 +185,18 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                words, found = shared.value.segments(*flat(part.column("text")))
+                words, found, gains = shared.value.segments(*flat(part.column("text")))
                 scores = [[s for _, _, s in found.get(d, ())] for d in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(words.astype(np.int64)), pa.array(scores, pa.list_(pa.float64()))], names=["toxic", "words", "scores"])
+                single = [gains.get(d, ()) for d in range(part.num_rows)]
+                kind = pa.list_(pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(words.astype(np.int64)), pa.array(scores, kind), pa.array(single, kind)], names=["toxic", "words", "scores", "gains"])
 
     # at most ``size`` rows of numbers
-    seen = train.mapInArrow(scan, "toxic int, words long, scores array<double>").toPandas()
+    seen = train.mapInArrow(scan, "toxic int, words long, scores array<double>, gains array<double>").toPandas()
     calm = seen[seen.toxic == 0]
-    words = float(calm.words.sum()) + 1
-    hits = np.concatenate([np.asarray(x, float) for x in calm.scores] + [np.zeros(0)])
     # score distribution of other text: mostly the loss, some hits, and one unseen hit of the largest gain
-    hits = np.append(hits, lexicon.gain.max(initial=1.0))
-    lo, hi = 0.0, 50.0
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        moment = np.exp(np.minimum(mid * hits, 600)).sum() / words + (1 - len(hits) / words) * np.exp(mid * LOSS)
-        lo, hi = (mid, hi) if moment < 1 else (lo, mid)
-    scale = max(lo, 1e-3)
+    hits = np.concatenate([np.asarray(x, float) for x in calm.gains] + [np.array([lexicon.gain.max(initial=1.0)])])
+    scale = moment_root(hits, float(calm.words.sum()) + 1)
     best = np.array([max(x, default=0.0) for x in calm.scores])
     location = len(calm) / float((np.maximum(calm.words.to_numpy(), 1) * np.exp(-scale * best)).sum())
     model = Model(lexicon, scale, location, 1.0, 0.0)
@@ -222,7 +229,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for batch in batches:
             for part in slices(batch):
-                words, found = m.lexicon.segments(*flat(part.column("text")))
+                words, found, _ = m.lexicon.segments(*flat(part.column("text")))
                 n = part.num_rows
                 evidence, passages = np.zeros(n), [[] for _ in range(n)]
                 for d, segs in found.items():
