@@ -5,11 +5,13 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tramline.functions import columns
-from tramline.operators import criteria, graph, layout, pareto, rounds, transfers
+from tramline.operators import criteria, graph, hub_labels, layout, pareto, rounds, transfers
 from tramline.plans import catalog
-from tramline.sources import gtfs
+from tramline.sources import exports, gtfs
+from tramline.sources.timetable import project
 
 SF = "/root/testdata/sf0.001"
 
@@ -192,7 +194,7 @@ def test_gtfs_feed(spark, tmp_path):
     assert last.dep == last.arr + 1
 
 
-FAST = ["direct_connection", "stop_degree", "min_travel_time_graph", "route_offset_groups", "footpath_closure", "footpath_radius", "raptor_pareto", "tb_pareto", "boundary_events_per_level", "layout_graph", "mc_pareto", "bounded_mc", "calendar_unroll"]
+FAST = ["direct_connection", "stop_degree", "min_travel_time_graph", "route_offset_groups", "footpath_closure", "footpath_radius", "raptor_pareto", "tb_pareto", "boundary_events_per_level", "layout_graph", "mc_pareto", "bounded_mc", "calendar_unroll", "hub_label_query", "export_metis", "export_dimacs", "export_stops"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -205,3 +207,28 @@ def test_sql_twins(spark, name):
     cols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(got.columns)
     assert sorted(map(tuple, got.select(*cols).collect()), key=repr) == sorted(map(tuple, cur.fetchall()), key=repr)
+
+
+def test_hub_labels(spark):
+    d = graph.closure(feet(spark, [(1, 2, 10), (2, 3, 10), (1, 3, 50), (7, 8, 5)])).checkpoint()
+    out, into = hub_labels.canonical(d)
+    assert sorted(map(tuple, hub_labels.distances(out, into).collect())) == sorted(map(tuple, d.collect()))
+    lines = spark.createDataFrame([("o 1 3 7",), ("i 2 3 4",), ("",)], "value string")
+    assert hub_labels.distances(*hub_labels.parse(lines)).collect() == [(0, 1, 11)]
+    q = one(spark, A, C, 100)
+    dep = spark.createDataFrame([(1, A, 90), (2, A, 110)], "event long, stop_id long, t long")
+    arr = spark.createDataFrame([(8, C, 100), (9, C, 300), (10, C, 400)], "event long, stop_id long, t long")
+    hubs = spark.createDataFrame([(2, 5)], "event long, hub long"), spark.createDataFrame([(8, 5), (9, 5), (10, 5)], "event long, hub long")
+    assert hub_labels.earliest(q, dep, arr, *hubs).collect() == [(0, 300)]
+    path = spark.createDataFrame([(2, 5, 3)], "event long, path long, pos long"), spark.createDataFrame([(9, 5, 2), (10, 5, 3)], "event long, path long, pos long")
+    assert hub_labels.earliest(q, dep, arr, *path, paths=True).collect() == [(0, 400)]
+
+
+def test_csv_export_round_trip(spark, tmp_path):
+    tables = exports.csv_tables(project(spark, SF))
+    exports.write_csv(tables, f"file://{tmp_path}")
+    for name, df in tables.items():
+        back = spark.read.schema(df.schema).option("header", True).csv(f"file://{tmp_path}/{name}")
+        assert back.count() == df.count() and back.exceptAll(df).isEmpty()
+    n = exports.numbered(spark.range(1000).select((999 - F.col("id")).alias("x")).repartition(7), "x")
+    assert n.where("no <> x").isEmpty() and n.count() == 1000

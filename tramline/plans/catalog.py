@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance_cm
-from ..operators import criteria, graph, layout, rounds, transfers
-from ..sources import gtfs
+from ..operators import criteria, graph, hub_labels, layout, rounds, transfers
+from ..sources import exports, gtfs
 from ..sources.timetable import Timetable, project, query_table, sql
 from .iterate import settle
 
@@ -131,6 +131,11 @@ def footpath_closure(spark, sf_dir, t):
     return graph.closure(t.footpaths.where("travel_s = 120"))
 
 
+@_query(f", {_near} SELECT src, dst, min(travel_s) AS travel_s FROM c WHERE src <> dst GROUP BY 1, 2")
+def hub_label_query(spark, sf_dir, t):
+    return hub_labels.distances(*(settle(x) for x in hub_labels.canonical(settle(graph.closure(t.footpaths.where("travel_s = 120"))))))
+
+
 @_query(f", pairs AS (SELECT a.stop_id AS src, b.stop_id AS dst, {_dist} AS d FROM stops a, stops b WHERE a.stop_id <> b.stop_id) SELECT src, dst, CAST(round(d / 100) AS BIGINT) AS distance_m FROM pairs WHERE d <= 200000")
 def footpath_radius(spark, sf_dir, t):
     return graph.radius_pairs(t.stops, 200_000, 30_000)
@@ -218,6 +223,25 @@ def layout_graph(spark, sf_dir, t):
     return transfers.layout_graph(t.stop_events, t.footpaths, graph.weak_components(t.stops.select(F.col("stop_id").alias("vertex")), t.footpaths))
 
 
+_vx = ", vx AS (SELECT stop_id // 3 * 3 AS component, count(*) AS stops, row_number() OVER (ORDER BY stop_id // 3 * 3) AS no FROM stops GROUP BY 1), lg AS (SELECT a.src // 3 * 3 AS src, a.dst // 3 * 3 AS dst, count(*) AS weight FROM (SELECT stop_id AS src, lead(stop_id) OVER (PARTITION BY trip_id ORDER BY stop_index) AS dst FROM stop_events) x, LATERAL (SELECT x.src AS src, x.dst AS dst UNION ALL SELECT x.dst, x.src) a WHERE x.dst IS NOT NULL AND a.src // 3 <> a.dst // 3 GROUP BY 1, 2), nb AS (SELECT u.no, string_agg(w.no || ' ' || weight, ' ' ORDER BY w.no) AS e FROM lg JOIN vx u ON u.component = src JOIN vx w ON w.component = dst GROUP BY 1)"
+
+
+@_query(f"{_vx} SELECT CAST(0 AS BIGINT) AS line_no, (SELECT count(*) FROM vx) || ' ' || (SELECT count(*) // 2 FROM lg) || ' 11' AS line UNION ALL SELECT vx.no, concat_ws(' ', stops, e) FROM vx LEFT JOIN nb ON nb.no = vx.no")
+def export_metis(spark, sf_dir, t):
+    component = settle(graph.weak_components(t.stops.select(F.col("stop_id").alias("vertex")), t.footpaths))
+    return exports.metis(component, transfers.layout_graph(t.stop_events, t.footpaths, component))
+
+
+@_query("SELECT 'p sp ' || (max(greatest(src, dst)) + 1) || ' ' || count(*) AS line FROM footpaths UNION ALL SELECT 'a ' || (src + 1) || ' ' || (dst + 1) || ' ' || travel_s FROM footpaths")
+def export_dimacs(spark, sf_dir, t):
+    return exports.dimacs(t.footpaths)
+
+
+@_query("SELECT stop_id AS StopId, name AS StopName, lat_e6 / 1e6 AS Latitude, lon_e6 / 1e6 AS Longitude, min_transfer_s AS MinChangeTime FROM stops")
+def export_stops(spark, sf_dir, t):
+    return exports.stop_table(t)
+
+
 @_query("SELECT CAST(lv AS BIGINT) AS level, count(*) AS n FROM (SELECT c.cell_id AS a, lead(c.cell_id) OVER (PARTITION BY trip_id ORDER BY stop_index) AS b FROM stop_events JOIN cells c USING (stop_id)), range(0, 4) t(lv) WHERE b IS NOT NULL AND (xor(a, b) >> CAST(lv AS INTEGER)) <> 0 GROUP BY 1")
 def boundary_events_per_level(spark, sf_dir, t):
     return transfers.boundary_events(t.stop_events, t.cells)
