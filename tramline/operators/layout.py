@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Width in seconds of the slots that narrow the search in a sorted array of departures.
+SLOT = 1800
+
+
 def connections(events: DataFrame) -> DataFrame:
     """One row per consecutive event pair of a trip: dep_stop, arr_stop, dep, arr, trip_id."""
     w = Window.partitionBy("trip_id").orderBy("stop_index")
@@ -15,18 +19,34 @@ def connections(events: DataFrame) -> DataFrame:
 
 
 def departures(events: DataFrame) -> DataFrame:
-    """``route_id, stop_index, stop_id, last_index, deps, arrs``: the route-major layout.
+    """``route_id, stop_index, stop_id, last_index, deps, arrs, trip_ids, slots``: the route-major layout.
 
     ``deps`` and ``arrs`` are ordered by the trips' rank in their route. The
     route must be FIFO: an earlier rank is no later anywhere, so both arrays
     ascend. A route's place holds one array entry per trip of a service day.
+    ``slots`` is the index that ``catch`` searches.
     """
     one = F.sort_array(F.collect_list(F.struct("dep", "trip_id", "arr")))
     rows = events.groupBy("route_id", "stop_index", "stop_id").agg(one.alias("e"))
     last = Window.partitionBy("route_id")
-    return rows.select(
+    out = rows.select(
         "route_id", "stop_index", "stop_id", F.max("stop_index").over(last).alias("last_index"), F.col("e.dep").alias("deps"), F.col("e.arr").alias("arrs"), F.col("e.trip_id").alias("trip_ids")
     )
+    ends = f"sequence(cast(floor(deps[0] / {SLOT}) as long), cast(floor(deps[size(deps) - 1] / {SLOT}) as long) + 1)"
+    return out.withColumn("slots", F.expr(f"transform({ends}, b -> size(filter(deps, d -> d < b * {SLOT})))"))
+
+
+def catch(time: str) -> Column:
+    """Rank of the first departure of ``deps`` no earlier than column ``time``; ``size(deps)`` if none.
+
+    Departures ascend, so the rank is the number of earlier ones. ``slots[i]``
+    counts those before the i-th slot from the first departure's slot on, and
+    only the departures inside the time's own slot are compared.
+    """
+    base = f"cast(floor(deps[0] / {SLOT}) as long)"
+    at = f"cast(floor({time} / {SLOT}) - {base} as int)"
+    inside = f"slots[{at}] + size(filter(slice(deps, slots[{at}] + 1, slots[{at} + 1] - slots[{at}]), d -> d < {time}))"
+    return F.expr(f"CASE WHEN {time} <= deps[0] THEN 0 WHEN {time} > deps[size(deps) - 1] THEN size(deps) ELSE {inside} END")
 
 
 def trip_rank(events: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.iterate import settle
+from .layout import catch
 from .pareto import improving
 
 
@@ -24,9 +25,8 @@ def _walk(labels: DataFrame, footpaths: DataFrame) -> DataFrame:
 
 def _scan(reached: DataFrame, layout: DataFrame) -> DataFrame:
     """Arrivals by one more trip from newly improved stops: the least per query and stop."""
-    places = layout.select("route_id", "stop_index", "stop_id", "last_index", "deps").where("stop_index < last_index")
-    # rank of the first trip that departs no earlier: departures ascend, so it is the number of earlier ones
-    board = reached.join(places, "stop_id").withColumn("rank", F.expr("size(filter(deps, d -> d < arr))")).where("rank < size(deps)")
+    places = layout.select("route_id", "stop_index", "stop_id", "last_index", "deps", "slots").where("stop_index < last_index")
+    board = reached.join(places, "stop_id").withColumn("rank", catch("arr")).where("rank < size(deps)")
     board = board.groupBy("query_id", "route_id", "stop_index").agg(F.min("rank").alias("rank"))
     lines = board.groupBy("query_id", "route_id").agg(F.min("stop_index").alias("from_index"))
     along = lines.join(layout.select("route_id", "stop_index", "stop_id", "arrs"), "route_id").where("stop_index >= from_index")
@@ -120,12 +120,12 @@ def trip_based(queries: DataFrame, layout: DataFrame, transfers: DataFrame, foot
     earlier one has rank and index no larger. With ``cells`` a transfer whose
     boarding cell differs from both ends' cells above its level is skipped.
     """
-    places = layout.select("route_id", "stop_index", "stop_id", "last_index", "deps")
+    places = layout.select("route_id", "stop_index", "stop_id", "last_index", "deps", "slots")
     near = _walk(queries.select("query_id", F.col("source").alias("stop_id"), F.col("dep_s").cast("long").alias("arr")), footpaths)
     egress = queries.select("query_id", F.col("target").alias("stop_id"), F.lit(0).cast("long").alias("walk"))
     more = queries.select("query_id", "target").join(footpaths, F.col("target") == F.col("dst")).select("query_id", F.col("src").alias("stop_id"), F.col("travel_s").alias("walk"))
     egress = settle(egress.unionByName(more))
-    seg = near.join(places, "stop_id").where("stop_index < last_index").withColumn("rank", F.expr("size(filter(deps, d -> d < arr))")).where("rank < size(deps)")
+    seg = near.join(places, "stop_id").where("stop_index < last_index").withColumn("rank", catch("arr")).where("rank < size(deps)")
     seg = seg.select("query_id", "route_id", F.col("rank").cast("long").alias("rank"), F.col("stop_index").alias("from_index"))
     walked = near.join(egress, ["query_id", "stop_id"]).groupBy("query_id").agg(F.min(F.col("arr") + F.col("walk")).alias("arr"))
     out = [walked.withColumn("trips", F.lit(0))]

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .layout import catch
+
 
 def event_transfers(events: DataFrame, layout: DataFrame, footpaths: DataFrame) -> DataFrame:
     """All useful transfers from an arrival to the first catchable trip of each route nearby.
@@ -25,9 +27,9 @@ def event_transfers(events: DataFrame, layout: DataFrame, footpaths: DataFrame)
     walk = footpaths.select("src", "dst", "travel_s").unionByName(stay.select("src", F.col("src").alias("dst"), F.lit(0).cast("long").alias("travel_s")))
     nxt = Window.partitionBy("route_id").orderBy("stop_index")
     to = layout.withColumns({"next_stop": F.lead("stop_id").over(nxt), "next_arrs": F.lead("arrs").over(nxt)}).where("stop_index < last_index")
-    to = to.select(F.col("route_id").alias("to_route"), F.col("stop_index").alias("to_index"), F.col("stop_id").alias("to_stop"), "deps", "next_stop", "next_arrs")
+    to = to.select(F.col("route_id").alias("to_route"), F.col("stop_index").alias("to_index"), F.col("stop_id").alias("to_stop"), "deps", "slots", "next_stop", "next_arrs")
     ready = e.select("stop_id", "arr").distinct().join(walk, F.col("stop_id") == F.col("src")).select("stop_id", "arr", F.col("dst").alias("to_stop"), (F.col("arr") + F.col("travel_s")).alias("ready"))
-    found = ready.join(to, "to_stop").withColumn("to_rank", F.expr("size(filter(deps, d -> d < ready))").cast("long")).where("to_rank < size(deps)")
+    found = ready.join(to, "to_stop").withColumn("to_rank", catch("ready").cast("long")).where("to_rank < size(deps)")
     found = found.select("stop_id", "arr", "to_stop", "to_route", "to_index", "to_rank", F.expr("deps[int(to_rank)]").alias("to_dep"), "next_stop", F.expr("next_arrs[int(to_rank)]").alias("next_arr"))
     t = e.join(found, ["stop_id", "arr"])
     t = t.where("NOT (route_id = to_route AND to_rank >= rank AND to_index >= stop_index)")
