@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tramline.functions import columns
-from tramline.operators import criteria, graph, hub_labels, layout, pareto, rounds, transfers
+from tramline.operators import criteria, graph, hierarchy, hub_labels, journeys, layout, pareto, rounds, time_dependent, transfers
 from tramline.plans import catalog
 from tramline.sources import exports, gtfs
 from tramline.sources.timetable import project
+from tramline.streaming import hourly
 
 SF = "/root/testdata/sf0.001"
 
@@ -194,7 +195,7 @@ def test_gtfs_feed(spark, tmp_path):
     assert last.dep == last.arr + 1
 
 
-FAST = ["direct_connection", "stop_degree", "min_travel_time_graph", "route_offset_groups", "footpath_closure", "footpath_radius", "raptor_pareto", "tb_pareto", "boundary_events_per_level", "layout_graph", "mc_pareto", "bounded_mc", "calendar_unroll", "hub_label_query", "export_metis", "export_dimacs", "export_stops"]
+FAST = ["direct_connection", "td_earliest_arrival", "journey_measures", "tb_reduced_pareto", "single_bit_view", "max_speed_per_stop", "isolated_stops", "events_as_connections", "events_hourly_stream", "stop_degree", "min_travel_time_graph", "route_offset_groups", "footpath_closure", "footpath_radius", "raptor_pareto", "tb_pareto", "boundary_events_per_level", "layout_graph", "mc_pareto", "bounded_mc", "calendar_unroll", "hub_label_query", "export_metis", "export_dimacs", "export_stops"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -232,3 +233,67 @@ def test_csv_export_round_trip(spark, tmp_path):
         assert back.count() == df.count() and back.exceptAll(df).isEmpty()
     n = exports.numbered(spark.range(1000).select((999 - F.col("id")).alias("x")).repartition(7), "x")
     assert n.where("no <> x").isEmpty() and n.count() == 1000
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_pruned_query_journeys_and_travel_functions_agree(spark, seed):
+    trips, foot = random_network(seed)
+    ev, fp = events(spark, trips), feet(spark, foot)
+    q = spark.createDataFrame([(i, i, (i * 7 + 5) % 12, 60 * i) for i in range(12)], "query_id long, source long, target long, dep_s long").checkpoint()
+    lay = layout.departures(ev).checkpoint()
+    labels = rounds.raptor(q, lay, fp).checkpoint()
+    want = sorted(map(tuple, rounds.at_targets(labels, q).collect()))
+    cells = spark.createDataFrame([(s, s // 2 % 4) for s in range(12)], "stop_id long, cell_id long")
+    full = transfers.event_transfers(ev, lay, fp).checkpoint()
+    few = transfers.reduce_transfers(full, lay, fp).checkpoint()
+    for some in (full, few):
+        leveled = hierarchy.customize(some, lay, cells, 2).checkpoint()
+        assert leveled.count() == some.count()
+        assert sorted(map(tuple, rounds.trip_based(q, lay, leveled, fp, cells=cells).collect())) == want
+    undominated = hierarchy.undominated_transfers(full)
+    assert sorted(map(tuple, rounds.trip_based(q, lay, undominated, fp).collect())) == want
+    n = {r.level: r.n for r in hierarchy.level_histogram(leveled).collect()}
+    assert sum(n.values()) == few.count() and set(n) <= {0, 1, 2}
+    assert max(r.level for r in hierarchy.stop_importance(leveled, lay).collect()) == max(n) == max(r.max_level for r in hierarchy.trip_levels(leveled).collect())
+    got = journeys.measures(journeys.legs(q, labels, ev, fp)).collect()
+    ends = {r.query_id: (r.source, r.target) for r in q.collect()}
+    assert all(r.chained and r.rides == r.trips and (r.source, r.target) == ends[r.query_id] for r in got)
+    assert sorted((r.query_id, r.trips, r.arr) for r in got) == [w for w in want if w[1] > 0 or ends[w[0]][0] != ends[w[0]][1]]
+    f = time_dependent.travel_functions(layout.connections(ev))
+    assert sorted(map(tuple, time_dependent.earliest(q, f, fp).collect())) == sorted(map(tuple, rounds.earliest(labels).collect()))
+
+
+def test_catch_is_the_first_departure_no_earlier(spark):
+    deps = [-4000, -10, 0, 0, 1799, 1800, 5400, 90_000]
+    ev = events(spark, {i: (0, [(A, d, d), (B, d + 5, d + 5)]) for i, d in enumerate(deps)})
+    times = sorted({t + x for t in deps for x in (-1, 0, 1)} | {-9000, 3600, 200_000})
+    asked = spark.createDataFrame([(t,) for t in times], "arr long")
+    got = asked.crossJoin(layout.departures(ev).where("stop_index = 0")).select("arr", layout.catch("arr").alias("rank")).collect()
+    assert {r.arr: r.rank for r in got} == {t: sum(d < t for d in deps) for t in times}
+
+
+def test_reduction_drops_what_riding_on_beats(spark):
+    # changing to trip 1 at B reaches C later than staying; changing to trip 2 reaches E
+    ev = events(spark, {0: (0, [(A, 0, 0), (B, 100, 100), (C, 200, 200)]), 1: (1, [(B, 110, 110), (C, 250, 250)]), 2: (2, [(B, 120, 120), (E, 300, 300)])})
+    lay = layout.departures(ev)
+    few = transfers.reduce_transfers(transfers.event_transfers(ev, lay, feet(spark, [])), lay, feet(spark, []))
+    assert [(r.from_trip, r.to_route) for r in few.collect()] == [(0, 2)]
+
+
+def test_bisection_keeps_components_together(spark):
+    stops = spark.createDataFrame([(i, 100 * (i // 2), 7 * (i // 2) % 5) for i in range(32)], "stop_id long, lon_e6 long, lat_e6 long")
+    component = stops.select(F.col("stop_id").alias("vertex"), F.expr("stop_id div 2").alias("component"))
+    cell = {r.stop_id: r.cell_id for r in hierarchy.bisect(stops, component, 2).collect()}
+    assert len(cell) == 32 and all(cell[2 * i] == cell[2 * i + 1] for i in range(16))
+    assert set(cell.values()) == {0, 1, 2, 3}
+
+
+def test_hourly_stream_equals_batch_and_takes_late_rows(spark, tmp_path):
+    rows = [(1, "2024-01-01 10:05:00"), (1, "2024-01-01 10:55:00"), (2, "2024-01-01 11:00:00"), (1, "2024-01-01 10:20:00")]
+    for n, (u, ts) in enumerate(rows):
+        spark.createDataFrame([(u, ts)], "user_id long, ts string").select("user_id", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    source = spark.read.parquet(*[f"{tmp_path}/in/{n}" for n in range(4)])
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = hourly.run_available(hourly.hourly(stream), f"file://{tmp_path}/work", ["user_id", "hour"]).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, hourly.hourly(source).collect()))
+    assert sorted(r.n for r in got) == [1, 3]

@@ -32,8 +32,13 @@ def departures(events: DataFrame) -> DataFrame:
     out = rows.select(
         "route_id", "stop_index", "stop_id", F.max("stop_index").over(last).alias("last_index"), F.col("e.dep").alias("deps"), F.col("e.arr").alias("arrs"), F.col("e.trip_id").alias("trip_ids")
     )
+    return with_slots(out)
+
+
+def with_slots(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``slots``, the index of its ascending array ``deps``."""
     ends = f"sequence(cast(floor(deps[0] / {SLOT}) as long), cast(floor(deps[size(deps) - 1] / {SLOT}) as long) + 1)"
-    return out.withColumn("slots", F.expr(f"transform({ends}, b -> size(filter(deps, d -> d < b * {SLOT})))"))
+    return rows.withColumn("slots", F.expr(f"transform({ends}, b -> size(filter(deps, d -> d < b * {SLOT})))"))
 
 
 def catch(time: str) -> Column:

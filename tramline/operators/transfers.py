@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,57 +43,32 @@ def event_transfers(events: DataFrame, layout: DataFrame, footpaths: DataFrame)
 def reduce_transfers(transfers: DataFrame, layout: DataFrame, footpaths: DataFrame) -> DataFrame:
     """``transfers`` less those that improve no arrival anywhere, judged per trip from its last stop backwards.
 
-    Order-dependent, so a kernel per trip: riding on sets the times of the
-    trip's own stops and what they reach on foot; a transfer stays if some stop
-    after it, or one footpath further, is reached earlier than so far. The
-    arrivals of the target trips and the footpaths come along as arrays, so a
-    group holds one trip's transfers.
+    A transfer at place i stays if it gives the earliest arrival at some stop
+    (directly or one footpath further) among riding on and all transfers from
+    place i on, and is strictly earlier than all from later places. So one row
+    per (trip, stop, place) is aggregated before the shuffle, and the scan
+    backwards is a running minimum over at most as many rows as the trip has
+    places. Ties go to riding on, then to the least route, place and rank.
     """
     tail = layout.select(F.col("route_id").alias("to_route"), "stop_index", "stop_id", "arrs")
-    rows = transfers.join(tail, "to_route").where("stop_index > to_index").withColumn("at", F.expr("arrs[int(to_rank)]")).drop("arrs")
-    reach = rows.groupBy(*transfers.columns).agg(F.sort_array(F.collect_list(F.struct("stop_index", "stop_id", "at"))).alias("tail"))
-    feet = footpaths.groupBy(F.col("src").alias("stop_id")).agg(F.collect_list(F.struct("dst", "travel_s")).alias("feet"))
-    hops = rows.select(*transfers.columns, "stop_id").distinct().join(feet, "stop_id").groupBy(*transfers.columns).agg(F.flatten(F.collect_list(F.transform("feet", lambda f: F.struct(F.col("stop_id").alias("s"), f["dst"].alias("d"), f["travel_s"].alias("w"))))).alias("hops"))
-    own = layout.select(F.col("route_id").alias("from_route"), F.col("stop_index").alias("own_index"), F.col("stop_id").alias("own_stop"), F.col("arrs").alias("own_arrs"))
-    own = own.join(feet.withColumnRenamed("stop_id", "own_stop"), "own_stop", "left")
-    own = own.groupBy("from_route").agg(F.sort_array(F.collect_list(F.struct("own_index", "own_stop", "own_arrs"))).alias("own"), F.map_from_entries(F.collect_list(F.struct("own_index", F.coalesce("feet", F.array().cast("array<struct<dst:bigint,travel_s:bigint>>"))))).alias("own_feet"))
-    own = own.select("from_route", "own", "own_feet")
-    full = reach.join(hops, transfers.columns, "left").join(own, "from_route")
-    full = full.withColumn("own", F.expr("transform(own, x -> struct(x.own_index, x.own_stop, x.own_arrs[int(from_rank)] AS at, own_feet[x.own_index] AS feet))")).drop("own_feet")
-    schema = transfers.schema
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        best: dict[int, int] = {}
-
-        def better(stop: int, at: int) -> bool:
-            if at < best.get(stop, 1 << 60):
-                best[stop] = at
-                return True
-            return False
-
-        keep = []
-        by_index: dict[int, list[int]] = {}
-        for n, i in enumerate(pdf["t_from_index"]):
-            by_index.setdefault(int(i), []).append(n)
-        for o in sorted(pdf["own"].iloc[0], key=lambda x: -x["own_index"]):
-            better(o["own_stop"], o["at"])
-            for f in o["feet"]:
-                better(f["dst"], o["at"] + f["travel_s"])
-            mine = by_index.get(int(o["own_index"]), [])
-            for n in sorted(mine, key=lambda n: (pdf["tail"].iloc[n][0]["at"], pdf["to_route"].iloc[n], pdf["to_index"].iloc[n], pdf["to_rank"].iloc[n])):
-                at = {}
-                useful = False
-                for x in pdf["tail"].iloc[n]:
-                    at[x["stop_id"]] = min(x["at"], at.get(x["stop_id"], 1 << 60))
-                    useful |= better(x["stop_id"], x["at"])
-                hops = pdf["hops"].iloc[n]
-                for h in hops if hops is not None else ():
-                    useful |= better(h["d"], at[h["s"]] + h["w"])
-                if useful:
-                    keep.append(n)
-        return pdf.iloc[sorted(keep)][[f.name for f in schema.fields]]
-
-    return full.groupBy("from_trip").applyInPandas(kernel, schema)
+    key = ["to_route", "to_index", "to_rank"]
+    by_change = transfers.select("from_trip", F.col("t_from_index").alias("i"), *key).join(tail, "to_route").where("stop_index > to_index")
+    by_change = by_change.select("from_trip", "i", "stop_id", F.expr("arrs[int(to_rank)]").alias("at"), F.lit(1).alias("kind"), *key)
+    own = layout.where("stop_index > 0").select("stop_index", "stop_id", F.explode(F.arrays_zip("trip_ids", "arrs")).alias("e"))
+    none = [F.lit(None).cast(transfers.schema[c].dataType).alias(c) for c in key]
+    own = own.select(F.col("e.trip_ids").alias("from_trip"), F.col("stop_index").alias("i"), "stop_id", F.col("e.arrs").alias("at"), F.lit(0).alias("kind"), *none)
+
+    def best(rows: DataFrame) -> DataFrame:
+        m = rows.groupBy("from_trip", "i", "stop_id").agg(F.min(F.struct("at", "kind", *key)).alias("m"))
+        return m.select("from_trip", "i", "stop_id", "m.*")
+
+    # a walk starts from the earliest arrival at its foot, so only those are walked on
+    ridden = best(by_change.unionByName(own))
+    walked = ridden.join(footpaths, F.col("stop_id") == F.col("src")).select("from_trip", "i", F.col("dst").alias("stop_id"), (F.col("at") + F.col("travel_s")).alias("at"), "kind", *key)
+    later = Window.partitionBy("from_trip", "stop_id").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    kept = best(ridden.unionByName(walked)).withColumn("before", F.min("at").over(later)).where("kind = 1 AND (before IS NULL OR at < before)")
+    kept = kept.select("from_trip", F.col("i").alias("t_from_index"), *key).distinct()
+    return transfers.join(kept, ["from_trip", "t_from_index", *key], "left_semi").select(*transfers.columns)
 
 
 def layout_graph(events: DataFrame, footpaths: DataFrame, component: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance_cm
-from ..operators import criteria, graph, hub_labels, layout, rounds, transfers
+from ..operators import analytics, criteria, graph, hierarchy, hub_labels, journeys, layout, rounds, time_dependent, transfers
 from ..sources import exports, gtfs
 from ..sources.timetable import Timetable, project, query_table, sql
-from .iterate import settle
+from ..streaming import hourly
+from .iterate import checkpoint_folder, settle
 
 N, ROUNDS, FULL = 20, 5, 8
 _all: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,6 +199,57 @@ def csa_earliest_arrival(spark, sf_dir, t):
     return rounds.connection_scan(query_table(spark, sf_dir, N), settle(layout.connections(t.stop_events)), t.footpaths)
 
 
+@_query(f"{_labels(FULL)} SELECT query_id, stop_id, arr FROM l{FULL}")
+def td_earliest_arrival(spark, sf_dir, t):
+    f = settle(time_dependent.travel_functions(layout.connections(t.stop_events)))
+    return time_dependent.earliest(query_table(spark, sf_dir, N), f, t.footpaths)
+
+
+@_query(f"{_labels(ROUNDS)} {_targets(ROUNDS)} SELECT query_id, trips, trips AS rides, source, target, arr, true AS chained FROM p JOIN queries USING (query_id) WHERE trips > 0")
+def journey_measures(spark, sf_dir, t):
+    q = settle(query_table(spark, sf_dir, N))
+    way = settle(journeys.legs(q, rounds.raptor(q, _lay(t), t.footpaths, ROUNDS), t.stop_events, t.footpaths))
+    return journeys.measures(way).where("trips > 0").select("query_id", "trips", "rides", "source", "target", "arr", "chained")
+
+
+@_query(f"{_labels(ROUNDS)} {_targets(ROUNDS)} SELECT * FROM p")
+def tb_undominated_pareto(spark, sf_dir, t):
+    lay = _lay(t)
+    few = settle(hierarchy.undominated_transfers(transfers.event_transfers(t.stop_events, lay, t.footpaths)))
+    return rounds.trip_based(settle(query_table(spark, sf_dir, N)), lay, few, t.footpaths, ROUNDS)
+
+
+def _reduced(t: Timetable, lay: DataFrame) -> DataFrame:
+    return settle(transfers.reduce_transfers(settle(transfers.event_transfers(t.stop_events, lay, t.footpaths)), lay, t.footpaths))
+
+
+@_query(f"{_labels(ROUNDS)} {_targets(ROUNDS)} SELECT * FROM p")
+def tb_reduced_pareto(spark, sf_dir, t):
+    lay = _lay(t)
+    return rounds.trip_based(settle(query_table(spark, sf_dir, N)), lay, _reduced(t, lay), t.footpaths, ROUNDS)
+
+
+def _leveled(t: Timetable, lay: DataFrame) -> DataFrame:
+    return hierarchy.customize(_reduced(t, lay), lay, settle(t.cells))
+
+
+@_query(f"{_labels(ROUNDS)} {_targets(ROUNDS)} SELECT * FROM p")
+def pruned_pareto(spark, sf_dir, t):
+    lay = _lay(t)
+    return rounds.trip_based(settle(query_table(spark, sf_dir, N)), lay, _leveled(t, lay), t.footpaths, ROUNDS, cells=t.cells)
+
+
+@_query(None)
+def level_histogram(spark, sf_dir, t):
+    return hierarchy.level_histogram(_leveled(t, _lay(t)))
+
+
+@_query(None)
+def stop_importance(spark, sf_dir, t):
+    lay = _lay(t)
+    return hierarchy.stop_importance(_leveled(t, lay), lay)
+
+
 @_query(f"{_conn}, ar AS (SELECT stop_id, arr FROM stop_events WHERE stop_index > 0), dp AS (SELECT stop_id, dep FROM stop_events WHERE stop_index < 7), wk AS (SELECT stop_id, arr AS t, arr FROM ar UNION ALL SELECT dst, arr + travel_s, arr FROM ar JOIN footpaths ON src = stop_id), ch AS (SELECT wk.arr, min_dep.dep FROM wk ASOF JOIN (SELECT DISTINCT stop_id, dep FROM dp) min_dep ON wk.stop_id = min_dep.stop_id AND wk.t <= min_dep.dep), wt AS (SELECT lead(dep) OVER (PARTITION BY stop_id ORDER BY dep) - dep AS travel_s FROM dp) SELECT kind, count(*) AS n, CAST(sum(travel_s) AS BIGINT) AS total FROM (SELECT 'ride' AS kind, arr - dep AS travel_s FROM conn UNION ALL SELECT 'wait', travel_s FROM wt WHERE travel_s IS NOT NULL UNION ALL SELECT 'change', dep - arr FROM ch) GROUP BY 1")
 def time_expanded_edges(spark, sf_dir, t):
     return layout.time_expanded_edges(t.stop_events, t.footpaths).groupBy("kind").agg(F.count("*").alias("n"), F.sum("travel_s").alias("total"))
@@ -218,6 +270,11 @@ def event_transfers_by_route(spark, sf_dir, t):
     return transfers.event_transfers(t.stop_events, _lay(t), t.footpaths).groupBy(F.col("from_route").alias("route_id")).agg(F.count("*").alias("n"), F.sum("to_rank").alias("ranks"))
 
 
+@_query(f"{_ev} SELECT trip_id, count(*) AS n FROM tr GROUP BY 1")
+def event_transfers_count_by_trip(spark, sf_dir, t):
+    return transfers.event_transfers(t.stop_events, _lay(t), t.footpaths).groupBy(F.col("from_trip").alias("trip_id")).agg(F.count("*").alias("n"))
+
+
 @_query("SELECT a.src // 3 * 3 AS src, a.dst // 3 * 3 AS dst, count(*) AS weight FROM (SELECT stop_id AS src, lead(stop_id) OVER (PARTITION BY trip_id ORDER BY stop_index) AS dst FROM stop_events) x, LATERAL (SELECT x.src AS src, x.dst AS dst UNION ALL SELECT x.dst, x.src) a WHERE x.dst IS NOT NULL AND a.src // 3 <> a.dst // 3 GROUP BY 1, 2")
 def layout_graph(spark, sf_dir, t):
     return transfers.layout_graph(t.stop_events, t.footpaths, graph.weak_components(t.stops.select(F.col("stop_id").alias("vertex")), t.footpaths))
@@ -313,6 +370,31 @@ def calendar_unroll(spark, sf_dir, t):
     return gtfs.service_days(week, dates, "2024-01-01", "2024-01-07")
 
 
+@_query(", k AS (SELECT stop_id FROM cells WHERE (cell_id >> 3) & 1 = 1) SELECT stop_id FROM k UNION SELECT stop_id FROM stop_events WHERE route_id IN (SELECT route_id FROM stop_events JOIN k USING (stop_id))")
+def single_bit_view(spark, sf_dir, t):
+    return hierarchy.single_bit_view(t.cells, t.stop_events.select("route_id", "stop_id"), 3, 1)
+
+
+@_query(f"{_conn}, sp AS (SELECT src, dst, min(travel_s) AS travel_s FROM (SELECT dep_stop AS src, arr_stop AS dst, arr - dep AS travel_s FROM conn UNION ALL SELECT * FROM footpaths) WHERE src <> dst GROUP BY 1, 2) SELECT src AS stop_id, max(CAST(round({_dist} / 100) AS BIGINT) * 1000 // travel_s) AS mm_s FROM sp JOIN stops a ON a.stop_id = src JOIN stops b ON b.stop_id = dst WHERE travel_s > 0 GROUP BY 1")
+def max_speed_per_stop(spark, sf_dir, t):
+    return analytics.max_speed_per_stop(analytics.segment_speeds(t.stop_events, t.footpaths, t.stops))
+
+
+@_query("SELECT stop_id FROM stops WHERE stop_id NOT IN (SELECT stop_id FROM stop_events) AND stop_id NOT IN (SELECT src FROM footpaths)")
+def isolated_stops(spark, sf_dir, t):
+    return analytics.isolated_stops(t.stops, t.stop_events, t.footpaths)
+
+
+@_query("SELECT * FROM (SELECT user_id AS vehicle, event_id AS dep_event, lead(event_id) OVER w AS arr_event, (epoch_us(lead(ts) OVER w) - epoch_us(ts)) // 1000000 AS seconds FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE arr_event IS NOT NULL")
+def events_as_connections(spark, sf_dir, t):
+    return analytics.events_as_connections(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+@_query("SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
+def events_hourly_stream(spark, sf_dir, t):
+    return hourly.run_available(hourly.hourly(hourly.open_events(spark, sf_dir), "1 day"), checkpoint_folder(spark), ["user_id", "hour"])
+
+
 @_query("SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
 def events_hourly(spark, sf_dir, t):
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and forget how: a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
-
-    Files there outlive any executor. Where no folder is set (tests on one
-    machine) a temporary one is.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's folder under ``spark.checkpoint.dir``; where none is set (tests on one machine) a temporary one."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tramline-"))
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tramline-"))
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and forget how: a reliable checkpoint, whose files outlive any executor."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
