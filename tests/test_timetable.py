@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tramline.functions import columns
-from tramline.operators import criteria, graph, hierarchy, hub_labels, journeys, layout, pareto, rounds, time_dependent, transfers
+from tramline.operators import criteria, graph, hierarchy, hub_labels, journeys, layout, pareto, rounds, time_dependent, transfer_patterns, transfers
 from tramline.plans import catalog
 from tramline.sources import exports, gtfs
 from tramline.sources.timetable import project
@@ -195,7 +195,7 @@ def test_gtfs_feed(spark, tmp_path):
     assert last.dep == last.arr + 1
 
 
-FAST = ["direct_connection", "td_earliest_arrival", "journey_measures", "tb_reduced_pareto", "single_bit_view", "max_speed_per_stop", "isolated_stops", "events_as_connections", "events_hourly_stream", "stop_degree", "min_travel_time_graph", "route_offset_groups", "footpath_closure", "footpath_radius", "raptor_pareto", "tb_pareto", "boundary_events_per_level", "layout_graph", "mc_pareto", "bounded_mc", "calendar_unroll", "hub_label_query", "export_metis", "export_dimacs", "export_stops"]
+FAST = ["direct_connection", "td_earliest_arrival", "journey_measures", "transfer_pattern_pareto", "tb_reduced_pareto", "single_bit_view", "max_speed_per_stop", "isolated_stops", "events_as_connections", "events_hourly_stream", "stop_degree", "min_travel_time_graph", "route_offset_groups", "footpath_closure", "footpath_radius", "raptor_pareto", "tb_pareto", "boundary_events_per_level", "layout_graph", "mc_pareto", "bounded_mc", "calendar_unroll", "hub_label_query", "export_metis", "export_dimacs", "export_stops"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -297,3 +297,14 @@ def test_hourly_stream_equals_batch_and_takes_late_rows(spark, tmp_path):
     got = hourly.run_available(hourly.hourly(stream), f"file://{tmp_path}/work", ["user_id", "hour"]).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, hourly.hourly(source).collect()))
     assert sorted(r.n for r in got) == [1, 3]
+
+
+def test_transfer_patterns_answer_other_departures(spark):
+    ev = events(spark, TRADE | {3: (0, [(A, 50, 50), (C, 550, 550)]), 4: (1, [(A, 60, 60), (B, 160, 160)]), 5: (2, [(B, 160, 160), (C, 460, 460)])})
+    q, fp = one(spark, A, C, 0), feet(spark, [])
+    way = journeys.legs(q, rounds.raptor(q, layout.departures(ev), fp), ev, fp).checkpoint()
+    known = transfer_patterns.build(q, way).checkpoint()
+    assert known.count() == 2 and transfer_patterns.prefixes(known).count() == 3
+    f = transfer_patterns.direct_functions(known, ev)
+    for dep, want in ((0, [(0, 1, 500), (0, 2, 400)]), (40, [(0, 1, 550), (0, 2, 460)]), (55, [(0, 2, 460)]), (61, [])):
+        assert sorted(map(tuple, transfer_patterns.earliest(one(spark, A, C, dep), known, f, fp).collect())) == want

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance_cm
-from ..operators import analytics, criteria, graph, hierarchy, hub_labels, journeys, layout, rounds, time_dependent, transfers
+from ..operators import analytics, criteria, graph, hierarchy, hub_labels, journeys, layout, rounds, time_dependent, transfer_patterns, transfers
 from ..sources import exports, gtfs
 from ..sources.timetable import Timetable, project, query_table, sql
 from ..streaming import hourly
@@ -212,6 +212,13 @@ def journey_measures(spark, sf_dir, t):
     return journeys.measures(way).where("trips > 0").select("query_id", "trips", "rides", "source", "target", "arr", "chained")
 
 
+@_query(f"{_labels(ROUNDS)} {_targets(ROUNDS)} SELECT * FROM p")
+def transfer_pattern_pareto(spark, sf_dir, t):
+    q = settle(query_table(spark, sf_dir, N))
+    known = settle(transfer_patterns.build(q, journeys.legs(q, rounds.raptor(q, _lay(t), t.footpaths, ROUNDS), t.stop_events, t.footpaths)))
+    return transfer_patterns.earliest(q, known, settle(transfer_patterns.direct_functions(known, t.stop_events)), t.footpaths)
+
+
 @_query(f"{_labels(ROUNDS)} {_targets(ROUNDS)} SELECT * FROM p")
 def tb_undominated_pareto(spark, sf_dir, t):
     lay = _lay(t)
