@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 #: Width in seconds of the slots that narrow the search in a sorted array of departures.
-SLOT = 1800
+SLOT = 7200
 
 
 def connections(events: DataFrame) -> DataFrame:
