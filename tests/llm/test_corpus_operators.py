@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tramline.llm import dart_minhash, decontaminate, license_scan, line_dedup, pfair_mix, queries, warc
@@ -245,6 +246,28 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.items for r in got} == {i: sorted([i, (i + 1) % 6]) for i in range(6)}
 
 
+def items_found(text, item):
+    bench = decontaminate.Benchmark([1], [item])
+    found = bench.probe(decontaminate.Tokens(*decontaminate.flat(pa.array([text])))).get(0, ())
+    return [bench.ids[i] for i, *k in found if bench.enough(i, *k)]
+
+
+def test_one_changed_repeat_does_not_hide_a_passage():
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(43)]
+    words[10] = words[30] = "Paris"
+    item = " ".join(words)
+    assert items_found(item.replace("Paris", "Lyon", 1), item) == [1]
+    # a value that stands for one value at most places; the odd place costs its own windows only
+    words[5] = words[20] = words[38] = "Paris"
+    item = " ".join(words)
+    assert items_found(item.replace("Paris", "Rome").replace("Rome", "Lyon", 1), item) == [1]
+    # two unrelated slots that share a value
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(40)]
+    words[3] = words[38] = "9"
+    item = " ".join(words)
+    assert items_found(item.replace("9", "7", 1).replace("9", "5"), item) == [1]
+
+
 # ---- licences
 
 def test_license_scan_and_its_sql(spark):

@@ -4,11 +4,12 @@ A text becomes a sequence of tokens: words without outer punctuation, case
 folded, with numbers, units after numbers and names (capitalised words inside
 a sentence) replaced by typed placeholders. Windows of eight such tokens are
 hashed; a document's windows meet the benchmark's in a hash join. Matches on
-one diagonal (document place minus item place) form an alignment, which counts
-only if its slots are consistent: each value that the item has in placeholders
-stands for one value of the document throughout. A document is contaminated by
-an item if consistent alignments cover six of its windows (13 tokens), or all
-of a shorter item.
+one diagonal (document place minus item place) form an alignment. Each value
+that the item has in placeholders stands for the one document value that it
+meets at more than half of its places there; a window that holds a place with
+another value does not count, unless it agrees word for word. A document is
+contaminated by an item if the windows that count cover six of the item's
+windows (13 tokens), or all of a shorter item.
 
 The benchmark is the build side. It is read in blocks of bounded characters;
 each block is broadcast and all documents pass over it, so neither the size of
@@ -151,20 +152,30 @@ class Benchmark:
         return found
 
     def _consistent(self, tokens: Tokens, doc: np.ndarray, item: np.ndarray, p: np.ndarray, q: np.ndarray, size: int) -> np.ndarray:
-        """Which matches lie in an alignment whose slot values map one to one value."""
+        """Which matches hold no slot place that contradicts the rest of its alignment, or agree word for word."""
         _, group = np.unique(np.stack([doc, item, p - q]), axis=1, return_inverse=True)
-        group = group.ravel()
-        sp = (p[:, None] + np.arange(size)).ravel()
-        sq = (q[:, None] + np.arange(size)).ravel()
-        sg = np.repeat(group, size)
+        sp = p[:, None] + np.arange(size)
+        sq = q[:, None] + np.arange(size)
+        mine, other = self.tokens.value[sq], tokens.value[sp]
         slot = self.tokens.slot[sq]
         if not slot.any():
             return np.ones(len(p), dtype=bool)
-        triple = np.unique(np.stack([sg[slot].astype(U64), self.tokens.value[sq[slot]], tokens.value[sp[slot]]]), axis=1)
-        clash = np.zeros(int(group.max()) + 1, dtype=bool)
-        same = (triple[0, 1:] == triple[0, :-1]) & (triple[1, 1:] == triple[1, :-1])
-        clash[triple[0, 1:][same].astype(np.int64)] = True
-        return ~clash[group]
+        # every place of an alignment has one vote, however many windows hold it
+        n = len(self.tokens.value)
+        _, vote, place = np.unique((np.repeat(group.ravel(), size) * n + sq.ravel())[slot.ravel()], return_index=True, return_inverse=True)
+        g, a, b = np.repeat(group.ravel(), size)[slot.ravel()][vote], mine[slot][vote], other[slot][vote]
+        order = np.lexsort((b, a, g))
+        g, a, b = g[order], a[order], b[order]
+        new_a = np.ones(len(g), dtype=bool)
+        new_a[1:] = (g[1:] != g[:-1]) | (a[1:] != a[:-1])
+        new_b = new_a.copy()
+        new_b[1:] |= b[1:] != b[:-1]
+        run_a, run_b = np.cumsum(new_a) - 1, np.cumsum(new_b) - 1
+        minority = np.empty(len(g), dtype=bool)
+        minority[order] = 2 * np.bincount(run_b)[run_b] <= np.bincount(run_a)[run_a]
+        against = np.zeros(slot.shape, dtype=bool)
+        against[slot] = minority[place.ravel()]
+        return ~against.any(axis=1) | ~(slot & (mine != other)).any(axis=1)
 
     def enough(self, item: int, covered: int) -> bool:
         return covered >= min(ENOUGH, int(self.windows_of[item])) > 0
