@@ -268,6 +268,28 @@ def test_one_changed_repeat_does_not_hide_a_passage():
     assert items_found(item.replace("9", "7", 1).replace("9", "5"), item) == [1]
 
 
+def test_a_names_position_does_not_decide(monkeypatch):
+    item = "Tom has 5 apples. Anna has 3 apples. Sam has 7 apples. How many apples do they have?"
+    other = item.replace("Tom", "Bill").replace("Anna", "Joan").replace("Sam", "Rob")
+    moved = other.replace(". ", ", ").replace("How", "how")
+    odd = "green tea was poured while nobody looked at " + other.replace(" has", "\nhas")
+    for text in (item, other, moved, odd, item.replace(" ", "\n")):
+        assert items_found(text, item) == [1] and items_found(item, text) == [1]
+    assert items_found("Tom had five pears. Anna had three plums. Sam got seven apples. How many apples do you want?", item) == []
+    # many readings, in pieces
+    lines = "\n".join(f"{c}el" for c in "ABCDEFGHIJKLMNOP")
+    assert items_found(lines, lines) == [1]
+    monkeypatch.setattr(decontaminate, "READINGS", 7)
+    assert items_found(moved, item) == [1] and items_found(lines, lines) == [1]
+
+
+def test_blocks_follow_the_number_of_readings(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_READINGS", 500)
+    items = [(i, "\n".join(f"{c}{i}el" for c in "ABCDEFGHIJKL")) for i in range(5)]
+    blocks = list(decontaminate._blocks(spark.createDataFrame(items, "item_id long, text string")))
+    assert len(blocks) > 1 and sorted(i for ids, _ in blocks for i in ids) == list(range(5))
+
+
 # ---- licences
 
 def test_license_scan_and_its_sql(spark):

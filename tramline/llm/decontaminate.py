@@ -2,8 +2,10 @@
 
 A text becomes a sequence of tokens: words without outer punctuation, case
 folded, with numbers, units after numbers and names (capitalised words inside
-a sentence) replaced by typed placeholders. Windows of eight such tokens are
-hashed; a document's windows meet the benchmark's in a hash join. Matches on
+a sentence) replaced by typed placeholders. A capitalised word that opens a
+sentence or line may be a name or not, so it is read both ways. Windows of eight
+such tokens are hashed, once for every reading; a document's windows meet the
+benchmark's in a hash join. Matches on
 one diagonal (document place minus item place) form an alignment. Each value
 that the item has in placeholders stands for the one document value that it
 meets at more than half of its places there; a window that holds a place with
@@ -32,6 +34,8 @@ from .textkernel import PUNCT, U64, Cores, flat, mix, slices, span_hashes
 SIZE, ENOUGH, LITERALS = 8, 6, 3
 #: Characters of benchmark text in a broadcast block.
 BLOCK_CHARS = 16_000_000
+#: Readings of windows that are held at once: of a batch of documents, and of a broadcast block.
+READINGS, BLOCK_READINGS = 1 << 20, 1 << 24
 
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches yd mph kph h hr hrs hour hours min mins minute minutes s sec secs second seconds day days week weeks month months year years l ml litre litres liter liters gal usd eur dollar dollars euro euros cent cents percent % °c °f degrees kwh w kw v"
 
@@ -53,7 +57,7 @@ def _unit_hashes() -> np.ndarray:
 
 
 class Tokens:
-    """Canonical tokens of a batch: ``hash``, ``value`` (hash before a placeholder took its place), ``slot``, ``doc``, ``first``."""
+    """Canonical tokens of a batch: ``hash``, ``value`` (hash before a placeholder took its place), ``slot``, ``open`` (a name or a word: capitalised where a sentence or line starts), ``doc``, ``first``."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray):
         cores = Cores(raw, off, _PUNCT)
@@ -61,7 +65,7 @@ class Tokens:
         self.doc, self.first = cores.doc, cores.first
         if not len(h):
             self.hash = self.value = np.zeros(0, U64)
-            self.slot = np.zeros(0, bool)
+            self.slot = self.open = np.zeros(0, bool)
             return
         digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
         numeric = np.concatenate([[0], np.cumsum(_NUMERIC[raw])])
@@ -83,23 +87,49 @@ class Tokens:
         ended[1:] = (stops[begin[1:]] - stops[end[:-1]] > 0) | (breaks[begin[1:]] - breaks[end[:-1]] > 0) | ~same[1:]
         second = raw[np.minimum(begin + 1 + accent, len(raw) - 1)]
         shouted = (second >= 65) & (second <= 90)
-        name = capital & ~ended & ~shouted & ~number & ~unit
+        proper = capital & ~shouted & ~number & ~unit
+        name = proper & ~ended
+        self.open = proper & ended
         self.value = h
         self.slot = number | unit | name
         self.hash = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, h)))
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the first token, hash) of all windows of ``size`` tokens that hold enough literal ones."""
+    def _readable(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, literal tokens, readings at most) of all windows of ``size`` tokens that hold enough literal ones."""
         m = len(self.hash) - size + 1
         if m <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, U64)
-        total = np.zeros(m, U64)
-        for k in range(size):
-            total += self.hash[k : k + m] * mix(np.array([k + 1], U64))[0]
+            return (np.zeros(0, np.int64),) * 3
         slots = np.concatenate([[0], np.cumsum(self.slot)])
-        ok = (self.doc[:m] == self.doc[size - 1 :]) & (size - (slots[size:] - slots[:m]) >= LITERALS)
-        at = np.flatnonzero(ok)
-        return at, mix(total[at] + U64(size))
+        opens = np.concatenate([[0], np.cumsum(self.open)])
+        literal = size - (slots[size:] - slots[:m])
+        at = np.flatnonzero((self.doc[:m] == self.doc[size - 1 :]) & (literal >= LITERALS))
+        return at, literal[at], 1 << (opens[at + size] - opens[at])
+
+    def readings(self) -> np.ndarray:
+        """For each document at least as many as its windows of ``SIZE``, or all it has if shorter, have readings."""
+        count = np.diff(self.first)
+        out = np.zeros(len(count), dtype=np.int64)
+        for size in sorted({int(min(c, SIZE)) for c in count if c}):
+            at, _, n = self._readable(size)
+            mine = (count[self.doc[at]] == size) | (size == SIZE)
+            np.add.at(out, self.doc[at[mine]], n[mine])
+        return out
+
+    def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """In pieces of bounded size, (place of the first token, hash) of every reading of the windows of ``size`` tokens that holds enough literal ones."""
+        at, literal, n = self._readable(size)
+        piece = np.cumsum(n) // READINGS
+        place = mix(np.arange(1, size + 1).astype(U64))
+        for at, left in zip(*(np.split(x, np.flatnonzero(np.diff(piece)) + 1) for x in (at, literal)), strict=True):
+            total = np.zeros(len(at), U64)
+            for k in range(size):
+                total += self.hash[at + k] * place[k]
+            for k in range(size):
+                pick = np.flatnonzero(self.open[at + k] & (left > LITERALS))
+                if len(pick):
+                    named = total[pick] + (_NAME - self.hash[at[pick] + k]) * place[k]
+                    at, total, left = np.concatenate([at, at[pick]]), np.concatenate([total, named]), np.concatenate([left, left[pick] - 1])
+            yield at, mix(total + U64(size))
 
 
 class Benchmark:
@@ -113,15 +143,14 @@ class Benchmark:
         hashes, places = [], []
         self.windows_of = np.zeros(len(ids), dtype=np.int64)
         for size in self.sizes:
-            at, h = self.tokens.windows(size)
-            item = self.tokens.doc[at]
-            mine = (count[item] == size) | (size == SIZE)
-            at, h = at[mine], h[mine]
-            np.add.at(self.windows_of, self.tokens.doc[at], 1)
-            hashes.append(h)
-            places.append(at)
+            for at, h in self.tokens.windows(size):
+                mine = (count[self.tokens.doc[at]] == size) | (size == SIZE)
+                at, h = at[mine], h[mine]
+                hashes.append(h)
+                places.append(at)
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, U64)
         self.place = np.concatenate(places) if places else np.zeros(0, np.int64)
+        np.add.at(self.windows_of, self.tokens.doc[np.unique(self.place)], 1)
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.place = self.hash[order], self.place[order]
         self.bits = max(16, int(np.ceil(np.log2(max(1, len(self.hash))))) + 5)
@@ -132,16 +161,20 @@ class Benchmark:
         """For each document that shares windows: (item index, windows that consistent alignments cover)."""
         found: dict[int, list[tuple[int, int]]] = {}
         for size in self.sizes:
-            at, h = tokens.windows(size)
-            maybe = self.seen[(h >> U64(64 - self.bits)).astype(np.int64)]
-            at, h = at[maybe], h[maybe]
-            lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-            c = hi - lo
-            hit = np.repeat(np.arange(len(h)), c)
-            idx = np.repeat(lo, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            p, q = at[hit], self.place[idx]
-            if not len(p):
+            pairs = []
+            for at, h in tokens.windows(size):
+                maybe = self.seen[(h >> U64(64 - self.bits)).astype(np.int64)]
+                at, h = at[maybe], h[maybe]
+                lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
+                c = hi - lo
+                hit = np.repeat(np.arange(len(h)), c)
+                idx = np.repeat(lo, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                # several readings of two windows may agree
+                pairs.append(np.unique(at[hit] * len(self.tokens.hash) + self.place[idx]))
+            pair = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+            if not len(pair):
                 continue
+            p, q = np.divmod(pair, len(self.tokens.hash))
             item = self.tokens.doc[q]
             doc = tokens.doc[p]
             covered = self._consistent(tokens, doc, item, p, q, size)
@@ -157,7 +190,8 @@ class Benchmark:
         sp = p[:, None] + np.arange(size)
         sq = q[:, None] + np.arange(size)
         mine, other = self.tokens.value[sq], tokens.value[sp]
-        slot = self.tokens.slot[sq]
+        # a word that may be a name is one here unless it stands for itself
+        slot = self.tokens.slot[sq] | tokens.slot[sp] | (mine != other)
         if not slot.any():
             return np.ones(len(p), dtype=bool)
         # every place of an alignment has one vote, however many windows hold it
@@ -189,7 +223,10 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
         if rows:
-            yield [r[0] for r in rows], [r[1] for r in rows]
+            ids, texts = [r[0] for r in rows], [r[1] for r in rows]
+            piece = np.cumsum(Tokens(*flat(pa.array(texts, pa.large_string()))).readings()) // BLOCK_READINGS
+            for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(piece)) + 1):
+                yield [ids[i] for i in at], [texts[i] for i in at]
 
 
 def _scan(docs: DataFrame, block: tuple[list[int], list[str]], text: str) -> DataFrame:
