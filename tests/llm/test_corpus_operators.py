@@ -290,6 +290,21 @@ def test_blocks_follow_the_number_of_readings(spark, monkeypatch):
     assert len(blocks) > 1 and sorted(i for ids, _ in blocks for i in ids) == list(range(5))
 
 
+def test_passages_of_numbers_and_names_are_compared_word_for_word():
+    calc = "Compute 12 + 7 - 3 * 4 / 2 + 18 - 5 * 9 + 6 - 14"
+    assert items_found("so then " + calc + ", he said", calc) == [1]
+    assert items_found(calc.replace("18", "19"), calc) == []
+    names = "The Grand Old Duke Of York Had Ten Thousand Men And One Small Dog"
+    assert items_found("we sang\n" + names.lower(), names) == [1]
+    # as many equal windows as the item has
+    zeros = " ".join(["0"] * 30)
+    assert items_found(zeros, zeros) == [1] and items_found(" ".join(["0"] * 12), zeros) == []
+    assert items_found("1 2 3 4 5", "12 + 7") == [] and items_found("a 12 7 b", "12 + 7") == []
+    # an item with two templates is still found by them
+    item = "1 2 3 4 5 6 the red dog saw 7 big cats 8 9 10 11 12 13 14"
+    assert items_found(re.sub(r"\d+", "55", item), item) == [1]
+
+
 # ---- licences
 
 def test_license_scan_and_its_sql(spark):

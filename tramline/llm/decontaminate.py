@@ -9,9 +9,12 @@ benchmark's in a hash join. Matches on
 one diagonal (document place minus item place) form an alignment. Each value
 that the item has in placeholders stands for the one document value that it
 meets at more than half of its places there; a window that holds a place with
-another value does not count, unless it agrees word for word. A document is
+another value does not count, unless it agrees word for word. Templates need three
+literal tokens; beside them every window is also compared word for word, so that
+copies of passages that are mostly numbers or names are found. A document is
 contaminated by an item if the windows that count cover six of the item's
-windows (13 tokens), or all of a shorter item.
+windows (13 tokens), or all of an item that has fewer (all of its templates
+are enough if the template windows alone cover them).
 
 The benchmark is the build side. It is read in blocks of bounded characters;
 each block is broadcast and all documents pass over it, so neither the size of
@@ -48,7 +51,7 @@ _NUMERIC[[ord(c) for c in ".,:/-%$"]] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?:;\"|"]] = True
 
-_NUM, _UNIT, _NAME = mix(np.array([101, 102, 103], dtype=U64))
+_NUM, _UNIT, _NAME, _VERBATIM = mix(np.array([101, 102, 103, 104], dtype=U64))
 
 
 def _unit_hashes() -> np.ndarray:
@@ -115,6 +118,17 @@ class Tokens:
             np.add.at(out, self.doc[at[mine]], n[mine])
         return out
 
+    def verbatim(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first token, hash of the words as they stand) of all windows of ``size`` tokens."""
+        m = len(self.hash) - size + 1
+        if m <= 0 or size < LITERALS:
+            return np.zeros(0, np.int64), np.zeros(0, U64)
+        total = np.zeros(m, U64)
+        for k in range(size):
+            total += self.value[k : k + m] * mix(np.array([k + 1], U64))[0]
+        at = np.flatnonzero(self.doc[:m] == self.doc[size - 1 :])
+        return at, mix(total[at] ^ _VERBATIM)
+
     def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """In pieces of bounded size, (place of the first token, hash) of every reading of the windows of ``size`` tokens that holds enough literal ones."""
         at, literal, n = self._readable(size)
@@ -132,6 +146,30 @@ class Tokens:
             yield at, mix(total + U64(size))
 
 
+class Index:
+    """Places by hash, in the order of hashes and places."""
+
+    def __init__(self, pieces: list[tuple[np.ndarray, np.ndarray]]):
+        self.place = np.concatenate([np.zeros(0, np.int64), *(p for p, _ in pieces)])
+        self.hash = np.concatenate([np.zeros(0, U64), *(h for _, h in pieces)])
+        order = np.lexsort((self.place, self.hash))
+        self.hash, self.place = self.hash[order], self.place[order]
+        self.bits = max(16, int(np.ceil(np.log2(max(1, len(self.hash))))) + 5)
+        self.seen = np.zeros(1 << self.bits, dtype=bool)
+        self.seen[(self.hash >> U64(64 - self.bits)).astype(np.int64)] = True
+
+    def meet(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows whose hash may be here."""
+        maybe = self.seen[(h >> U64(64 - self.bits)).astype(np.int64)]
+        return at[maybe], h[maybe]
+
+    def entries(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into ``h``, entry) of all entries with these hashes."""
+        lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
+        c = hi - lo
+        return np.repeat(np.arange(len(h)), c), np.repeat(lo, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+
+
 class Benchmark:
     """Windows of a block of benchmark items, ready to be probed."""
 
@@ -140,48 +178,63 @@ class Benchmark:
         self.ids, self.tokens = ids, Tokens(raw, off)
         count = np.diff(self.tokens.first)
         self.sizes = sorted({int(min(c, SIZE)) for c in count if c})
-        hashes, places = [], []
-        self.windows_of = np.zeros(len(ids), dtype=np.int64)
+        readings, words = [], []
         for size in self.sizes:
-            for at, h in self.tokens.windows(size):
-                mine = (count[self.tokens.doc[at]] == size) | (size == SIZE)
-                at, h = at[mine], h[mine]
-                hashes.append(h)
-                places.append(at)
-        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, U64)
-        self.place = np.concatenate(places) if places else np.zeros(0, np.int64)
-        np.add.at(self.windows_of, self.tokens.doc[np.unique(self.place)], 1)
-        order = np.argsort(self.hash, kind="stable")
-        self.hash, self.place = self.hash[order], self.place[order]
-        self.bits = max(16, int(np.ceil(np.log2(max(1, len(self.hash))))) + 5)
-        self.seen = np.zeros(1 << self.bits, dtype=bool)
-        self.seen[(self.hash >> U64(64 - self.bits)).astype(np.int64)] = True
-
-    def probe(self, tokens: Tokens) -> dict[int, list[tuple[int, int]]]:
-        """For each document that shares windows: (item index, windows that consistent alignments cover)."""
-        found: dict[int, list[tuple[int, int]]] = {}
+            for out, found in ((readings, self.tokens.windows(size)), (words, [self.tokens.verbatim(size)])):
+                for at, h in found:
+                    mine = (count[self.tokens.doc[at]] == size) | (size == SIZE)
+                    out.append((at[mine], h[mine]))
+        self.read, self.said = Index(readings), Index(words)
+        # windows with a template, and all windows
+        self.windows_of = np.bincount(self.tokens.doc[np.unique(self.read.place)], minlength=len(ids))
+        self.words_of = np.bincount(self.tokens.doc[self.said.place], minlength=len(ids))
+        # which of the same windows of its item an entry is
+        item, n = self.tokens.doc[self.said.place], np.arange(len(self.said.place))
+        new = np.ones(len(n), dtype=bool)
+        new[1:] = (self.said.hash[1:] != self.said.hash[:-1]) | (item[1:] != item[:-1])
+        self.nth = n - np.maximum.accumulate(np.where(new, n, 0))
+
+    def probe(self, tokens: Tokens) -> dict[int, list[tuple[int, int, int]]]:
+        """For each document that shares windows: (item index, windows that consistent alignments cover, those and windows covered word for word)."""
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        covered = [np.zeros((4, 0), np.int64)]
         for size in self.sizes:
+            at, hit = self.said.meet(*tokens.verbatim(size))
+            if len(at):
+                # a window that a document has n times covers at most n of an item's that are the same
+                doc, h = tokens.doc[at], hit
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]))
+                times = np.diff(np.append(new, len(doc)))
+                which, idx = self.said.entries(h[new])
+                own = self.nth[idx] < times[which]
+                q = self.said.place[idx[own]]
+                covered.append(np.stack([doc[new][which[own]], self.tokens.doc[q], q, np.zeros_like(q)]))
             pairs = []
             for at, h in tokens.windows(size):
-                maybe = self.seen[(h >> U64(64 - self.bits)).astype(np.int64)]
-                at, h = at[maybe], h[maybe]
-                lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-                c = hi - lo
-                hit = np.repeat(np.arange(len(h)), c)
-                idx = np.repeat(lo, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                at, h = self.read.meet(at, h)
+                hit, idx = self.read.entries(h)
                 # several readings of two windows may agree
-                pairs.append(np.unique(at[hit] * len(self.tokens.hash) + self.place[idx]))
+                pairs.append(np.unique(at[hit] * len(self.tokens.hash) + self.read.place[idx]))
             pair = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
             if not len(pair):
                 continue
             p, q = np.divmod(pair, len(self.tokens.hash))
             item = self.tokens.doc[q]
             doc = tokens.doc[p]
-            covered = self._consistent(tokens, doc, item, p, q, size)
-            key = np.unique(np.stack([doc[covered], item[covered], q[covered]]), axis=1)
-            pair, n = np.unique(key[:2], axis=1, return_counts=True)
-            for d, i, k in zip(pair[0].tolist(), pair[1].tolist(), n.tolist(), strict=True):
-                found.setdefault(d, []).append((i, k))
+            sound = self._consistent(tokens, doc, item, p, q, size)
+            covered.append(np.stack([doc[sound], item[sound], q[sound], np.ones_like(q[sound])]))
+        key = np.concatenate(covered, axis=1)
+        # one row for each covered window, of the two kinds the template if there
+        key = key[:, np.lexsort((-key[3], key[2], key[1], key[0]))]
+        key = key[:, np.concatenate([[True], (key[:3, 1:] != key[:3, :-1]).any(axis=0)])[: key.shape[1]]]
+        first = np.flatnonzero(np.concatenate([[True], (key[:2, 1:] != key[:2, :-1]).any(axis=0)])[: key.shape[1]])
+        if len(first):
+            read = np.add.reduceat(key[3], first)
+            both = np.diff(np.append(first, key.shape[1]))
+            for d, i, k, n in zip(key[0, first].tolist(), key[1, first].tolist(), read.tolist(), both.tolist(), strict=True):
+                found.setdefault(d, []).append((i, k, n))
         return found
 
     def _consistent(self, tokens: Tokens, doc: np.ndarray, item: np.ndarray, p: np.ndarray, q: np.ndarray, size: int) -> np.ndarray:
@@ -211,8 +264,8 @@ class Benchmark:
         against[slot] = minority[place.ravel()]
         return ~against.any(axis=1) | ~(slot & (mine != other)).any(axis=1)
 
-    def enough(self, item: int, covered: int) -> bool:
-        return covered >= min(ENOUGH, int(self.windows_of[item])) > 0
+    def enough(self, item: int, read: int, both: int) -> bool:
+        return read >= min(ENOUGH, int(self.windows_of[item])) > 0 or both >= min(ENOUGH, int(self.words_of[item])) > 0
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
@@ -239,7 +292,7 @@ def _scan(docs: DataFrame, block: tuple[list[int], list[str]], text: str) -> Dat
         for batch in batches:
             for part in slices(batch, text):
                 found = bench.probe(Tokens(*flat(part.column(text).cast(pa.string()))))
-                items = [sorted({bench.ids[i] for i, k in found.get(d, ()) if bench.enough(i, k)}) for d in range(part.num_rows)]
+                items = [sorted({bench.ids[i] for i, k, n in found.get(d, ()) if bench.enough(i, k, n)}) for d in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(items, pa.list_(pa.int64()))], names=[*part.schema.names, "_items"])
 
     return docs.mapInArrow(run, schema)
@@ -249,7 +302,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, contaminated, items`` (sorted item ids) for every row of ``docs``.
 
     A null or blank text contains nothing. Items without text or id, or with
-    fewer than three literal tokens, match nothing. Repeated items and rows
+    fewer than three tokens, match nothing. Repeated items and rows
     are each treated alike. An empty benchmark leaves every row clean.
     """
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("items", F.expr("CAST(array() AS array<bigint>)"))
