@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tramline.functions import columns
 from tramline.operators import criteria, graph, hierarchy, hub_labels, journeys, layout, pareto, rounds, time_dependent, transfer_patterns, transfers
-from tramline.plans import catalog
+from tramline.plans import catalog, iterate
 from tramline.sources import exports, gtfs
-from tramline.sources.timetable import project
+from tramline.sources.timetable import Timetable, project, query_table
 from tramline.streaming import hourly
 
 SF = "/root/testdata/sf0.001"
@@ -308,3 +308,22 @@ def test_transfer_patterns_answer_other_departures(spark):
     f = transfer_patterns.direct_functions(known, ev)
     for dep, want in ((0, [(0, 1, 500), (0, 2, 400)]), (40, [(0, 1, 550), (0, 2, 460)]), (55, [(0, 2, 460)]), (61, [])):
         assert sorted(map(tuple, transfer_patterns.earliest(one(spark, A, C, dep), known, f, fp).collect())) == want
+
+
+def test_journeys_of_many_trips_are_found(spark):
+    # a ring of ten stops whose every hop is a route of its own, twice round after the last departure asked for
+    ev = events(spark, {k: (k, [(k % 10, 90_000 + 1000 * k, 90_000 + 1000 * k), ((k + 1) % 10, 90_500 + 1000 * k, 90_500 + 1000 * k)]) for k in range(20)})
+    t = Timetable(None, None, ev, feet(spark, [(100, 101, 1)]), None)
+    got = catalog.earliest_arrival_one_to_all(spark, SF, t).collect()
+    assert len(got) == catalog.N * 10
+    want = {r.query_id: (r.target - r.source) % 10 for r in query_table(spark, SF, catalog.N).collect()}
+    assert max(want.values()) > 8
+    for f in (catalog.raptor_pareto, catalog.tb_pareto):
+        assert {r.query_id: r.trips for r in f(spark, SF, t).collect()} == want
+
+
+def test_a_loop_without_fixpoint_is_an_error(monkeypatch):
+    monkeypatch.setattr(iterate, "BOUND", 3)
+    assert list(iterate.rounds_of(2)) == [1, 2]
+    with pytest.raises(RuntimeError):
+        list(iterate.rounds_of(None))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import settle
+from ..plans.iterate import rounds_of, settle
 from .layout import catch
 from .pareto import improving
 
@@ -36,18 +36,19 @@ def _scan(reached: DataFrame, layout: DataFrame) -> DataFrame:
     return ride.select("query_id", "stop_id", F.expr("arrs[run]").alias("arr")).groupBy("query_id", "stop_id").agg(F.min("arr").alias("arr"))
 
 
-def raptor(queries: DataFrame, layout: DataFrame, footpaths: DataFrame, max_rounds: int = 16) -> DataFrame:
+def raptor(queries: DataFrame, layout: DataFrame, footpaths: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``query_id, trips, stop_id, arr``: for every number of trips the improved arrivals at all stops.
 
     ``queries`` has query_id, source, dep_s. A row (q, k, s, a) says that q can
     be at s at time a with k trips and not earlier with fewer. ``layout`` is
     ``layout.departures``; routes must be FIFO; the departures in it may already
     be lowered by a transfer buffer. Footpaths must be transitively closed.
+    Rounds go on until no arrival improves, or to ``max_rounds`` if given.
     """
     start = queries.select("query_id", F.col("source").alias("stop_id"), F.col("dep_s").cast("long").alias("arr"))
     delta = settle(_walk(start, footpaths))
     best, out = delta, [delta.withColumn("trips", F.lit(0))]
-    for k in range(1, max_rounds + 1):
+    for k in rounds_of(max_rounds):
         new = _walk(_scan(delta, layout), footpaths)
         old = best.withColumnRenamed("arr", "old")
         delta = settle(new.join(old, ["query_id", "stop_id"], "left").where("old IS NULL OR arr < old").select("query_id", "stop_id", "arr"))
@@ -80,7 +81,7 @@ def direct_connections(queries: DataFrame, events: DataFrame) -> DataFrame:
     return src.join(dst, ["trip_id", "target"]).where("i < j").groupBy("query_id").agg(F.min("at").alias("arr"))
 
 
-def connection_scan(queries: DataFrame, connections: DataFrame, footpaths: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connection_scan(queries: DataFrame, connections: DataFrame, footpaths: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``query_id, stop_id, arr``: earliest arrivals by connections alone, as a fixpoint.
 
     A connection is usable if its trip is already used or its departure stop is
@@ -92,7 +93,7 @@ def connection_scan(queries: DataFrame, connections: DataFrame, footpaths: DataF
     delta = settle(_walk(start, footpaths))
     best = delta
     used = None
-    for _ in range(max_rounds):
+    for _ in rounds_of(max_rounds):
         first = delta.withColumnRenamed("arr", "at").join(c, F.col("stop_id") == F.col("dep_stop")).where("dep >= at").groupBy("query_id", "trip_id").agg(F.min("dep").alias("since"))
         if used is not None:
             old = used.withColumnRenamed("since", "was")
@@ -111,7 +112,7 @@ def connection_scan(queries: DataFrame, connections: DataFrame, footpaths: DataF
     return best
 
 
-def trip_based(queries: DataFrame, layout: DataFrame, transfers: DataFrame, footpaths: DataFrame, max_rounds: int = 16, cells: DataFrame | None = None) -> DataFrame:
+def trip_based(queries: DataFrame, layout: DataFrame, transfers: DataFrame, footpaths: DataFrame, max_rounds: int | None = None, cells: DataFrame | None = None) -> DataFrame:
     """``query_id, trips, arr`` at each target by trip segments and event transfers.
 
     ``transfers``: from_route, from_rank, from_index, to_route, to_rank,
@@ -119,6 +120,7 @@ def trip_based(queries: DataFrame, layout: DataFrame, transfers: DataFrame, foot
     boarding index on; a later segment of the same route is dropped when an
     earlier one has rank and index no larger. With ``cells`` a transfer whose
     boarding cell differs from both ends' cells above its level is skipped.
+    Rounds go on until there is no new segment, or to ``max_rounds`` if given.
     """
     places = layout.select("route_id", "stop_index", "stop_id", "last_index", "deps", "slots")
     near = _walk(queries.select("query_id", F.col("source").alias("stop_id"), F.col("dep_s").cast("long").alias("arr")), footpaths)
@@ -133,7 +135,7 @@ def trip_based(queries: DataFrame, layout: DataFrame, transfers: DataFrame, foot
     if cells is not None:
         s, t = cells.select(F.col("stop_id").alias("source"), F.col("cell_id").alias("sc")), cells.select(F.col("stop_id").alias("target"), F.col("cell_id").alias("tc"))
         ends = settle(queries.join(s, "source").join(t, "target").select("query_id", "sc", "tc"))
-    for k in range(1, max_rounds + 1):
+    for k in rounds_of(max_rounds):
         seg = _undominated(seg, known)
         seg = settle(seg)
         if seg.isEmpty():

@@ -14,6 +14,7 @@ from ..sources.timetable import Timetable, project, query_table, sql
 from ..streaming import hourly
 from .iterate import checkpoint_folder, settle
 
+#: Queries, and rounds of the SQL twins; the queries themselves run to their fixpoints.
 N, ROUNDS, FULL = 20, 5, 8
 _all: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -179,19 +180,19 @@ def duplicate_trips(spark, sf_dir, t):
 
 @_query(f"{_labels(FULL)} SELECT query_id, stop_id, arr FROM l{FULL}")
 def earliest_arrival_one_to_all(spark, sf_dir, t):
-    return rounds.earliest(rounds.raptor(query_table(spark, sf_dir, N), _lay(t), t.footpaths, FULL))
+    return rounds.earliest(rounds.raptor(query_table(spark, sf_dir, N), _lay(t), t.footpaths))
 
 
 @_query(f"{_labels(ROUNDS)} {_targets(ROUNDS)} SELECT * FROM p")
 def raptor_pareto(spark, sf_dir, t):
     q = settle(query_table(spark, sf_dir, N))
-    return rounds.at_targets(rounds.raptor(q, _lay(t), t.footpaths, ROUNDS), q)
+    return rounds.at_targets(rounds.raptor(q, _lay(t), t.footpaths), q)
 
 
 @_query(f"{_labels(ROUNDS)} {_targets(ROUNDS)} SELECT * FROM p")
 def tb_pareto(spark, sf_dir, t):
     lay = _lay(t)
-    return rounds.trip_based(settle(query_table(spark, sf_dir, N)), lay, settle(transfers.event_transfers(t.stop_events, lay, t.footpaths)), t.footpaths, ROUNDS)
+    return rounds.trip_based(settle(query_table(spark, sf_dir, N)), lay, settle(transfers.event_transfers(t.stop_events, lay, t.footpaths)), t.footpaths)
 
 
 @_query(f"{_labels(FULL)} SELECT query_id, stop_id, arr FROM l{FULL}")
@@ -208,14 +209,14 @@ def td_earliest_arrival(spark, sf_dir, t):
 @_query(f"{_labels(ROUNDS)} {_targets(ROUNDS)} SELECT query_id, trips, trips AS rides, source, target, arr, true AS chained FROM p JOIN queries USING (query_id) WHERE trips > 0")
 def journey_measures(spark, sf_dir, t):
     q = settle(query_table(spark, sf_dir, N))
-    way = settle(journeys.legs(q, rounds.raptor(q, _lay(t), t.footpaths, ROUNDS), t.stop_events, t.footpaths))
+    way = settle(journeys.legs(q, rounds.raptor(q, _lay(t), t.footpaths), t.stop_events, t.footpaths))
     return journeys.measures(way).where("trips > 0").select("query_id", "trips", "rides", "source", "target", "arr", "chained")
 
 
 @_query(f"{_labels(ROUNDS)} {_targets(ROUNDS)} SELECT * FROM p")
 def transfer_pattern_pareto(spark, sf_dir, t):
     q = settle(query_table(spark, sf_dir, N))
-    known = settle(transfer_patterns.build(q, journeys.legs(q, rounds.raptor(q, _lay(t), t.footpaths, ROUNDS), t.stop_events, t.footpaths)))
+    known = settle(transfer_patterns.build(q, journeys.legs(q, rounds.raptor(q, _lay(t), t.footpaths), t.stop_events, t.footpaths)))
     return transfer_patterns.earliest(q, known, settle(transfer_patterns.direct_functions(known, t.stop_events)), t.footpaths)
 
 
@@ -223,7 +224,7 @@ def transfer_pattern_pareto(spark, sf_dir, t):
 def tb_undominated_pareto(spark, sf_dir, t):
     lay = _lay(t)
     few = settle(hierarchy.undominated_transfers(transfers.event_transfers(t.stop_events, lay, t.footpaths)))
-    return rounds.trip_based(settle(query_table(spark, sf_dir, N)), lay, few, t.footpaths, ROUNDS)
+    return rounds.trip_based(settle(query_table(spark, sf_dir, N)), lay, few, t.footpaths)
 
 
 def _reduced(t: Timetable, lay: DataFrame) -> DataFrame:
@@ -233,7 +234,7 @@ def _reduced(t: Timetable, lay: DataFrame) -> DataFrame:
 @_query(f"{_labels(ROUNDS)} {_targets(ROUNDS)} SELECT * FROM p")
 def tb_reduced_pareto(spark, sf_dir, t):
     lay = _lay(t)
-    return rounds.trip_based(settle(query_table(spark, sf_dir, N)), lay, _reduced(t, lay), t.footpaths, ROUNDS)
+    return rounds.trip_based(settle(query_table(spark, sf_dir, N)), lay, _reduced(t, lay), t.footpaths)
 
 
 def _leveled(t: Timetable, lay: DataFrame) -> DataFrame:
@@ -243,7 +244,7 @@ def _leveled(t: Timetable, lay: DataFrame) -> DataFrame:
 @_query(f"{_labels(ROUNDS)} {_targets(ROUNDS)} SELECT * FROM p")
 def pruned_pareto(spark, sf_dir, t):
     lay = _lay(t)
-    return rounds.trip_based(settle(query_table(spark, sf_dir, N)), lay, _leveled(t, lay), t.footpaths, ROUNDS, cells=t.cells)
+    return rounds.trip_based(settle(query_table(spark, sf_dir, N)), lay, _leveled(t, lay), t.footpaths, cells=t.cells)
 
 
 @_query(None)
@@ -322,7 +323,7 @@ _sub = """, nr AS (SELECT query_id, dep_s, source AS stop_id, 0 AS walk FROM que
 
 @_query(f"{_sub} {_labels(ROUNDS, 'sub')} {_targets(ROUNDS, 'sub')}, f AS (SELECT query_id // 1000000 AS query_id, query_id % 1000000 AS dep, trips, arr FROM p WHERE trips > 0) SELECT DISTINCT * FROM f x WHERE NOT EXISTS (SELECT 1 FROM f y WHERE y.query_id = x.query_id AND y.dep >= x.dep AND y.trips <= x.trips AND y.arr <= x.arr AND (y.dep > x.dep OR y.trips < x.trips OR y.arr < x.arr))", 4)
 def profile_pareto(spark, sf_dir, t):
-    return criteria.profile(settle(query_table(spark, sf_dir, 4)), t.stop_events, _lay(t), t.footpaths, 3600, ROUNDS)
+    return criteria.profile(settle(query_table(spark, sf_dir, 4)), t.stop_events, _lay(t), t.footpaths, 3600)
 
 
 def _mc(k: int) -> str:

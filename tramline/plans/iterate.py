@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rounds after which a loop that should have ended is taken to be wrong.
+BOUND = 10_000
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's folder under ``spark.checkpoint.dir``; where none is set (tests on one machine) a temporary one."""
@@ -19,3 +24,12 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and forget how: a reliable checkpoint, whose files outlive any executor."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def rounds_of(most: int | None) -> Iterator[int]:
+    """1, 2, ... up to ``most``; without ``most`` until the caller's fixpoint, and an error if none comes."""
+    if most is not None:
+        yield from range(1, most + 1)
+        return
+    yield from range(1, BOUND + 1)
+    raise RuntimeError(f"no fixpoint after {BOUND} rounds")
