@@ -169,6 +169,13 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.drop_boilerplate(frame(spark, [(1, "a", "s")]).limit(0)).count() == 0
 
 
+def test_line_dedup_at_every_host_size(spark):
+    rows = [(100 * n + i, f"page {i} of {n}\nAll pages of this host", f"h{n}") for n in (3, 9, 19, 20) for i in range(n)]
+    rows += [(9000 + i, f"first words {i}\nthe rest is the same\non both pages", "pair") for i in range(2)]
+    got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.drop_boilerplate(frame(spark, rows)).collect()}
+    assert got == {i: (0, t) if h == "pair" else (1, t.split("\n")[0]) for i, t, h in rows}
+
+
 # ---- mixing
 
 def slow_schedule(q):

@@ -2,8 +2,8 @@
 
 A host's pages are its distinct texts: copies of a page count once, so a
 thousand copies of an article don't make its lines boilerplate. A line (spaces
-trimmed) that stands on more than ``ratio`` of a host's pages is dropped from
-all of that host's documents. All steps are DataFrame functions. Lines travel
+trimmed) that stands on more than ``ratio`` of a host's pages, and on three at
+least, is dropped from all of that host's documents. All steps are DataFrame functions. Lines travel
 as 128-bit hashes, pre-aggregated before each shuffle; the boilerplate of a
 host has at most (lines per page / ratio) entries, so it fits one row, and the
 table of those rows meets the documents in a join whose kind the planner picks
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-RATIO, LEAST_PAGES, LEAST_HITS = 0.05, 20, 3
+#: The ratio holds at every host size. Three pages, as two that share lines may be near copies of one another.
+RATIO, LEAST_PAGES, LEAST_HITS = 0.05, 1, 3
 
 
 def _key(line: Column) -> Column:
