@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_texts import LICENSES
+from .license_texts import DIGESTS, LICENSES
 
 #: Pattern -> replacement on lower-cased text, in this order; the same in Java, Python and RE2.
 RULES = [
@@ -62,6 +62,8 @@ def known() -> list[tuple[str, str]]:
     out: dict[str, str] = {}
     for name, text in LICENSES:
         out.setdefault(hashlib.sha256(canonical_text(text).encode()).hexdigest(), name)
+    for name, digest, _ in DIGESTS:
+        out.setdefault(digest, name)
     return sorted(out.items())
 
 
@@ -81,7 +83,7 @@ def scan(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1), canonical_line), lambda s: s != "")
     whole = docs.select(F.col("doc_id").cast("long"), lines.alias("lines"))
     digest = F.sha2(F.array_join("lines", " ").cast("binary"), 256)
-    longest = max(len(canonical_text(t)) for _, t in LICENSES)
+    longest = max(*(len(canonical_text(t)) for _, t in LICENSES), *(n for _, _, n in DIGESTS))
     short = F.filter("lines", lambda s: F.length(s) <= longest)
     notices = F.array_sort(F.array_distinct(F.filter(F.transform(short, lambda s: lookup[F.sha2(s.cast("binary"), 256)]), lambda x: x.isNotNull())))
     found = whole.select("doc_id", digest.alias("digest"), notices.alias("notices"))

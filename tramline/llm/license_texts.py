@@ -107,3 +107,28 @@ LICENSES += [(name, f"{verb} under the {title}.") for verb in ("Licensed", "Rele
 LICENSES += [(x.replace(" ", "-", 1) if x[2] == "0" else x.replace(" ", "-"), f"{verb} under {x}.") for verb in ("Licensed", "Released", "This work is licensed") for x in _CREATIVE]
 LICENSES += [(f"{short}-{v}", f"{verb} under the {long}, version {v[0]}.") for verb in ("Licensed", "Released", "This work is licensed") for long, short in _GNU for v in ("2.0", "3.0")]
 LICENSES += [(x, f"SPDX-License-Identifier: {x}") for x in _SPDX]
+#: Full texts too long to keep here: licence, digest (SHA-256 of the canonical text), length of the canonical text.
+#: Texts as distributions carry them; where one ends its terms with END OF TERMS AND CONDITIONS, also up to there.
+DIGESTS: list[tuple[str, str, int]] = [
+    ("Apache-2.0", "21471e653b23940045a25aec9cc8f09c757b5db830f6ee0de2d227aeb0c6f490", 9619),
+    ("Apache-2.0", "683ccd724dfa793ed99ecc8460babfa7ec659003496326927ad0d88261abcd71", 8680),
+    ("Apache-2.0", "89f0b0de9d03523486e6ac0bd845dad0e8bf16d0489b3d57ac79db6e38b735aa", 8608),
+    ("Apache-2.0", "cad1b7ee24e79c80c246b96ab6128871a0760f54255754afa98fbe2d599a74a9", 9691),
+    ("CC-BY-SA-4.0", "def99b23ba8930a02c111ffb99c0c4f55f9fd9bb38ad3ffe9df58fde3aac4247", 17344),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", 6692),
+    ("GPL-2.0", "5e9874a182b8e50f136aed39c11d5b872aaa6c94c59b0780c37559869ffd0faa", 14415),
+    ("GPL-2.0", "a692f1cb3097cff45a40a996ead5dd80162238fb68187fdcd1a02eb56656e007", 14452),
+    ("GPL-2.0", "b44c1a4204822f8297150b20c4e03f0f75c0495cb2dfec918d9b9d7a782da346", 17089),
+    ("GPL-2.0", "ed3d3f9a2495b7766b98276775866d66a519584bc05be8ab3d2d6b29152f0707", 17057),
+    ("GPL-3.0", "996626ab59115f1dd3f34cc74cdf911da64342247a032c90152188aa70b8bee0", 33290),
+    ("GPL-3.0", "a2b3517816357bbe78928364cffd28a31a647f17ba936b1a3803030596446f4b", 30853),
+    ("GPL-3.0", "d0d75d92350c135a3bc6f07d5760cd111b93c8fd80cdbb867fc064fe6822812d", 30758),
+    ("GPL-3.0", "f7dbd2130e879f2125e37ceb3d006e2e35c7a2e1ad95e05b69f119040147ff31", 33189),
+    ("LGPL-2.0", "11e3c6b677207da4051366e158907dd6f7209ed89198cf2dcbadb81b40ad29b1", 23932),
+    ("LGPL-2.0", "5415f42d1244bed30a5d1bc658da2dc9c6f7f48227b1d3474450816329ad91e1", 22142),
+    ("LGPL-2.1", "0720e15a1dee45155d7185e358bd31101eb1dd59c94dc249fb409f9811ad8540", 23230),
+    ("LGPL-2.1", "0ef3b42e72472128abbdf18e99fa5bc9e149587020f3081179d818e4ad7abb3f", 25019),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 7104),
+    ("MPL-2.0", "0a9e3d32a7f24bf01d16516a5abfba9b19d53f60aef0a720705e0580ea38d942", 14266),
+    ("Unlicense", "248c77414369ce4b842760d0241cb8184f0805a4354f498a6fb7f7b027ee767e", 1165),
+]
