@@ -322,6 +322,13 @@ def test_journeys_of_many_trips_are_found(spark):
         assert {r.query_id: r.trips for r in f(spark, SF, t).collect()} == want
 
 
+def test_geo_ranks_go_on_with_the_number_of_stops(spark):
+    stops = spark.range(2050).selectExpr("id AS stop_id", "id * 10 AS lon_e6", "CAST(0 AS BIGINT) AS lat_e6")
+    got = catalog.geo_rank_targets(spark, SF, Timetable(stops, None, None, None, None)).collect()
+    assert sorted((r.source, r.r) for r in got) == [(s, r) for s in range(10) for r in range(12)]
+    assert {r.target for r in got if r.source == 0} == {2**r for r in range(12)}
+
+
 def test_a_loop_without_fixpoint_is_an_error(monkeypatch):
     monkeypatch.setattr(iterate, "BOUND", 3)
     assert list(iterate.rounds_of(2)) == [1, 2]
