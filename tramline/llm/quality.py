@@ -2,11 +2,17 @@
 
 Each document is measured once (vectorised over its bytes). The shares derived
 from the measures go into log-bucketed histograms per language, source and
-measure: a quantile sketch of bounded relative error whose merge is the
+share: a quantile sketch of bounded relative error whose merge is the
 addition of counts, so it comes out the same however the rows are partitioned.
-A pair of language and source with too few documents uses the merged sketch of
-its language, then that of everything. Thresholds are Tukey fences of those
-quantiles and meet the measures again in a join on language and source.
+Documents where a share is zero are counted apart, since a share that most
+documents don't have at all says nothing about its spread.
+
+Thresholds are Tukey's outer fences on the scale of the sketch, the logarithm:
+a share may exceed its group's upper quartile by at most the ratio of the
+quartiles to the third power. No fence holds a constant in units of a share.
+Quartiles of a group are weighted with those of its language, and these with
+those of everything, by n documents against ``PRIOR``, at every group size.
+The fences meet the measures again in a join on language and source.
 """
 
 from __future__ import annotations
@@ -19,25 +25,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import discard, materialize, packed
 from .textkernel import SPACE, U64, Words, flat, mix, slices, span_hashes
 
 WINDOW = 8
-#: Sketch: shares are counted in thousandths; buckets grow by this factor.
-GROWTH = 1.05
-#: Fewer documents than this in a group: its merged parent decides.
-LEAST_GROUP = 200
-#: A fence lies this many quartile ranges outside the quartiles.
-REACH = 3.0
-#: Share -> (smallest distance of a fence from its quartile, in thousandths; whether there is a lower fence).
-SHARES = {
-    "symbols": (100, False),
-    "marks": (250, False),
-    "capitals": (150, False),
-    "dup_lines": (500, False),
-    "repeats": (250, False),
-    "word_length": (1000, True),
-}
+#: Sketch: shares are counted in millionths; buckets grow by this factor.
+GROWTH = 1.01
+#: A parent's quartiles weigh as much as this many documents.
+PRIOR = 50
+#: Tukey's outer fence, in quartile ranges.
+REACH = 3
+#: Share -> whether there is a lower fence as well.
+SHARES = {"symbols": False, "marks": False, "capitals": False, "dup_lines": False, "repeats": False, "word_length": True}
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -128,94 +127,102 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
 
 def _share(name: str) -> Column:
     part = {
-        "symbols": F.col("n_symbols"),
-        "marks": F.col("n_marks"),
-        "capitals": F.col("n_capitals"),
-        "repeats": F.col("n_repeat_words"),
-        "word_length": F.col("word_chars"),
+        "symbols": "n_symbols",
+        "marks": "n_marks",
+        "capitals": "n_capitals",
+        "repeats": "n_repeat_words",
+        "word_length": "word_chars",
+        "dup_lines": "n_dup_lines",
     }
-    if name == "dup_lines":
-        return F.expr("n_dup_lines * 1000 div greatest(n_lines, 1)")
-    return F.floor(part[name] * 1000 / F.greatest(F.col("n_words"), F.lit(1)))
+    whole = "n_lines" if name == "dup_lines" else "n_words"
+    return F.expr(f"{part[name]} * 1000000 div greatest({whole}, 1)")
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """``lang, source, share, bucket, n``: mergeable sketches of the documents that pass the base rules."""
+    """``lang, source, share, bucket, n``: mergeable sketches of the documents that pass the base rules; bucket -1 holds zeros."""
     pairs = F.array(*[F.struct(F.lit(s).alias("share"), _share(s).alias("v")) for s in SHARES])
     rows = measured.where("NOT base_failed").select("lang", "source", F.inline(pairs))
-    bucket = F.when(F.col("v") <= 0, 0).otherwise(1 + F.floor(F.log("v") / float(np.log(GROWTH)))).cast("int")
+    bucket = F.when(F.col("v") <= 0, -1).otherwise(F.floor(F.log("v") / float(np.log(GROWTH)))).cast("int")
     return rows.groupBy("lang", "source", "share", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, share, n, q1, q3`` (thousandths) of sketches merged by ``keys``."""
-    merged = sketch.groupBy(*keys, "share", "bucket").agg(F.sum("n").alias("n"))
+    """``keys, share, n, q1, q3`` of sketches merged by ``keys``: documents above zero, and the buckets of their quartiles (null without any)."""
+    merged = sketch.groupBy(*keys, "share", "bucket").agg(F.sum("n").alias("n")).withColumn("n", F.when(F.col("bucket") >= 0, F.col("n")).otherwise(F.lit(0)))
     w = Window.partitionBy(*keys, "share")
     ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    value = F.when(F.col("bucket") == 0, 0.0).otherwise(F.pow(F.lit(GROWTH), F.col("bucket") - 0.5))
-    return ranked.groupBy(*keys, "share").agg(
-        F.max("total").alias("n"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), value)).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, value)).alias("q3"),
-    )
+    above = lambda part: F.min(F.when((F.col("n") > 0) & (F.col("upto") * 4 >= F.col("total") * part), F.col("bucket"))).cast("double")
+    return ranked.groupBy(*keys, "share").agg(F.max("total").alias("n"), above(1).alias("q1"), above(3).alias("q3"))
+
+
+def _weighted(n: Column, own: Column, parent: Column) -> Column:
+    """A group's quartile drawn to its parent's; the parent's alone where the group has none."""
+    return F.when(own.isNull(), parent).when(parent.isNull(), own).otherwise((n * own + PRIOR * parent) / (n + PRIOR))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """``lang, source`` and a map of share -> (low, high) in thousandths, one row per pair seen."""
-    own = quantiles(sketch, ["lang", "source"])
-    by_lang = quantiles(sketch, ["lang"]).select("lang", "share", *[F.col(c).alias(f"{c}_l") for c in ("n", "q1", "q3")])
-    all_ = quantiles(sketch, []).select("share", *[F.col(c).alias(f"{c}_a") for c in ("q1", "q3")])
-    o, b = own.alias("o"), by_lang.alias("b")
-    got = o.join(b, F.col("o.lang").eqNullSafe(F.col("b.lang")) & (F.col("o.share") == F.col("b.share"))).drop(F.col("b.lang")).drop(F.col("b.share"))
-    got = got.join(all_, "share")
-    for q in ("q1", "q3"):
-        got = got.withColumn(q, F.when(F.col("n") >= LEAST_GROUP, F.col(q)).when(F.col("n_l") >= LEAST_GROUP, F.col(f"{q}_l")).otherwise(F.col(f"{q}_a")))
-    slack = F.create_map(*[F.lit(x) for s, (d, _) in SHARES.items() for x in (s, float(d))])
-    lower = F.create_map(*[F.lit(x) for s, (_, low) in SHARES.items() for x in (s, low)])
-    spread = F.greatest(REACH * (F.col("q3") - F.col("q1")), slack[F.col("share")])
-    fence = F.struct(F.when(lower[F.col("share")], F.col("q1") - spread).otherwise(F.lit(-1.0)).alias("low"), (F.col("q3") + spread).alias("high"))
+    """``lang, source`` and a map of share -> (low, high) in millionths, one row per pair seen; null where no document is above zero."""
+    own, by_lang, all_ = quantiles(sketch, ["lang", "source"]).alias("o"), quantiles(sketch, ["lang"]).alias("l"), quantiles(sketch, []).alias("a")
+    got = own.join(by_lang, F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.share") == F.col("l.share"))).join(all_, F.col("o.share") == F.col("a.share"))
+    q = {}
+    for c in ("q1", "q3"):
+        lang = _weighted(F.col("l.n"), F.col(f"l.{c}"), F.col(f"a.{c}"))
+        q[c] = _weighted(F.col("o.n"), F.col(f"o.{c}"), lang)
+    got = got.select(F.col("o.lang"), F.col("o.source"), F.col("o.share"), q["q1"].alias("q1"), q["q3"].alias("q3"))
+    lower = F.create_map(*[F.lit(x) for pair in SHARES.items() for x in pair])
+    spread = REACH * (F.col("q3") - F.col("q1"))
+    # a value of bucket b lies below GROWTH to the power b + 1
+    low = F.when(lower[F.col("share")], F.pow(F.lit(GROWTH), F.col("q1") - spread)).otherwise(F.when(F.col("q1").isNotNull(), F.lit(-1.0)))
+    fence = F.struct(low.alias("low"), F.pow(F.lit(GROWTH), F.col("q3") + 1 + spread).alias("high"))
     return got.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("share", fence.alias("fence")))).alias("fences"))
 
 
+_BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
+
+
+def _inside(fences: Column) -> Column:
+    """Whether every share lies within its fences; a share without fences does."""
+    fine = F.lit(True)
+    for s in SHARES:
+        fine = fine & F.coalesce(_share(s).between(fences[s]["low"], fences[s]["high"]), F.lit(True))
+    return fine
+
+
 def verdicts(docs: DataFrame, *keep: str) -> DataFrame:
     """Measures, ``base_failed`` and ``kept`` for every row; ``keep`` names further columns.
 
     Null or blank texts have no words and fail the base rule. Null language or
     source is a group of its own. Repeated rows each count and each get a row.
-    An empty table gives an empty result.
+    Equal values are on the same side of a fence. An empty table gives an empty
+    result. A long text is measured whole, alone in its slice. A column in
+    ``keep`` that has the name of a measure, base_failed or kept gives way to it.
     """
-    own = [c for c in keep if c not in ("lang", "source")]
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    own = [c for c in keep if c not in ("lang", "source", "text", "base_failed", "kept", *MEASURES)]
     src = docs.withColumns({"lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")})
-    measured = materialize(measures(src, *own, "lang", "source").withColumn("base_failed", base), "measured")
-    limits = materialize(thresholds(materialize(sketches(measured), "sketches")), "limits")
+    measured = materialize(measures(src, *own, "lang", "source").withColumn("base_failed", F.expr(_BASE_FAILED)), "measured")
+    sketch = materialize(sketches(measured), "sketches")
+    limits = materialize(thresholds(sketch), "limits")
+    discard(sketch)
     m, t = measured.alias("m"), limits.alias("t")
     joined = m.join(t, F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source")), "left")
-    fine = F.lit(True)
-    for s in SHARES:
-        fence = F.col("t.fences")[s]
-        fine = fine & _share(s).between(fence["low"], fence["high"])
-    kept = F.when(F.col("base_failed"), False).otherwise(F.coalesce(fine, F.lit(True)))
+    kept = F.when(F.col("base_failed"), False).otherwise(_inside(F.col("t.fences")))
     return joined.select(*[F.col(f"m.{c}") for c in measured.columns], kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``verdicts`` keeps, columns unchanged; rows without doc_id are judged like others.
+    """The rows of ``docs`` that ``verdicts`` keeps, columns unchanged whatever their names; rows without doc_id are judged like others.
 
     The verdict is looked up by language, source and the row's own measures:
     the thresholds join the documents and the texts are measured again, which
     costs less than a shuffle of all texts by doc_id and needs no row key.
     """
-    src = docs.withColumns({"lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")})
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    slim = measures(src, "lang", "source").withColumn("base_failed", base)
-    limits = materialize(thresholds(materialize(sketches(slim), "sketches")), "limits")
+    lang, source, text = (F.col(c).cast("string") for c in ("lang", "source", "text"))
+    slim = measures(docs.select(lang.alias("lang"), source.alias("source"), text.alias("text")), "lang", "source").withColumn("base_failed", F.expr(_BASE_FAILED))
+    sketch = materialize(sketches(slim), "sketches")
+    limits = materialize(thresholds(sketch), "limits")
+    discard(sketch)
     # measured beside the whole row: the text passes through the kernel untouched
-    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    m = measures(row, "row", "lang", "source").withColumn("base_failed", base).where("NOT base_failed").alias("m")
+    m = measures(packed(docs, text=text, lang=lang, source=source), "row", "lang", "source").where(f"NOT ({_BASE_FAILED})").alias("m")
     t = limits.alias("t")
     joined = m.join(t, F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source")), "left")
-    for s in SHARES:
-        fence = F.col("t.fences")[s]
-        joined = joined.where(F.coalesce(_share(s).between(fence["low"], fence["high"]), F.lit(True)))
-    return joined.select("m.row.*")
+    return joined.where(_inside(F.col("t.fences"))).select("m.row.*")
