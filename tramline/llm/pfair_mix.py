@@ -1,17 +1,24 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Weights are integers q (thousandths of the whole, one at least) with sum Q.
-Block j = 0, 1, ... of a source may not start before slot floor(j Q / q) and
-must be placed by slot ceil((j + 1) Q / q). Earliest deadline first over these
-windows fills every slot and keeps each source less than one block from its
+Weights are integers q (by default thousandths of the whole, one at least)
+with sum Q. Block j = 0, 1, ... of a source may not start before slot
+floor(j Q / q) and must be placed by slot ceil((j + 1) Q / q). Earliest
+deadline first over these windows (ties: the smaller weight, then the source's
+name) fills every slot and keeps each source less than one block from its
 share of every prefix. After Q slots each source has had exactly q blocks, so
-the schedule repeats: one period is worked out by a fold over Q slots (bounded
-by the rounding of the weights, not by the data) and every block finds its
-slot by integer division and a join with that period's table.
+the schedule repeats: one period is worked out and every block finds its slot
+by integer division and a join with that period's table.
 
-Ranks inside a source come from 1,024 key ranges: rows are numbered inside a
-range and shifted by the counts of the ranges before it, so a source that
-holds most rows is spread over 1,024 groups.
+The period is a fold over Q slots after the weights' common divisor is taken
+out. Sources of equal weight take turns in the order of their names, so the
+fold's state is one counter per distinct weight (at most the square root of
+2 Q), and it works in chunks, so its cost grows with Q. Q above ``LIMIT`` is
+an error, never cut.
+
+Ranks inside a source come from key ranges of about ``ROWS`` rows, as many as
+the measured number of rows asks for: rows are numbered inside a range and
+shifted by the counts of the ranges before it, so a source that holds most
+rows is spread over many groups.
 """
 
 from __future__ import annotations
@@ -19,33 +26,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, packed
+
+BLOCK, SCALE, PRIME, ROWS = 16, 1000, 1000003, 50_000
+#: Slots of a period at most, and slots that one step of the fold works out.
+LIMIT, CHUNK = 1_000_000, 256
 
-BLOCK, SCALE, PRIME, RANGES = 16, 1000, 1000003, 1024
+#: One step: among the weights with a released block left, the one whose block is due first.
+_PICK = """
+    array_min(transform(
+        filter(sequence(0, size(w) - 1), i -> st.done[i] < w[i].m * w[i].q AND (st.done[i] div w[i].m) * total div w[i].q <= t),
+        i -> struct(((st.done[i] div w[i].m + 1L) * total + w[i].q - 1L) div w[i].q AS due, i AS i))).i
+"""
+_STEP = f"""
+    aggregate(array({_PICK}), st, (s, p) -> struct(transform(s.done, (x, i) -> if(i = p, x + 1L, x)) AS done, concat(s.picks, array(p)) AS picks))
+"""
+_FOLD = f"""
+    aggregate(sequence(0L, (total - 1L) div {CHUNK}L), struct(transform(w, x -> 0L) AS done, CAST(array() AS array<array<int>>) AS all),
+        (o, c) -> aggregate(sequence(c * {CHUNK}L, least(total, (c + 1L) * {CHUNK}L) - 1L), struct(o.done AS done, CAST(array() AS array<int>) AS picks),
+            (st, t) -> {_STEP}, st -> struct(st.done AS done, concat(o.all, array(st.picks)) AS all)),
+        o -> flatten(o.all))
+"""
+_DIVISOR = "aggregate(w, 0L, (a, x) -> aggregate(sequence(1, 92), struct(a AS a, x.q AS b), (s, k) -> if(s.b = 0L, s, struct(s.b AS a, s.a % s.b AS b)), s -> s.a))"
 
 
 def period(target: DataFrame) -> DataFrame:
-    """``src, q, total, turn, slot``: the slot of each block of one period, by earliest deadline first."""
-    # one row holds the weights: as many entries as sources, of which there are at most SCALE in a target that can be met
-    one = target.agg(F.sort_array(F.collect_list(F.struct("src", "q"))).alias("w"), F.sum("q").alias("total"))
-    merge = """
-        (st, t) -> struct(
-            transform(st.done, (x, i) -> x + if(i = st.pick, 1L, 0L)) AS done,
-            array_min(transform(
-                filter(sequence(0, size(w) - 1),
-                       i -> st.done[i] + if(i = st.pick, 1L, 0L) < w[i].q
-                            AND (st.done[i] + if(i = st.pick, 1L, 0L)) * total div w[i].q <= t),
-                i -> struct(((st.done[i] + if(i = st.pick, 1L, 0L) + 1L) * total + w[i].q - 1L) div w[i].q AS due, i AS i))).i AS pick,
-            concat(st.picks, if(st.pick < 0, CAST(array() AS array<int>), array(st.pick))) AS picks)
-    """
-    fold = F.expr(
-        f"""aggregate(sequence(0L, total - 1),
-            named_struct('done', transform(w, x -> 0L), 'pick', -1, 'picks', CAST(array() AS array<int>)),
-            {merge}, st -> concat(st.picks, array(st.pick)))"""
-    )
-    slots = one.where("total > 0").select("w", "total", F.posexplode(fold).alias("slot", "i"))
-    turns = slots.select(F.expr("w[i].src").alias("src"), F.expr("w[i].q").alias("q"), "total", F.col("slot").cast("long"))
-    return turns.withColumn("turn", F.row_number().over(Window.partitionBy("src").orderBy("slot")).cast("long") - 1)
+    """``src, q, total, turn, slot``: the slot of each block of one period; q and total without their common divisor."""
+    target = target.select("src", F.col("q").cast("long").alias("q"))
+    members = target.withColumn("member", F.row_number().over(Window.partitionBy("q").orderBy("src")) - 1)
+    # one row holds the distinct weights
+    one = target.groupBy("q").agg(F.count("*").alias("m")).agg(F.sort_array(F.collect_list(F.struct("q", "m"))).alias("w")).where("size(w) > 0")
+    one = one.withColumn("g", F.expr(_DIVISOR)).withColumn("total", F.expr("aggregate(w, 0L, (a, x) -> a + x.q * x.m) div g"))
+    large = F.raise_error(F.concat(F.lit(f"the weights need a period beyond {LIMIT} slots: "), F.col("total").cast("string")))
+    one = one.select("g", F.when(F.col("total") > LIMIT, large.cast("long")).otherwise(F.col("total")).alias("total"), F.expr("transform(w, x -> struct(x.q div g AS q, x.m AS m))").alias("w"))
+    picks = one.select("g", "total", "w", F.posexplode(F.expr(_FOLD)).alias("slot", "k"))
+    picks = picks.select("g", "total", F.expr("w[k].q").alias("q"), F.expr("w[k].m").alias("m"), F.col("slot").cast("long"))
+    turns = picks.withColumn("c", F.row_number().over(Window.partitionBy("q").orderBy("slot")).cast("long") - 1)
+    turns = turns.select((F.col("q") * F.col("g")).alias("whole"), F.col("q").alias("q1"), "total", F.expr("c div m").alias("turn"), F.expr("c % m").alias("member"), "slot")
+    return turns.join(members, (turns.whole == members.q) & (turns.member == members.member)).select("src", F.col("q1").alias("q"), "total", "turn", "slot")
 
 
 def mix(docs: DataFrame, target: DataFrame | None = None, source: str = "source", block: int = BLOCK) -> DataFrame:
@@ -54,53 +72,55 @@ def mix(docs: DataFrame, target: DataFrame | None = None, source: str = "source"
     ``target`` has src and q (positive integers); default: ``weights_of``. Needs
     doc_id and the source column. Rows of a source without a target are in no
     slot: their schedule columns are null and ``in_mix`` is false. Documents
-    fill the blocks of their source in a pseudo-random order of doc_id; a null
-    doc_id comes first; rows with equal doc_id are neighbours. A null source
-    counts as the empty one. ``in_mix`` marks the slots before the first one
-    that a source can't fill any more; up to there every prefix is within one
-    block of the target, and later slots go on without the exhausted sources.
-    Columns with the names above are replaced.
+    fill the blocks of their source in a pseudo-random order of doc_id; rows
+    without doc_id are placed by a hash of the whole row; rows with equal
+    doc_id are neighbours. A null source counts as the empty one. ``in_mix``
+    marks the slots before the first one that a source can't fill any more; up
+    to there every prefix is within one block of the target, and later slots
+    go on without the exhausted sources. An empty table gives an empty result.
+    Texts pass through whole. Columns with the names above are replaced; all
+    others keep their names and values.
     """
     new = ["block", "place", "slot", "release", "deadline", "in_mix"]
     docs = docs.drop(*new)
-    key = F.expr(f"pmod(pmod(coalesce(CAST(doc_id AS bigint), -1L), {PRIME}) * 7919L + 104729L, {PRIME}L)")
-    keyed = docs.withColumns({"_src": F.coalesce(F.col(source).cast("string"), F.lit("")), "_key": key})
-    keyed = keyed.withColumn("_range", F.expr(f"_key * {RANGES} div {PRIME}"))
-    counts = materialize(keyed.groupBy("_src", "_range").agg(F.count("*").alias("_n")), "ranges")
-    before = Window.partitionBy("_src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_src", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    if target is None:
-        sizes = counts.groupBy("_src").agg(F.sum("_n").alias("n"))
-        target = weights_of(sizes)
-    slots = materialize(period(target), "period")
-    per_source = slots.select("src", "q", "total").distinct()
-    used = counts.groupBy("_src").agg(F.expr(f"(sum(_n) + {block - 1}) div {block}").alias("blocks"))
-    gone = per_source.join(used, per_source.src == used._src, "left").select("src", "q", "total", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+    rows = packed(docs, src=F.coalesce(F.col(source).cast("string"), F.lit("")), id=F.col("doc_id").cast("long"))
+    scattered = F.expr(f"pmod(pmod(coalesce(id, -1L), {PRIME}) * 7919L + 104729L, {PRIME}L)")
+    simple = [f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    loose = F.pmod(F.xxhash64(*[F.col("row").getField(c) for c in simple]), F.lit(PRIME).cast("long"))
+    keyed = rows.withColumn("key", F.when(F.col("id").isNull(), loose).otherwise(scattered))
+    sizes = materialize(keyed.groupBy("src").agg(F.count("*").alias("n")), "sizes")
+    n = sizes.agg(F.sum("n")).first()[0] or 0
+    ranges = min(PRIME, max(1, -(-n // ROWS)))
+    keyed = keyed.withColumn("range", F.expr(f"key * {ranges} div {PRIME}"))
+    counts = keyed.groupBy("src", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(counts.select("src", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "offsets")
+    slots = materialize(period(weights_of(sizes) if target is None else target), "period")
+    per_source = materialize(slots.select("src", "q", "total").distinct(), "weights")
+    used = sizes.select("src", F.expr(f"(n + {block - 1}) div {block}").alias("blocks"))
+    gone = per_source.join(used, "src", "left").select("src", "q", "total", F.coalesce("blocks", F.lit(0).cast("long")).alias("blocks"))
     ends = gone.withColumn("turn", F.expr("blocks % q")).join(slots.select("src", "turn", "slot"), ["src", "turn"])
-    horizon = ends.agg(F.min(F.expr("blocks div q * total + slot")).alias("_horizon"))
-    order = Window.partitionBy("_src", "_range").orderBy("_key", F.col("doc_id").asc_nulls_first())
-    ranked = keyed.withColumn("_row", F.row_number().over(order)).join(materialize(offsets, "offsets"), ["_src", "_range"])
-    ranked = ranked.withColumn("_at", F.col("_row") - 1 + F.col("_before"))
-    ranked = ranked.withColumns({"block": F.expr(f"_at div {block}"), "place": F.expr(f"_at % {block}")})
-    ranked = ranked.join(F.broadcast(per_source.select(F.col("src").alias("_src"), F.col("q").alias("_q"), F.col("total").alias("_total"))), "_src", "left")
-    turn = slots.select(F.col("src").alias("_src"), F.col("turn").alias("_turn"), F.col("slot").alias("_slot"))
-    ranked = ranked.withColumn("_turn", F.expr("block % _q")).join(F.broadcast(turn), ["_src", "_turn"], "left")
-    ranked = ranked.join(F.broadcast(horizon))
-    start = "block div _q * _total"
+    # one row
+    horizon = materialize(ends.agg(F.min(F.expr("blocks div q * total + slot")).alias("horizon")), "horizon")
+    discard(sizes)
+    order = Window.partitionBy("src", "range").orderBy("key", F.col("id").asc_nulls_first())
+    ranked = keyed.withColumn("nth", F.row_number().over(order)).join(offsets, ["src", "range"])
+    ranked = ranked.withColumn("at", F.col("nth") - 1 + F.col("before")).withColumns({"block": F.expr(f"at div {block}"), "place": F.expr(f"at % {block}")})
+    ranked = ranked.join(per_source, "src", "left").withColumn("turn", F.expr("block % q"))
+    ranked = ranked.join(slots.select("src", "turn", F.col("slot").alias("first")), ["src", "turn"], "left").join(F.broadcast(horizon))
+    start = "block div q * total"
     cols = {
-        "slot": F.expr(f"{start} + _slot"),
-        "release": F.expr(f"{start} + _turn * _total div _q"),
-        "deadline": F.expr(f"{start} + ((_turn + 1) * _total + _q - 1) div _q"),
-        "in_mix": F.expr(f"coalesce({start} + _slot < _horizon, false)"),
-        "block": F.expr("CASE WHEN _q IS NOT NULL THEN block END"),
-        "place": F.expr("CASE WHEN _q IS NOT NULL THEN place END").cast("long"),
+        "block": F.expr("CASE WHEN q IS NOT NULL THEN block END"),
+        "place": F.expr("CASE WHEN q IS NOT NULL THEN place END").cast("long"),
+        "slot": F.expr(f"{start} + first"),
+        "release": F.expr(f"{start} + turn * total div q"),
+        "deadline": F.expr(f"{start} + ((turn + 1) * total + q - 1) div q"),
+        "in_mix": F.expr(f"coalesce({start} + first < horizon, false)"),
     }
-    return ranked.withColumns(cols).select(*docs.columns, *new)
+    return ranked.select("row.*", *[cols[c].alias(c) for c in new])
 
 
 def weights_of(sizes: DataFrame) -> DataFrame:
-    """``src, q`` from ``_src, n``: each source by the square root of its size, in thousandths, one at least."""
-    roots = sizes.withColumn("r", F.floor(F.sqrt("n") * 1000).cast("long"))
-    return roots.join(F.broadcast(roots.agg(F.sum("r").alias("total")))).select(
-        F.col("_src").alias("src"), F.expr(f"greatest(1L, {SCALE} * r div total)").alias("q")
-    )
+    """``src, q`` from ``src, n``: each source by the square root of its size, in thousandths, one at least."""
+    roots = sizes.select("src", F.floor(F.sqrt("n") * 1000).cast("long").alias("r"))
+    return roots.join(F.broadcast(roots.agg(F.sum("r").alias("total")))).select("src", F.expr(f"greatest(1L, {SCALE} * r div total)").alias("q"))
