@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One contraction: link each node's larger (or smaller) neighbours to the least node beside it."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if large:
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        out = both.where("b > a").join(materialize(least, "least"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         down = both.where("b < a")
         least = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "least")
         out = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return materialize(out.where("a != b").distinct(), "stars")
+    out = materialize(out.where("a != b").distinct(), "stars")
+    discard(least, edges)
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

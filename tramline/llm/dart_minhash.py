@@ -20,11 +20,18 @@ Plan. (1) Exact copies collapse by a 128-bit key of the word sequence.
 (2) Signatures of the distinct texts are banded; a band key that occurs once
 is dropped after a map-side count. (3) Inside a bucket whole signatures are
 compared and only a spanning forest of the pairs that agree in ``screen`` of
-the coordinates leaves, never all pairs. A bucket beyond ``block`` members is
-cut into blocks and each pair of blocks is one task, so no task holds an
-unbounded group. (4) Components of that forest bring texts together, in blocks
-of bounded bytes, where exact similarities are computed, and again only a
-spanning forest leaves. (5) Components of the exact links are the classes.
+the coordinates leaves, never all pairs. (4) Components of that forest bring
+texts together, where exact similarities are computed, and again only a
+spanning forest leaves. Texts outside any cluster don't move. (5) Components
+of the exact links are the classes.
+
+Large groups (``forest``) are cut into blocks, one task each. A block's
+components are named by their least members, and these leaders alone are
+compared across blocks, level by level, which joins a group of copies of one
+text with work in proportion to its size. What is then still apart from the
+group's largest component is compared with all of the group, block by block,
+so no link is lost; that last step is quadratic only in a group whose members
+are mostly unlike each other.
 """
 
 from __future__ import annotations
@@ -33,10 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, packed, split_by
 from .components import components
 from .textkernel import U64, Words, flat, mix, sequence_keys, slices, unit, windows
 
@@ -45,7 +52,7 @@ BANDS, ROWS, SHINGLE, THRESHOLD = 24, 4, 5, 0.8
 #: 0.8 shares no bucket with a probability of 3e-6, and its 96 coordinates
 #: fall below 0.6 with a probability of about 1e-6.
 SCREEN = 0.6
-BLOCK, BLOCK_BYTES = 2048, 8_000_000
+BLOCK, BLOCK_BYTES = 1024, 8_000_000
 
 
 def counted(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,22 +194,47 @@ def _roots(parent: np.ndarray) -> np.ndarray:
         parent = up
 
 
-def _edges(a: list, b: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _found(edges: tuple[list, list], members: tuple[list, list, list]) -> pa.RecordBatch:
+    """Links (kind 0: a, b), and for groups of more than one block each member's component (kind 1: key, a, b)."""
+    n, m = len(edges[0]), len(members[0])
+    cols = [np.repeat([0, 1], [n, m]), np.array([0] * n + members[0]), np.array(edges[0] + members[1]), np.array(edges[1] + members[2])]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["kind", "key", "a", "b"])
+
+
+FOUND = "kind long, key long, a long, b long"
+#: A group of one task: its key, the block, and the block that it is compared with (-1: itself).
+GROUP = ["key", "blk", "other"]
+
+
+def _start(t: pa.Table, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per row its group, its first equal component in the group, its side, and whether the group has two sides."""
+    n = t.num_rows
+    group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    comp, side = t.column("comp").to_numpy(), t.column("side").to_numpy()
+    order = np.lexsort((np.arange(n), comp, group))
+    new = np.ones(n, dtype=bool)
+    new[1:] = (group[order][1:] != group[order][:-1]) | (comp[order][1:] != comp[order][:-1])
+    root = np.empty(n, dtype=np.int64)
+    root[order] = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+    return group, root, side, t.column("other").to_numpy() >= 0
+
+
+def _members(t: pa.Table, group: np.ndarray, root: np.ndarray) -> tuple[list, list, list]:
+    big = np.flatnonzero((t.column("nb").to_numpy() > 1) & (t.column("other").to_numpy() < 0))
+    node = t.column("node").to_numpy()
+    return t.column("key").to_numpy()[big].tolist(), node[big].tolist(), node[root[big]].tolist()
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the pairs of a bucket whose signatures agree in SCREEN of the coordinates."""
-    key = ["bkey", "lo", "hi"]
-    for t in _groups(batches, key):
-        edge = _bounds(t, key)
+    """Links of a spanning forest of the pairs of a group whose signatures agree in SCREEN of the coordinates."""
+    for t in _groups(batches, GROUP):
+        edge = _bounds(t, GROUP)
         n = t.num_rows
-        group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-        node, blk = t.column("node").to_numpy(), t.column("blk").to_numpy()
-        cross = t.column("lo").to_numpy() != t.column("hi").to_numpy()
+        group, root, side, cross = _start(t, edge)
+        node = t.column("node").to_numpy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(n, -1)
         need = SCREEN * sig.shape[1]
-        root, out_a, out_b = np.arange(n), [], []
+        out_a, out_b = [], []
         step = 1
         live = np.arange(n)
         while True:
@@ -211,7 +243,7 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(live):
                 break
             i = live[root[live] != root[live + step]]
-            i = i[~(cross[i] & (blk[i] == blk[i + step]))]
+            i = i[~cross[i] | (side[i] != side[i + step])]
             for s in range(0, len(i), 1 << 15):
                 x = i[s : s + (1 << 15)]
                 y = x + step
@@ -228,60 +260,135 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         out_b.append(int(node[q]))
             root = _roots(root)
             step += 1
-        yield _edges(out_a, out_b)
-
-
-def overlaps(value: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each of n documents its similarity to all n, from their distinct weighted values."""
-    total = np.bincount(doc, weights=weight, minlength=n)
-    _, ident = np.unique(value, return_inverse=True)
-    order = np.argsort(ident, kind="stable")
-    post_doc, post_w = doc[order], weight[order]
-    size = np.bincount(ident)
-    begin = np.cumsum(size) - size
-    edge = np.searchsorted(doc, np.arange(n + 1))
-    for i in range(n):
-        mine = ident[edge[i] : edge[i + 1]]
-        c = size[mine]
-        where = np.repeat(begin[mine] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-        common = np.bincount(post_doc[where], weights=np.minimum(post_w[where], np.repeat(weight[edge[i] : edge[i + 1]], c)), minlength=n)
-        yield i, common / np.maximum(total + total[i] - common, 1e-300)
+        yield _found((out_a, out_b), _members(t, group, root))
+
+
+class Overlaps:
+    """Similarities of the documents of a group from their distinct weighted values."""
+
+    def __init__(self, value: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int):
+        self.n, self.weight = n, weight
+        self.total = np.bincount(doc, weights=weight, minlength=n)
+        _, self.ident = np.unique(value, return_inverse=True)
+        order = np.argsort(self.ident, kind="stable")
+        self.post_doc, self.post_w = doc[order], weight[order]
+        self.size = np.bincount(self.ident)
+        self.begin = np.cumsum(self.size) - self.size
+        self.edge = np.searchsorted(doc, np.arange(n + 1))
+
+    def row(self, i: int) -> np.ndarray:
+        """Document i's similarity to all n."""
+        own = slice(self.edge[i], self.edge[i + 1])
+        mine = self.ident[own]
+        c = self.size[mine]
+        where = np.repeat(self.begin[mine] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        common = np.bincount(self.post_doc[where], weights=np.minimum(self.post_w[where], np.repeat(self.weight[own], c)), minlength=self.n)
+        return common / np.maximum(self.total + self.total[i] - common, 1e-300)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the exact links inside a block pair of a cluster."""
-    key = ["cluster", "lo", "hi"]
-    for t in _groups(batches, key, 256):
-        edge = _bounds(t, key)
+    """Exact links of a spanning forest inside each group; a document beside which no other component is left is not compared."""
+    for t in _groups(batches, GROUP, 256):
+        edge = _bounds(t, GROUP)
         words = Words(*flat(t.column("text"), lower=True))
         el, doc, weight = counted(*windows(words, SHINGLE))
-        node, blk = t.column("node").to_numpy(), t.column("blk").to_numpy()
+        group, start, side, cross = _start(t, edge)
+        node = t.column("node").to_numpy()
         span = np.searchsorted(doc, edge)
         out_a, out_b = [], []
+        whole = start.copy()
         for g in range(len(edge) - 1):
             s, n = edge[g], edge[g + 1] - edge[g]
-            if n < 2:
-                continue
             part = slice(span[g], span[g + 1])
-            cross = bool(len(np.unique(blk[s : s + n])) > 1)
-            root = np.arange(n)
-            for i, sim in overlaps(el[part], doc[part] - s, weight[part].astype(np.float64), n):
-                for j in np.flatnonzero((sim[:i] >= THRESHOLD) & (root[:i] != root[i])).tolist():
-                    if cross and blk[s + i] == blk[s + j] or root[j] == root[i]:
-                        continue
-                    root[root == root[i]] = root[j]
-                    out_a.append(int(node[s + i]))
-                    out_b.append(int(node[s + j]))
-        yield _edges(out_a, out_b)
-
-
-def _paired(df: DataFrame, n_blocks, key: str) -> DataFrame:
-    """Copy each row to every pair of blocks its own block takes part in; one pair (0, 0) for a group of one block."""
-    df = df.withColumn("nb", n_blocks).withColumn("blk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("nb")).cast("int"))
-    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb").cast("int") - 1)))
-    df = df.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")).drop("other", "nb")
-    # beyond the first block pair the key itself would still name one task
-    return df.repartition(F.col(key), F.col("lo"), F.col("hi")).sortWithinPartitions(key, "lo", "hi", "node")
+            root, two, which = start[s : s + n] - s, bool(cross[s]), side[s : s + n]
+            apart = int((root != root[0]).sum())
+            pairs = Overlaps(el[part], doc[part] - s, weight[part].astype(np.float64), n) if apart else None
+            for i in range(n if apart else 0):
+                if not (root != root[i]).any():
+                    break
+                near = (pairs.row(i) >= THRESHOLD) & (root != root[i])
+                if two:
+                    near &= which != which[i]
+                for j in np.flatnonzero(near).tolist():
+                    if root[j] != root[i]:
+                        low, high = sorted((root[i], root[j]))
+                        root[root == high] = low
+                        out_a.append(int(node[s + i]))
+                        out_b.append(int(node[s + j]))
+            whole[s : s + n] = root + s
+        yield _found((out_a, out_b), _members(t, group, whole))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Each group in one task, its rows side by side, the least node first."""
+    return rows.repartition("key", "blk", "other").sortWithinPartitions("key", "blk", "other", "node", "side")
+
+
+def _block(n_blocks: Column, level: int) -> Column:
+    # beyond the first block the key alone would still name one task
+    return F.pmod(F.xxhash64("node", F.lit(7 + level)), n_blocks).cast("int")
+
+
+def forest(rows: DataFrame, kernel, limit: int, label: str) -> DataFrame:
+    """``a, b``: links that join what ``kernel`` links, directly or through others, inside each group.
+
+    ``rows``: key and node (long), w (a node's size), nb (blocks of ``limit``
+    that the sizes of its key fill), and what the kernel reads.
+    """
+    own = {"comp": F.col("node"), "side": F.lit(0), "other": F.lit(-1)}
+    made: list[DataFrame] = []
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        made.append(materialize(df, f"{label}-{name}"))
+        return made[-1]
+
+    def run(part: DataFrame, name: str) -> DataFrame:
+        return put(_dealt(part).mapInArrow(kernel, FOUND), name)
+
+    def links(found: DataFrame) -> DataFrame:
+        return found.where("kind = 0").select("a", "b")
+
+    def done(edges: DataFrame) -> DataFrame:
+        out = materialize(edges.where("a != b").distinct(), label)
+        discard(*made)
+        return out
+
+    found = run(rows.withColumn("blk", _block(F.col("nb"), 0)).withColumns(own), "blocks")
+    edges = links(found)
+    # key, node, comp: only groups of more than one block are left
+    comp = found.where("kind = 1").select("key", F.col("a").alias("node"), F.col("b").alias("comp")).distinct()
+    if comp.isEmpty():
+        return done(edges)
+    big = put(rows.where("nb > 1"), "big")
+    level, left = 0, None
+    while True:
+        lead = put(comp.select("key", F.col("comp").alias("node")).distinct(), "leaders")
+        many = put(lead.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "apart")
+        now = many.agg(F.sum("n")).first()[0] or 0
+        if not now:
+            return done(edges)
+        if now == left:
+            break
+        level, left = level + 1, now
+        chosen = big.join(lead.join(many.select("key"), "key"), ["key", "node"], "left_semi")
+        size = chosen.groupBy("key").agg(F.ceil(F.sum("w") / limit).alias("nb"))
+        blocks = chosen.drop("nb").join(size, "key").withColumn("blk", _block(F.col("nb"), level)).withColumns(own)
+        # the leaders' own components are wanted whatever the number of blocks
+        found = run(blocks.withColumn("nb", F.lit(2)), f"level{level}")
+        edges = edges.unionByName(links(found))
+        up = found.where("kind = 1").select("key", F.col("a").alias("comp"), F.col("b").alias("top")).distinct()
+        comp = put(comp.join(up, ["key", "comp"], "left").select("key", "node", F.coalesce("top", "comp").alias("comp")), "members")
+    apart = comp.join(many.select("key"), "key")
+    sizes = apart.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    main = put(sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main")), "main")
+    rest = big.join(apart, ["key", "node"]).join(main, "key").withColumn("blk", _block(F.col("nb"), 0))
+    rest = put(rest.withColumn("odd", F.col("comp") != F.col("main")).drop("main"), "rest")
+    odd = put(rest.where("odd").groupBy("key").agg(F.ceil(F.sum("w") / limit).cast("int").alias("parts")), "odd")
+    rest = rest.join(odd, "key")
+    all_of = rest.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("side", F.lit(0))
+    some = rest.where("odd").withColumn("other", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int"))
+    some = some.withColumn("blk", F.explode(F.expr("sequence(0, cast(nb as int) - 1)"))).withColumn("side", F.lit(1)).select(*all_of.columns)
+    return done(edges.unionByName(links(run(all_of.unionByName(some), "apart-pairs"))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -306,24 +413,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"), F.max("size").alias("size")).where("node IS NOT NULL"),
         "reps",
     )
-    rows = reps.select("node", F.explode("bands").alias("bkey"))
-    shared = materialize(rows.groupBy("bkey").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = rows.join(shared, "bkey").join(reps.select("node", "sig"), "node")
-    links = _paired(members, F.ceil(F.col("n") / BLOCK), "bkey").mapInArrow(_screen, "a long, b long")
-    clusters = materialize(components(materialize(links.distinct(), "screened")), "clusters")
+    rows = reps.select("node", F.explode("bands").alias("key"))
+    shared = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = rows.join(shared, "key").join(reps.select("node", "sig"), "node").select("key", "node", "sig", F.lit(1).alias("w"), F.ceil(F.col("n") / BLOCK).alias("nb"))
+    screened = forest(members, _screen, BLOCK, "screen")
+    clusters = materialize(components(screened), "clusters")
     members = reps.select("node", "size").join(clusters, "node")
-    sizes = materialize(members.groupBy("component").agg(F.sum("size").alias("bytes")), "sizes")
-    wanted = materialize(members.join(sizes, "component").select("node", F.col("component").alias("cluster"), "bytes").distinct(), "wanted")
-    # the texts move once, by a merge join at any size, and only those of clusters go on
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(wanted.hint("merge"), "node").dropDuplicates(["node", "text"])
-    blocks = _paired(texts, F.ceil(F.col("bytes") / BLOCK_BYTES), "cluster")
-    exact = materialize(blocks.mapInArrow(_verify, "a long, b long").where("a != b").distinct(), "exact")
+    sizes = materialize(members.groupBy("component").agg(F.ceil(F.sum("size") / BLOCK_BYTES).alias("nb")), "sizes")
+    wanted = materialize(members.join(sizes, "component").select("node", F.col("component").alias("key"), F.col("size").alias("w"), "nb").distinct(), "wanted")
+    discard(shared, screened, clusters, sizes)
+    # only the texts of clusters move
+    texts, _ = split_by(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")), ["node"], wanted.select("node"))
+    texts = texts.join(wanted, "node").dropDuplicates(["node", "text"])
+    exact = forest(texts, _verify, BLOCK_BYTES, "verify")
     classes = components(exact)
     named = materialize(
         reps.select("k1", "k2", "node").join(classes, "node", "left").select("k1", "k2", F.col("node").alias("copy_id"), F.coalesce("component", "node").alias("class_id")),
         "classes",
     )
     found = worded.select("doc_id", "k1", "k2").join(named, ["k1", "k2"], "left").select("doc_id", "class_id", "copy_id")
+    discard(reps, wanted, exact)
     blank = sketch.where("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"))
     return found.unionByName(blank)
 
@@ -332,13 +441,18 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     """``docs`` less every document whose class has one with a smaller doc_id.
 
     Of rows that repeat a doc_id with the same text one stays. Rows without
-    doc_id stay. Columns are those of ``docs``.
+    doc_id stay. Columns are those of ``docs``, whatever their names.
     """
     classes = materialize(near_duplicates(docs), "near")
-    gone = classes.where("doc_id != class_id").select("doc_id").distinct()
-    repeated = classes.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
+    gone = materialize(classes.where("doc_id != class_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    repeated = materialize(classes.groupBy(F.col("doc_id").alias("id")).count().where("id IS NOT NULL AND count > 1").select("id"), "repeated")
+    discard(classes)
+    rows = packed(docs, id=F.col("doc_id").cast("long"), text=F.col("text").cast("string"))
+    some, left = split_by(rows, ["id"], gone)
+    left = left.unionByName(some.join(gone, "id", "left_anti"))
     if repeated.isEmpty():
-        return left.select(*docs.columns)
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+        return left.select("row.*")
+    again, once = split_by(left, ["id"], repeated)
+    alone = again.join(repeated, "id", "left_anti").select("id", "text", "row")
+    several = again.join(repeated, "id", "left_semi").dropDuplicates(["id", "text"]).select("id", "text", "row")
+    return once.select("id", "text", "row").unionByName(alone).unionByName(several).select("row.*")
