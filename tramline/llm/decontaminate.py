@@ -8,18 +8,26 @@ such tokens are hashed, once for every reading; a document's windows meet the
 benchmark's in a hash join. Matches on
 one diagonal (document place minus item place) form an alignment. Each value
 that the item has in placeholders stands for the one document value that it
-meets at more than half of its places there; a window that holds a place with
+meets at more than half of its places there (two values of the item may have
+become the same one); a window that holds a place with
 another value does not count, unless it agrees word for word. Templates need three
 literal tokens; beside them every window is also compared word for word, so that
 copies of passages that are mostly numbers or names are found. A document is
 contaminated by an item if the windows that count cover six of the item's
 windows (13 tokens), or all of an item that has fewer (all of its templates
-are enough if the template windows alone cover them).
-
-The benchmark is the build side. It is read in blocks of bounded characters;
-each block is broadcast and all documents pass over it, so neither the size of
-the benchmark nor that of a document group is a limit, and the documents are
-never shuffled.
+are enough if the template windows alone cover them). An item of one or two
+tokens is too short for a passage: it is found in documents that are that item
+and nothing else.
+
+Plan. (1) The windows of all items are written as a table of hashes, and their
+leading bits as a filter of a fixed 8 MB, which goes to every task. (2) One
+pass over the documents keeps, per distinct text, the hashes that pass the
+filter; nothing else of a text moves. (3) These hashes join the item windows;
+a pair of text and item stays if it shares as many of the item's windows as
+could be enough. (4) Only texts of such pairs move, to their items' texts, and
+are aligned there. Neither benchmark nor documents are gathered anywhere, and
+an alignment is worked out in runs of diagonals of bounded size, so a passage
+that repeats without end costs time but no memory.
 """
 
 from __future__ import annotations
@@ -28,17 +36,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from .common import discard, materialize, packed, split_by
 from .textkernel import PUNCT, U64, Cores, flat, mix, slices, span_hashes
 
 SIZE, ENOUGH, LITERALS = 8, 6, 3
-#: Characters of benchmark text in a broadcast block.
-BLOCK_CHARS = 16_000_000
-#: Readings of windows that are held at once: of a batch of documents, and of a broadcast block.
-READINGS, BLOCK_READINGS = 1 << 20, 1 << 24
+#: Readings of windows, and pairs of windows, that are held at once.
+READINGS, PAIRS = 1 << 20, 1 << 21
+#: Leading bits of a hash that address the filter: 8 MB.
+FILTER_BITS = 26
+#: Items that are compared with a text in one go.
+ITEMS = 64
 
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches yd mph kph h hr hrs hour hours min mins minute minutes s sec secs second seconds day days week weeks month months year years l ml litre litres liter liters gal usd eur dollar dollars euro euros cent cents percent % °c °f degrees kwh w kw v"
 
@@ -108,25 +118,19 @@ class Tokens:
         at = np.flatnonzero((self.doc[:m] == self.doc[size - 1 :]) & (literal >= LITERALS))
         return at, literal[at], 1 << (opens[at + size] - opens[at])
 
-    def readings(self) -> np.ndarray:
-        """For each document at least as many as its windows of ``SIZE``, or all it has if shorter, have readings."""
-        count = np.diff(self.first)
-        out = np.zeros(len(count), dtype=np.int64)
-        for size in sorted({int(min(c, SIZE)) for c in count if c}):
-            at, _, n = self._readable(size)
-            mine = (count[self.doc[at]] == size) | (size == SIZE)
-            np.add.at(out, self.doc[at[mine]], n[mine])
-        return out
-
     def verbatim(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(place of the first token, hash of the words as they stand) of all windows of ``size`` tokens."""
         m = len(self.hash) - size + 1
-        if m <= 0 or size < LITERALS:
+        if m <= 0:
             return np.zeros(0, np.int64), np.zeros(0, U64)
-        total = np.zeros(m, U64)
+        total = np.full(m, U64(size))
         for k in range(size):
             total += self.value[k : k + m] * mix(np.array([k + 1], U64))[0]
-        at = np.flatnonzero(self.doc[:m] == self.doc[size - 1 :])
+        own = self.doc[:m] == self.doc[size - 1 :]
+        if size < LITERALS:
+            # too short for a passage: the whole text or nothing
+            own &= np.diff(self.first)[self.doc[:m]] == size
+        at = np.flatnonzero(own)
         return at, mix(total[at] ^ _VERBATIM)
 
     def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -154,24 +158,52 @@ class Index:
         self.hash = np.concatenate([np.zeros(0, U64), *(h for _, h in pieces)])
         order = np.lexsort((self.place, self.hash))
         self.hash, self.place = self.hash[order], self.place[order]
-        self.bits = max(16, int(np.ceil(np.log2(max(1, len(self.hash))))) + 5)
-        self.seen = np.zeros(1 << self.bits, dtype=bool)
-        self.seen[(self.hash >> U64(64 - self.bits)).astype(np.int64)] = True
 
-    def meet(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The windows whose hash may be here."""
-        maybe = self.seen[(h >> U64(64 - self.bits)).astype(np.int64)]
-        return at[maybe], h[maybe]
+    def known(self, h: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hash, h), max(0, len(self.hash) - 1))
+        return self.hash[at] == h if len(self.hash) else np.zeros(len(h), bool)
 
     def entries(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into ``h``, entry) of all entries with these hashes."""
         lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-        c = hi - lo
-        return np.repeat(np.arange(len(h)), c), np.repeat(lo, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        return _spread(lo, hi)
+
+    def pairs(self, at: np.ndarray, h: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(document place, item place) of equal windows, whole diagonals at a time, about ``PAIRS`` of them or those of one diagonal.
+
+        ``n`` is the number of item places. A diagonal holds each item place once at most.
+        """
+        lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
+        if (hi - lo).sum() <= PAIRS:
+            hit, idx = _spread(lo, hi)
+            yield at[hit], self.place[idx]
+            return
+        _, rank = np.unique(self.hash, return_inverse=True)
+        key = rank * (n + 1) + self.place
+        base = rank[np.minimum(lo, len(rank) - 1)] * (n + 1)
+        run = max(1, PAIRS // max(1, n))
+        order = np.argsort(at, kind="stable")
+        at, base, lo, hi = at[order], base[order], lo[order], hi[order]
+        for first in range(int(at[0]) - n, int(at[-1]) + 1, run):
+            # diagonals first .. first + run - 1: item places above p - first - run, up to p - first
+            mine = slice(int(np.searchsorted(at, first)), int(np.searchsorted(at, first + run + n)))
+            p, b = at[mine], base[mine]
+            up = np.searchsorted(key, b + np.clip(p - first, -1, n), "right")
+            down = np.searchsorted(key, b + np.clip(p - first - run, -1, n), "right")
+            down, up = np.clip(down, lo[mine], hi[mine]), np.clip(up, lo[mine], hi[mine])
+            hit, idx = _spread(down, np.maximum(down, up))
+            if len(hit):
+                yield p[hit], self.place[idx]
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the range, element) for all elements of the ranges lo .. hi - 1."""
+    c = hi - lo
+    return np.repeat(np.arange(len(c)), c), np.repeat(lo, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
 
 
 class Benchmark:
-    """Windows of a block of benchmark items, ready to be probed."""
+    """Windows of some benchmark items, ready to be probed."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         raw, off = flat(pa.array(texts, pa.large_string()))
@@ -199,7 +231,9 @@ class Benchmark:
         found: dict[int, list[tuple[int, int, int]]] = {}
         covered = [np.zeros((4, 0), np.int64)]
         for size in self.sizes:
-            at, hit = self.said.meet(*tokens.verbatim(size))
+            at, hit = tokens.verbatim(size)
+            some = self.said.known(hit)
+            at, hit = at[some], hit[some]
             if len(at):
                 # a window that a document has n times covers at most n of an item's that are the same
                 doc, h = tokens.doc[at], hit
@@ -211,20 +245,23 @@ class Benchmark:
                 own = self.nth[idx] < times[which]
                 q = self.said.place[idx[own]]
                 covered.append(np.stack([doc[new][which[own]], self.tokens.doc[q], q, np.zeros_like(q)]))
-            pairs = []
+            n = len(self.tokens.hash)
+            spots = [np.zeros(0, np.int64)]
+            hashes = [np.zeros(0, U64)]
             for at, h in tokens.windows(size):
-                at, h = self.read.meet(at, h)
-                hit, idx = self.read.entries(h)
-                # several readings of two windows may agree
-                pairs.append(np.unique(at[hit] * len(self.tokens.hash) + self.read.place[idx]))
-            pair = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-            if not len(pair):
+                some = self.read.known(h)
+                spots.append(at[some])
+                hashes.append(h[some])
+            at, h = np.concatenate(spots), np.concatenate(hashes)
+            if not len(at):
                 continue
-            p, q = np.divmod(pair, len(self.tokens.hash))
-            item = self.tokens.doc[q]
-            doc = tokens.doc[p]
-            sound = self._consistent(tokens, doc, item, p, q, size)
-            covered.append(np.stack([doc[sound], item[sound], q[sound], np.ones_like(q[sound])]))
+            for p, q in self.read.pairs(at, h, n):
+                # several readings of two windows may agree
+                p, q = np.divmod(np.unique(p * n + q), n)
+                doc, item = tokens.doc[p], self.tokens.doc[q]
+                sound = self._consistent(tokens, doc, item, p, q, size)
+                part = np.unique(np.stack([doc[sound], item[sound], q[sound], np.ones_like(q[sound])]), axis=1)
+                covered.append(part)
         key = np.concatenate(covered, axis=1)
         # one row for each covered window, of the two kinds the template if there
         key = key[:, np.lexsort((-key[3], key[2], key[1], key[0]))]
@@ -268,52 +305,129 @@ class Benchmark:
         return read >= min(ENOUGH, int(self.windows_of[item])) > 0 or both >= min(ENOUGH, int(self.words_of[item])) > 0
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
-    """The benchmark in blocks of bounded size; the number of blocks follows its measured size."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-chars // BLOCK_CHARS)
-    for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        if rows:
-            ids, texts = [r[0] for r in rows], [r[1] for r in rows]
-            piece = np.cumsum(Tokens(*flat(pa.array(texts, pa.large_string()))).readings()) // BLOCK_READINGS
-            for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(piece)) + 1):
-                yield [ids[i] for i in at], [texts[i] for i in at]
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per item each window's place and hashes, and how many windows a document must share at least."""
+    for batch in batches:
+        for part in slices(batch):
+            bench = Benchmark(list(range(part.num_rows)), part.column("text").to_pylist())
+            place = np.concatenate([bench.read.place, bench.said.place])
+            h = np.concatenate([bench.read.hash, bench.said.hash])
+            item = bench.tokens.doc[place]
+            some = np.where(bench.windows_of > 0, np.minimum(bench.windows_of, ENOUGH), ENOUGH)
+            need = np.minimum(some, np.minimum(bench.words_of, ENOUGH))
+            ids = part.column("iid").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[item]), pa.array(place - bench.tokens.first[item]), pa.array(h.view(np.int64)), pa.array(need[item].astype(np.int64)), pa.array(np.minimum(np.diff(bench.tokens.first), SIZE)[item].astype(np.int32))], names=["iid", "place", "hash", "need", "size"])
+
+
+def _filter(windows: DataFrame) -> np.ndarray:
+    """Which leading bits occur, as bytes of eight bits: always 2 to the power ``FILTER_BITS`` bits."""
+    bit = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    words = windows.select(F.shiftright(bit, 6).alias("at"), one.alias("b")).groupBy("at").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    out[words.column("at").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return out.astype("<u8").view(np.uint8)
 
 
-def _scan(docs: DataFrame, block: tuple[list[int], list[str]], text: str) -> DataFrame:
-    """``docs`` with the items of the block that each row's text contains, as ``_items``."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_items", T.ArrayType(T.LongType()))])
+def _shared_hashes(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """``id, p1, p2, hashes``: for every row its id, the key of its text, and the hashes of windows that an item may have."""
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # 1 .. SIZE
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(windows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(*shared.value)
+        seen = shared.value
         for batch in batches:
-            for part in slices(batch, text):
-                found = bench.probe(Tokens(*flat(part.column(text).cast(pa.string()))))
-                items = [sorted({bench.ids[i] for i, k, n in found.get(d, ()) if bench.enough(i, k, n)}) for d in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(items, pa.list_(pa.int64()))], names=[*part.schema.names, "_items"])
-
-    return docs.mapInArrow(run, schema)
+            for part in slices(batch):
+                tokens = Tokens(*flat(part.column("text")))
+                spots, hashes = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+                for size in sizes:
+                    for at, h in (tokens.verbatim(size), *tokens.windows(size)):
+                        bit = (h >> U64(64 - FILTER_BITS)).astype(np.int64)
+                        maybe = (seen[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                        spots.append(tokens.doc[at[maybe]])
+                        hashes.append(h[maybe])
+                doc, h = np.concatenate(spots), np.concatenate(hashes)
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+                doc, h = doc[new], h[new]
+                edge = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("p1"), part.column("p2"), lists], names=["id", "p1", "p2", "hashes"])
+
+    return docs.mapInArrow(run, "id long, p1 long, p2 long, hashes array<long>")
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of text and item that hold, of texts with the items each may contain."""
+    for batch in batches:
+        for part in slices(batch):
+            own = part.column("items").to_pylist()
+            known: dict[int, tuple[int, str]] = {x["iid"]: (x["item_id"], x["text"]) for xs in own for x in xs}
+            at = {iid: n for n, iid in enumerate(known)}
+            bench = Benchmark([known[i][0] for i in known], [known[i][1] for i in known])
+            found = bench.probe(Tokens(*flat(part.column("text"))))
+            p1, p2, item = [], [], []
+            for d, xs in enumerate(own):
+                wanted = {at[x["iid"]] for x in xs}
+                for i, k, n in found.get(d, ()):
+                    if i in wanted and bench.enough(i, k, n):
+                        p1.append(part.column("p1")[d].as_py())
+                        p2.append(part.column("p2")[d].as_py())
+                        item.append(bench.ids[i])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (p1, p2, item)], names=["p1", "p2", "item_id"])
+
+
+def _keyed(docs: DataFrame) -> tuple[Column, Column, Column]:
+    text = F.col("text").cast("string")
+    return text, F.xxhash64(text), F.xxhash64(F.lit(13), text)
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, p1, p2`` of every row, and ``p1, p2, items``: the sorted items of each text that contains any."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    items = materialize(items.withColumn("iid", F.xxhash64("item_id", "text")), "items")
+    windows = materialize(items.select("iid", "text").mapInArrow(_item_windows, "iid long, place long, hash long, need long, size int"), "windows")
+    text, p1, p2 = _keyed(docs)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), p1.alias("p1"), p2.alias("p2"))
+    shared = materialize(_shared_hashes(keyed, windows), "shared-windows")
+    once = shared.where("size(hashes) > 0").groupBy("p1", "p2").agg(F.any_value("hashes").alias("hashes"))
+    hits = once.select("p1", "p2", F.explode("hashes").alias("hash")).join(windows.select("hash", "iid", "place", "need"), "hash")
+    pairs = hits.groupBy("p1", "p2", "iid").agg(F.countDistinct("place").alias("n"), F.max("need").alias("need")).where("n >= need").select("p1", "p2", "iid")
+    pairs = materialize(pairs, "pairs")
+    several = pairs.groupBy("p1", "p2").agg(F.ceil(F.count("*") / ITEMS).alias("parts"))
+    with_items = pairs.join(several, ["p1", "p2"]).join(items, "iid").withColumn("part", F.expr("pmod(xxhash64(iid), parts)"))
+    lists = materialize(with_items.groupBy("p1", "p2", "part").agg(F.collect_list(F.struct("iid", "item_id", "text")).alias("items")), "lists")
+    some, _ = split_by(keyed.select("text", "p1", "p2"), ["p1", "p2"], pairs.select("p1", "p2").distinct())
+    texts = some.dropDuplicates(["p1", "p2"]).join(lists, ["p1", "p2"])
+    held = texts.select("p1", "p2", "text", "items").mapInArrow(_aligned, "p1 long, p2 long, item_id long")
+    found = materialize(held.groupBy("p1", "p2").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "contaminated")
+    discard(items, windows, pairs, lists)
+    return shared, found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, contaminated, items`` (sorted item ids) for every row of ``docs``.
 
-    A null or blank text contains nothing. Items without text or id, or with
-    fewer than three tokens, match nothing. Repeated items and rows
-    are each treated alike. An empty benchmark leaves every row clean.
+    A null or blank text contains nothing. Items without text or id match
+    nothing. Repeated items and rows are each treated alike; an id with
+    several texts is found by any of them. An empty benchmark leaves every row
+    clean, and an empty table stays empty. A long text is read whole, alone in
+    its slice. Exactly half of a value's places is not more than half: such
+    places contradict. Other columns are ignored.
     """
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("items", F.expr("CAST(array() AS array<bigint>)"))
-    for block in _blocks(benchmark):
-        out = _scan(out, block, "text").withColumn("items", F.sort_array(F.array_union("items", "_items"))).drop("_items")
-    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")
+    rows, found = _matches(docs, benchmark)
+    out = rows.select("id", "p1", "p2").join(found, ["p1", "p2"], "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.expr("CAST(array() AS array<bigint>)")).alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item, columns unchanged."""
-    out = docs.withColumn("_text", F.col("text").cast("string"))
-    for block in _blocks(benchmark):
-        out = _scan(out, block, "_text").where(F.size("_items") == 0).drop("_items")
-    return out.select(*docs.columns)
+    """The rows of ``docs`` that contain no benchmark item, columns unchanged whatever their names."""
+    slim = docs.select("doc_id", "text")
+    rows, found = _matches(slim, benchmark)
+    discard(rows)
+    _, p1, p2 = _keyed(docs)
+    some, clean = split_by(packed(docs, p1=p1, p2=p2), ["p1", "p2"], found)
+    left = some.join(found.select("p1", "p2"), ["p1", "p2"], "left_anti").select("row")
+    return clean.select("row").unionByName(left).select("row.*")
