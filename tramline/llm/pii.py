@@ -2,26 +2,33 @@
 
 Base spans come from four patterns (e-mail, IPv4, payment card, phone), read
 in linear time. A CRF over word-shape features adds spans that patterns can't
-state: secrets named by a cue, account numbers, people's names after a title,
-and the base kinds in other spellings. It is trained by gradient ascent on its
-exact likelihood from a small labelled table of generated lines, decoded by
-Viterbi over all lines of a batch at once, each line one sequence. Added spans
-never touch base spans.
+state: secrets and account numbers named by a cue, people's names after a
+title, e-mail addresses spelled out and phone numbers without a country code.
+It is trained on its exact likelihood from a small labelled table of generated
+lines, decoded by Viterbi over all lines of a batch at once, each line one
+sequence. Every feature is looked up in the vocabulary of the training table;
+what that has not seen carries no weight, so unknown words stay unmarked, and
+weights are drawn to zero by a Gaussian prior. A line whose best path can only
+be "nothing", by the margins of its words, is not decoded. Added spans never
+touch base spans, and their kinds have names of their own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import PUNCT, SPACE, U64, Words, code_points, covered, flat, fold_case, mix, slices, span_hashes
+from .textkernel import PUNCT, SPACE, U64, Words, code_points, covered, flat, fold_case, slices, span_hashes
 
 KINDS = ["email", "ip", "card", "phone"]
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -82,17 +89,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---- conditional random field
 
-LABELS = ["O", "secret", "account", "name", "name+", "email", "ip", "phone", "phone+"]
-ADDED = ["secret", "account", "name", "email", "ip", "phone"]
-SHAPES, CUES = 1 << 12, 1 << 10
+LABELS = ["O", "secret", "account", "name", "name+", "email_text", "email_text+", "phone_local", "phone_local+"]
+ADDED = ["secret", "account", "name", "email_text", "phone_local"]
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[65:91] = ord("X")
 _CLASS[97:123] = ord("x")
 _CLASS[128:] = ord("x")
 _CLASS[48:58] = ord("d")
+#: Punctuation by class: none, quotes, open and closed brackets, full stop, comma, colon or equals, hyphen, other.
+_EDGE = np.where(PUNCT, 8, 0).astype(np.uint8)
+for _c, _k in (("\"'`", 1), ("([{<", 2), (")]}>", 3), (".", 4), (",;", 5), (":=", 6), ("-_", 7)):
+    _EDGE[[ord(x) for x in _c]] = _k
 
 #: Words whose identity is a feature.
-CUE_WORDS = "token key secret password passwd pwd api apikey auth bearer account iban customer passport ssn id no number mr mrs ms dr prof name contact sincerely regards mail email write ip host server call phone tel mobile fax at is the to from by with and of in a = :"
+CUE_WORDS = "token key secret password passwd pwd api apikey auth bearer credential account acct iban customer member passport ssn id no nr number mr mrs ms dr prof name contact sincerely regards dear mail email e-mail write reach call phone tel telephone mobile fax cell at dot com org net edu is my our the to from by with and of in a on = :"
+RUNS = 6
 
 
 @lru_cache(1)
@@ -102,32 +113,41 @@ def _cue_hashes() -> np.ndarray:
 
 
 class Features:
-    """Feature indices of every word of a batch: an array (words, features); sequences are lines."""
+    """Feature columns of every word of a batch, before the vocabulary; sequences are lines.
 
-    WIDTHS = [SHAPES, SHAPES, SHAPES, CUES, CUES, CUES, 16, 4]
+    Columns: the word's shape (runs of capitals, small letters, digits and
+    punctuation, the first few, without outer punctuation) and its
+    neighbours'; the cue that it, the two words before and the three after are;
+    length; which characters it has; the punctuation around it; whether it
+    repeats a neighbour; the cue before and what follows it, with the kind of first letter.
+    """
 
     def __init__(self, raw: np.ndarray, off: np.ndarray):
         w = self.words = Words(raw, off, hashes=False)
         n = len(w.start)
         solid = ~SPACE[raw]
-        cls = _CLASS[raw]
-        step = solid.copy()
-        step[1:] &= cls[1:] != cls[:-1]
-        step[w.start] = True
-        runs = np.concatenate([[0], np.cumsum(step)])
-        shape = span_hashes(cls[step], runs[w.end] - runs[w.start])
-        # the word without outer punctuation, for cues and for the span; punctuation alone stays whole
         core = np.flatnonzero(solid & ~PUNCT[raw])
         lo, hi = np.searchsorted(core, w.start), np.searchsorted(core, w.end)
         some = hi > lo
+        # the word without outer punctuation; punctuation alone stays whole
         self.begin, self.end = w.start.copy(), w.end.copy()
         self.begin[some], self.end[some] = core[lo[some]], core[hi[some] - 1] + 1
+        inside = covered(len(raw), self.begin, self.end) if n else np.zeros(len(raw), bool)
+        cls = _CLASS[raw]
+        step = inside.copy()
+        step[1:] &= cls[1:] != cls[:-1]
+        step[self.begin] = True
+        runs = np.concatenate([[0], np.cumsum(step)])
+        first = runs[self.begin]
+        count = np.minimum(runs[self.end] - first, RUNS)
+        at = np.flatnonzero(step)
+        marks = at[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())] if n else at
+        shape = span_hashes(cls[marks], count) + (runs[self.end] - first > RUNS).astype(U64)
         low = fold_case(raw)
-        ident = span_hashes(low[covered(len(raw), self.begin, self.end)], self.end - self.begin)
+        ident = span_hashes(low[inside], self.end - self.begin)
         cues = _cue_hashes()
         place = np.minimum(np.searchsorted(cues, ident), len(cues) - 1)
         cue = np.where(cues[place] == ident, place + 1, 0)
-        shape = (mix(shape) % U64(SHAPES - 1)).astype(np.int64) + 1
         # lines: a break or another document between two words
         breaks = np.concatenate([[0], np.cumsum(raw == 10)])
         new = np.ones(n, dtype=bool)
@@ -136,77 +156,133 @@ class Features:
         self.line = np.flatnonzero(new)
 
         def shifted(x: np.ndarray, by: int) -> np.ndarray:
-            out = np.zeros(n, dtype=np.int64)
+            out = np.zeros(n, dtype=x.dtype)
             if by > 0:
                 out[by:] = x[:-by]
                 for k in range(by):
                     out[self.line[self.line + k < n] + k] = 0
-            else:
+            elif n:
                 out[:-1] = x[1:]
                 out[self.line[1:] - 1] = 0
             return out
 
-        length = np.minimum(w.end - w.start, 60) // 4
-        digits = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
-        share = (digits[w.end] - digits[w.start]) * 3 // np.maximum(w.end - w.start, 1)
-        columns = [shape, shifted(shape, 1), shifted(shape, -1), cue, shifted(cue, 1) if n else cue, shifted(cue, 2) if n > 1 else np.zeros(n, np.int64), length, share]
-        base = np.cumsum([0, *self.WIDTHS[:-1]])
-        self.index = np.stack([c + b for c, b in zip(columns, base, strict=True)], axis=1) if n else np.zeros((0, len(columns)), np.int64)
+        def has(flag: np.ndarray) -> np.ndarray:
+            total = np.concatenate([[0], np.cumsum(flag)])
+            return total[self.end] - total[self.begin]
+
+        size = self.end - self.begin
+        digits = has((raw >= 48) & (raw <= 57))
+        upper = has((raw >= 65) & (raw <= 90))
+        lower = has((raw >= 97) & (raw <= 122))
+        high = has(raw >= 128)
+        hexa = digits + has((low >= 97) & (low <= 102))
+        kind = (digits > 0) + 2 * (upper > 0) + 4 * (lower > 0) + 8 * (high > 0) + 16 * (digits * 2 > size) + 32 * (hexa == size)
+        length = np.minimum(size, 47) // 3
+        before = _EDGE[raw[w.start]] * (w.start < self.begin) if n else np.zeros(0, np.uint8)
+        after = _EDGE[raw[self.end[: n] - (self.end == w.end)]] * (self.end < w.end) if n else np.zeros(0, np.uint8)
+        again = (shifted(ident, 1) == ident) | (shifted(ident, -1) == ident)
+        title = (_CLASS[raw[self.begin]] == ord("X")) + 2 * (digits > 0) if n else np.zeros(0, np.int64)
+        self.columns = [
+            shape, shifted(shape, 1), shifted(shape, -1), cue, shifted(cue, 1), shifted(cue, 2), shifted(cue, -1),
+            shifted(cue, -2), shifted(cue, -3), length * 64 + kind, before.astype(np.int64) * 32 + after * 2 + again, (shifted(cue, 1) * 16 + shifted(after, 1)) * 4 + title, kind,
+        ]
+
+
+class Vocabulary:
+    """Column values of the training table that at least two words have; index 0 of a column is any other value."""
+
+    def __init__(self, f: Features):
+        self.values = []
+        for c in f.columns:
+            v, k = np.unique(c, return_counts=True)
+            self.values.append(v[k > 1])
+        self.base = np.cumsum([0, *[len(v) + 1 for v in self.values]])
+
+    def index(self, f: Features) -> np.ndarray:
+        """Feature indices of every word: an array (words, columns)."""
+        out = []
+        for c, v, b in zip(f.columns, self.values, self.base[:-1], strict=True):
+            at = np.minimum(np.searchsorted(v, c), len(v) - 1)
+            out.append(np.where(v[at] == c, at + 1, 0) + b)
+        return np.stack(out, axis=1)
 
 
 def _lines_of(f: Features) -> tuple[np.ndarray, np.ndarray]:
-    n = len(f.index)
-    return f.line, np.diff(np.append(f.line, n))
+    return f.line, np.diff(np.append(f.line, len(f.words.start)))
 
 
-def labelled_table(rows: int = 450, seed: int = 7) -> list[tuple[str, list[str]]]:
+def labelled_table(rows: int = 1800, seed: int = 7) -> list[tuple[str, list[str]]]:
     """The small labelled table: lines of invented prose around personal data, a label per word."""
     rng = np.random.default_rng(seed)
-    syll = "an er on th re en ti ed or st ar nd le ou ing ch es de la un mi so pa ro ver sch ge que ment".split()
+    syll = "an er on th re en ti ed or st ar nd le ou ing ch es de la un mi so pa ro ver sch ge que ment é ü ñ ción über".split()
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    word = lambda: "".join(pick(syll) for _ in range(int(rng.integers(1, 5))))
+    word = lambda: "".join(pick(syll) for _ in range(int(rng.integers(1, 6))))
     num = lambda k: "".join(str(int(x)) for x in rng.integers(0, 10, k))
+    cues = CUE_WORDS.split()[:-2]
+    titles = set(TITLES.split())
 
     def prose(k: int) -> list[tuple[str, str]]:
-        out = []
-        for i in range(k):
-            w = word()
+        """Words that are no data: common words, names of data without data, numbers, and runs of capitals of all styles."""
+        out: list[tuple[str, str]] = []
+        style = rng.random()
+        while len(out) < k:
             r = rng.random()
-            w = w.capitalize() if i == 0 or r < 0.12 else w.upper() if r < 0.16 else w
-            w += pick([".", ",", "", "", "", ""]) + pick(["", "", "***", "###", "!!", "%%%", "$$$", "&&&"]) if rng.random() < 0.3 else ""
-            out.append((w if rng.random() > 0.03 else pick(["|", num(4), num(2), num(16), num(1) + "." + num(1) + ".", "the", "of", "is", "to"]), "O"))
-        return out
+            if r < 0.13:
+                w = pick("at at at to of and the in is by with from on a i y e my".split())
+            elif r < 0.18:
+                w = pick(cues)
+            elif r < 0.25:
+                w = pick(["|", "=", "-", num(1), num(2), num(4), num(9), num(16), f"{num(2)}:{num(2)}", f"{num(1)}.{num(2)}", f"{num(3)}.{num(3)}.{num(2)}.{num(3)}", f"{word()}.{num(2)}@{word()}.example.com", f"{num(4)}-{num(2)}-{num(2)}", f"{num(3)}-{num(3)}", f"v{num(1)}.{num(1)}", word() + num(2)])
+            else:
+                w = word()
+            r = rng.random()
+            if out and out[-1][0].rstrip(".,:;").lower() in titles:
+                w = w.lower()
+            elif style > 0.85:
+                w = w.upper()
+            elif not out or style < 0.3 or r < 0.12 or out[-1][0][-1] in ".?!":
+                w = w.capitalize()
+            if rng.random() < 0.3 and w.lower() not in titles:
+                w += pick([".", ".", ",", ";", "?", "***", "###", "!!", "%%%", "$$$", "&&&", '"', ")"])
+            out += [(w, "O")] * (int(rng.integers(2, 8)) if rng.random() < 0.05 and w.lower() not in titles else 1)
+        return out[:k]
+
+    def name() -> list[tuple[str, str]]:
+        k = int(rng.integers(1, 4))
+        part = lambda i: f"{word()[0].upper()}." if i == 1 and k == 3 else word().capitalize()
+        return [(part(i), "name" if i == 0 else "name+") for i in range(k)]
 
     def datum(kind: int) -> list[tuple[str, str]]:
-        hexa = "".join(pick("0123456789abcdef") for _ in range(int(rng.integers(24, 48))))
         if kind == 0:
-            cue = pick([["token", "="], ["key", "="], ["password", "="], ["secret", ":"], ["api", "key", "="], ["token:"], ["auth", "token"]])
-            q = pick(['"', '"', "", "'"])
-            return [(c, "O") for c in cue] + [(q + hexa + q, "secret")]
+            secret = pick([lambda: "".join(pick("0123456789abcdef") for _ in range(int(rng.integers(20, 65)))), lambda: "".join(pick("ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz0123456789") for _ in range(int(rng.integers(16, 48)))), lambda: f"{word()}{num(3)}{word().upper()}{num(2)}"])()
+            cue = pick([["token", "="], ["key", "="], ["password", "="], ["secret", ":"], ["api", "key", "="], ["token:"], ["auth", "token"], ["password:"], ["apikey", "="], ["bearer"], ["secret", "is"], ["credential", "="]])
+            if rng.random() < 0.2:
+                cue = [c.upper() for c in cue]
+            q = pick(['"', '"', "", "", "'"])
+            return [(c, "O") for c in cue] + [(q + secret + q + pick(["", "", ",", ";"]), "secret")]
         if kind == 1:
-            cue = pick([["account"], ["account", "number"], ["customer", "id"], ["passport", "no"], ["ssn"], ["iban"]])
-            v = pick([num(9), num(10), num(12), f"{num(3)}-{num(2)}-{num(4)}", "DE" + num(20), "X" + num(8)])
-            return [(c, "O") for c in cue] + [(v, "account")]
+            cue = pick([["account"], ["account", "number"], ["customer", "id"], ["passport", "no"], ["ssn"], ["iban"], ["iban:"], ["account:"], ["member", "no"], ["acct", "nr"], ["customer", "number"]])
+            v = pick([num(8), num(9), num(10), num(12), f"{num(3)}-{num(2)}-{num(4)}", pick(["DE", "FR", "GB"]) + num(20), pick("XCKL") + num(8)])
+            cue = cue + ["is"] * int(rng.random() < 0.3)
+            return [(pick([c, c.capitalize()]), "O") for c in cue] + [(v + pick(["", "", ".", ","]), "account")]
         if kind == 2:
-            cue = pick([["Mr"], ["Mrs"], ["Dr."], ["Prof."], ["Name:"], ["Contact:"], ["Mr."], ["Ms."]])
-            k = int(rng.integers(1, 3))
-            return [(c, "O") for c in cue] + [(word().capitalize(), "name" if i == 0 else "name+") for i in range(k)]
+            cue = pick([["Mr"], ["Mrs"], ["Dr."], ["Prof."], ["Name:"], ["Contact:"], ["Mr."], ["Ms."], ["Dear"], ["Sincerely,"], ["regards,"]])
+            return [(c, "O") for c in cue] + name()
         if kind == 3:
-            return [(f"{word()}.{num(2)}@{word()}{num(1)}.example.{pick(['com', 'org', 'net'])}", "email")]
-        if kind == 4:
-            return [(".".join(str(int(x)) for x in rng.integers(0, 256, 4)), "ip")]
-        parts = pick([[f"+{num(1)}", f"({num(3)})", f"{num(3)}-{num(4)}"], [f"+{num(2)}", num(3), num(7)], [f"({num(3)})", f"{num(3)}-{num(4)}"]])
-        lead = [("call", "O")] if rng.random() < 0.5 or parts[0][0] == "(" else []
-        return lead + [(p, "phone" if i == 0 else "phone+") for i, p in enumerate(parts)]
+            at, dot = pick([("at", "dot"), ("(at)", "(dot)"), ("[at]", "[dot]")])
+            parts = [word(), at, word(), dot, pick(["com", "org", "net", "edu"])]
+            lead = [(c, "O") for c in pick([["mail"], ["email"], ["write", "to"], ["contact"], ["reach"], []])]
+            return lead + [(p, "email_text" if i == 0 else "email_text+") for i, p in enumerate(parts)]
+        parts = pick([[f"({num(3)})", f"{num(3)}-{num(4)}"], [f"{num(3)}-{num(3)}-{num(4)}"], [f"{num(3)}.{num(3)}.{num(4)}"], [f"0{num(3)}", num(7)], [f"0{num(2)}", num(3), num(4)]])
+        lead = pick([["call"], ["phone"], ["tel:"], ["mobile"], ["fax"], ["call", "my", "cell"], ["telephone", "number"]])
+        return [(pick([c, c.capitalize()]), "O") for c in lead] + [(p, "phone_local" if i == 0 else "phone_local+") for i, p in enumerate(parts)]
 
     table = []
     for r in range(rows):
-        cells = prose(int(rng.integers(3, 14)))
-        if r % 6 == 0:
-            # runs of one capitalised word are no names
-            cells += [(word().capitalize() + pick(["", ".", ",", "!!"]), "O")] * int(rng.integers(2, 9))
-        if r % 3:
-            cells += datum(int(rng.integers(6))) + prose(int(rng.integers(0, 9)))
+        cells = prose(int(rng.integers(2, 14)))
+        if r % 5 > 2:
+            tail = prose(int(rng.integers(0, 9)))
+            cells += datum(int(rng.integers(5))) + [(w.lower() if i == 0 else w, x) for i, (w, x) in enumerate(tail)]
         table.append((" ".join(c for c, _ in cells), [x for _, x in cells]))
     return table
 
@@ -218,14 +294,24 @@ def _padded(lengths: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.where(live, starts[:, None] + t[None, :], 0), live
 
 
-def train(table: list[tuple[str, list[str]]], rounds: int = 60, rate: float = 0.2, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features, labels) and transitions (labels, labels) by Adam on the exact log-likelihood."""
+def train(table: list[tuple[str, list[str]]], rounds: int = 70, rate: float = 0.25, spread: float = 1.5) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
+    """Vocabulary, weights (features, labels) and transitions (labels, labels) by Adam on the exact log-likelihood.
+
+    The prior of a weight is Gaussian with deviation ``spread``. Weights of
+    values outside the vocabulary stay zero.
+    """
     raw, off = flat(pa.array([t for t, _ in table], pa.large_string()))
     f = Features(raw, off)
+    vocabulary = Vocabulary(f)
+    index = vocabulary.index(f)
     gold = np.array([LABELS.index(x) for _, xs in table for x in xs])
     starts, lengths = _lines_of(f)
     at, live = _padded(lengths, starts)
-    n_lab, n_feat = len(LABELS), sum(Features.WIDTHS)
+    n_lab, n_feat = len(LABELS), int(vocabulary.base[-1])
+    unknown = vocabulary.base[:-1]
+    # words by feature value, for sums over them
+    by_value = np.argsort(index.ravel(), kind="stable")
+    present, runs = np.unique(index.ravel()[by_value], return_index=True)
     y = np.where(live, gold[at], 0)
     weight, trans = np.zeros((n_feat, n_lab)), np.zeros((n_lab, n_lab))
     state = [np.zeros_like(weight), np.zeros_like(weight), np.zeros_like(trans), np.zeros_like(trans)]
@@ -240,7 +326,7 @@ def train(table: list[tuple[str, list[str]]], rounds: int = 60, rate: float = 0.
         return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
     for r in range(1, rounds + 1):
-        score = weight[f.index].sum(axis=1)
+        score = weight[index].sum(axis=1)
         emit = np.where(live[:, :, None], score[at], 0.0)
         alpha = np.zeros(emit.shape)
         alpha[:, 0] = emit[:, 0]
@@ -254,15 +340,18 @@ def train(table: list[tuple[str, list[str]]], rounds: int = 60, rate: float = 0.
         z = lse(alpha[:, -1], 1)
         prob = np.exp(alpha + beta - z[:, None, None])
         diff = one[gold] - prob[live]
-        grad = np.stack([np.bincount(f.index.ravel(), weights=np.repeat(diff[:, k], f.index.shape[1]), minlength=n_feat) for k in range(n_lab)], axis=1)
+        grad = np.zeros_like(weight)
+        grad[present] = np.add.reduceat(diff[by_value // index.shape[1]], runs, axis=0)
+        grad[unknown] = 0
         joint = np.exp(alpha[:, :-1, :, None] + trans + (emit[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None])
         grad_t = want_trans - joint[pair].sum(axis=0)
-        for k, (p, g) in enumerate(((weight, grad - decay * len(gold) * weight * 0.01), (trans, grad_t - decay * trans))):
+        step = rate * min(1.0, 2 * (1 - r / (rounds + 1)))
+        for k, (p, g) in enumerate(((weight, grad - weight / spread**2), (trans, grad_t - trans / spread**2))):
             m, v = state[2 * k], state[2 * k + 1]
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            p += rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
-    return weight, trans
+            p += step * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
+    return vocabulary, weight, trans
 
 
 def viterbi(score: np.ndarray, trans: np.ndarray, starts: np.ndarray, lengths: np.ndarray, cells: int = 1 << 16) -> np.ndarray:
@@ -295,19 +384,36 @@ def viterbi(score: np.ndarray, trans: np.ndarray, starts: np.ndarray, lengths: n
 
 
 class Tagger:
-    def __init__(self, weight: np.ndarray, trans: np.ndarray):
-        self.weight, self.trans = weight.astype(np.float32), trans.astype(np.float32)
+    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, trans: np.ndarray):
+        self.vocabulary, self.weight, self.trans = vocabulary, weight.astype(np.float32), trans.astype(np.float32)
+        # what a label other than O can gain by its transitions at most, against staying at O
+        self.margin = 2 * (self.trans.max() - self.trans[0, 0])
+
+    def labels(self, f: Features) -> np.ndarray:
+        """Best label of every word."""
+        n = len(f.words.start)
+        index = self.vocabulary.index(f)
+        score = np.zeros((n, len(LABELS)), dtype=np.float32)
+        for c in range(index.shape[1]):
+            score += self.weight[index[:, c]]
+        starts, lengths = _lines_of(f)
+        # a line where no word comes near another label has the best path O
+        near = score[:, 1:].max(axis=1) + self.margin >= score[:, 0]
+        open_line = np.add.reduceat(near, starts) > 0 if n else np.zeros(0, bool)
+        out = np.zeros(n, dtype=np.int8)
+        if open_line.any():
+            s, ls = starts[open_line], lengths[open_line]
+            words = np.repeat(s - (np.cumsum(ls) - ls), ls) + np.arange(ls.sum())
+            out[words] = viterbi(score[words], self.trans, np.cumsum(ls) - ls, ls)
+        return out
 
     def spans(self, raw: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[str, int, int]]]:
         """(kind, start, end) in code points, by document."""
         f = Features(raw, off)
         out: dict[int, list[tuple[str, int, int]]] = {}
-        if not len(f.index):
+        if not len(f.words.start):
             return out
-        score = np.zeros((len(f.index), len(LABELS)), dtype=np.float32)
-        for c in range(f.index.shape[1]):
-            score += self.weight[f.index[:, c]]
-        label = viterbi(score, self.trans, *_lines_of(f))
+        label = self.labels(f)
         hit = np.flatnonzero(label)
         if not len(hit):
             return out
@@ -326,17 +432,47 @@ class Tagger:
         return out
 
 
+_SPELLED = re.compile(r"\S+\s+\W*at\W*\s+\S+\s+\W*dot\W*\s+\S+", re.IGNORECASE)
+#: What people are introduced by.
+TITLES = "mr mrs ms dr prof dear name contact sincerely regards"
+_TITLED = re.compile(rf"(?:^|\W)(?:{'|'.join(TITLES.split())})[.:,]*[^\S\n]+$", re.IGNORECASE)
+
+
+def sound(text: str, kind: str, start: int, end: int) -> bool:
+    """The exact check of an added span: a spelled address has both its signs, and a name follows a title."""
+    if kind == "email_text":
+        return _SPELLED.match(text, start, end) is not None
+    return kind != "name" or _TITLED.search(text[max(0, start - 20) : start]) is not None
+
+
+def apart(spans: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that touch none of ``base``, by one pass over both in order of start."""
+    if not base or not spans:
+        return spans
+    taken = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    out = []
+    for x in spans:
+        before = bisect_left(starts, x[2])
+        if not before or reach[before - 1] <= x[1]:
+            out.append(x)
+    return out
+
+
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Spans of personal data for every row: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found``.
+    """Spans of personal data for every row: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_account, n_name, n_email_text, n_phone_local, n_spans, found``.
 
     ``found`` is an array of (kind, start, end), code points, end exclusive:
     base spans by kind as listed and start, then added ones by kind and start;
-    ``spans`` is the same as text. Null and blank texts have no spans.
-    Repeated rows each get a row; other columns are ignored.
+    ``spans`` is the same as text. The counts of the base kinds hold base spans,
+    the others added ones, ``n_spans`` all. Null and blank texts have no spans,
+    an empty table gives an empty result. Of added spans that touch a base span
+    the base one stays. Repeated rows each get a row; other columns are
+    ignored. A long text is read whole, alone in its slice.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(labelled_table()))
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -349,18 +485,20 @@ def find(docs: DataFrame) -> DataFrame:
                 added = tagger.spans(*flat(part.column("text")))
                 counts, digests, joined, found = [], [], [], []
                 for d, text in enumerate(part.column("text").to_pylist()):
-                    base = base_spans(text or "")
-                    own = [(KINDS[k], s, e) for k, s, e in base]
-                    new = [x for x in added.get(d, ()) if not any(s < x[2] and x[1] < e for _, s, e in own)]
+                    base = [(KINDS[k], s, e) for k, s, e in base_spans(text or "")]
+                    new = [x for x in apart(added.get(d, []), base) if sound(text, *x)]
                     new.sort(key=lambda x: (ADDED.index(x[0]), x[1]))
-                    counts.append([sum(1 for k, _, _ in base if k == i) for i in range(4)])
-                    digests.append(hashlib.sha256(_joined(own).encode()).hexdigest())
-                    joined.append(_joined(own + new))
-                    found.append([{"kind": k, "start": s, "end": e} for k, s, e in own + new])
-                cols = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
+                    kinds = Counter(k for k, _, _ in base + new)
+                    counts.append([*(kinds[k] for k in KINDS + ADDED), len(base) + len(new)])
+                    digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
+                    joined.append(_joined(base + new))
+                    found.append([{"kind": k, "start": s, "end": e} for k, s, e in base + new])
+                numbers = np.array(counts, dtype=np.int64).reshape(-1, len(KINDS) + len(ADDED) + 1)
+                cols = [pa.array(numbers[:, i]) for i in range(numbers.shape[1])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *cols, pa.array(digests), pa.array(joined), pa.array(found, pa.list_(span_type))],
-                    names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "found"],
+                    [part.column("doc_id"), *cols[: len(KINDS)], pa.array(digests), pa.array(joined), *cols[len(KINDS) :], pa.array(found, pa.list_(span_type))],
+                    names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", *[f"n_{k}" for k in ADDED], "n_spans", "found"],
                 )
 
-    return src.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long>>")
+    longs = lambda names: ", ".join(f"n_{k} long" for k in names)
+    return src.mapInArrow(run, f"doc_id long, {longs(KINDS)}, base_sha256 string, spans string, {longs(ADDED)}, n_spans long, found array<struct<kind:string,start:long,end:long>>")
