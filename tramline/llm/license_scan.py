@@ -1,107 +1,171 @@
 """Licence scan by canonical digests.
 
-A text is canonicalised line by line: lower case, equivalent spellings made
-one, punctuation to spaces, copyright lines dropped. The digest of the whole
-canonical text is hash-joined to the digests of known licence texts; so are
-the digests of its single lines, which finds one-line notices inside other
-text. The table of known digests is a constant of the library, so it is
-broadcast; nothing else moves. All steps are DataFrame functions, and the SQL
-form of the same steps comes from the same constants.
+A text is canonicalised whole: lower case, punctuation and white space to
+single spaces, copyright lines dropped, lines joined, and then equivalent
+spellings made one, so neither wrapping nor a spelling across a line break
+matters. The digest of the canonical text is hash-joined to the digests of
+known licence texts; so are the digests of its single lines, which finds
+one-line notices inside other text. Known texts are a table and may be given;
+the default holds public licence texts and notices. Only lines of a length
+that some known text has are looked up, and only digests move, never texts.
+The SQL form of the same steps comes from the same constants.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .license_texts import DIGESTS, LICENSES
+from .textkernel import slices
 
-#: Pattern -> replacement on lower-cased text, in this order; the same in Java, Python and RE2.
-RULES = [
-    (r"licence", "license"),
-    (r"licencing", "licensing"),
-    (r"sub-?license", "sublicense"),
-    (r"non-?commercial", "noncommercial"),
-    (r"copyright[ ]?holder", "copyright owner"),
-    (r"favour", "favor"),
-    (r"merchantibility", "merchantability"),
-    (r"https?://", ""),
+#: Pattern -> replacement on a lower-cased line, in this order; the same in RE2 and Python.
+PATTERNS = [
     (r"\(c\)|©", " copyright "),
+    (r"https?://", " "),
     (r"[\x00-\x2F\x3A-\x60\x7B-\x7F‘’“”–—]+", " "),
 ]
-COPYRIGHT = r"^(copyright |all rights reserved$)"
+#: Equivalent spellings in canonical text, in this order.
+SPELLINGS = [
+    ("licenc", "licens"),
+    ("sub licens", "sublicens"),
+    ("non commercial", "noncommercial"),
+    ("copyright holder", "copyright owner"),
+    ("acknowledgement", "acknowledgment"),
+    ("authoris", "authoriz"),
+    ("favour", "favor"),
+    ("judgement", "judgment"),
+    ("merchantibility", "merchantability"),
+    ("organis", "organiz"),
+    ("per cent", "percent"),
+    ("recognis", "recogniz"),
+    ("utilis", "utiliz"),
+    ("whilst", "while"),
+]
+COPYRIGHT = r"^copyright (copyright|[0-9]{4}|year|yyyy)|^all rights reserved$"
+
+
+def _spelled(text: pa.Array) -> pa.Array:
+    for old, new in SPELLINGS:
+        text = pc.replace_substring(text, old, new)
+    return text
+
+
+def _flat_lines(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Canonical lines of all texts, spellings apart, without empty and copyright lines; and each text's offset into them."""
+    lines = pc.split_pattern(pc.fill_null(text.cast(pa.string()), ""), "\n")
+    edge = np.concatenate([[0], np.cumsum(pc.list_value_length(lines).to_numpy(zero_copy_only=False))])
+    line = pc.utf8_lower(pc.list_flatten(lines))
+    for pattern, to in PATTERNS:
+        line = pc.replace_substring_regex(line, pattern, to)
+    line = pc.utf8_trim(line, " ")
+    stay = pc.and_(pc.not_equal(line, ""), pc.invert(pc.match_substring_regex(line, COPYRIGHT)))
+    kept = np.concatenate([[0], np.cumsum(stay.to_numpy(zero_copy_only=False))])
+    return line.filter(stay), kept[edge]
 
 
-def canonical_line(line: Column) -> Column:
-    """One line in canonical form; empty for a copyright line."""
-    out = F.lower(line)
-    for pattern, to in RULES:
-        out = F.regexp_replace(out, pattern, to)
-    out = F.trim(out)
-    return F.when(out.rlike(COPYRIGHT), "").otherwise(out)
+def canonical(text: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Canonical texts; canonical lines; and each text's offset into the lines."""
+    line, edge = _flat_lines(text)
+    lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), line)
+    return _spelled(pc.binary_join(lists, " ")), _spelled(line), edge
 
 
 def canonical_text(text: str) -> str:
-    """The canonical form in Python, for the table of known texts."""
-    lines = []
-    for line in text.split("\n"):
-        line = line.lower()
-        for pattern, to in RULES:
-            line = re.sub(pattern, to, line)
-        line = line.strip(" ")
-        if line and not re.search(COPYRIGHT, line):
-            lines.append(line)
-    return " ".join(lines)
-
-
-def known() -> list[tuple[str, str]]:
-    """(digest, licence) of every known text; a text given twice keeps its first name."""
-    out: dict[str, str] = {}
-    for name, text in LICENSES:
-        out.setdefault(hashlib.sha256(canonical_text(text).encode()).hexdigest(), name)
-    for name, digest, _ in DIGESTS:
-        out.setdefault(digest, name)
-    return sorted(out.items())
-
-
-def scan(docs: DataFrame) -> DataFrame:
+    return canonical(pa.array([text], pa.string()))[0][0].as_py()
+
+
+def _sha(text: str | None) -> str:
+    return hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def known(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
+    """``digest, license, n_chars``: a table of known texts, from ``license, text`` or the built-in ones.
+
+    A text given twice keeps the name that comes first in the alphabet. Rows
+    without name, and texts that are empty when canonical, are left out.
+    """
+    if texts is None:
+        rows = {(_sha(c), n, len(c)) for n, t in LICENSES for c in [canonical_text(t)]} | {(d, n, k) for n, d, k in DIGESTS}
+        table = spark.createDataFrame(sorted(rows), "digest string, license string, n_chars long")
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch):
+                    whole = canonical(part.column("text"))[0].to_pylist()
+                    yield pa.RecordBatch.from_arrays([pa.array([_sha(x) for x in whole]), part.column("license"), pa.array([len(x) for x in whole], pa.int64())], names=["digest", "license", "n_chars"])
+
+        table = texts.select(F.col("license").cast("string"), F.col("text").cast("string")).where("license IS NOT NULL AND text IS NOT NULL")
+        table = table.mapInArrow(run, "digest string, license string, n_chars long").where("n_chars > 0")
+    return table.groupBy("digest").agg(F.min("license").alias("license"), F.max("n_chars").alias("n_chars"))
+
+
+def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """``doc_id, digest, license, notices`` for every row of ``docs``.
 
     ``digest`` (SHA-256, hex) is of the whole canonical text, ``license`` the
     known licence with that digest or null, ``notices`` the sorted known
-    licences whose text is a single line of the document. Null, blank and
-    copyright-only texts have the digest of the empty text and no licence.
-    Repeated rows each get a row; other columns are ignored.
+    licences whose text is a single line of the document. ``texts`` (license,
+    text) replaces the built-in known texts. Null, blank and copyright-only
+    texts have the digest of the empty text and no licence. Repeated rows each
+    get a row; of equal known texts the first name holds. An empty table gives
+    an empty result. A long text is canonicalised whole, alone in its slice.
+    Other columns are ignored.
     """
-    table = known()
-    spark = docs.sparkSession
-    names = spark.createDataFrame(table, "digest string, license string")
-    lookup = F.create_map(*[F.lit(x) for pair in table for x in pair])
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1), canonical_line), lambda s: s != "")
-    whole = docs.select(F.col("doc_id").cast("long"), lines.alias("lines"))
-    digest = F.sha2(F.array_join("lines", " ").cast("binary"), 256)
-    longest = max(*(len(canonical_text(t)) for _, t in LICENSES), *(n for _, _, n in DIGESTS))
-    short = F.filter("lines", lambda s: F.length(s) <= longest)
-    notices = F.array_sort(F.array_distinct(F.filter(F.transform(short, lambda s: lookup[F.sha2(s.cast("binary"), 256)]), lambda x: x.isNotNull())))
-    found = whole.select("doc_id", digest.alias("digest"), notices.alias("notices"))
-    return found.join(F.broadcast(names), "digest", "left").select("doc_id", "digest", "license", "notices")
+    table = materialize(known(docs.sparkSession, texts), "known-licences")
+    # as many as there are lengths of known texts, at most one per character of the longest
+    sizes = pa.array([r[0] for r in table.select("n_chars").distinct().collect()], pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                whole, line, edge = canonical(part.column("text"))
+                fits = pc.is_in(pc.utf8_length(line).cast(pa.int32()), value_set=sizes)
+                doc = np.repeat(np.arange(part.num_rows), np.diff(edge))[fits.to_numpy(zero_copy_only=False)]
+                hashes = pa.array([_sha(x) for x in line.filter(fits).to_pylist()], pa.string())
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)), hashes)
+                digest = pa.array([_sha(x) for x in whole.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k1"), part.column("k2"), digest, lists], names=["doc_id", "k1", "k2", "digest", "lines"])
+
+    text = F.col("text").cast("string")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(17), text).alias("k2"), text.alias("text"))
+    slim = materialize(src.mapInArrow(run, "doc_id long, k1 long, k2 long, digest string, lines array<string>"), "licence-digests")
+    names = table.select("digest", "license")
+    hits = slim.select("k1", "k2", F.explode("lines").alias("digest")).join(names, "digest")
+    hits = materialize(hits.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("license")).alias("notices")), "notices")
+    found = slim.join(hits, ["k1", "k2"], "left").join(names, "digest", "left")
+    return found.select("doc_id", "digest", "license", F.coalesce("notices", F.expr("CAST(array() AS array<string>)")).alias("notices"))
 
 
 def oracle() -> str:
     """The same scan as DuckDB SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     line = "lower(s)"
-    for pattern, to in RULES:
+    for pattern, to in PATTERNS:
         line = f"regexp_replace({line}, {quote(pattern)}, {quote(to)}, 'g')"
-    values = ", ".join(f"({quote(d)}, {quote(n)})" for d, n in known())
+
+    def spelled(x: str) -> str:
+        for old, new in SPELLINGS:
+            x = f"replace({x}, {quote(old)}, {quote(new)})"
+        return x
+
+    rows: dict[str, str] = {}
+    for d, n in sorted([(_sha(canonical_text(t)), n) for n, t in LICENSES] + [(d, n) for n, d, _ in DIGESTS]):
+        rows.setdefault(d, n)
+    values = ", ".join(f"({quote(d)}, {quote(n)})" for d, n in rows.items())
     return f"""
         WITH known(kd, kl) AS (VALUES {values}),
         raw AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         cut AS (SELECT r, doc_id, list_filter(list_transform(ls, lambda s: trim({line})), lambda s: s <> '' AND NOT regexp_matches(s, {quote(COPYRIGHT)})) AS ls FROM raw),
-        dig AS (SELECT r, doc_id, ls, sha256(array_to_string(ls, ' ')) AS digest FROM cut),
+        dig AS (SELECT r, doc_id, list_transform(ls, lambda s: {spelled("s")}) AS ls, sha256({spelled("array_to_string(ls, ' ')")}) AS digest FROM cut),
         hits AS (SELECT r, list_sort(list_distinct(list(kl))) AS notices FROM (SELECT r, unnest(ls) AS s FROM dig) JOIN known ON sha256(s) = kd GROUP BY r)
         SELECT d.doc_id, d.digest, k.kl AS license, coalesce(h.notices, CAST([] AS VARCHAR[])) AS notices
         FROM dig d LEFT JOIN known k ON d.digest = k.kd LEFT JOIN hits h ON h.r = d.r

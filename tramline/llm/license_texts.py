@@ -110,25 +110,32 @@ LICENSES += [(x, f"SPDX-License-Identifier: {x}") for x in _SPDX]
 #: Full texts too long to keep here: licence, digest (SHA-256 of the canonical text), length of the canonical text.
 #: Texts as distributions carry them; where one ends its terms with END OF TERMS AND CONDITIONS, also up to there.
 DIGESTS: list[tuple[str, str, int]] = [
-    ("Apache-2.0", "21471e653b23940045a25aec9cc8f09c757b5db830f6ee0de2d227aeb0c6f490", 9619),
-    ("Apache-2.0", "683ccd724dfa793ed99ecc8460babfa7ec659003496326927ad0d88261abcd71", 8680),
-    ("Apache-2.0", "89f0b0de9d03523486e6ac0bd845dad0e8bf16d0489b3d57ac79db6e38b735aa", 8608),
-    ("Apache-2.0", "cad1b7ee24e79c80c246b96ab6128871a0760f54255754afa98fbe2d599a74a9", 9691),
-    ("CC-BY-SA-4.0", "def99b23ba8930a02c111ffb99c0c4f55f9fd9bb38ad3ffe9df58fde3aac4247", 17344),
+    ("Apache-2.0", "26924b00f8834a1456cd509945dfd38a032c40ee469d6c5abe670ddbfd18dc6d", 8881),
+    ("Apache-2.0", "2b84a2593e5db43b337c87c67ba24cb8a529e89f848cea869d1ae0aaa57faefc", 8841),
+    ("Apache-2.0", "51c053cebc5bfb1ed05e42ec4868805dd6944edf8695ebfd550d24d738df302d", 8869),
+    ("Apache-2.0", "673111ae54c4173bc8433f3200a04f229eb09a971ea46f2b7f31b4669954e9ff", 9880),
+    ("Apache-2.0", "8726fe413072114ca343d8f0053974723467cca802aa3e37c088f780f2cab206", 9383),
+    ("Apache-2.0", "8abe7e52f36f019d0eef3a517009ebca811a44687f0d0398a6c4f17b5a5647d0", 9892),
+    ("Artistic-1.0-Perl", "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93", 5823),
+    ("BSL-1.0", "7442addb08927564a6aefb68009afaa4aadf14d9dc8faaae9539cd1b14a7e5e5", 1293),
+    ("BlueOak-1.0.0", "3da82a79ef000530e0b1d7b8009c64e93b6654c399c2ea8d5e593474e521607f", 1465),
+    ("CC-BY-SA-4.0", "e45e5ebe59ffd98bea05ce34e3fc82d3ada480ba973e82805782bc27e487fd2b", 17245),
+    ("CC-BY-SA-4.0", "fe8c455f8610beec5f8e3feec6a328188db60017bb58cd7ed36cd61f35b7a81f", 14680),
     ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", 6692),
-    ("GPL-2.0", "5e9874a182b8e50f136aed39c11d5b872aaa6c94c59b0780c37559869ffd0faa", 14415),
-    ("GPL-2.0", "a692f1cb3097cff45a40a996ead5dd80162238fb68187fdcd1a02eb56656e007", 14452),
-    ("GPL-2.0", "b44c1a4204822f8297150b20c4e03f0f75c0495cb2dfec918d9b9d7a782da346", 17089),
-    ("GPL-2.0", "ed3d3f9a2495b7766b98276775866d66a519584bc05be8ab3d2d6b29152f0707", 17057),
-    ("GPL-3.0", "996626ab59115f1dd3f34cc74cdf911da64342247a032c90152188aa70b8bee0", 33290),
-    ("GPL-3.0", "a2b3517816357bbe78928364cffd28a31a647f17ba936b1a3803030596446f4b", 30853),
-    ("GPL-3.0", "d0d75d92350c135a3bc6f07d5760cd111b93c8fd80cdbb867fc064fe6822812d", 30758),
-    ("GPL-3.0", "f7dbd2130e879f2125e37ceb3d006e2e35c7a2e1ad95e05b69f119040147ff31", 33189),
-    ("LGPL-2.0", "11e3c6b677207da4051366e158907dd6f7209ed89198cf2dcbadb81b40ad29b1", 23932),
-    ("LGPL-2.0", "5415f42d1244bed30a5d1bc658da2dc9c6f7f48227b1d3474450816329ad91e1", 22142),
-    ("LGPL-2.1", "0720e15a1dee45155d7185e358bd31101eb1dd59c94dc249fb409f9811ad8540", 23230),
-    ("LGPL-2.1", "0ef3b42e72472128abbdf18e99fa5bc9e149587020f3081179d818e4ad7abb3f", 25019),
+    ("GFDL-1.2", "274e3fa4591a80eebc8e3ef47ebbd37d9bdf263d33495c417079920cb6caac2f", 19571),
+    ("GFDL-1.3", "5e8b488ff84a1a3e9954cf9b716c8c56e4292049bc7606827bd08842f6de23ea", 21995),
+    ("GPL-1.0", "0dd6055657537c68401626873e347732e284f7e1f5d33fbccd8791d47450eb38", 11770),
+    ("GPL-1.0", "3b5b36de4a3801680b9eb44e80739b3aeb71c4bf6ca623ee5f87b2e2b03d3ed9", 9412),
+    ("GPL-2.0", "a76cc6ce70778ba70e43b9b1838f9e3f88b3fc7c5acbb3b8a9847918003b63e0", 14479),
+    ("GPL-2.0", "c5626516907c9b28f97a88db36f7dbe90174e04e4e97c6c772f3a44039e7f51d", 17121),
+    ("GPL-3.0", "3c60f0626ebfd5047a8fecb7975a87632c398af2ffc3f654b0468267ac29a764", 33388),
+    ("GPL-3.0", "4a9083dfa89bea4f460e373a4c7a4645205d5e3d3be775d544b10357e357f57b", 30957),
+    ("LGPL-2.0", "7d5246cc24a9d78fffd01a07fbc2e71edd1e94ad8d403f3180a4cf5fef43d389", 22273),
+    ("LGPL-2.0", "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e", 24126),
+    ("LGPL-2.1", "65484d3c9f900f96945bd4e6c5397aaa24f93bdc8f720eae06fbd377c62cfe97", 23361),
+    ("LGPL-2.1", "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692", 25213),
     ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 7104),
-    ("MPL-2.0", "0a9e3d32a7f24bf01d16516a5abfba9b19d53f60aef0a720705e0580ea38d942", 14266),
+    ("MPL-1.1", "29e875624ff654dd4ec54fe533df83df152625ff21f26f7c229917a2494754ad", 22474),
+    ("MPL-2.0", "48c053e1182a1be98be381314f1e8433c3c46bc995b108845dfce1b28ef797c4", 14344),
     ("Unlicense", "248c77414369ce4b842760d0241cb8184f0805a4354f498a6fb7f7b027ee767e", 1165),
 ]
