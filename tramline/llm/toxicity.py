@@ -4,7 +4,8 @@ Learning. From at most ``SAMPLE`` labelled documents (distinct texts, chosen
 by a hash of the text) each feature - a word, and its leading 4 to 8 bytes
 when longer - gets the log-odds of occurring in toxic against other documents
 under an informative Dirichlet prior. Features whose log-odds less
-``MARGIN`` deviations reach ``LEAST_GAIN`` form the lexicon, at most ``LEXICON``.
+``MARGIN`` deviations reach ``LEAST_GAIN`` form the lexicon; all of them, and as they come
+from the sample, their number is bounded with it.
 
 Scoring. A word scores its best feature's log-odds, any other word a constant
 loss. One linear scan finds all maximal scoring segments of the whole text
@@ -23,14 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .textkernel import U64, Cores, flat, mix, slices, span_hashes
 
-#: Bounds of what is gathered: labelled documents that are learnt from, and lexicon entries.
-SAMPLE, LEXICON = 20_000, 50_000
+#: Labelled documents that are learnt from, at most: the documented bound of what is gathered.
+SAMPLE = 20_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: The prior weighs as much as this share of the sample.
 PRIOR, MARGIN, LEAST_GAIN, LOSS, SIGNIFICANT = 0.025, 1.5, 2.0, -0.4, 0.5
@@ -139,13 +140,13 @@ class Model:
         return 1 / (1 + np.exp(-(self.slope * evidence + self.offset)))
 
 
-def log_odds(yes: np.ndarray, no: np.ndarray, n_yes: float, n_no: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds under a Dirichlet prior proportional to overall frequency, and their deviation."""
-    both, mass = yes + no, PRIOR * (n_yes + n_no)
-    prior = PRIOR * both
-    a, b = yes + prior * n_yes / (n_yes + n_no), no + prior * n_no / (n_yes + n_no)
-    odds = np.log(a / np.maximum(n_yes + mass - a, 1e-9)) - np.log(b / np.maximum(n_no + mass - b, 1e-9))
-    return odds, np.sqrt(1 / a + 1 / b)
+def _gain(n_yes: float, n_no: float) -> Column:
+    """Log-odds under a Dirichlet prior proportional to overall frequency, less MARGIN deviations, as a column over yes and no."""
+    n, mass = n_yes + n_no, PRIOR * (n_yes + n_no)
+    prior = PRIOR * (F.col("yes") + F.col("no"))
+    a, b = F.col("yes") + prior * n_yes / n, F.col("no") + prior * n_no / n
+    odds = F.log(a / F.greatest(n_yes + mass - a, F.lit(1e-9))) - F.log(b / F.greatest(n_no + mass - b, F.lit(1e-9)))
+    return odds - MARGIN * F.sqrt(1 / a + 1 / b)
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
@@ -157,29 +158,28 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     return chosen.groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
-def moment_root(hits: np.ndarray, words: float) -> float:
-    """The scale at which scores of ``hits``, and LOSS for the rest of ``words``, have an exponential moment of one."""
+def moment_root(hits: np.ndarray, words: float, times: np.ndarray | float = 1.0) -> float:
+    """The scale at which scores of ``hits`` (each ``times``), and LOSS for the rest of ``words``, have an exponential moment of one."""
+    times = np.broadcast_to(times, hits.shape)
     lo, hi = 0.0, 50.0
     for _ in range(200):
         mid = (lo + hi) / 2
-        moment = np.exp(np.minimum(mid * hits, 600)).sum() / words + (1 - len(hits) / words) * np.exp(mid * LOSS)
+        moment = (times * np.exp(np.minimum(mid * hits, 600))).sum() / words + (1 - times.sum() / words) * np.exp(mid * LOSS)
         lo, hi = (mid, hi) if moment < 1 else (lo, mid)
     return max(lo, 1e-3)
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
-    """Learn lexicon and calibration; without labels of both kinds every text scores 0."""
+    """Learn lexicon and calibration; without labels of both kinds, or without texts, every text scores 0."""
     train = materialize(sample(docs, labels, size), "toxic-sample")
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     n_yes, n_no = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     if not n_yes or not n_no:
         return Model(Lexicon(np.zeros(0, U64), np.zeros(0)), 1.0, 1.0, 0.0, -50.0)
     counts = train.mapInArrow(_count, "feature long, yes long, no long").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    # only what occurs in five toxic documents or more, and there more often than elsewhere, can enter the lexicon
-    top = counts.where((F.col("yes") >= 5) & (F.col("yes") * n_no > 4 * F.col("no") * n_yes)).orderBy(F.desc("yes"), "no", "feature").limit(LEXICON).toPandas()
-    odds, dev = log_odds(top["yes"].to_numpy(float), top["no"].to_numpy(float), n_yes, n_no)
-    gain = odds - MARGIN * dev
-    lexicon = Lexicon(top["feature"].to_numpy().astype(np.int64).view(np.uint64)[gain >= LEAST_GAIN], gain[gain >= LEAST_GAIN])
+    # the gain test runs where the counts are; what passes it is the lexicon
+    top = counts.withColumn("gain", _gain(n_yes, n_no)).where(F.col("gain") >= LEAST_GAIN).select("feature", "gain").toPandas()
+    lexicon = Lexicon(top["feature"].to_numpy().astype(np.int64).view(np.uint64), top["gain"].to_numpy(float))
     shared = train.sparkSession.sparkContext.broadcast(lexicon)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,20 +188,31 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
                 words, found, gains = shared.value.segments(*flat(part.column("text")))
                 scores = [[s for _, _, s in found.get(d, ())] for d in range(part.num_rows)]
                 single = [gains.get(d, ()) for d in range(part.num_rows)]
+                best = [max(x, default=0.0) for x in scores]
                 kind = pa.list_(pa.float64())
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(words.astype(np.int64)), pa.array(scores, kind), pa.array(single, kind)], names=["toxic", "words", "scores", "gains"])
-
-    # at most ``size`` rows of numbers
-    seen = train.mapInArrow(scan, "toxic int, words long, scores array<double>, gains array<double>").toPandas()
-    calm = seen[seen.toxic == 0]
-    # score distribution of other text: mostly the loss, some hits, and one unseen hit of the largest gain
-    hits = np.concatenate([np.asarray(x, float) for x in calm.gains] + [np.array([lexicon.gain.max(initial=1.0)])])
-    scale = moment_root(hits, float(calm.words.sum()) + 1)
-    best = np.array([max(x, default=0.0) for x in calm.scores])
-    location = len(calm) / float((np.maximum(calm.words.to_numpy(), 1) * np.exp(-scale * best)).sum())
-    model = Model(lexicon, scale, location, 1.0, 0.0)
-    x = np.array([model.evidence([(0, 0, s) for s in sc], w) for sc, w in zip(seen.scores, seen.words, strict=True)])
-    y = seen.toxic.to_numpy(float)
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(words.astype(np.int64)), pa.array(best, pa.float64()), pa.array(scores, kind), pa.array(single, kind)], names=["toxic", "words", "best", "scores", "gains"])
+
+    seen = materialize(train.mapInArrow(scan, "toxic int, words long, best double, scores array<double>, gains array<double>"), "toxic-scan")
+    calm = seen.where("toxic = 0")
+    # score distribution of other text: mostly the loss, some hits (as many rows as the lexicon has gains), and one unseen hit of the largest gain
+    hits = calm.select(F.explode("gains").alias("gain")).groupBy("gain").agg(F.count("*").alias("n")).toPandas()
+    gains, times = np.append(hits["gain"].to_numpy(float), lexicon.gain.max(initial=1.0)), np.append(hits["n"].to_numpy(float), 1.0)
+    total = calm.agg(F.sum("words").alias("words"), F.count("*").alias("docs")).first()
+    scale = moment_root(gains, float(total["words"]) + 1, times)
+    law = calm.agg(F.sum(F.greatest("words", F.lit(1)) * F.exp(-scale * F.col("best"))).alias("z")).first()["z"]
+    model = Model(lexicon, scale, float(total["docs"]) / float(law), 1.0, 0.0)
+    known = train.sparkSession.sparkContext.broadcast(model)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, scores = batch.column("words").to_pylist(), batch.column("scores").to_pylist()
+            got = [known.value.evidence([(0, 0, s) for s in sc], w) for sc, w in zip(scores, words, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(got, pa.float64())], names=["toxic", "evidence"])
+
+    # two numbers per document of the sample
+    pairs = seen.select("toxic", "words", "scores").mapInArrow(weigh, "toxic int, evidence double").toPandas()
+    discard(train, seen)
+    x, y = pairs["evidence"].to_numpy(float), pairs["toxic"].to_numpy(float)
     w = np.zeros(2)
     design = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(50):
@@ -218,8 +229,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     ``passages`` are the significant segments (first word, last word, score,
     e_value); words are counted without those of punctuation alone. Null and
-    empty texts have none. Repeated rows each get a row; a null doc_id is not
-    held out. Only the text enters the score.
+    empty texts have none, an empty table gives an empty result. Repeated rows
+    each get a row; a null doc_id is not held out. Of segments with equal
+    scores both are kept. A long text is scanned whole, alone in its slice.
+    Only the text enters the score; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
