@@ -9,9 +9,10 @@ count one each, as the tokenizer library does by default.
 
 The join lives inside the task. A join across the cluster would shuffle a row
 per document and distinct pre-token, about 300 a document, which is more bytes
-than the texts themselves; a task instead remembers the counts of up to
-``MEMO`` pre-tokens and starts afresh beyond that, so memory stays bounded and
-a lost executor costs only its own batches.
+than the texts themselves; a task instead remembers the counts of pre-tokens of
+up to ``MEMO`` characters together and starts afresh beyond that. Pre-tokens
+above ``LONGEST`` characters are counted and not remembered, so memory stays
+bounded and a lost executor costs only its own batches.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .textkernel import slices
 
-MEMO = 200_000
-LONGEST = 1 << 12
+#: Characters of remembered pre-tokens, each counted with ``ENTRY`` more for its place; the longest one remembered.
+MEMO, ENTRY, LONGEST = 16_000_000, 64, 256
 #: Fixed value: the pre-token pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -51,20 +52,22 @@ class PieceCounter:
         self.special = regex.compile("|".join(sorted(special, key=len, reverse=True))) if special else None
         self.split = regex.compile(PATTERN)
         self.memo: dict[str, int] = {}
+        self.held = 0
 
     def pieces(self, distinct: list[str]) -> list[int]:
         """Piece counts of pre-tokens, each encoded at most once while it is remembered."""
-        new = [p for p in distinct if p not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new = distinct
+        out = [self.memo.get(p, -1) for p in distinct]
+        new = [i for i, n in enumerate(out) if n < 0]
         for s in range(0, len(new), 4096):
             part = new[s : s + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.memo[p] = len(e)
-        out = [self.memo[p] for p in distinct]
-        if len(self.memo) > MEMO:
-            self.memo = {}
+            for i, e in zip(part, self.tokenizer.encode_batch([distinct[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = len(e)
+                size = len(distinct[i])
+                if size <= LONGEST:
+                    if self.held + size + ENTRY > MEMO:
+                        self.memo, self.held = {}, 0
+                    self.memo[distinct[i]] = out[i]
+                    self.held += size + ENTRY
         return out
 
     def count(self, texts: list[str | None]) -> np.ndarray:
@@ -96,8 +99,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs``.
 
     ``tokenizer_path`` is read where the query is built and its text is sent
-    to the tasks. Null and empty texts have no bytes and no tokens. Repeated
-    rows each get a row; other columns are ignored.
+    to the tasks. Null and empty texts have no bytes and no tokens, an empty
+    table gives an empty result. A text of exactly ``limit`` tokens is not over
+    it. A long text is cut whole, alone in its slice. Repeated rows each get a
+    row; other columns are ignored.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -1,8 +1,8 @@
 """WARC archives with a two-level capture index.
 
-Writing. Each task writes one archive of gzip members, one WARC record per
-member, under a name no other attempt uses, and moves it into place when it is
-complete; the rows the task returns name the file, so only archives of
+Writing. Each task writes archives of gzip members, one WARC record per
+member, under names no other attempt uses, begins another beyond ``ROLL``
+bytes, and moves each into place when it is complete; the rows the task returns name the file, so only archives of
 successful attempts are ever read. A payload that several records share is
 stored once, in the record of the largest page id; the others are revisits.
 
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shared_dir
 
-LINES = 3000
+#: Captures in an index block, rows that a task hands on at once, and bytes of an archive.
+LINES, CHUNK, ROLL = 3000, 8192, 256_000_000
 DATE = "2024-01-01T00:00:00Z"
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -63,15 +64,29 @@ def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri.replace("file:", "file://", 1))
 
 
-def _commit(folder: str, name: str, write) -> str:
-    """Write ``folder/name`` under another name first; the final name holds a complete file or nothing."""
-    fs, root = _fs(folder)
-    fs.create_dir(root, recursive=True)
-    part = f"{root}/.{name}.part"
-    with fs.open_output_stream(part, compression=None) as out:
-        write(out)
-    fs.move(part, f"{root}/{name}")
-    return name
+class _Part:
+    """A file written under another name first; its final name holds a complete file or nothing."""
+
+    def __init__(self, folder: str, kind: str):
+        self.fs, self.root = _fs(folder)
+        self.fs.create_dir(self.root, recursive=True)
+        self.name, self.at = f"{uuid.uuid4().hex}{kind}", 0
+        self.out = self.fs.open_output_stream(f"{self.root}/.{self.name}.part", compression=None)
+
+    def write(self, data: bytes) -> int:
+        """Append; returns where ``data`` starts."""
+        at = self.at
+        self.out.write(data)
+        self.at += len(data)
+        return at
+
+    def commit(self) -> None:
+        self.out.close()
+        self.fs.move(f"{self.root}/.{self.name}.part", f"{self.root}/{self.name}")
+
+
+def _table(rows: list, names: str, kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names.split())
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refers: int | None) -> bytes:
@@ -141,62 +156,55 @@ def originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return keyed.join(materialize(shared, "shared"), "_sha", "left").drop("_sha")
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` as archives in ``folder``; returns the captures ``key, page_id, file, offset, length``."""
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, roll: int = ROLL) -> DataFrame:
+    """Write ``pages`` as archives of about ``roll`` bytes in ``folder``; returns the captures ``key, page_id, file, offset, length``."""
+    names, kinds = "key page_id file offset length", [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, rows = f"{uuid.uuid4().hex}.warc.gz", []
-
-        def write(out) -> None:
-            at = 0
-            for batch in batches:
-                for page_id, url, html, first in zip(*(batch.column(c) for c in ("page_id", "url", "html", "_first")), strict=True):
-                    page_id, first = page_id.as_py(), first.as_py()
-                    payload = html.as_py().encode()
-                    refers = None if first is None or first == page_id else first
-                    member = gzip.compress(record(page_id, url.as_py(), payload, digest(payload), refers), 6, mtime=0)
-                    out.write(member)
-                    rows.append((url_key(url.as_py()), page_id, name, at, len(member)))
-                    at += len(member)
-
-        _commit(folder, name, write)
+        part, rows = None, []
+        for batch in batches:
+            for page_id, url, html, first in zip(*(batch.column(c) for c in ("page_id", "url", "html", "_first")), strict=True):
+                part = part or _Part(folder, ".warc.gz")
+                page_id, first = page_id.as_py(), first.as_py()
+                payload = html.as_py().encode()
+                refers = None if first is None or first == page_id else first
+                member = gzip.compress(record(page_id, url.as_py(), payload, digest(payload), refers), 6, mtime=0)
+                rows.append((url_key(url.as_py()), page_id, part.name, part.write(member), len(member)))
+                if part.at >= roll:
+                    # rows name an archive only once it is complete
+                    part.commit()
+                    yield _table(rows, names, kinds)
+                    part, rows = None, []
         if rows:
-            cols = list(zip(*rows, strict=True))
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "page_id", "file", "offset", "length"])
+            part.commit()
+            yield _table(rows, names, kinds)
 
     return originals(pages, least_bytes).mapInArrow(run, "key string, page_id long, file string, offset long, length long")
 
 
 def build_index(captures: DataFrame, folder: str, lines: int = LINES) -> DataFrame:
     """Write the sorted, block-compressed index; returns the directory ``first, last, file, offset, length, n``."""
+    names, kinds = "first last file offset length n", [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, blocks = f"{uuid.uuid4().hex}.cdx.z", []
-
-        def write(out) -> None:
-            at, held = 0, []
-
-            def flush() -> None:
-                nonlocal at, held
-                if held:
-                    data = zlib.compress("\n".join(json.dumps(r, ensure_ascii=False, separators=(",", ":")) for r in held).encode(), 6)
-                    out.write(data)
-                    blocks.append((held[0][0], held[-1][0], name, at, len(data), len(held)))
-                    at, held = at + len(data), []
-
-            for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    held.append(row)
-                    if len(held) == lines:
-                        flush()
-            flush()
+        part, blocks, held = None, [], []
+
+        def flush() -> None:
+            data = zlib.compress("\n".join(json.dumps(r, ensure_ascii=False, separators=(",", ":")) for r in held).encode(), 6)
+            blocks.append((held[0][0], held[-1][0], part.name, part.write(data), len(data), len(held)))
+            held.clear()
 
-        _commit(folder, name, write)
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = part or _Part(folder, ".cdx.z")
+                held.append(row)
+                if len(held) == lines:
+                    flush()
+        if held:
+            flush()
         if blocks:
-            cols = list(zip(*blocks, strict=True))
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["first", "last", "file", "offset", "length", "n"])
+            part.commit()
+            yield _table(blocks, names, kinds)
 
     # the page id as a second range key: a key that very many captures share still spreads over partitions
     ordered = captures.select("key", "page_id", "file", "offset", "length").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
@@ -255,10 +263,12 @@ def lookup(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
     rows = directory.select("file", F.lit(None).cast("string").alias("key"), entry.alias("entry")).unionByName(wanted)
     sorted_rows = rows.repartition("file").sortWithinPartitions("file", F.col("key").asc_nulls_first())
 
+    names, kinds = "key page_id file offset length", [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, entries, index = None, [], None
+        out: list[list] = []
         for batch in batches:
-            out: list[list] = []
             for file, key, entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if file != current:
                     current, entries, index = file, [], None
@@ -267,11 +277,13 @@ def lookup(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
                     entries.append((e["first"], e["last"], e["file"], e["offset"], e["length"]))
                     continue
                 index = index or Directory(entries, folder)
-                out += index.find(key)
-            if out:
-                cols = list(zip(*out, strict=True))
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "page_id", "file", "offset", "length"])
+                for found in index.find(key):
+                    out.append(found)
+                    if len(out) == CHUNK:
+                        yield _table(out, names, kinds)
+                        out = []
+        if out:
+            yield _table(out, names, kinds)
 
     return sorted_rows.mapInArrow(run, "key string, page_id long, file string, offset long, length long")
 
@@ -317,7 +329,8 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     A null html is an empty payload, a null url the empty key; a null page_id
     is written without a number. Of records with equal payloads all rows with
     the largest page_id are responses (repeated rows repeat), the others
-    revisits. Empty tables give empty results. Other columns are ignored.
+    revisits. Empty tables give empty results. A long payload is one record,
+    never cut. Other columns are ignored.
     """
     folder = f"{shared_dir(pages.sparkSession)}/tramline/warc-{uuid.uuid4().hex}"
     captures = materialize(write_archives(pages, folder, least_bytes), "captures")
