@@ -2,9 +2,12 @@
 
 import base64
 import hashlib
+import math
 import os
 import random
 import re
+import textwrap
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -137,15 +140,15 @@ def test_components(spark):
 
 # ---- lines
 
-def brute_lines(rows, ratio, least_pages, least_hits):
-    pages = defaultdict(set)
+def brute_lines(rows, ratio, distinct_pages=True):
+    pages = defaultdict(set if distinct_pages else list)
     for _, t, s in rows:
         if t is not None:
-            pages[s or ""].add(t)
+            (pages[s or ""].add if distinct_pages else pages[s or ""].append)(t)
     bad = {}
     for host, ts in pages.items():
         n = Counter(line for t in ts for line in {x.strip(" ") for x in t.split("\n")} if line)
-        bad[host] = {x for x, k in n.items() if len(ts) >= least_pages and k >= least_hits and k > ratio * len(ts)}
+        bad[host] = {x for x, k in n.items() if k >= 2 and k > ratio * len(ts)}
     out = []
     for i, t, s in rows:
         keep = None if t is None else [x for x in t.split("\n") if x.strip(" ") not in bad.get(s or "", ())]
@@ -161,10 +164,11 @@ def test_line_dedup_equals_brute_force(spark):
         rows.append((i, "\n".join(lines), rng.choice(["a", "b", None, "small"] if i < 10 else ["a", "b", None])))
     rows += [(400, None, "a"), (401, "", "a"), (402, "Share this\n" * 3000, "a"), (403, rows[0][1], rows[0][2]), (None, "Share this", None)] + [(500 + i, "copied article\nwith two lines", "a") for i in range(200)]
     df = frame(spark, rows).withColumnRenamed("lang", "n_lines")
-    got = line_dedup.drop_boilerplate(df, ratio=0.1).select("doc_id", "text", "n_lines", "n_dropped").collect()
-    want = brute_lines(rows, 0.1, line_dedup.LEAST_PAGES, line_dedup.LEAST_HITS)
-    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
-    assert "copied article" in next(r.text for r in got if r.doc_id == 500)
+    for distinct in (True, False):
+        got = line_dedup.drop_boilerplate(df, ratio=0.1, distinct_pages=distinct).select("doc_id", "text", "n_lines", "n_dropped").collect()
+        want = brute_lines(rows, 0.1, distinct)
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+        assert ("copied article" in next(r.text for r in got if r.doc_id == 500)) is distinct
     cut = line_dedup.cut_lines(frame(spark, rows))
     assert cut.columns == df.withColumnRenamed("n_lines", "lang").columns
     assert line_dedup.drop_boilerplate(frame(spark, [(1, "a", "s")]).limit(0)).count() == 0
@@ -174,7 +178,7 @@ def test_line_dedup_at_every_host_size(spark):
     rows = [(100 * n + i, f"page {i} of {n}\nAll pages of this host", f"h{n}") for n in (3, 9, 19, 20) for i in range(n)]
     rows += [(9000 + i, f"first words {i}\nthe rest is the same\non both pages", "pair") for i in range(2)]
     got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.drop_boilerplate(frame(spark, rows)).collect()}
-    assert got == {i: (0, t) if h == "pair" else (1, t.split("\n")[0]) for i, t, h in rows}
+    assert got == {i: (len(t.split("\n")) - 1, t.split("\n")[0]) for i, t, h in rows}
 
 
 # ---- mixing
@@ -183,8 +187,8 @@ def slow_schedule(q):
     """Earliest deadline first over Pfair windows, slot by slot."""
     total, done, out = sum(q.values()), dict.fromkeys(q, 0), []
     for t in range(total):
-        ready = [(-(-(done[s] + 1) * total // q[s]), s) for s in sorted(q) if done[s] < q[s] and done[s] * total // q[s] <= t]
-        s = min(ready)[1]
+        ready = [(-(-(done[s] + 1) * total // q[s]), q[s], s) for s in sorted(q) if done[s] < q[s] and done[s] * total // q[s] <= t]
+        s = min(ready)[2]
         out.append(s)
         done[s] += 1
     return out
@@ -192,7 +196,10 @@ def slow_schedule(q):
 
 def test_period_is_earliest_deadline_first_with_lag_below_one(spark):
     for q in ({"a": 500, "b": 300, "c": 200}, {"a": 1}, {"a": 7, "b": 3, "c": 3, "d": 1, "e": 1}, {"x": 333, "y": 333, "z": 334}):
-        got = [r.src for r in pfair_mix.period(spark.createDataFrame(list(q.items()), "src string, q long")).orderBy("slot").collect()]
+        rows = pfair_mix.period(spark.createDataFrame(list(q.items()), "src string, q long")).orderBy("slot").collect()
+        divisor = math.gcd(*q.values())
+        assert {(r.src, r.q * divisor, r.total * divisor) for r in rows} == {(x, k, sum(q.values())) for x, k in q.items()}
+        got = [r.src for r in rows] * divisor
         assert got == slow_schedule(q)
         total, seen = sum(q.values()), Counter()
         for t, s in enumerate(got, 1):
@@ -200,6 +207,18 @@ def test_period_is_earliest_deadline_first_with_lag_below_one(spark):
             assert all(abs(q[x] * t - total * seen[x]) < total for x in q)
 
 
+def test_a_period_of_a_hundred_thousand_slots_and_many_equal_sources(spark):
+    start = time.time()
+    for q in ({"a": 60_001, "b": 25_000, "c": 14_998, "d": 1}, {f"s{i}": 1 + i % 3 for i in range(3000)}):
+        rows = pfair_mix.period(spark.createDataFrame(list(q.items()), "src string, q long")).collect()
+        total = sum(q.values())
+        assert sorted(r.slot for r in rows) == list(range(total)) and Counter(r.src for r in rows) == Counter(q)
+        assert all(r.turn * total // q[r.src] <= r.slot < -(-(r.turn + 1) * total // q[r.src]) for r in rows)
+    assert time.time() - start < 60
+    with pytest.raises(Exception, match="period beyond"):
+        pfair_mix.period(spark.createDataFrame([("a", 10**7), ("b", 1)], "src string, q long")).collect()
+
+
 def test_mix_keeps_every_prefix_within_a_block(spark):
     rng = random.Random(6)
     rows = [(i, "t", rng.choice(["a"] * 12 + ["b", "b", "c", None])) for i in range(3000)] + [(None, "t", "a"), (5, "t", "a"), (5, "t", "a")]
@@ -245,13 +264,86 @@ def test_decontamination_catches_copies_and_new_parameters(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
-    rng = random.Random(9)
-    items = [(i, " ".join(f"q{rng.randint(0, 10_000)}x" for _ in range(15))) for i in range(6)]
-    docs = spark.createDataFrame([(i, items[i][1] + " tail " + items[(i + 1) % 6][1]) for i in range(6)], "doc_id long, text string")
-    got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {r.doc_id: r.items for r in got} == {i: sorted([i, (i + 1) % 6]) for i in range(6)}
+def brute_windows(text):
+    """Canonical tokens of a text without names: (token, word) with numbers and units as placeholders, by plain Python."""
+    units, out = set(decontaminate.UNITS.split()), []
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        w = w.strip("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "%"))
+        if w:
+            num = bool(re.fullmatch(r"[0-9][0-9.,:/%$-]*", w))
+            unit = bool(out) and out[-1][0] == "NUM" and w in units
+            out.append(("NUM" if num else "UNIT" if unit else w, w))
+    return out
+
+
+def brute_items(text, item):
+    """The definition for lower-case texts, one pair of windows at a time."""
+    d, b = brute_windows(text), brute_windows(item)
+    size = min(len(b), 8)
+    if not size:
+        return False
+    if size < 3:
+        return [w for _, w in d] == [w for _, w in b]
+    literal = lambda x, i: sum(t not in ("NUM", "UNIT") for t, _ in x[i : i + size]) >= 3
+    at, of = range(len(d) - size + 1), range(len(b) - size + 1)
+    same = [(p, q) for p in at for q in of if literal(b, q) and [t for t, _ in d[p : p + size]] == [t for t, _ in b[q : q + size]]]
+    votes = defaultdict(dict)
+    for p, q in same:
+        for k in range(size):
+            if b[q + k][0] in ("NUM", "UNIT"):
+                votes[p - q][q + k] = (b[q + k][1], d[p + k][1])
+    read = set()
+    for p, q in same:
+        fine = True
+        for k in range(size):
+            if q + k in votes[p - q]:
+                mine, other = votes[p - q][q + k]
+                all_of = [o for m, o in votes[p - q].values() if m == mine]
+                fine &= 2 * all_of.count(other) > len(all_of)
+        if fine or [w for _, w in d[p : p + size]] == [w for _, w in b[q : q + size]]:
+            read.add(q)
+    have = Counter(tuple(w for _, w in d[p : p + size]) for p in at)
+    said, used = set(), Counter()
+    for q in of:
+        w = tuple(x for _, x in b[q : q + size])
+        if used[w] < have[w]:
+            used[w] += 1
+            said.add(q)
+    templates = sum(literal(b, q) for q in of)
+    return len(read) >= min(6, templates) > 0 or len(read | said) >= min(6, len(of)) > 0
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["red", "blue", "tall", "dog", "cat", "saw", "ran", "the", "of", "kg", "km", str(rng.randint(1, 9)), str(rng.randint(10, 99))])
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 3, 5, 8, 9, 13, 20, 30])))) for i in range(40)]
+    docs = []
+    for i in range(150):
+        parts = [word() for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 2)):
+            t = rng.choice(items)[1].split()
+            t = t[: rng.randint(1, len(t))] if rng.random() < 0.3 else t
+            if rng.random() < 0.6:
+                swap = {x: str(rng.randint(1, 99)) for x in t if x.isdigit()}
+                t = [swap.get(x, x) if rng.random() < 0.95 else x for x in t]
+            parts += t + [word() for _ in range(rng.randint(0, 5))]
+        docs.append((i, " ".join(parts)))
+    docs += [(1000 + i, t) for i, t in items] + [(2000, " ".join(["the dog 5 saw"] * 400)), (2001, items[0][1] + " " + items[0][1])]
+    items += [(100, "the dog 5 saw " * 6), (101, "the dog 5 saw " * 6 + "a 6")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {i: sorted(n for n, b in items if brute_items(t, b)) for i, t in docs}
+    assert {r.doc_id: r.items for r in got} == want
+    assert sum(bool(x) for x in want.values()) > 60
+
+
+def test_long_repeats_in_runs_of_diagonals(monkeypatch):
+    item, text = "the dog 5 saw " * 6 + "a 6 cat ran", "the dog 7 saw " * 300 + "a 8 cat ran " + "the dog 5 saw " * 50
+    want = items_found(text, item)
+    bench = decontaminate.Benchmark([1], [item])
+    tokens = decontaminate.Tokens(*decontaminate.flat(pa.array([text])))
+    whole = bench.probe(tokens)
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    assert bench.probe(tokens) == whole and items_found(text, item) == want == [1]
 
 
 def items_found(text, item):
@@ -291,13 +383,6 @@ def test_a_names_position_does_not_decide(monkeypatch):
     assert items_found(moved, item) == [1] and items_found(lines, lines) == [1]
 
 
-def test_blocks_follow_the_number_of_readings(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_READINGS", 500)
-    items = [(i, "\n".join(f"{c}{i}el" for c in "ABCDEFGHIJKL")) for i in range(5)]
-    blocks = list(decontaminate._blocks(spark.createDataFrame(items, "item_id long, text string")))
-    assert len(blocks) > 1 and sorted(i for ids, _ in blocks for i in ids) == list(range(5))
-
-
 def test_passages_of_numbers_and_names_are_compared_word_for_word():
     calc = "Compute 12 + 7 - 3 * 4 / 2 + 18 - 5 * 9 + 6 - 14"
     assert items_found("so then " + calc + ", he said", calc) == [1]
@@ -336,23 +421,57 @@ def test_license_scan_and_its_sql(spark):
 def test_canonical_forms_agree(spark):
     rows = [(n, t) for n, (_, t) in enumerate(LICENSES)]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    first = dict(license_scan.known())
+    first = {r.digest: r.license for r in license_scan.known(spark).collect()}
     for n, (_, t) in enumerate(LICENSES):
         want = hashlib.sha256(license_scan.canonical_text(t).encode()).hexdigest()
         assert got[n].digest == want and got[n].license == first[want]
 
 
+def rewrapped(text, width):
+    """Paragraphs wrapped anew; copyright lines stay lines."""
+    out = []
+    for paragraph in re.split(r"\n\s*\n", text):
+        run = []
+        for line in [*paragraph.split("\n"), None]:
+            if line is None or re.match(r"\W*(copyright|\(c\))\W", line, re.IGNORECASE):
+                out += textwrap.wrap(" ".join(" ".join(run).split()), width, break_long_words=False, break_on_hyphens=False)
+                run = []
+                if line is not None:
+                    out.append(line)
+            else:
+                run.append(line)
+        out.append("")
+    return "\n".join(out)
+
+
+def test_wrapping_and_spelling_do_not_matter():
+    mit = LICENSES[0][1]
+    for width in (40, 61, 200):
+        assert license_scan.canonical_text(rewrapped(mit, width)) == license_scan.canonical_text(mit)
+    odd = mit.replace("sublicense", "sub-\nlicence").replace("COPYRIGHT HOLDERS", "COPYRIGHT\nOWNERS").replace("copies of", "copies\n * of")
+    assert license_scan.canonical_text("Copyright 2021 X\n(c) 2022 Y\n" + odd) == license_scan.canonical_text(mit)
+
+
 def test_full_texts_are_known(spark):
     folder = "/usr/share/common-licenses"
     full = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
     if not os.path.isdir(folder):
         pytest.skip("no licence texts on this machine")
     rows = []
-    for n, f in enumerate(full):
-        with open(f"{folder}/{f}") as text:
-            rows.append((n, text.read()))
-    got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == dict(enumerate(full.values()))
+    for f in full:
+        with open(f"{folder}/{f}") as file:
+            text = file.read()
+        rows += [text, rewrapped(text, 50), rewrapped(text, 110).upper().replace("LICENSE", "LICENCE")]
+    got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(x for x in full.values() for _ in range(3)))
+
+
+def test_known_texts_may_be_given(spark):
+    texts = spark.createDataFrame([("House-1", "You may use\nthis freely."), ("Alias", "You may use this freely"), (None, "x"), ("Empty", "...")], "license string, text string")
+    docs = spark.createDataFrame([(1, "YOU MAY -- use this; freely"), (2, "intro\nyou may use this freely\nend"), (3, "MIT")], "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.notices) for r in license_scan.scan(docs, texts).collect()}
+    assert got == {1: ("Alias", ["Alias"]), 2: (None, ["Alias"]), 3: (None, [])}
+    assert {r.license for r in license_scan.scan(docs, texts.limit(0)).collect()} == {None}
 
 
 # ---- WARC

@@ -47,6 +47,7 @@ def op8_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target weights: no table states any, so each source gets the operator's default, the square root of its size."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source"))
     return pfair_mix.mix(docs)
 
@@ -76,9 +77,9 @@ _OP1 = """
 _OP7 = """
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS ls FROM documents),
     pages AS (SELECT DISTINCT host, text FROM d WHERE text IS NOT NULL),
-    totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host HAVING count(*) >= 20),
+    totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),
     own AS (SELECT host, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda s: trim(s)))) AS line FROM pages),
-    hits AS (SELECT host, line, count(*) AS n FROM own WHERE line <> '' GROUP BY host, line HAVING count(*) >= 3),
+    hits AS (SELECT host, line, count(*) AS n FROM own WHERE line <> '' GROUP BY host, line HAVING count(*) >= 2),
     bad AS (SELECT hits.host, list(line) AS lines FROM hits JOIN totals ON hits.host = totals.host WHERE n > 0.05 * pages GROUP BY hits.host)
     SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines,
         CAST(coalesce(len(list_filter(ls, lambda s: list_contains(coalesce(bad.lines, []), trim(s)))), 0) AS BIGINT) AS n_dropped,
@@ -90,7 +91,7 @@ _OP9 = """
     WITH RECURSIVE counts AS (SELECT coalesce(source, '') AS src, count(*) AS n FROM documents GROUP BY 1),
     roots AS (SELECT src, n, CAST(floor(sqrt(n) * 1000) AS BIGINT) AS r FROM counts),
     target AS (SELECT src, n, greatest(1, 1000 * r // (SELECT CAST(sum(r) AS BIGINT) FROM roots)) AS q FROM roots),
-    ranked AS (SELECT src, n, q, row_number() OVER (ORDER BY src) AS i FROM target),
+    ranked AS (SELECT src, n, q, row_number() OVER (ORDER BY q, src) AS i FROM target),
     w AS (SELECT list(q ORDER BY i) AS qs, CAST(sum(q) AS BIGINT) AS total FROM ranked),
     sched(t, done, pick) AS (
         SELECT CAST(-1 AS BIGINT), (SELECT list_transform(qs, lambda q: CAST(0 AS BIGINT)) FROM w), CAST(0 AS BIGINT)
