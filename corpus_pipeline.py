@@ -50,7 +50,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ]
 
 #: Near-duplicate classes are transitive closures over hashed shingles, which
-#: SQL can't state at this size; tests hold every stage against brute force.
+#: SQL can't state at this size; tests hold the whole run against its stages' brute-force versions.
 ORACLE_SQL = None
 
 
