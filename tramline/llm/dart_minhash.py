@@ -447,12 +447,12 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     gone = materialize(classes.where("doc_id != class_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
     repeated = materialize(classes.groupBy(F.col("doc_id").alias("id")).count().where("id IS NOT NULL AND count > 1").select("id"), "repeated")
     discard(classes)
-    rows = packed(docs, id=F.col("doc_id").cast("long"), text=F.col("text").cast("string"))
+    rows = packed(docs, id=F.col("doc_id").cast("long"))
     some, left = split_by(rows, ["id"], gone)
     left = left.unionByName(some.join(gone, "id", "left_anti"))
     if repeated.isEmpty():
         return left.select("row.*")
     again, once = split_by(left, ["id"], repeated)
-    alone = again.join(repeated, "id", "left_anti").select("id", "text", "row")
-    several = again.join(repeated, "id", "left_semi").dropDuplicates(["id", "text"]).select("id", "text", "row")
-    return once.select("id", "text", "row").unionByName(alone).unionByName(several).select("row.*")
+    alone = again.join(repeated, "id", "left_anti").select("row")
+    several = again.join(repeated, "id", "left_semi").withColumn("text", F.col("row").getField("text").cast("string")).dropDuplicates(["id", "text"]).select("row")
+    return once.select("row").unionByName(alone).unionByName(several).select("row.*")

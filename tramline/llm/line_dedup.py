@@ -73,13 +73,12 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
     hits = found.select("host", "p1", "p2", F.explode("lines").alias("line")).join(bad, ["host", "line"])
     hits = materialize(hits.groupBy("host", "p1", "p2").agg(F.collect_list("line").alias("bad")), "page-lines")
     discard(found, bad)
-    text = F.col("text").cast("string")
-    p1, p2 = _key(text)
-    rows = packed(docs, text=text, host=_host(host), p1=p1, p2=p2)
+    p1, p2 = _key(F.col("text").cast("string"))
+    rows = packed(docs, host=_host(host), p1=p1, p2=p2)
     some, none = split_by(rows, ["host", "p1", "p2"], hits)
-    some = some.join(hits, ["host", "p1", "p2"], "left").select("row", "text", "bad")
-    marked = some.unionByName(none.select("row", "text", F.lit(None).cast(hits.schema["bad"].dataType).alias("bad")))
-    lines = _lines(F.col("text"))
+    some = some.join(hits, ["host", "p1", "p2"], "left").select("row", "bad")
+    marked = some.unionByName(none.select("row", F.lit(None).cast(hits.schema["bad"].dataType).alias("bad")))
+    lines = _lines(F.col("row").getField("text").cast("string"))
     stay = F.when(F.col("bad").isNull(), lines).otherwise(F.filter(lines, lambda s: ~F.array_contains(F.col("bad"), _line_key(F.trim(s)))))
     out = marked.withColumn("stay", stay).select(
         *[(F.array_join("stay", "\n") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
@@ -94,8 +93,7 @@ def cut_lines(docs: DataFrame) -> DataFrame:
 
     Columns are those of ``docs``, whatever their names.
     """
-    row = packed(docs, text=F.col("text"), source=F.col("source"))
-    cut = drop_boilerplate(row).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    cut = drop_boilerplate(packed(docs, text=F.col("text"), source=F.col("source"))).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     changed = F.col("n_dropped") > 0
 
     def column(c: str) -> Column:

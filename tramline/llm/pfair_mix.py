@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, packed
 
-BLOCK, SCALE, PRIME, ROWS = 16, 1000, 1000003, 50_000
+BLOCK, SCALE, PRIME, ROWS = 16, 1000, 1000003, 2000
 #: Slots of a period at most, and slots that one step of the fold works out.
 LIMIT, CHUNK = 1_000_000, 256
 
