@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tramline.llm import dart_minhash, decontaminate, license_scan, line_dedup, pfair_mix, pii, quality, token_counts, toxicity, warc
+from tramline.llm import common, dart_minhash, decontaminate, license_scan, line_dedup, pfair_mix, pii, quality, token_counts, toxicity, warc
 from tramline.llm.common import split_by
 
 from .test_corpus_operators import brute_classes, brute_items, brute_lines, slow_schedule
@@ -52,7 +52,10 @@ def brute_pipeline(docs, items):
     return [r for r in kept if not any(t and brute_items(r[1], t) for k, t in items if k is not None)]
 
 
-def test_pipeline_equals_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("small", [common.SMALL_BYTES, -1])
+def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch, small):
+    # with key tables of any size: broadcast, and behind a filter
+    monkeypatch.setattr(common, "SMALL_BYTES", small)
     docs, items = corpus()
     spark.createDataFrame(docs, SCHEMA).repartition(5).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame(items, BENCH).write.parquet(f"file://{tmp_path}/benchmark.parquet")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words of 64 bits in a key filter, at most: 8 MB whatever the number of keys.
 FILTER_WORDS = 1 << 20
+#: Measured bytes up to which a table of keys goes to every task.
+SMALL_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,3 +86,18 @@ def split_by(df: DataFrame, keys: list[str], held: DataFrame) -> tuple[DataFrame
     one = F.broadcast(materialize(one, "filter"))
     marked = F.call_function("shiftright", F.col("_filter_words")[at.cast("int")], bit).bitwiseAND(F.lit(1).cast("long"))
     return df.join(one, marked == 1).select(*df.columns), df.join(one, marked == 0).select(*df.columns)
+
+
+def meet(df: DataFrame, keys: list[str], held: DataFrame, how: str, width: Column | None = None) -> DataFrame:
+    """Join wide rows with a table of keys (inner, left or left_anti), moving as few of the wide rows as can be.
+
+    ``held`` is written, its keys are unique, and ``width`` estimates a row's
+    bytes. Up to ``SMALL_BYTES`` it is broadcast; beyond, only rows that pass
+    the filter of ``split_by`` move.
+    """
+    size = held.agg(F.sum(F.lit(64) if width is None else width + 64).alias("n")).first()["n"] or 0
+    if size <= SMALL_BYTES:
+        return df.join(F.broadcast(held), keys, how)
+    some, none = split_by(df, keys, held.select(*keys))
+    found = some.join(held, keys, how)
+    return found if how == "inner" else found.unionByName(none, allowMissingColumns=True)

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, packed, split_by
+from .common import discard, materialize, meet, packed, split_by
 from .components import components
 from .textkernel import U64, Words, flat, mix, sequence_keys, slices, unit, windows
 
@@ -423,8 +423,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = materialize(members.join(sizes, "component").select("node", F.col("component").alias("key"), F.col("size").alias("w"), "nb").distinct(), "wanted")
     discard(shared, screened, clusters, sizes)
     # only the texts of clusters move
-    texts, _ = split_by(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")), ["node"], wanted.select("node"))
-    texts = texts.join(wanted, "node").dropDuplicates(["node", "text"])
+    texts = meet(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")), ["node"], wanted, "inner").dropDuplicates(["node", "text"])
     exact = forest(texts, _verify, BLOCK_BYTES, "verify")
     classes = components(exact)
     named = materialize(
@@ -447,9 +446,7 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     gone = materialize(classes.where("doc_id != class_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
     repeated = materialize(classes.groupBy(F.col("doc_id").alias("id")).count().where("id IS NOT NULL AND count > 1").select("id"), "repeated")
     discard(classes)
-    rows = packed(docs, id=F.col("doc_id").cast("long"))
-    some, left = split_by(rows, ["id"], gone)
-    left = left.unionByName(some.join(gone, "id", "left_anti"))
+    left = meet(packed(docs, id=F.col("doc_id").cast("long")), ["id"], gone, "left_anti")
     if repeated.isEmpty():
         return left.select("row.*")
     again, once = split_by(left, ["id"], repeated)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, packed, split_by
+from .common import discard, materialize, meet, packed
 from .textkernel import PUNCT, U64, Cores, flat, mix, slices, span_hashes
 
 SIZE, ENOUGH, LITERALS = 8, 6, 3
@@ -399,11 +399,11 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFram
     several = pairs.groupBy("p1", "p2").agg(F.ceil(F.count("*") / ITEMS).alias("parts"))
     with_items = pairs.join(several, ["p1", "p2"]).join(items, "iid").withColumn("part", F.expr("pmod(xxhash64(iid), parts)"))
     lists = materialize(with_items.groupBy("p1", "p2", "part").agg(F.collect_list(F.struct("iid", "item_id", "text")).alias("items")), "lists")
-    some, _ = split_by(keyed.select("text", "p1", "p2"), ["p1", "p2"], pairs.select("p1", "p2").distinct())
-    texts = some.dropDuplicates(["p1", "p2"]).join(lists, ["p1", "p2"])
+    wanted = materialize(pairs.select("p1", "p2").distinct(), "wanted-texts")
+    texts = meet(keyed.select("text", "p1", "p2"), ["p1", "p2"], wanted, "inner").dropDuplicates(["p1", "p2"]).join(lists, ["p1", "p2"])
     held = texts.select("p1", "p2", "text", "items").mapInArrow(_aligned, "p1 long, p2 long, item_id long")
     found = materialize(held.groupBy("p1", "p2").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "contaminated")
-    discard(items, windows, pairs, lists)
+    discard(items, windows, pairs, lists, wanted)
     return shared, found
 
 
@@ -428,6 +428,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows, found = _matches(slim, benchmark)
     discard(rows)
     _, p1, p2 = _keyed(docs)
-    some, clean = split_by(packed(docs, p1=p1, p2=p2), ["p1", "p2"], found)
-    left = some.join(found.select("p1", "p2"), ["p1", "p2"], "left_anti").select("row")
-    return clean.select("row").unionByName(left).select("row.*")
+    return meet(packed(docs, p1=p1, p2=p2), ["p1", "p2"], found.select("p1", "p2"), "left_anti").select("row.*")

@@ -7,8 +7,9 @@ total, and a line that stands on two pages or more and exceeds ``ratio`` is
 dropped from all of that host's documents, at every host size. All steps are
 DataFrame functions. Lines travel as 128-bit hashes and are counted before
 each shuffle. A page meets its own boilerplate in a join on host and line, so
-no host's lines are ever gathered in one row, and texts of pages that hold
-none don't move.
+no host's lines are ever gathered in one row. Texts don't move as long as the
+pages with boilerplate are a small table, measured in bytes; beyond, only those
+of pages that may hold some do.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, packed, split_by
+from .common import discard, materialize, meet, packed
 
 RATIO = 0.05
 
@@ -74,10 +75,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
     hits = materialize(hits.groupBy("host", "p1", "p2").agg(F.collect_list("line").alias("bad")), "page-lines")
     discard(found, bad)
     p1, p2 = _key(F.col("text").cast("string"))
-    rows = packed(docs, host=_host(host), p1=p1, p2=p2)
-    some, none = split_by(rows, ["host", "p1", "p2"], hits)
-    some = some.join(hits, ["host", "p1", "p2"], "left").select("row", "bad")
-    marked = some.unionByName(none.select("row", F.lit(None).cast(hits.schema["bad"].dataType).alias("bad")))
+    marked = meet(packed(docs, host=_host(host), p1=p1, p2=p2), ["host", "p1", "p2"], hits, "left", 16 * F.size("bad") + F.length("host"))
     lines = _lines(F.col("row").getField("text").cast("string"))
     stay = F.when(F.col("bad").isNull(), lines).otherwise(F.filter(lines, lambda s: ~F.array_contains(F.col("bad"), _line_key(F.trim(s)))))
     out = marked.withColumn("stay", stay).select(
