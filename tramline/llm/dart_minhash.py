@@ -286,12 +286,22 @@ class Overlaps:
         return common / np.maximum(self.total + self.total[i] - common, 1e-300)
 
 
+def _shingles(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct weighted shingles of all rows, from slices of bounded text."""
+    parts, at = [], 0
+    for batch in t.select(["text"]).to_batches():
+        for part in slices(batch):
+            el, doc, weight = counted(*windows(Words(*flat(part.column("text"), lower=True)), SHINGLE))
+            parts.append((el, doc + at, weight))
+            at += part.num_rows
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact links of a spanning forest inside each group; a document beside which no other component is left is not compared."""
     for t in _groups(batches, GROUP, 256):
         edge = _bounds(t, GROUP)
-        words = Words(*flat(t.column("text"), lower=True))
-        el, doc, weight = counted(*windows(words, SHINGLE))
+        el, doc, weight = _shingles(t)
         group, start, side, cross = _start(t, edge)
         node = t.column("node").to_numpy()
         span = np.searchsorted(doc, edge)
