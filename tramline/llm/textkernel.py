@@ -7,6 +7,7 @@ space and 0x09-0x0D, which in UTF-8 is the same as runs of such code points.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,9 @@ GOLDEN = U64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 SLICE_BYTES = 1 << 20
 
+#: glibc's way to return freed heap; elsewhere none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -64,6 +68,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         end = min(n, max(end, at + 1))
         yield batch.slice(at, end - at)
         at = end
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task and would keep it while others need it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def flat(text: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
