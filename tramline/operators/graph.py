@@ -2,27 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import deque
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance_cm
-from ..plans.iterate import settle
+from ..plans.iterate import rounds_of, settle
 
 
-def shortest(sources: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def shortest(sources: DataFrame, edges: DataFrame, rounds: int | None = None, targets: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """``source, vertex, dist`` from every row of ``sources`` (source, vertex, dist) by frontier rounds.
 
     Each round joins only the labels that the last one improved with the
     edges, pre-aggregates the minimum per (source, vertex), and keeps what
-    improves. All sources advance together.
+    improves. All sources advance together, until nothing improves or for
+    ``rounds`` if given. No label grows beyond ``limit``; with ``targets``
+    (source, vertex) none grows beyond the farthest target already reached
+    once all of a source's are, and only targets are complete.
     """
     best = settle(sources.groupBy("source", "vertex").agg(F.min("dist").alias("dist")))
     delta = best
-    for _ in range(rounds):
+    wanted = None if targets is None else targets.groupBy("source").agg(F.countDistinct("vertex").alias("n"))
+    for _ in rounds_of(rounds):
         step = delta.join(edges, delta.vertex == edges.src).select("source", F.col("dst").alias("vertex"), (F.col("dist") + F.col("travel_s")).alias("dist"))
         step = step.groupBy("source", "vertex").agg(F.min("dist").alias("dist"))
+        if limit is not None:
+            step = step.where(F.col("dist") <= limit)
         old = best.withColumnRenamed("dist", "old")
-        delta = settle(step.join(old, ["source", "vertex"], "left").where("old IS NULL OR dist < old").select("source", "vertex", "dist"))
+        step = step.join(old, ["source", "vertex"], "left").where("old IS NULL OR dist < old").select("source", "vertex", "dist")
+        if targets is not None:
+            seen = best.join(targets.select("source", "vertex").distinct(), ["source", "vertex"]).groupBy("source").agg(F.count("*").alias("k"), F.max("dist").alias("far"))
+            bound = seen.join(wanted, "source").where("k = n").select("source", "far")
+            step = step.join(bound, "source", "left").where("far IS NULL OR dist < far").select("source", "vertex", "dist")
+        delta = settle(step)
         if delta.isEmpty():
             break
         best = settle(best.unionByName(delta).groupBy("source", "vertex").agg(F.min("dist").alias("dist")))
@@ -34,8 +48,8 @@ def closure(edges: DataFrame, limit: int | None = None) -> DataFrame:
     start = edges.select(F.col("src").alias("source"), F.col("src").alias("vertex"), F.lit(0).cast("long").alias("dist")).distinct()
     if limit is not None:
         edges = edges.where(F.col("travel_s") <= limit)
-    out = shortest(start, edges).where("source <> vertex").select(F.col("source").alias("src"), F.col("vertex").alias("dst"), F.col("dist").alias("travel_s"))
-    return out if limit is None else out.where(F.col("travel_s") <= limit)
+    out = shortest(start, edges, limit=limit).where("source <> vertex").select(F.col("source").alias("src"), F.col("vertex").alias("dst"), F.col("dist").alias("travel_s"))
+    return out
 
 
 def symmetric_minimum(edges: DataFrame) -> DataFrame:
@@ -44,11 +58,11 @@ def symmetric_minimum(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "travel_s").unionByName(back).where("src <> dst").groupBy("src", "dst").agg(F.min("travel_s").alias("travel_s"))
 
 
-def weak_components(vertices: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def weak_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``vertex, component``: the least vertex reachable over edges of either direction."""
     both = settle(symmetric_minimum(edges).select("src", "dst"))
     label = settle(vertices.select("vertex", F.col("vertex").alias("component")))
-    for _ in range(rounds):
+    for _ in rounds_of(None):
         offer = both.join(label, both.src == label.vertex).groupBy(F.col("dst").alias("vertex")).agg(F.min("component").alias("offer"))
         # the label's own label: pointer jumping shortens long chains
         jump = label.select(F.col("vertex").alias("component"), F.col("component").alias("far"))
@@ -61,35 +75,71 @@ def weak_components(vertices: DataFrame, edges: DataFrame, rounds: int = 1000) -
     return label
 
 
-def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """``vertex, component``: the least vertex that reaches it and is reached from it."""
-    pairs = edges.select("src", "dst", F.lit(0).cast("long").alias("travel_s")).distinct()
-    both = edges.select("src").unionByName(edges.select(F.col("dst").alias("src"))).distinct()
-    start = both.select(F.col("src").alias("source"), F.col("src").alias("vertex"), F.lit(0).cast("long").alias("dist"))
-    reach = shortest(start, pairs, rounds).select("source", "vertex")
-    back = reach.select(F.col("vertex").alias("source"), F.col("source").alias("vertex"))
-    return reach.join(back, ["source", "vertex"]).groupBy("vertex").agg(F.min("source").alias("component"))
+def _spread_least(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """``vertex, color``: the least vertex that reaches each vertex over ``edges``."""
+    color = settle(vertices.select("vertex", F.col("vertex").alias("color")))
+    delta = color
+    for _ in rounds_of(None):
+        offer = delta.join(edges, delta.vertex == edges.src).groupBy(F.col("dst").alias("vertex")).agg(F.min("color").alias("offer"))
+        delta = settle(color.join(offer, "vertex").where("offer < color").select("vertex", F.col("offer").alias("color")))
+        if delta.isEmpty():
+            return color
+        color = settle(color.unionByName(delta).groupBy("vertex").agg(F.min("color").alias("color")))
+    return color
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``vertex, component``: the least vertex that reaches it and is reached from it.
+
+    Forward and backward colouring: each vertex takes the least vertex that
+    reaches it as its colour; what reaches a colour's own vertex inside the
+    colour is a component and leaves. Tables stay as large as the graph.
+    """
+    left = settle(edges.select("src", "dst").where("src <> dst").distinct())
+    vertices = settle(edges.select(F.col("src").alias("vertex")).unionByName(edges.select(F.col("dst").alias("vertex"))).distinct())
+    done = None
+    for _ in rounds_of(None):
+        if vertices.isEmpty():
+            return done if done is not None else vertices.withColumn("component", F.col("vertex"))
+        color = _spread_least(vertices, left)
+        a, b = color.select(F.col("vertex").alias("src"), F.col("color").alias("c1")), color.select(F.col("vertex").alias("dst"), F.col("color").alias("c2"))
+        inner = settle(left.join(a, "src").join(b, "dst").where("c1 = c2").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        roots = color.where("vertex = color").select(F.col("vertex").alias("source"), "vertex", F.lit(0).cast("long").alias("dist"))
+        back = shortest(roots, inner.withColumn("travel_s", F.lit(0).cast("long")))
+        found = settle(back.select("vertex", F.col("source").alias("component")))
+        done = found if done is None else done.unionByName(found)
+        names = found.select("vertex")
+        vertices = settle(vertices.join(names, "vertex", "left_anti"))
+        left = settle(left.join(names.withColumnRenamed("vertex", "src"), "src", "left_anti").join(names.withColumnRenamed("vertex", "dst"), "dst", "left_anti"))
+    return done
+
 
+def pagerank(edges: DataFrame, rounds: int | None = 10, damping: float = 0.85, epsilon: float = 1e-8) -> DataFrame:
+    """``vertex, rank`` after a number of rounds, or (None) once all ranks together change by less than ``epsilon``.
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """``vertex, rank`` after a fixed number of rounds; mass of vertices without edges is not given back."""
+    Mass of vertices without edges is not given back.
+    """
     vertices = settle(edges.select(F.col("src").alias("vertex")).unionByName(edges.select(F.col("dst").alias("vertex"))).distinct())
     n = vertices.count()
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
     links = settle(edges.select("src", "dst").join(degree, "src"))
     rank = vertices.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(rounds):
+    for _ in rounds_of(rounds):
         given = links.join(rank, links.src == rank.vertex).groupBy(F.col("dst").alias("vertex")).agg(F.sum(F.col("rank") / F.col("degree")).alias("g"))
+        old = rank
         rank = settle(vertices.join(given, "vertex", "left").select("vertex", ((1 - damping) / n + damping * F.coalesce("g", F.lit(0.0))).alias("rank")))
+        if rounds is None and (rank.join(old.withColumnRenamed("rank", "was"), "vertex").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) < epsilon:
+            break
     return rank
 
 
-def topological_levels(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def topological_levels(edges: DataFrame) -> DataFrame:
     """``vertex, level`` by repeated removal of vertices without incoming edges; vertices on cycles are absent."""
     left = settle(edges.select("src", "dst").distinct())
     vertices = settle(left.select(F.col("src").alias("vertex")).unionByName(left.select(F.col("dst").alias("vertex"))).distinct())
     done = None
-    for level in range(rounds):
+    for n in rounds_of(None):
+        level = n - 1
         ready = settle(vertices.join(left.select(F.col("dst").alias("vertex")).distinct(), "vertex", "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
             break
@@ -122,3 +172,103 @@ def triangle_violations(edges: DataFrame) -> DataFrame:
     direct = e.select("src", F.col("dst").alias("end"), F.col("travel_s").alias("direct"))
     path = e.join(f, "dst").where("src <> end")
     return path.join(direct, ["src", "end"], "left").where("direct IS NULL OR direct > travel_s + more").select("src", F.col("dst").alias("via"), F.col("end").alias("dst"))
+
+
+def nearest(points: DataFrame, stops: DataFrame, cell_e6: int, k: int = 1) -> DataFrame:
+    """``point_id, stop_id, distance_cm, nth``: the ``k`` nearest stops of each point (point_id, lon_e6, lat_e6).
+
+    Points meet stops by grid cells; the search widens ring by ring, and a
+    point is done when its k-th distance is no larger than the width it has
+    surely covered. Ties: the least stop.
+    """
+    lat_cm, narrow = 637_813_700 * 3.141592653589793 / 180e6, 0.5
+    s = settle(stops.select("stop_id", F.col("lon_e6").alias("x2"), F.col("lat_e6").alias("y2"), F.floor(F.col("lon_e6") / cell_e6).alias("gx"), F.floor(F.col("lat_e6") / cell_e6).alias("gy")))
+    left = settle(points.select("point_id", F.col("lon_e6").alias("x1"), F.col("lat_e6").alias("y1")))
+    total, out, ring = s.count(), None, 1
+    while total and not left.isEmpty():
+        here = left.withColumn("gx", F.explode(F.sequence(F.floor(F.col("x1") / cell_e6) - ring, F.floor(F.col("x1") / cell_e6) + ring)))
+        here = here.withColumn("gy", F.explode(F.sequence(F.floor(F.col("y1") / cell_e6) - ring, F.floor(F.col("y1") / cell_e6) + ring)))
+        d = F.round(distance_cm(F.col("x1") / 1e6, F.col("y1") / 1e6, F.col("x2") / 1e6, F.col("y2") / 1e6)).cast("long")
+        near = here.join(s, ["gx", "gy"]).select("point_id", "stop_id", d.alias("distance_cm"))
+        near = near.withColumn("nth", F.row_number().over(Window.partitionBy("point_id").orderBy("distance_cm", "stop_id"))).where(F.col("nth") <= k)
+        # a ring of cells is at least this wide; degrees of longitude are narrower, by less than half up to 60 degrees
+        covered = int(ring * cell_e6 * lat_cm * narrow)
+        whole = near.groupBy("point_id").agg(F.count("*").alias("n"), F.max("distance_cm").alias("far")).where((F.col("n") >= min(k, total)) & (F.col("far") <= covered))
+        done = settle(near.join(whole.select("point_id"), "point_id"))
+        out = done if out is None else out.unionByName(done)
+        left = settle(left.join(done.select("point_id").distinct(), "point_id", "left_anti"))
+        ring *= 2
+    return out if out is not None else points.select("point_id", F.lit(None).cast("long").alias("stop_id"), F.lit(None).cast("long").alias("distance_cm"), F.lit(None).cast("int").alias("nth")).where("false")
+
+
+def contract(edges: DataFrame) -> DataFrame:
+    """``src, dst, travel_s, up``: a contraction hierarchy of a graph, its edges and shortcuts; ``up`` marks those to a later vertex.
+
+    Rounds contract all vertices that have the least (degree, id) among their
+    neighbours, which are independent of each other; a way through a
+    contracted vertex becomes a shortcut if no edge is as short.
+    """
+    left = settle(edges.where("src <> dst").groupBy("src", "dst").agg(F.min("travel_s").alias("travel_s")))
+    done = None
+    for _ in rounds_of(None):
+        if left.isEmpty():
+            return done if done is not None else left.withColumn("up", F.lit(True))
+        ends = left.select("src", "dst").unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+        key = ends.groupBy(F.col("src").alias("v")).agg(F.struct(F.count("*").alias("d"), F.first("src").alias("v")).alias("key"))
+        beside = ends.join(key.select(F.col("v").alias("dst"), F.col("key").alias("other")), "dst").groupBy(F.col("src").alias("v")).agg(F.min("other").alias("least"))
+        now = settle(key.join(beside, "v").where("key < least").select("v"))
+        leaving = settle(left.join(now.withColumnRenamed("v", "src"), "src", "left_semi").withColumn("up", F.lit(True)).unionByName(left.join(now.withColumnRenamed("v", "dst"), "dst", "left_semi").withColumn("up", F.lit(False))))
+        done = leaving if done is None else done.unionByName(leaving)
+        into = leaving.where("NOT up").select("src", F.col("dst").alias("v"), F.col("travel_s").alias("t1"))
+        out = leaving.where("up").select(F.col("src").alias("v"), "dst", F.col("travel_s").alias("t2"))
+        through = into.join(out, "v").where("src <> dst").select("src", "dst", (F.col("t1") + F.col("t2")).alias("travel_s"))
+        rest = left.join(now.withColumnRenamed("v", "src"), "src", "left_anti").join(now.withColumnRenamed("v", "dst"), "dst", "left_anti")
+        left = settle(rest.select("src", "dst", "travel_s").unionByName(through).groupBy("src", "dst").agg(F.min("travel_s").alias("travel_s")))
+    return done
+
+
+def hierarchy_distances(pairs: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """``source, target, dist`` of vertex pairs: searches upwards from both ends meet at a common vertex."""
+    up = settle(hierarchy.where("up").select("src", "dst", "travel_s"))
+    down = settle(hierarchy.where("NOT up").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "travel_s"))
+
+    def climb(end: str, e: DataFrame) -> DataFrame:
+        start = pairs.select(F.col(end).alias("source"), F.col(end).alias("vertex"), F.lit(0).cast("long").alias("dist")).distinct()
+        return shortest(start, e)
+
+    a, b = climb("source", up).withColumnRenamed("dist", "d1"), climb("target", down).select(F.col("source").alias("target"), "vertex", F.col("dist").alias("d2"))
+    return a.join(b, "vertex").join(pairs.select("source", "target").distinct(), ["source", "target"]).groupBy("source", "target").agg(F.min(F.col("d1") + F.col("d2")).alias("dist"))
+
+
+def matching(edges: DataFrame, group: str) -> DataFrame:
+    """``group, a, b``: a largest matching of each group's bipartite graph (a, b: long), by augmenting paths.
+
+    A group is one task, as augmenting is sequential; groups are the trips of
+    one line, bounded by its timetable.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        beside: dict[int, list[int]] = {}
+        for a, b in sorted(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True)):
+            beside.setdefault(a, []).append(b)
+        mate: dict[int, int] = {}
+        own: dict[int, int] = {}
+        for a in beside:
+            # breadth first over alternating paths; each b is seen once
+            came, queue, end = {}, deque([a]), None
+            while queue and end is None:
+                x = queue.popleft()
+                for b in beside.get(x, ()):
+                    if b not in came:
+                        came[b] = x
+                        if b not in mate:
+                            end = b
+                            break
+                        queue.append(mate[b])
+            while end is not None:
+                x = came[end]
+                mate[end], own[x], end = x, end, own.get(x)
+        return pd.DataFrame({group: pdf[group].iloc[0], "a": list(mate.values()), "b": list(mate.keys())})
+
+    kind = edges.schema[group].dataType.simpleString()
+    return edges.select(group, "a", "b").distinct().groupBy(group).applyInPandas(run, f"`{group}` {kind}, a long, b long")

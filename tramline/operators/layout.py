@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.iterate import settle
+from .graph import matching, weak_components
+
 
 #: Width in seconds of the slots that narrow the search in a sorted array of departures.
 SLOT = 7200
@@ -65,6 +68,41 @@ def _sequences(events: DataFrame) -> DataFrame:
     return events.groupBy("trip_id").agg(e.alias("e")).select("trip_id", F.col("e.stop_id").alias("seq"), F.col("e.arr").alias("arrs"), F.col("e.dep").alias("deps"))
 
 
+def latest(time: str) -> Column:
+    """Rank of the last arrival of ``arrs`` no later than column ``time``; -1 if none. Arrivals ascend."""
+    return F.expr(f"size(filter(arrs, a -> a <= {time})) - 1")
+
+
+def ordered_connections(conn: DataFrame, by: str) -> DataFrame:
+    """Distinct connections in one of four total orders, range-partitioned: departure, arrival, or either at its stop."""
+    keys = {
+        "departure": ["dep", "arr", "trip_id", "dep_stop", "arr_stop"],
+        "arrival": ["arr", "dep", "trip_id", "dep_stop", "arr_stop"],
+        "departure_stop": ["dep_stop", "dep", "arr", "trip_id", "arr_stop"],
+        "arrival_stop": ["arr_stop", "arr", "dep", "trip_id", "dep_stop"],
+    }[by]
+    return conn.distinct().orderBy(*keys)
+
+
+def trips_of_connections(conn: DataFrame) -> DataFrame:
+    """Stop events from connections: each trip's connections in order of departure; route_id is the trip's own.
+
+    The first arrival is a second before the first departure, the last departure a second after the last arrival.
+    """
+    way = Window.partitionBy("trip_id").orderBy("dep", "arr")
+    c = conn.withColumns({"i": (F.row_number().over(way) - 1).cast("long"), "was": F.lag("arr").over(way), "n": F.count("*").over(Window.partitionBy("trip_id"))})
+    on = c.select("trip_id", F.col("i").alias("stop_index"), F.col("dep_stop").alias("stop_id"), F.coalesce("was", F.col("dep") - 1).alias("arr"), "dep")
+    end = c.where("i = n - 1").select("trip_id", (F.col("i") + 1).alias("stop_index"), F.col("arr_stop").alias("stop_id"), "arr", (F.col("arr") + 1).alias("dep"))
+    return on.unionByName(end).select("trip_id", F.col("trip_id").alias("route_id"), "stop_index", "stop_id", "arr", "dep")
+
+
+def valid_connections(conn: DataFrame, stops: DataFrame) -> DataFrame:
+    """Connections between known stops that take no negative time."""
+    ids = stops.select("stop_id")
+    out = conn.join(ids.withColumnRenamed("stop_id", "dep_stop"), "dep_stop", "left_semi").join(ids.withColumnRenamed("stop_id", "arr_stop"), "arr_stop", "left_semi")
+    return out.where("dep <= arr").select(*conn.columns)
+
+
 def geographic_routes(events: DataFrame) -> DataFrame:
     """``seq, n_trips``: trips with the same stop sequence are one route."""
     return _sequences(events).groupBy("seq").agg(F.count("*").alias("n_trips"))
@@ -110,6 +148,47 @@ def fifo_routes(events: DataFrame) -> DataFrame:
     return s.groupBy("key").applyInPandas(fit, "trip_id long, route_no long, first_trip long")
 
 
+def optimal_fifo_routes(events: DataFrame) -> DataFrame:
+    """``trip_id, route_no, first_trip``: as few routes without overtaking as there can be for each stop sequence.
+
+    A trip may follow another that is no later anywhere. A largest matching of
+    trips to followers leaves the least number of chains, and each is a route.
+    """
+    s = settle(_sequences(events).select("trip_id", F.concat_ws(",", "seq").alias("key"), F.flatten(F.zip_with("arrs", "deps", lambda a, d: F.array(a, d))).alias("times")))
+    a, b = s.select("key", F.col("trip_id").alias("a"), F.col("times").alias("t1")), s.select("key", F.col("trip_id").alias("b"), F.col("times").alias("t2"))
+    # pairs of one line's trips: what a line holds bounds them
+    can = a.join(b, "key").where("a <> b AND forall(zip_with(t1, t2, (x, y) -> x <= y), z -> z) AND (t1 <> t2 OR a < b)")
+    follows = matching(can.select("key", "a", "b"), "key").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    chain = weak_components(s.select(F.col("trip_id").alias("vertex")), follows.withColumn("travel_s", F.lit(0).cast("long")))
+    named = s.select("key", F.col("trip_id").alias("vertex")).join(chain, "vertex")
+    first = Window.partitionBy("key")
+    no = F.dense_rank().over(Window.partitionBy("key").orderBy("component")) - 1
+    return named.select(F.col("vertex").alias("trip_id"), no.cast("long").alias("route_no"), F.min("vertex").over(first).alias("first_trip"))
+
+
+def routes(events: DataFrame, kind: str = "fifo", group: DataFrame | None = None) -> DataFrame:
+    """``trip_id, route_no, first_trip`` by name of the rule: geographic, fifo, optimal (also: frequency) or offset.
+
+    With ``group`` (trip_id, group_id; as for trips with and without bicycles)
+    trips of different groups never share a route.
+    """
+    kind = {"frequency": "optimal"}.get(kind.lower(), kind.lower())
+    if kind in ("fifo", "optimal"):
+        out = fifo_routes(events) if kind == "fifo" else optimal_fifo_routes(events)
+    else:
+        s = _sequences(events).withColumn("key", F.concat_ws(",", "seq"))
+        base = F.col("deps")[0]
+        rel = F.concat(F.transform(F.slice("deps", 1, F.size("deps") - 1), lambda x: x - base), F.transform(F.slice("arrs", 2, F.size("arrs")), lambda x: x - base))
+        s = s.withColumn("rel", rel if kind == "offset" else F.array(F.lit(0).cast("long")))
+        no = F.dense_rank().over(Window.partitionBy("key").orderBy("rel")) - 1
+        out = s.select("trip_id", no.cast("long").alias("route_no"), F.min("trip_id").over(Window.partitionBy("key")).alias("first_trip"))
+    if group is None:
+        return out
+    g = out.join(group.select("trip_id", "group_id"), "trip_id")
+    no = F.dense_rank().over(Window.partitionBy("first_trip").orderBy("route_no", "group_id")) - 1
+    return g.select("trip_id", no.cast("long").alias("route_no"), "first_trip")
+
+
 def overtaking_pairs(events: DataFrame, routes: DataFrame) -> DataFrame:
     """Adjacent trips (by first departure) of a route of which the later is earlier somewhere; empty for FIFO routes."""
     e = events.select("trip_id", "stop_index", "arr", "dep").join(routes, "trip_id")
@@ -125,33 +204,57 @@ def min_travel_time(events: DataFrame, footpaths: DataFrame) -> DataFrame:
     return ride.unionByName(footpaths.select("src", "dst", "travel_s")).where("src <> dst").groupBy("src", "dst").agg(F.min("travel_s").alias("travel_s"))
 
 
-def time_expanded_edges(events: DataFrame, footpaths: DataFrame) -> DataFrame:
-    """``kind, n``-ready edges of the event graph: ride, stay, wait and change edges with travel_s and hop.
+def event_node(kind: int) -> Column:
+    """The vertex of an event's departure (0) or arrival (1), from trip_id and stop_index (below 256)."""
+    return (F.col("trip_id") * 256 + F.col("stop_index")) * 2 + kind
+
 
-    Departure and arrival of each connection are the vertices, named by trip
-    and index. wait: to the next departure at the stop; change: from an
-    arrival to the first departure at the stop, and at each footpath target,
-    that can be reached - an as-of join by a window over the merged times.
+def time_expanded_nodes(events: DataFrame) -> DataFrame:
+    """``node, kind, stop_id, t, trip_id, stop_index``: departures but at last stops, arrivals but at first ones."""
+    last = F.max("stop_index").over(Window.partitionBy("trip_id"))
+    e = events.withColumn("_last", last)
+    dep = e.where("stop_index < _last").select(event_node(0).alias("node"), F.lit("dep").alias("kind"), "stop_id", F.col("dep").alias("t"), "trip_id", "stop_index")
+    arr = e.where("stop_index > 0").select(event_node(1).alias("node"), F.lit("arr").alias("kind"), "stop_id", F.col("arr").alias("t"), "trip_id", "stop_index")
+    return dep.unionByName(arr)
+
+
+def time_expanded_edges(events: DataFrame, footpaths: DataFrame, stops: DataFrame | None = None) -> DataFrame:
+    """``src, dst, kind, travel_s, hop``: ride, stay, wait and change edges of the event graph.
+
+    Vertices are those of ``time_expanded_nodes``. ride: a departure to the
+    trip's next arrival; stay: an arrival to the trip's next one; wait: a
+    departure to the next one at the stop; change: an arrival to the first
+    departure at the stop (after ``min_transfer_s`` where ``stops`` is given)
+    and at each footpath target that can be reached - an as-of join by a
+    window over the merged times.
     """
-    last = Window.partitionBy("trip_id")
-    e = events.withColumn("last", F.max("stop_index").over(last))
-    dep = e.where("stop_index < last").select("trip_id", "stop_index", "stop_id", F.col("dep").alias("t"))
-    arr = e.where("stop_index > 0").select("trip_id", "stop_index", "stop_id", F.col("arr").alias("t"))
-    ride = connections(events).select(F.lit("ride").alias("kind"), (F.col("arr") - F.col("dep")).alias("travel_s"), F.lit(0).alias("hop"))
-    w = Window.partitionBy("stop_id").orderBy("t", "trip_id", "stop_index")
-    wait = dep.select(F.lit("wait").alias("kind"), (F.lead("t").over(w) - F.col("t")).alias("travel_s"), F.lit(0).alias("hop")).where("travel_s IS NOT NULL")
-    walk = arr.select("stop_id", "t", F.col("t").alias("from_t")).unionByName(
-        arr.join(footpaths, arr.stop_id == footpaths.src).select(F.col("dst").alias("stop_id"), (F.col("t") + F.col("travel_s")).alias("t"), F.col("t").alias("from_t"))
-    )
-    merged = walk.select("stop_id", "t", "from_t", F.lit(None).cast("long").alias("d")).unionByName(dep.select("stop_id", "t", F.lit(None).cast("long").alias("from_t"), F.col("t").alias("d")))
-    ahead = Window.partitionBy("stop_id").orderBy(F.col("t"), F.col("d").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    change = merged.withColumn("next", F.first("d", ignorenulls=True).over(ahead)).where("from_t IS NOT NULL AND next IS NOT NULL")
-    change = change.select(F.lit("change").alias("kind"), (F.col("next") - F.col("from_t")).alias("travel_s"), F.lit(1).alias("hop"))
-    return ride.unionByName(wait).unionByName(change)
+    nodes = time_expanded_nodes(events)
+    dep, arr = nodes.where("kind = 'dep'"), nodes.where("kind = 'arr'")
+    way = Window.partitionBy("trip_id").orderBy("stop_index")
+    after = arr.select(F.col("node").alias("dst"), F.col("t").alias("t2"), "trip_id", (F.col("stop_index") - 1).alias("stop_index"))
+    ride = dep.join(after, ["trip_id", "stop_index"]).select(F.col("node").alias("src"), "dst", F.lit("ride").alias("kind"), (F.col("t2") - F.col("t")).alias("travel_s"), F.lit(0).alias("hop"))
+    stay = arr.select(F.col("node").alias("src"), F.lead("node").over(way).alias("dst"), F.lit("stay").alias("kind"), (F.lead("t").over(way) - F.col("t")).alias("travel_s"), F.lit(0).alias("hop")).where("dst IS NOT NULL")
+    w = Window.partitionBy("stop_id").orderBy("t", "node")
+    wait = dep.select(F.col("node").alias("src"), F.lead("node").over(w).alias("dst"), F.lit("wait").alias("kind"), (F.lead("t").over(w) - F.col("t")).alias("travel_s"), F.lit(0).alias("hop")).where("dst IS NOT NULL")
+    here = arr if stops is None else arr.join(stops.select("stop_id", "min_transfer_s"), "stop_id").withColumn("ready", F.col("t") + F.col("min_transfer_s"))
+    here = here.select("stop_id", (F.col("t") if stops is None else F.col("ready")).alias("t"), F.col("t").alias("from_t"), F.col("node").alias("from"))
+    walk = arr.join(footpaths, arr.stop_id == footpaths.src).select(F.col("dst").alias("stop_id"), (F.col("t") + F.col("travel_s")).alias("t"), F.col("t").alias("from_t"), F.col("node").alias("from"))
+    none = F.lit(None).cast("struct<d:bigint,node:bigint>")
+    merged = here.unionByName(walk).withColumn("dep", none).unionByName(dep.select("stop_id", "t", F.lit(None).cast("long").alias("from_t"), F.lit(None).cast("long").alias("from"), F.struct(F.col("t").alias("d"), "node").alias("dep")))
+    # from the end backwards, so that the frame only grows
+    ahead = Window.partitionBy("stop_id").orderBy(F.desc("t"), F.col("dep").isNotNull().desc(), F.col("dep.node").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    change = merged.withColumn("next", F.last("dep", ignorenulls=True).over(ahead)).where("from IS NOT NULL AND next IS NOT NULL")
+    change = change.select(F.col("from").alias("src"), F.col("next.node").alias("dst"), F.lit("change").alias("kind"), (F.col("next.d") - F.col("from_t")).alias("travel_s"), F.lit(1).alias("hop"))
+    return ride.unionByName(stay).unionByName(wait).unionByName(change)
+
+
+def reverse_footpaths(footpaths: DataFrame) -> DataFrame:
+    """Footpaths walked the other way."""
+    return footpaths.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "travel_s")
 
 
 def reverse(events: DataFrame) -> DataFrame:
-    """The network run backwards: times negated, arrival and departure swapped, stop order mirrored."""
+    """The network run backwards: times negated, arrival and departure swapped, stop order mirrored (footpaths: ``reverse_footpaths``)."""
     last = F.max("stop_index").over(Window.partitionBy("trip_id"))
     return events.select("trip_id", "route_id", (last - F.col("stop_index")).alias("stop_index"), "stop_id", (-F.col("dep")).alias("arr"), (-F.col("arr")).alias("dep"))
 

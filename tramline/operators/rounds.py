@@ -9,6 +9,8 @@ per trip, and the scan along a route is a running minimum of trip ranks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,16 @@ from .layout import catch
 from .pareto import improving
 
 
-def _walk(labels: DataFrame, footpaths: DataFrame) -> DataFrame:
+#: Rounds after which the best labels are written anew; between them they are the last ones and the rounds since.
+SETTLE_EVERY = 3
+#: Footpaths as a closed table, or a way to walk: labels in, labels with all that is in walking reach out.
+Walks = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def _walk(labels: DataFrame, footpaths: Walks) -> DataFrame:
     """Labels and what one footpath makes of them; the least arrival per query and stop."""
+    if callable(footpaths):
+        return footpaths(labels.select("query_id", "stop_id", "arr"))
     hop = labels.join(footpaths, labels.stop_id == footpaths.src).select("query_id", F.col("dst").alias("stop_id"), (F.col("arr") + F.col("travel_s")).alias("arr"))
     return labels.select("query_id", "stop_id", "arr").unionByName(hop).groupBy("query_id", "stop_id").agg(F.min("arr").alias("arr"))
 
@@ -36,26 +46,66 @@ def _scan(reached: DataFrame, layout: DataFrame) -> DataFrame:
     return ride.select("query_id", "stop_id", F.expr("arrs[run]").alias("arr")).groupBy("query_id", "stop_id").agg(F.min("arr").alias("arr"))
 
 
-def raptor(queries: DataFrame, layout: DataFrame, footpaths: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def _least(labels: DataFrame) -> DataFrame:
+    return labels.groupBy("query_id", "stop_id").agg(F.min("arr").alias("arr"))
+
+
+class Best:
+    """The best arrival per query and stop over the rounds; with ``targets`` also the bound that these set."""
+
+    def __init__(self, first: DataFrame, targets: DataFrame | None):
+        self.kept, self.since, self.targets = first, [], targets
+
+    def table(self) -> DataFrame:
+        out = self.kept
+        for x in self.since:
+            out = out.unionByName(x)
+        return _least(out) if self.since else out
+
+    def improved(self, new: DataFrame) -> DataFrame:
+        """Rows of ``new`` that beat the best so far, and the best at their query's target, which no later arrival can improve."""
+        best = self.table()
+        old = best.withColumnRenamed("arr", "old")
+        out = new.join(old, ["query_id", "stop_id"], "left").where("old IS NULL OR arr < old").select("query_id", "stop_id", "arr")
+        if self.targets is not None:
+            bound = best.join(self.targets, ["query_id", "stop_id"]).select("query_id", F.col("arr").alias("bound"))
+            out = out.join(bound, "query_id", "left").where("bound IS NULL OR arr < bound").select("query_id", "stop_id", "arr")
+        return out
+
+    def add(self, delta: DataFrame) -> None:
+        self.since.append(delta)
+        if len(self.since) == SETTLE_EVERY:
+            self.kept, self.since = settle(self.table()), []
+
+
+def raptor(queries: DataFrame, layout: DataFrame, footpaths: Walks, max_rounds: int | None = None, to_target: bool = False, between: Walks | None = None) -> DataFrame:
     """``query_id, trips, stop_id, arr``: for every number of trips the improved arrivals at all stops.
 
     ``queries`` has query_id, source, dep_s. A row (q, k, s, a) says that q can
     be at s at time a with k trips and not earlier with fewer. ``layout`` is
     ``layout.departures``; routes must be FIFO; the departures in it may already
-    be lowered by a transfer buffer. Footpaths must be transitively closed.
-    Rounds go on until no arrival improves, or to ``max_rounds`` if given.
+    be lowered by a transfer buffer. Footpaths must be transitively closed, or
+    a function that walks any way; ``between`` replaces them between two rides.
+    Rounds go on until no arrival improves, or to ``max_rounds`` if given. With
+    ``to_target`` labels later than the best arrival at the query's target go
+    no further, and only those of targets are complete.
     """
     start = queries.select("query_id", F.col("source").alias("stop_id"), F.col("dep_s").cast("long").alias("arr"))
     delta = settle(_walk(start, footpaths))
-    best, out = delta, [delta.withColumn("trips", F.lit(0))]
+    targets = queries.select("query_id", F.col("target").alias("stop_id")) if to_target else None
+    best, out = Best(delta, targets), [delta.withColumn("trips", F.lit(0))]
     for k in rounds_of(max_rounds):
-        new = _walk(_scan(delta, layout), footpaths)
-        old = best.withColumnRenamed("arr", "old")
-        delta = settle(new.join(old, ["query_id", "stop_id"], "left").where("old IS NULL OR arr < old").select("query_id", "stop_id", "arr"))
+        ridden = _scan(delta, layout)
+        new = _walk(ridden, footpaths)
+        if between is not None:
+            # what a ride reaches and what a change walks on to; full walks only end journeys
+            new = new.withColumn("on", F.lit(0)).unionByName(_walk(ridden, between).withColumn("on", F.lit(1)))
+            new = new.groupBy("query_id", "stop_id").agg(F.min("arr").alias("arr"))
+        delta = settle(best.improved(new))
         if delta.isEmpty():
             break
         out.append(delta.withColumn("trips", F.lit(k)))
-        best = settle(best.unionByName(delta).groupBy("query_id", "stop_id").agg(F.min("arr").alias("arr")))
+        best.add(delta)
     rows = out[0]
     for x in out[1:]:
         rows = rows.unionByName(x)
@@ -81,17 +131,19 @@ def direct_connections(queries: DataFrame, events: DataFrame) -> DataFrame:
     return src.join(dst, ["trip_id", "target"]).where("i < j").groupBy("query_id").agg(F.min("at").alias("arr"))
 
 
-def connection_scan(queries: DataFrame, connections: DataFrame, footpaths: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def connection_scan(queries: DataFrame, connections: DataFrame, footpaths: Walks, max_rounds: int | None = None, to_target: bool = False) -> DataFrame:
     """``query_id, stop_id, arr``: earliest arrivals by connections alone, as a fixpoint.
 
     A connection is usable if its trip is already used or its departure stop is
     reached in time; both conditions grow monotonically, so rounds over the
-    frontier end in the same set that a scan in order of departure finds.
+    frontier end in the same set that a scan in order of departure finds. With
+    ``to_target`` connections after the best arrival at the target are not
+    scanned, and only targets are complete.
     """
     c = connections.select("dep_stop", "arr_stop", "dep", "arr", "trip_id")
     start = queries.select("query_id", F.col("source").alias("stop_id"), F.col("dep_s").cast("long").alias("arr"))
     delta = settle(_walk(start, footpaths))
-    best = delta
+    best = Best(delta, queries.select("query_id", F.col("target").alias("stop_id")) if to_target else None)
     used = None
     for _ in rounds_of(max_rounds):
         first = delta.withColumnRenamed("arr", "at").join(c, F.col("stop_id") == F.col("dep_stop")).where("dep >= at").groupBy("query_id", "trip_id").agg(F.min("dep").alias("since"))
@@ -103,13 +155,11 @@ def connection_scan(queries: DataFrame, connections: DataFrame, footpaths: DataF
             break
         used = first if used is None else settle(used.unionByName(first).groupBy("query_id", "trip_id").agg(F.min("since").alias("since")))
         ride = first.join(c, "trip_id").where("dep >= since").select("query_id", F.col("arr_stop").alias("stop_id"), "arr")
-        new = _walk(ride.groupBy("query_id", "stop_id").agg(F.min("arr").alias("arr")), footpaths)
-        old = best.withColumnRenamed("arr", "old")
-        delta = settle(new.join(old, ["query_id", "stop_id"], "left").where("old IS NULL OR arr < old").select("query_id", "stop_id", "arr"))
+        delta = settle(best.improved(_walk(_least(ride), footpaths)))
         if delta.isEmpty():
             break
-        best = settle(best.unionByName(delta).groupBy("query_id", "stop_id").agg(F.min("arr").alias("arr")))
-    return best
+        best.add(delta)
+    return best.table()
 
 
 def trip_based(queries: DataFrame, layout: DataFrame, transfers: DataFrame, footpaths: DataFrame, max_rounds: int | None = None, cells: DataFrame | None = None) -> DataFrame:

@@ -60,3 +60,25 @@ def earliest(queries: DataFrame, patterns: DataFrame, functions: DataFrame, foot
     for x in out[1:]:
         rows = rows.unionByName(x)
     return improving(rows)
+
+
+def lower_bounds(patterns: DataFrame, functions: DataFrame, footpaths: DataFrame) -> DataFrame:
+    """``source, target, least_s, least_trips``: what no journey over a pair's patterns can beat, from the fastest ride of every leg."""
+    fast = functions.select(F.col("dep_stop").alias("from_stop"), F.col("arr_stop").alias("to_stop"), F.array_min(F.zip_with("deps", "arrs", lambda d, a: a - d)).alias("s"), F.lit("ride").alias("kind"))
+    walk = footpaths.select(F.col("src").alias("from_stop"), F.col("dst").alias("to_stop"), F.col("travel_s").alias("s"), F.lit("walk").alias("kind"))
+    legs = patterns.select("source", "target", "trips", "path", F.explode("path").alias("l")).select("source", "target", "trips", "path", "l.*")
+    cost = legs.join(fast.unionByName(walk), LEG).groupBy("source", "target", "trips", "path").agg(F.sum("s").alias("s"))
+    return cost.groupBy("source", "target").agg(F.min("s").alias("least_s"), F.min("trips").alias("least_trips"))
+
+
+def bounded_patterns(queries: DataFrame, patterns: DataFrame, functions: DataFrame, footpaths: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``earliest`` after patterns that cannot beat the pair's direct alternative are dropped: those whose fastest legs take longer than a bound on each query.
+
+    ``bounds``: query_id, latest. Pruning changes no answer up to ``latest``.
+    """
+    fast = functions.select(F.col("dep_stop").alias("from_stop"), F.col("arr_stop").alias("to_stop"), F.array_min(F.zip_with("deps", "arrs", lambda d, a: a - d)).alias("s"), F.lit("ride").alias("kind"))
+    walk = footpaths.select(F.col("src").alias("from_stop"), F.col("dst").alias("to_stop"), F.col("travel_s").alias("s"), F.lit("walk").alias("kind"))
+    legs = patterns.select("source", "target", "trips", "path", F.explode("path").alias("l")).select("source", "target", "trips", "path", "l.*")
+    cost = legs.join(fast.unionByName(walk), LEG).groupBy("source", "target", "trips", "path").agg(F.sum("s").alias("s"))
+    worth = queries.join(bounds, "query_id").join(cost, ["source", "target"]).where(F.col("dep_s") + F.col("s") <= F.col("latest"))
+    return earliest(queries, settle(worth.select("source", "target", "trips", "path").distinct()), functions, footpaths)

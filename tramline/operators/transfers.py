@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .layout import catch
@@ -93,3 +93,23 @@ def crossing_footpaths(footpaths: DataFrame, cells: DataFrame) -> DataFrame:
     """Footpaths between different cells; a valid partition has none."""
     a, b = cells.select(F.col("stop_id").alias("src"), F.col("cell_id").alias("sc")), cells.select(F.col("stop_id").alias("dst"), F.col("cell_id").alias("dc"))
     return footpaths.join(a, "src").join(b, "dst").where("sc <> dc").select("src", "dst")
+
+
+def sampled_transfers(transfers: DataFrame, percent: int) -> DataFrame:
+    """``transfers`` that leave or enter a hashed sample of ``percent`` of the trips: what new trips in a timetable would add."""
+    pick = lambda c: F.pmod(F.col(c) * 2_654_435_761, F.lit(1000)) < percent * 10
+    return transfers.where(pick("from_trip") | pick("to_trip"))
+
+
+def with_to_trip(transfers: DataFrame, layout: DataFrame) -> DataFrame:
+    """``transfers`` with ``to_trip``, the trip that is boarded."""
+    to = layout.where("stop_index = 0").select(F.col("route_id").alias("to_route"), F.posexplode("trip_ids").alias("to_rank", "to_trip"))
+    return transfers.join(to.withColumn("to_rank", F.col("to_rank").cast("long")), ["to_route", "to_rank"]).select(*transfers.columns, "to_trip")
+
+
+def combinable(a: str, b: str, min_transfer: str = "min_transfer_s", walk: str = "travel_s") -> Column:
+    """Whether connection ``b`` can follow ``a``: the same trip, the same stop after its transfer time, or a footpath between (struct columns)."""
+    same_trip = (F.col(f"{a}.trip_id") == F.col(f"{b}.trip_id")) & (F.col(f"{a}.arr") <= F.col(f"{b}.dep"))
+    stay = (F.col(f"{a}.arr_stop") == F.col(f"{b}.dep_stop")) & (F.col(f"{a}.arr") + F.col(min_transfer) <= F.col(f"{b}.dep"))
+    foot = F.coalesce(F.col(f"{a}.arr") + F.col(walk) <= F.col(f"{b}.dep"), F.lit(False))
+    return same_trip | stay | foot

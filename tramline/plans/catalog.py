@@ -186,7 +186,7 @@ def earliest_arrival_one_to_all(spark, sf_dir, t):
 @_query(f"{_labels(ROUNDS)} {_targets(ROUNDS)} SELECT * FROM p")
 def raptor_pareto(spark, sf_dir, t):
     q = settle(query_table(spark, sf_dir, N))
-    return rounds.at_targets(rounds.raptor(q, _lay(t), t.footpaths), q)
+    return rounds.at_targets(rounds.raptor(q, _lay(t), t.footpaths, to_target=True), q)
 
 
 @_query(f"{_labels(ROUNDS)} {_targets(ROUNDS)} SELECT * FROM p")
@@ -258,7 +258,7 @@ def stop_importance(spark, sf_dir, t):
     return hierarchy.stop_importance(_leveled(t, lay), lay)
 
 
-@_query(f"{_conn}, ar AS (SELECT stop_id, arr FROM stop_events WHERE stop_index > 0), dp AS (SELECT stop_id, dep FROM stop_events WHERE stop_index < 7), wk AS (SELECT stop_id, arr AS t, arr FROM ar UNION ALL SELECT dst, arr + travel_s, arr FROM ar JOIN footpaths ON src = stop_id), ch AS (SELECT wk.arr, min_dep.dep FROM wk ASOF JOIN (SELECT DISTINCT stop_id, dep FROM dp) min_dep ON wk.stop_id = min_dep.stop_id AND wk.t <= min_dep.dep), wt AS (SELECT lead(dep) OVER (PARTITION BY stop_id ORDER BY dep) - dep AS travel_s FROM dp) SELECT kind, count(*) AS n, CAST(sum(travel_s) AS BIGINT) AS total FROM (SELECT 'ride' AS kind, arr - dep AS travel_s FROM conn UNION ALL SELECT 'wait', travel_s FROM wt WHERE travel_s IS NOT NULL UNION ALL SELECT 'change', dep - arr FROM ch) GROUP BY 1")
+@_query(f"{_conn}, ar AS (SELECT stop_id, arr FROM stop_events WHERE stop_index > 0), dp AS (SELECT stop_id, dep FROM stop_events WHERE stop_index < 7), wk AS (SELECT stop_id, arr AS t, arr FROM ar UNION ALL SELECT dst, arr + travel_s, arr FROM ar JOIN footpaths ON src = stop_id), ch AS (SELECT wk.arr, min_dep.dep FROM wk ASOF JOIN (SELECT DISTINCT stop_id, dep FROM dp) min_dep ON wk.stop_id = min_dep.stop_id AND wk.t <= min_dep.dep), wt AS (SELECT lead(dep) OVER (PARTITION BY stop_id ORDER BY dep) - dep AS travel_s FROM dp) SELECT kind, count(*) AS n, CAST(sum(travel_s) AS BIGINT) AS total FROM (SELECT 'ride' AS kind, arr - dep AS travel_s FROM conn UNION ALL SELECT 'wait', travel_s FROM wt WHERE travel_s IS NOT NULL UNION ALL SELECT 'change', dep - arr FROM ch UNION ALL SELECT 'stay', travel_s FROM (SELECT lead(arr) OVER (PARTITION BY trip_id ORDER BY stop_index) - arr AS travel_s FROM stop_events WHERE stop_index > 0) WHERE travel_s IS NOT NULL) GROUP BY 1")
 def time_expanded_edges(spark, sf_dir, t):
     return layout.time_expanded_edges(t.stop_events, t.footpaths).groupBy("kind").agg(F.count("*").alias("n"), F.sum("travel_s").alias("total"))
 
@@ -409,8 +409,12 @@ def events_hourly(spark, sf_dir, t):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import engines, tools  # noqa: F401  (they register theirs)
+
     return dict(_all)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import engines, tools  # noqa: F401
+
     return dict(_sql)

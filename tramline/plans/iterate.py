@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +13,15 @@ BOUND = 10_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's folder under ``spark.checkpoint.dir``; where none is set (tests on one machine) a temporary one."""
+    """The session's folder under ``spark.checkpoint.dir``.
+
+    Where none is set, a session whose only executor is the driver (tests)
+    gets a temporary one; a cluster gets an error.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tramline-"))
     return context.getCheckpointDir()
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import parse_day, parse_seconds, weekday
+from ..plans.iterate import settle
+from .exports import numbered
+from .store import id_table, load, save
+from .timetable import Timetable
 
 COLUMNS = {
     "agency": "agency_id agency_name agency_timezone",
@@ -24,9 +28,11 @@ COLUMNS = {
 def read_raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One file, all strings, trimmed; extra columns are ignored, missing ones and empty cells are null."""
     df = spark.read.csv(f"{folder}/{name}.txt", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    # where a row stands: of rows with equal ids the first one holds
+    df = df.withColumn("file_row", F.monotonically_increasing_id())
     have = {c.strip().lstrip("﻿").lower(): c for c in df.columns}
     cell = lambda c: F.nullif(F.trim(F.col(f"`{have[c]}`")), F.lit("")) if c in have else F.lit(None).cast("string")
-    return df.select(*[cell(c).alias(c) for c in COLUMNS[name].split()])
+    return df.select(*[cell(c).alias(c) for c in COLUMNS[name].split()], "file_row")
 
 
 def read(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -38,11 +44,14 @@ def read(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            raw[name] = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in cols.split()]))
+            raw[name] = spark.createDataFrame([], T.StructType([*[T.StructField(c, T.StringType()) for c in cols.split()], T.StructField("file_row", T.LongType())]))
     return clean(raw)
 
 
 def clean(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Raw tables (all strings) typed and validated; of routes, stops and trips with one id the first row of the file holds."""
+    raw = {n: df if "file_row" in df.columns else df.withColumn("file_row", F.monotonically_increasing_id()) for n, df in raw.items()}
+    raw |= {n: first_rows(raw[n].where(F.col(k).isNotNull()), k, "file_row") for n, k in (("routes", "route_id"), ("stops", "stop_id"), ("trips", "trip_id"))}
     i = lambda c: F.col(c).try_cast("int")
     days = "sunday monday tuesday wednesday thursday friday saturday".split()
     return {
@@ -110,7 +119,7 @@ def trip_events(feed: dict[str, DataFrame], first: str, last: str, use_days: boo
     after the last arrival.
     """
     days = service_days(feed["calendar"], feed["calendar_dates"], first, last, not use_days)
-    trips = first_rows(feed["trips"], "trip_id", "route_id").join(feed["routes"].select("route_id").distinct(), "route_id", "left_semi")
+    trips = feed["trips"].join(feed["routes"].select("route_id").distinct(), "route_id", "left_semi")
     times = feed["stop_times"].join(feed["stops"].select("stop_id").distinct(), "stop_id", "left_semi")
     e = times.groupBy("trip_id").agg(F.sort_array(F.collect_list(F.struct("seq", "arr", "dep", "stop_id"))).alias("e"))
     fixed = e.select("trip_id", F.col("e.stop_id").alias("at"), repaired(F.col("e")).alias("times")).where("times IS NOT NULL AND size(times) > 1")
@@ -125,3 +134,54 @@ def trip_events(feed: dict[str, DataFrame], first: str, last: str, use_days: boo
     arr2 = F.when(F.col("stop_index") == 0, dep - 1).otherwise(arr)
     dep2 = F.when(F.col("stop_index") == F.col("n") - 1, arr + 1).otherwise(dep)
     return x.select(F.col("trip_id").alias("trip"), F.col("shift").alias("run"), F.col("stop_index").cast("long").alias("stop_index"), F.col("z.at").alias("stop_id"), arr2.alias("arr"), dep2.alias("dep"))
+
+
+def trip_runs(feed: dict[str, DataFrame], first: str, last: str, use_days: bool = True, use_frequencies: bool = True) -> dict[str, DataFrame]:
+    """``trip_events`` and their trips, stops and transfers with dense numbers; names stay in ``stops`` and ``trip_names``.
+
+    ``stops``: stop_id, name, lon_e6, lat_e6, min_transfer_s (the largest
+    transfer of a stop to itself). ``footpaths``: transfers between two stops,
+    both ways, the least time of a pair.
+    """
+    e = settle(trip_events(feed, first, last, use_days, use_frequencies))
+    used = e.select("stop_id").distinct()
+    ids = settle(id_table(used, "stop_id").withColumnRenamed("stop_id", "gtfs_stop"))
+    runs = settle(id_table(e.select(F.struct("trip", "run").alias("key")), "key"))
+    names = feed["stops"].withColumnRenamed("stop_id", "gtfs_stop").join(ids, "gtfs_stop")
+    hops = feed["transfers"]
+    self_ = hops.where("src = dst").groupBy(F.col("src").alias("gtfs_stop")).agg(F.max("travel_s").cast("long").alias("m"))
+    stops = names.join(self_, "gtfs_stop", "left").select(F.col("id").alias("stop_id"), "name", F.round(F.col("lon") * 1e6).cast("long").alias("lon_e6"), F.round(F.col("lat") * 1e6).cast("long").alias("lat_e6"), F.coalesce("m", F.lit(0).cast("long")).alias("min_transfer_s"), "gtfs_stop")
+    a, b = ids.select(F.col("gtfs_stop").alias("src"), F.col("id").alias("s")), ids.select(F.col("gtfs_stop").alias("dst"), F.col("id").alias("d"))
+    foot = hops.where("src <> dst").join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), F.col("travel_s").cast("long").alias("travel_s"))
+    both = foot.unionByName(foot.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "travel_s"))
+    events = e.join(ids.withColumnRenamed("gtfs_stop", "stop_id").withColumnRenamed("id", "no"), "stop_id").join(runs.select(F.col("id").alias("trip_id"), F.col("key.trip").alias("trip"), F.col("key.run").alias("run")), ["trip", "run"])
+    return {
+        "stops": settle(stops),
+        "trip_names": runs.select(F.col("id").alias("trip_id"), F.col("key.trip").alias("trip"), F.col("key.run").alias("run")),
+        "events": settle(events.select("trip_id", "stop_index", F.col("no").alias("stop_id"), "arr", "dep")),
+        "footpaths": settle(both.groupBy("src", "dst").agg(F.min("travel_s").alias("travel_s"))),
+    }
+
+
+def network(feed: dict[str, DataFrame], first: str, last: str, use_days: bool = True, use_frequencies: bool = True, routes: str = "fifo") -> Timetable:
+    """A feed as the relations that every operator works on, with routes by the named rule and one cell for all stops."""
+    from ..operators import layout
+
+    got = trip_runs(feed, first, last, use_days, use_frequencies)
+    events = got["events"].withColumn("route_id", F.lit(0).cast("long"))
+    ways = settle(layout.routes(events, routes))
+    lines = ways.select("first_trip", "route_no").distinct()
+    lines = numbered(lines.withColumn("key", F.struct("first_trip", "route_no")), "key").select("first_trip", "route_no", F.col("no").alias("route_id"))
+    of = settle(ways.join(lines, ["first_trip", "route_no"]).select("trip_id", "route_id"))
+    events = settle(events.drop("route_id").join(of, "trip_id").select("trip_id", "route_id", "stop_index", "stop_id", "arr", "dep"))
+    trips = events.where("stop_index = 0").select("trip_id", "route_id", F.col("arr").alias("t0"))
+    return Timetable(got["stops"].drop("gtfs_stop"), trips, events, got["footpaths"], got["stops"].select("stop_id", F.lit(0).cast("long").alias("cell_id")))
+
+
+def to_parquet(spark: SparkSession, folder: str, out: str) -> None:
+    """A feed's nine tables, typed and validated, as Parquet."""
+    save(read(spark, folder), out)
+
+
+def from_parquet(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return load(spark, folder, list(COLUMNS))
