@@ -4,7 +4,7 @@ All queries advance together, keyed by query_id. A round joins only the labels
 that the last round improved; its result is settled before the next one, so
 plans stay flat. Departures are compared through per-(route, place) arrays in
 rank order, so a reached stop meets one row per route place rather than one
-per trip, and the scan along a route is a running minimum of trip ranks.
+per trip, and the scan along a route is a minimum of trip ranks per place.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .pareto import improving
 
 #: Rounds after which the best labels are written anew; between them they are the last ones and the rounds since.
 SETTLE_EVERY = 3
+#: Measured bytes of a layout's arrays up to which it goes to every task.
+SMALL_BYTES = 64 << 20
 #: Footpaths as a closed table, or a way to walk: labels in, labels with all that is in walking reach out.
 Walks = DataFrame | Callable[[DataFrame], DataFrame]
 
@@ -33,17 +35,29 @@ def _walk(labels: DataFrame, footpaths: Walks) -> DataFrame:
     return labels.select("query_id", "stop_id", "arr").unionByName(hop).groupBy("query_id", "stop_id").agg(F.min("arr").alias("arr"))
 
 
-def _scan(reached: DataFrame, layout: DataFrame) -> DataFrame:
-    """Arrivals by one more trip from newly improved stops: the least per query and stop."""
-    places = layout.select("route_id", "stop_index", "stop_id", "last_index", "deps", "slots").where("stop_index < last_index")
+def sides(layout: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The layout as boarding places (with departures) and as arrivals, each broadcast while all its arrays are ``SMALL_BYTES`` at most.
+
+    Beyond that they are joined as any tables are; no array is ever sorted or
+    shuffled with the labels.
+    """
+    places = layout.where("stop_index < last_index").select("route_id", "stop_index", "stop_id", "last_index", "deps", "slots")
+    arrivals = layout.where("stop_index > 0").select("route_id", F.col("stop_index").alias("to_index"), F.col("stop_id").alias("to_stop"), "arrs")
+    size = layout.agg(F.sum(64 + 8 * F.size("deps"))).first()[0] or 0
+    return (F.broadcast(places), F.broadcast(arrivals)) if size <= SMALL_BYTES else (places, arrivals)
+
+
+def _scan(reached: DataFrame, places: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """Arrivals by one more trip from newly improved stops: the least per query and stop.
+
+    Who boards a rank at a place is aboard at all later places of the route;
+    the least rank aboard at a place arrives first there.
+    """
     board = reached.join(places, "stop_id").withColumn("rank", catch("arr")).where("rank < size(deps)")
-    board = board.groupBy("query_id", "route_id", "stop_index").agg(F.min("rank").alias("rank"))
-    lines = board.groupBy("query_id", "route_id").agg(F.min("stop_index").alias("from_index"))
-    along = lines.join(layout.select("route_id", "stop_index", "stop_id", "arrs"), "route_id").where("stop_index >= from_index")
-    along = along.join(board, ["query_id", "route_id", "stop_index"], "left")
-    before = Window.partitionBy("query_id", "route_id").orderBy("stop_index").rowsBetween(Window.unboundedPreceding, -1)
-    ride = along.withColumn("run", F.min("rank").over(before)).where("run IS NOT NULL")
-    return ride.select("query_id", "stop_id", F.expr("arrs[run]").alias("arr")).groupBy("query_id", "stop_id").agg(F.min("arr").alias("arr"))
+    aboard = board.select("query_id", "route_id", "rank", F.explode(F.sequence(F.col("stop_index") + 1, F.col("last_index"))).alias("to_index"))
+    aboard = aboard.groupBy("query_id", "route_id", "to_index").agg(F.min("rank").alias("rank"))
+    ride = aboard.join(arrivals, ["route_id", "to_index"]).select("query_id", F.col("to_stop").alias("stop_id"), F.expr("arrs[rank]").alias("arr"))
+    return ride.groupBy("query_id", "stop_id").agg(F.min("arr").alias("arr"))
 
 
 def _least(labels: DataFrame) -> DataFrame:
@@ -93,9 +107,10 @@ def raptor(queries: DataFrame, layout: DataFrame, footpaths: Walks, max_rounds:
     start = queries.select("query_id", F.col("source").alias("stop_id"), F.col("dep_s").cast("long").alias("arr"))
     delta = settle(_walk(start, footpaths))
     targets = queries.select("query_id", F.col("target").alias("stop_id")) if to_target else None
+    places, arrivals = sides(layout)
     best, out = Best(delta, targets), [delta.withColumn("trips", F.lit(0))]
     for k in rounds_of(max_rounds):
-        ridden = _scan(delta, layout)
+        ridden = _scan(delta, places, arrivals)
         new = _walk(ridden, footpaths)
         if between is not None:
             # what a ride reaches and what a change walks on to; full walks only end journeys
