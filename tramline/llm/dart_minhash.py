@@ -52,7 +52,7 @@ BANDS, ROWS, SHINGLE, THRESHOLD = 24, 4, 5, 0.8
 #: 0.8 shares no bucket with a probability of 3e-6, and its 96 coordinates
 #: fall below 0.6 with a probability of about 1e-6.
 SCREEN = 0.6
-BLOCK, BLOCK_BYTES = 1024, 8_000_000
+BLOCK, BLOCK_BYTES = 4096, 8_000_000
 
 
 def counted(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
