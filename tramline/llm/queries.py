@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dart_minhash, license_scan, line_dedup, pfair_mix, pii, quality, token_counts, toxicity, warc
+from . import decontaminate, dart_minhash, license_scan, line_dedup, pfair_mix, pii, piece_codec, quality, token_counts, toxicity, warc
 from .common import table
 
 
@@ -56,8 +56,14 @@ def op10_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_warc_capture_index, op2_dart_minhash, op3_pii_crf, op4_toxic_segments, op5_adaptive_quality, op6_license_digest, op7_site_line_dedup, op8_pretoken_counts, op9_pfair_mix, op10_template_decontam)
+    own = (op1_warc_capture_index, op2_dart_minhash, op3_pii_crf, op4_toxic_segments, op5_adaptive_quality, op6_license_digest, op7_site_line_dedup, op8_pretoken_counts, op9_pfair_mix, op10_template_decontam, op13_piece_codec)
     return {f.__name__: f for f in own}
 
 
