@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dart_minhash, license_scan, line_dedup, pfair_mix, pii, piece_codec, quality, token_counts, toxicity, warc
+from . import conversation_trie, dart_minhash, decontaminate, filter_audit, license_scan, line_dedup, pfair_mix, pii, piece_codec, quality, token_counts, toxicity, warc
 from .common import table
 
 
@@ -56,6 +56,14 @@ def op10_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.rebuilt_trie(table(spark, sf_dir, "conversations")).drop("digest")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,7 +71,7 @@ def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_warc_capture_index, op2_dart_minhash, op3_pii_crf, op4_toxic_segments, op5_adaptive_quality, op6_license_digest, op7_site_line_dedup, op8_pretoken_counts, op9_pfair_mix, op10_template_decontam, op13_piece_codec)
+    own = (op1_warc_capture_index, op2_dart_minhash, op3_pii_crf, op4_toxic_segments, op5_adaptive_quality, op6_license_digest, op7_site_line_dedup, op8_pretoken_counts, op9_pfair_mix, op10_template_decontam, op11_conversation_trie, op12_filter_audit, op13_piece_codec)
     return {f.__name__: f for f in own}
 
 
@@ -120,4 +128,4 @@ _OP9 = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_capture_index": _OP1, "op6_license_digest": license_scan.oracle(), "op7_site_line_dedup": _OP7, "op9_pfair_mix": _OP9}
+    return {"op1_warc_capture_index": _OP1, "op6_license_digest": license_scan.oracle(), "op7_site_line_dedup": _OP7, "op9_pfair_mix": _OP9, "op11_conversation_trie": conversation_trie.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
