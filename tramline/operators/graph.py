@@ -177,27 +177,38 @@ def triangle_violations(edges: DataFrame) -> DataFrame:
 def nearest(points: DataFrame, stops: DataFrame, cell_e6: int, k: int = 1) -> DataFrame:
     """``point_id, stop_id, distance_cm, nth``: the ``k`` nearest stops of each point (point_id, lon_e6, lat_e6).
 
-    Points meet stops by grid cells; the search widens ring by ring, and a
-    point is done when its k-th distance is no larger than the width it has
-    surely covered. Ties: the least stop.
+    Both stand on the sphere in space, cut into cubes, so no latitude is
+    narrower than another and nothing ends at 180 degrees. A point meets the
+    stops of its cube and the 26 around it; it is done once its k-th distance is
+    no longer than a cube's side, and the others go on with cubes twice as
+    wide. Cubes grow in place of the number of them that a point meets, and a
+    side longer than the sphere ends it. ``cell_e6`` is the first side in
+    micro-degrees of latitude. Ties: the least stop.
     """
-    lat_cm, narrow = 637_813_700 * 3.141592653589793 / 180e6, 0.5
-    s = settle(stops.select("stop_id", F.col("lon_e6").alias("x2"), F.col("lat_e6").alias("y2"), F.floor(F.col("lon_e6") / cell_e6).alias("gx"), F.floor(F.col("lat_e6") / cell_e6).alias("gy")))
-    left = settle(points.select("point_id", F.col("lon_e6").alias("x1"), F.col("lat_e6").alias("y1")))
-    total, out, ring = s.count(), None, 1
+    radius = 637_813_700
+    across = ("x", "y", "z")
+
+    def in_space(df: DataFrame) -> DataFrame:
+        lon, lat = F.radians(F.col("lon_e6") / 1e6), F.radians(F.col("lat_e6") / 1e6)
+        return df.withColumns({"x": radius * F.cos(lat) * F.cos(lon), "y": radius * F.cos(lat) * F.sin(lon), "z": radius * F.sin(lat)})
+
+    s = settle(in_space(stops.select("stop_id", "lon_e6", "lat_e6")).select("stop_id", F.col("lon_e6").alias("lon2"), F.col("lat_e6").alias("lat2"), *across))
+    left = settle(in_space(points.select("point_id", "lon_e6", "lat_e6")).select("point_id", F.col("lon_e6").alias("lon1"), F.col("lat_e6").alias("lat1"), *across))
+    total, out, side = s.count(), None, max(1, int(cell_e6 * radius * 3.141592653589793 / 180e6))
+    around = F.array(*[F.struct(*[(F.floor(F.col(c) / F.col("side")) + d).alias(f"g{c}") for c, d in zip(across, (i, j, m), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)])
     while total and not left.isEmpty():
-        here = left.withColumn("gx", F.explode(F.sequence(F.floor(F.col("x1") / cell_e6) - ring, F.floor(F.col("x1") / cell_e6) + ring)))
-        here = here.withColumn("gy", F.explode(F.sequence(F.floor(F.col("y1") / cell_e6) - ring, F.floor(F.col("y1") / cell_e6) + ring)))
-        d = F.round(distance_cm(F.col("x1") / 1e6, F.col("y1") / 1e6, F.col("x2") / 1e6, F.col("y2") / 1e6)).cast("long")
-        near = here.join(s, ["gx", "gy"]).select("point_id", "stop_id", d.alias("distance_cm"))
+        width = F.lit(float(side))
+        here = left.withColumn("side", width).select("point_id", "lon1", "lat1", F.inline(around))
+        own = s.select("stop_id", "lon2", "lat2", *[F.floor(F.col(c) / width).alias(f"g{c}") for c in across])
+        d = F.round(distance_cm(F.col("lon1") / 1e6, F.col("lat1") / 1e6, F.col("lon2") / 1e6, F.col("lat2") / 1e6)).cast("long")
+        near = here.join(own, [f"g{c}" for c in across]).select("point_id", "stop_id", d.alias("distance_cm"))
         near = near.withColumn("nth", F.row_number().over(Window.partitionBy("point_id").orderBy("distance_cm", "stop_id"))).where(F.col("nth") <= k)
-        # a ring of cells is at least this wide; degrees of longitude are narrower, by less than half up to 60 degrees
-        covered = int(ring * cell_e6 * lat_cm * narrow)
-        whole = near.groupBy("point_id").agg(F.count("*").alias("n"), F.max("distance_cm").alias("far")).where((F.col("n") >= min(k, total)) & (F.col("far") <= covered))
+        # a chord is no longer than its arc, so all within a side's arc have been met
+        whole = near.groupBy("point_id").agg(F.count("*").alias("n"), F.max("distance_cm").alias("far")).where((F.col("n") >= min(k, total)) & ((F.col("far") < side) | F.lit(side > 2 * radius)))
         done = settle(near.join(whole.select("point_id"), "point_id"))
         out = done if out is None else out.unionByName(done)
         left = settle(left.join(done.select("point_id").distinct(), "point_id", "left_anti"))
-        ring *= 2
+        side *= 2
     return out if out is not None else points.select("point_id", F.lit(None).cast("long").alias("stop_id"), F.lit(None).cast("long").alias("distance_cm"), F.lit(None).cast("int").alias("nth")).where("false")
 
 

@@ -12,6 +12,8 @@ from .graph import matching, weak_components
 
 #: Width in seconds of the slots that narrow the search in a sorted array of departures.
 SLOT = 7200
+#: Places of a trip that an event's vertex tells apart.
+PLACES = 256
 
 
 def connections(events: DataFrame) -> DataFrame:
@@ -205,8 +207,9 @@ def min_travel_time(events: DataFrame, footpaths: DataFrame) -> DataFrame:
 
 
 def event_node(kind: int) -> Column:
-    """The vertex of an event's departure (0) or arrival (1), from trip_id and stop_index (below 256)."""
-    return (F.col("trip_id") * 256 + F.col("stop_index")) * 2 + kind
+    """The vertex of an event's departure (0) or arrival (1), from trip_id and stop_index; a trip of more than ``PLACES`` events is an error."""
+    place = F.when(F.col("stop_index") < PLACES, F.col("stop_index")).otherwise(F.raise_error(F.lit(f"a trip has more than {PLACES} events")))
+    return (F.col("trip_id") * PLACES + place) * 2 + kind
 
 
 def time_expanded_nodes(events: DataFrame) -> DataFrame:

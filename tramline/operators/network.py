@@ -11,13 +11,13 @@ from ..sources.timetable import Timetable
 from . import graph
 from .layout import connections, min_travel_time
 
-#: Named boxes (lon min, lon max, lat min, lat max) in degrees, roughly around the places.
+#: Named boxes (lon min, lon max, lat min, lat max) in degrees.
 BOXES = {
-    "germany": (5.730, 15.050, 47.160, 55.070),
-    "deutschland": (5.730, 15.050, 47.160, 55.070),
-    "switzerland": (5.956, 10.492, 45.818, 47.808),
-    "bern": (7.289, 7.595, 46.878, 47.015),
-    "london": (-0.510, 0.334, 51.287, 51.692),
+    "germany": (5.730, 15.130, 47.160, 55.070),
+    "deutschland": (5.730, 15.130, 47.160, 55.070),
+    "switzerland": (5.826, 10.819, 45.487, 48.142),
+    "bern": (7.307, 7.563, 46.868, 47.085),
+    "london": (-0.612, 0.715, 51.233, 51.707),
 }
 
 

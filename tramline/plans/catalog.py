@@ -14,8 +14,9 @@ from ..sources.timetable import Timetable, project, query_table, sql
 from ..streaming import hourly
 from .iterate import checkpoint_folder, settle
 
-#: Queries, and rounds of the SQL twins; the queries themselves run to their fixpoints.
-N, ROUNDS, FULL = 20, 5, 8
+#: Queries, and rounds of the SQL twins with two and with three criteria, more than any fixpoint at sf0.1 needs; the queries themselves run to theirs.
+N, ROUNDS, MOST = 20, 14, 14
+FULL = ROUNDS
 _all: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
@@ -32,14 +33,17 @@ def _query(text: str | None, n: int = N):
     return put
 
 
-def _labels(k: int, start: str = "queries") -> str:
-    """Best arrivals with at most 0..k trips as table expressions l0..lk, by boarding every trip in reach."""
-    walk = lambda t: f"SELECT query_id, stop_id, min(arr) AS arr FROM (SELECT query_id, stop_id, arr FROM {t} UNION ALL SELECT query_id, dst, arr + travel_s FROM {t} JOIN footpaths ON src = stop_id) GROUP BY 1, 2"
-    out = f", s0 AS (SELECT query_id, source AS stop_id, dep_s AS arr FROM {start}), l0 AS MATERIALIZED ({walk('s0')})"
+def _labels(k: int, start: str = "queries", events: str = "stop_events", walks: str = "footpaths") -> str:
+    """Best arrivals with at most 0..k trips as table expressions l0..lk: at each place of a route the first trip in reach."""
+    walk = lambda t: f"SELECT query_id, stop_id, min(arr) AS arr FROM (SELECT query_id, stop_id, arr FROM {t} UNION ALL SELECT query_id, dst, arr + travel_s FROM {t} JOIN {walks} ON src = stop_id) GROUP BY 1, 2"
+    out = f""", rp AS MATERIALIZED (SELECT DISTINCT route_id, stop_index, stop_id FROM {events} WHERE stop_index < 7),
+        rd AS MATERIALIZED (SELECT route_id, stop_index, dep, min(trip_id) AS trip_id FROM {events} GROUP BY 1, 2, 3),
+        s0 AS (SELECT query_id, source AS stop_id, dep_s AS arr FROM {start}), l0 AS MATERIALIZED ({walk('s0')})"""
     for i in range(1, k + 1):
         out += f""",
-        b{i} AS (SELECT l.query_id, e.trip_id, min(e.stop_index) AS i FROM l{i - 1} l JOIN stop_events e ON e.stop_id = l.stop_id AND e.dep >= l.arr AND e.stop_index < 7 GROUP BY 1, 2),
-        r{i} AS MATERIALIZED (SELECT b.query_id, e.stop_id, min(e.arr) AS arr FROM b{i} b JOIN stop_events e ON e.trip_id = b.trip_id AND e.stop_index > b.i GROUP BY 1, 2),
+        b{i} AS (SELECT query_id, trip_id, min(p.stop_index) AS i FROM (SELECT l.query_id, l.arr, rp.route_id, rp.stop_index FROM l{i - 1} l JOIN rp ON rp.stop_id = l.stop_id) p
+            ASOF JOIN rd ON rd.route_id = p.route_id AND rd.stop_index = p.stop_index AND p.arr <= rd.dep GROUP BY 1, 2),
+        r{i} AS MATERIALIZED (SELECT b.query_id, e.stop_id, min(e.arr) AS arr FROM b{i} b JOIN {events} e ON e.trip_id = b.trip_id AND e.stop_index > b.i GROUP BY 1, 2),
         l{i} AS MATERIALIZED (SELECT query_id, stop_id, min(arr) AS arr FROM (SELECT * FROM l{i - 1} UNION ALL ({walk(f'r{i}')})) GROUP BY 1, 2)"""
     return out
 
@@ -329,24 +333,27 @@ def profile_pareto(spark, sf_dir, t):
 def _mc(k: int) -> str:
     sky = lambda t: f"SELECT DISTINCT * FROM {t} x WHERE NOT EXISTS (SELECT 1 FROM {t} y WHERE y.query_id = x.query_id AND y.stop_id = x.stop_id AND y.arr <= x.arr AND y.walk <= x.walk AND (y.arr < x.arr OR y.walk < x.walk))"
     walk = lambda t: f"SELECT query_id, stop_id, arr, walk FROM {t} UNION SELECT query_id, dst, arr + travel_s, walk + travel_s FROM {t} JOIN footpaths ON src = stop_id"
-    out = f", m0 AS (SELECT query_id, source AS stop_id, dep_s AS arr, CAST(0 AS BIGINT) AS walk FROM queries), w0 AS ({walk('m0')}), g0 AS MATERIALIZED ({sky('w0')})"
+    out = f""", rp AS MATERIALIZED (SELECT DISTINCT route_id, stop_index, stop_id FROM stop_events WHERE stop_index < 7),
+        rd AS MATERIALIZED (SELECT route_id, stop_index, dep, min(trip_id) AS trip_id FROM stop_events GROUP BY 1, 2, 3),
+        m0 AS (SELECT query_id, source AS stop_id, dep_s AS arr, CAST(0 AS BIGINT) AS walk FROM queries), w0 AS ({walk('m0')}), g0 AS MATERIALIZED ({sky('w0')})"""
     for i in range(1, k + 1):
-        out += f""", o{i} AS (SELECT g.query_id, e.trip_id, g.walk, min(e.stop_index) AS i FROM g{i - 1} g JOIN stop_events e ON e.stop_id = g.stop_id AND e.dep >= g.arr AND e.stop_index < 7 GROUP BY 1, 2, 3),
+        out += f""", o{i} AS (SELECT query_id, trip_id, walk, min(p.stop_index) AS i FROM (SELECT g.*, rp.route_id, rp.stop_index FROM g{i - 1} g JOIN rp ON rp.stop_id = g.stop_id) p
+            ASOF JOIN rd ON rd.route_id = p.route_id AND rd.stop_index = p.stop_index AND p.arr <= rd.dep GROUP BY 1, 2, 3),
         q{i} AS MATERIALIZED (SELECT o.query_id, e.stop_id, min(e.arr) AS arr, o.walk FROM o{i} o JOIN stop_events e ON e.trip_id = o.trip_id AND e.stop_index > o.i GROUP BY 1, 2, 4),
-        z{i} AS MATERIALIZED ({sky(f'q{i}')}), w{i} AS MATERIALIZED ({walk(f'z{i}')}), g{i} AS MATERIALIZED ({sky(f'w{i}')})"""
+        z{i} AS MATERIALIZED ({sky(f'q{i}')}), w{i} AS MATERIALIZED (SELECT * FROM g{i - 1} UNION {walk(f'z{i}')}), g{i} AS MATERIALIZED ({sky(f'w{i}')})"""
     rows = " UNION ALL ".join(f"SELECT query_id, CAST({i} AS BIGINT) AS trips, stop_id, arr, walk FROM g{i}" for i in range(k + 1))
     return out + f", tg AS (SELECT x.query_id, trips, arr, walk FROM ({rows}) x JOIN queries q ON q.query_id = x.query_id AND q.target = x.stop_id), mc AS (SELECT DISTINCT * FROM tg x WHERE NOT EXISTS (SELECT 1 FROM tg y WHERE y.query_id = x.query_id AND y.trips <= x.trips AND y.arr <= x.arr AND y.walk <= x.walk AND (y.trips < x.trips OR y.arr < x.arr OR y.walk < x.walk)))"
 
 
-@_query(f"{_mc(3)} SELECT * FROM mc", 6)
+@_query(f"{_mc(MOST)} SELECT * FROM mc", 6)
 def mc_pareto(spark, sf_dir, t):
-    return criteria.walking(settle(query_table(spark, sf_dir, 6)), _lay(t), t.footpaths, 3)
+    return criteria.walking(settle(query_table(spark, sf_dir, 6)), _lay(t), t.footpaths)
 
 
-@_query(f"{_mc(3)}, an AS (SELECT * FROM (SELECT query_id, trips, min(arr) AS arr FROM mc GROUP BY 1, 2) x WHERE NOT EXISTS (SELECT 1 FROM mc y WHERE y.query_id = x.query_id AND y.trips < x.trips AND y.arr <= x.arr)) SELECT DISTINCT m.query_id, m.trips, m.arr, m.walk FROM mc m JOIN queries q USING (query_id) JOIN an ON an.query_id = m.query_id AND m.arr - dep_s <= 1.25 * (an.arr - dep_s) AND m.trips <= ceil(1.5 * an.trips)", 6)
+@_query(f"{_mc(MOST)}, an AS (SELECT * FROM (SELECT query_id, trips, min(arr) AS arr FROM mc GROUP BY 1, 2) x WHERE NOT EXISTS (SELECT 1 FROM mc y WHERE y.query_id = x.query_id AND y.trips < x.trips AND y.arr <= x.arr)) SELECT DISTINCT m.query_id, m.trips, m.arr, m.walk FROM mc m JOIN queries q USING (query_id) JOIN an ON an.query_id = m.query_id AND m.arr - dep_s <= 1.25 * (an.arr - dep_s) AND m.trips <= ceil(1.5 * an.trips)", 6)
 def bounded_mc(spark, sf_dir, t):
     q = settle(query_table(spark, sf_dir, 6))
-    return criteria.bounded(settle(criteria.walking(q, _lay(t), t.footpaths, 3)), q, 1.25, 1.5)
+    return criteria.bounded(settle(criteria.walking(q, _lay(t), t.footpaths)), q, 1.25, 1.5)
 
 
 @_query("SELECT source, target, CAST(log2(rk) AS BIGINT) AS r FROM (SELECT a.stop_id AS source, b.stop_id AS target, row_number() OVER (PARTITION BY a.stop_id ORDER BY (a.lon_e6 - b.lon_e6) * (a.lon_e6 - b.lon_e6) + (a.lat_e6 - b.lat_e6) * (a.lat_e6 - b.lat_e6), b.stop_id) AS rk FROM (SELECT * FROM stops WHERE stop_id < 10) a, stops b WHERE a.stop_id <> b.stop_id) WHERE rk IN (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)")

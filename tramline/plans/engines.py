@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import criteria, event_graph, graph, layout, profiles, rounds, transfers, walking
 from ..sources import gtfs
 from ..sources.timetable import query_table
-from .catalog import FULL, N, ROUNDS, _labels, _lay, _mc, _query, _reduced, _sub, _targets
+from .catalog import FULL, MOST, N, ROUNDS, _labels, _lay, _mc, _query, _reduced, _sub, _targets
 from .iterate import settle
 
 
@@ -17,7 +17,7 @@ def te_reachability(spark, sf_dir, t):
     return event_graph.search(query_table(spark, sf_dir, N), nodes, settle(layout.time_expanded_edges(t.stop_events, t.footpaths)), t.footpaths)
 
 
-_buffered = _labels(ROUNDS).replace("stop_events e ON e.stop_id = l.stop_id", "eff e ON e.stop_id = l.stop_id")
+_buffered = _labels(ROUNDS, events="eff")
 
 
 @_query(f", eff AS MATERIALIZED (SELECT trip_id, route_id, stop_index, stop_id, arr, dep - 60 * (stop_id % 3) AS dep FROM stop_events) {_buffered} {_targets(ROUNDS)} SELECT * FROM p")
@@ -51,15 +51,15 @@ def profile_one_to_all(spark, sf_dir, t):
     return profiles.one_to_all(settle(query_table(spark, sf_dir, 2)), t.stop_events, _lay(t), t.footpaths, 3600)
 
 
-@_query(f"{_mc(3)} SELECT * FROM mc", 6)
+@_query(f"{_mc(MOST)} SELECT * FROM mc", 6)
 def mc_segments(spark, sf_dir, t):
     lay = _lay(t)
-    return profiles.walking_by_segments(settle(query_table(spark, sf_dir, 6)), lay, settle(transfers.event_transfers(t.stop_events, lay, t.footpaths)), t.footpaths, 3)
+    return profiles.walking_by_segments(settle(query_table(spark, sf_dir, 6)), lay, settle(transfers.event_transfers(t.stop_events, lay, t.footpaths)), t.footpaths)
 
 
-@_query(f"{_mc(3)}, an AS (SELECT * FROM (SELECT query_id, trips, min(arr) AS arr FROM mc GROUP BY 1, 2) x WHERE NOT EXISTS (SELECT 1 FROM mc y WHERE y.query_id = x.query_id AND y.trips < x.trips AND y.arr <= x.arr)) SELECT DISTINCT m.query_id, m.trips, m.arr, m.walk FROM mc m JOIN queries q USING (query_id) JOIN an ON an.query_id = m.query_id AND m.arr - dep_s <= 1.25 * (an.arr - dep_s) AND m.trips <= ceil(1.5 * an.trips)", 6)
+@_query(f"{_mc(MOST)}, an AS (SELECT * FROM (SELECT query_id, trips, min(arr) AS arr FROM mc GROUP BY 1, 2) x WHERE NOT EXISTS (SELECT 1 FROM mc y WHERE y.query_id = x.query_id AND y.trips < x.trips AND y.arr <= x.arr)) SELECT DISTINCT m.query_id, m.trips, m.arr, m.walk FROM mc m JOIN queries q USING (query_id) JOIN an ON an.query_id = m.query_id AND m.arr - dep_s <= 1.25 * (an.arr - dep_s) AND m.trips <= ceil(1.5 * an.trips)", 6)
 def bounded_search(spark, sf_dir, t):
-    return criteria.bounded_search(settle(query_table(spark, sf_dir, 6)), _lay(t), t.footpaths, 1.25, 1.5, 3)
+    return criteria.bounded_search(settle(query_table(spark, sf_dir, 6)), _lay(t), t.footpaths, 1.25, 1.5)
 
 
 def _chain(t):
@@ -119,21 +119,24 @@ def _two_modes(k: int) -> str:
     weak, strict = " AND ".join(f"y.{c} <= x.{c}" for c in crit), " OR ".join(f"y.{c} < x.{c}" for c in crit)
     sky = lambda n: f"SELECT DISTINCT * FROM {n} x WHERE NOT EXISTS (SELECT 1 FROM {n} y WHERE y.query_id = x.query_id AND y.stop_id = x.stop_id AND {weak} AND ({strict}))"
     go = lambda n: f"SELECT query_id, stop_id, arr, walking_s, scooter_s FROM {n} UNION SELECT query_id, dst, arr + travel_s, walking_s + CASE WHEN mode = 'walking' THEN travel_s ELSE 0 END, scooter_s + CASE WHEN mode = 'scooter' THEN travel_s ELSE 0 END FROM {n} JOIN f2 ON src = stop_id"
-    out = f", f2 AS ({_foot2}), m0 AS (SELECT query_id, source AS stop_id, dep_s AS arr, CAST(0 AS BIGINT) AS walking_s, CAST(0 AS BIGINT) AS scooter_s FROM queries), w0 AS ({go('m0')}), g0 AS MATERIALIZED ({sky('w0')})"
+    out = f""", f2 AS ({_foot2}), rp AS MATERIALIZED (SELECT DISTINCT route_id, stop_index, stop_id FROM stop_events WHERE stop_index < 7),
+        rd AS MATERIALIZED (SELECT route_id, stop_index, dep, min(trip_id) AS trip_id FROM stop_events GROUP BY 1, 2, 3),
+        m0 AS (SELECT query_id, source AS stop_id, dep_s AS arr, CAST(0 AS BIGINT) AS walking_s, CAST(0 AS BIGINT) AS scooter_s FROM queries), w0 AS ({go('m0')}), g0 AS MATERIALIZED ({sky('w0')})"""
     for i in range(1, k + 1):
-        out += f""", o{i} AS (SELECT g.query_id, e.trip_id, g.walking_s, g.scooter_s, min(e.stop_index) AS i FROM g{i - 1} g JOIN stop_events e ON e.stop_id = g.stop_id AND e.dep >= g.arr AND e.stop_index < 7 GROUP BY 1, 2, 3, 4),
+        out += f""", o{i} AS (SELECT query_id, trip_id, walking_s, scooter_s, min(p.stop_index) AS i FROM (SELECT g.*, rp.route_id, rp.stop_index FROM g{i - 1} g JOIN rp ON rp.stop_id = g.stop_id) p
+            ASOF JOIN rd ON rd.route_id = p.route_id AND rd.stop_index = p.stop_index AND p.arr <= rd.dep GROUP BY 1, 2, 3, 4),
         q{i} AS MATERIALIZED (SELECT o.query_id, e.stop_id, min(e.arr) AS arr, o.walking_s, o.scooter_s FROM o{i} o JOIN stop_events e ON e.trip_id = o.trip_id AND e.stop_index > o.i GROUP BY 1, 2, 4, 5),
-        z{i} AS MATERIALIZED ({sky(f'q{i}')}), w{i} AS MATERIALIZED ({go(f'z{i}')}), g{i} AS MATERIALIZED ({sky(f'w{i}')})"""
+        z{i} AS MATERIALIZED ({sky(f'q{i}')}), w{i} AS MATERIALIZED (SELECT * FROM g{i - 1} UNION {go(f'z{i}')}), g{i} AS MATERIALIZED ({sky(f'w{i}')})"""
     rows = " UNION ALL ".join(f"SELECT query_id, CAST({i} AS BIGINT) AS trips, stop_id, arr, walking_s, scooter_s FROM g{i}" for i in range(k + 1))
     return out + f", tg AS (SELECT x.query_id, trips, arr, walking_s, scooter_s FROM ({rows}) x JOIN queries q ON q.query_id = x.query_id AND q.target = x.stop_id) SELECT DISTINCT * FROM tg x WHERE NOT EXISTS (SELECT 1 FROM tg y WHERE y.query_id = x.query_id AND y.trips <= x.trips AND {weak} AND (y.trips < x.trips OR {strict}))"
 
 
-@_query(_two_modes(2), 4)
+@_query(_two_modes(MOST), 4)
 def multimodal_pareto(spark, sf_dir, t):
     lay, q = _lay(t), settle(query_table(spark, sf_dir, 4))
     faster = t.footpaths.select("src", "dst", F.expr("travel_s div 4").alias("travel_s"))
     walks = settle(walking.by_mode({"walking": t.footpaths, "scooter": faster}))
-    return walking.multimodal(q, lambda labels, cost: criteria.ride_one_trip(labels, lay, cost), walks, ["walking", "scooter"], 2)
+    return walking.multimodal(q, lambda labels, cost: criteria.ride_one_trip(labels, lay, cost), walks, ["walking", "scooter"])
 
 
 def _literal_feed(spark):

@@ -10,7 +10,7 @@ from ..functions import text
 from ..operators import analytics, criteria, event_graph, graph, hierarchy, layout, network, rounds, time_dependent, transfers
 from ..sources import exports, store
 from ..sources.timetable import Timetable, query_table
-from .catalog import FULL, N, ROUNDS, _conn, _dist, _ev, _labels, _lay, _mc, _query, _targets
+from .catalog import FULL, MOST, N, ROUNDS, _conn, _dist, _ev, _labels, _lay, _mc, _query, _targets
 from .iterate import checkpoint_folder, settle
 
 _ends = "JOIN stops a ON a.stop_id = f.src JOIN stops b ON b.stop_id = f.dst"
@@ -160,10 +160,10 @@ def distance_by_trips(spark, sf_dir, t):
     return analytics.distance_by_trips(rounds.at_targets(rounds.raptor(q, _lay(t), t.footpaths, to_target=True), q), q, t.stops)
 
 
-@_query(f"{_mc(3)}, bt AS (SELECT * FROM (SELECT query_id, trips, min(arr) AS arr FROM mc GROUP BY 1, 2) x WHERE NOT EXISTS (SELECT 1 FROM mc y WHERE y.query_id = x.query_id AND y.trips < x.trips AND y.arr <= x.arr)), an AS (SELECT m.query_id, m.trips, m.arr, q.dep_s, min(walk) AS walk FROM mc m JOIN bt USING (query_id, trips, arr) JOIN queries q USING (query_id) GROUP BY 1, 2, 3, 4), bs AS (SELECT query_id, min(walk) AS base FROM an GROUP BY 1 HAVING min(walk) > 0), gr AS (SELECT a AS arrival_slack, s AS trip_slack, h AS share FROM (VALUES (100), (110), (125), (150)) x(a), (VALUES (100), (125), (150)) y(s), (VALUES (75), (50), (25)) z(h)) SELECT CAST(gr.arrival_slack AS BIGINT) AS arrival_slack, CAST(gr.trip_slack AS BIGINT) AS trip_slack, CAST(gr.share AS BIGINT) AS share, (SELECT count(*) FROM bs) AS queries, (SELECT count(DISTINCT m.query_id) FROM an JOIN mc m ON m.query_id = an.query_id JOIN bs ON bs.query_id = an.query_id WHERE (m.arr - an.dep_s) * 100 <= gr.arrival_slack * (an.arr - an.dep_s) AND m.trips <= (gr.trip_slack * an.trips + 99) // 100 AND m.walk * 100 <= gr.share * base) AS reached FROM gr", 12)
+@_query(f"{_mc(MOST)}, bt AS (SELECT * FROM (SELECT query_id, trips, min(arr) AS arr FROM mc GROUP BY 1, 2) x WHERE NOT EXISTS (SELECT 1 FROM mc y WHERE y.query_id = x.query_id AND y.trips < x.trips AND y.arr <= x.arr)), an AS (SELECT m.query_id, m.trips, m.arr, q.dep_s, min(walk) AS walk FROM mc m JOIN bt USING (query_id, trips, arr) JOIN queries q USING (query_id) GROUP BY 1, 2, 3, 4), bs AS (SELECT query_id, min(walk) AS base FROM an GROUP BY 1 HAVING min(walk) > 0), gr AS (SELECT a AS arrival_slack, s AS trip_slack, h AS share FROM (VALUES (100), (110), (125), (150)) x(a), (VALUES (100), (125), (150)) y(s), (VALUES (75), (50), (25)) z(h)) SELECT CAST(gr.arrival_slack AS BIGINT) AS arrival_slack, CAST(gr.trip_slack AS BIGINT) AS trip_slack, CAST(gr.share AS BIGINT) AS share, (SELECT count(*) FROM bs) AS queries, (SELECT count(DISTINCT m.query_id) FROM an JOIN mc m ON m.query_id = an.query_id JOIN bs ON bs.query_id = an.query_id WHERE (m.arr - an.dep_s) * 100 <= gr.arrival_slack * (an.arr - an.dep_s) AND m.trips <= (gr.trip_slack * an.trips + 99) // 100 AND m.walk * 100 <= gr.share * base) AS reached FROM gr", 12)
 def walking_savings(spark, sf_dir, t):
     q = settle(query_table(spark, sf_dir, 12))
-    return analytics.walking_savings(settle(criteria.walking(q, _lay(t), t.footpaths, 3)), q, [1, 1.1, 1.25, 1.5], [1, 1.25, 1.5], [0.75, 0.5, 0.25])
+    return analytics.walking_savings(settle(criteria.walking(q, _lay(t), t.footpaths)), q, [1, 1.1, 1.25, 1.5], [1, 1.25, 1.5], [0.75, 0.5, 0.25])
 
 
 @_query(f"{_ev}, tt AS (SELECT tr.trip_id AS a, x.trip_id AS b FROM tr JOIN ev x ON x.route_id = to_route AND x.stop_index = to_index AND x.rank = to_rank) SELECT trip_id, coalesce(n_out, 0) AS n_out, CAST(0 AS BIGINT) AS max_out, coalesce(n_in, 0) AS n_in, CAST(0 AS BIGINT) AS max_in FROM (SELECT a AS trip_id, count(*) AS n_out FROM tt GROUP BY 1) FULL JOIN (SELECT b AS trip_id, count(*) AS n_in FROM tt GROUP BY 1) USING (trip_id)")

@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 
 
 def open_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", files: int = 16) -> DataFrame:
-    """A stream of the event files in ``folder``, at most ``files`` a micro-batch."""
-    schema = spark.read.parquet(f"{folder}/{pattern}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).parquet(folder)
+    """A stream of the event files that match ``pattern`` in ``folder``, at most ``files`` a micro-batch.
+
+    A match that is a folder is a table of part files, and those are streamed.
+    """
+    where = f"{folder}/{pattern}"
+    stream = spark.readStream.schema(spark.read.parquet(where).schema).option("maxFilesPerTrigger", files)
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    if any(f.isDirectory() for f in found):
+        return stream.parquet(where)
+    return stream.option("pathGlobFilter", pattern).parquet(folder)
 
 
 def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -28,9 +36,12 @@ def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return n.select("user_id", F.col("w.start").cast(kind).alias("hour"), "n")
 
 
-def run_available(counts: DataFrame, folder: str, keys: list[str], value: str = "n") -> DataFrame:
+def run_available(counts: DataFrame, folder: str, keys: list[str], value: str = "n", report: dict | None = None) -> DataFrame:
     """Run a stream of growing counts over what is there and return the last count of each key.
 
+    ``report`` gets ``late``: the rows (counts of a micro-batch's events, where
+    they were counted before) that the watermark dropped.
+
     Each micro-batch overwrites a folder of its own number, so a batch that is
     run again after a failure leaves no second copy.
     """
@@ -42,4 +53,6 @@ def run_available(counts: DataFrame, folder: str, keys: list[str], value: str =
 
     q = counts.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
+    if report is not None:
+        report["late"] = sum(int(op["numRowsDroppedByWatermark"]) for p in q.recentProgress for op in p["stateOperators"])
     return spark.read.schema(counts.schema).parquet(f"{path}/out/batch=*").groupBy(*keys).agg(F.max(value).alias(value))
