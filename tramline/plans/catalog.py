@@ -416,12 +416,12 @@ def events_hourly(spark, sf_dir, t):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import engines, tools  # noqa: F401  (they register theirs)
+    from . import engines, ranges, tools  # noqa: F401  (they register theirs)
 
     return dict(_all)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import engines, tools  # noqa: F401
+    from . import engines, ranges, tools  # noqa: F401
 
     return dict(_sql)
