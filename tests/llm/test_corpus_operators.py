@@ -533,3 +533,15 @@ def test_a_damaged_payload_is_noticed():
 def test_queries_are_named_by_number():
     assert [re.match(r"op(\d+)_", n)[1] for n in queries.queries()] == [str(n) for n in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_license_scan_knows_owners_and_titles(spark):
+    mit = dict(LICENSES)["MIT"]
+    heads = ["Copyright (c) 2020 Jane Doe", "Copyright Acme Inc.", "MIT License\n\nCopyright Jane Doe 2020", "The MIT License\n\nCopyright 2019-2021 Acme", "The MIT License (MIT)\nCopyright © Acme, Inc. and its affiliates\nAll rights reserved."]
+    rows = [(i, f"{h}\n\n{mit}") for i, h in enumerate(heads)] + [(9, f"{mit}\nCopyright notices of others stay part of the text.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license for r in license_scan.scan(docs).collect()}
+    assert got == {**dict.fromkeys(range(len(heads)), "MIT"), 9: None}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert {r[0]: r[2] for r in con.execute(license_scan.oracle()).fetchall()} == got

@@ -1,7 +1,7 @@
 """Licence scan by canonical digests.
 
 A text is canonicalised whole: lower case, punctuation and white space to
-single spaces, copyright lines dropped, lines joined, and then equivalent
+single spaces, copyright lines and titles dropped, lines joined, and then equivalent
 spellings made one, so neither wrapping nor a spelling across a line break
 matters. The digest of the canonical text is hash-joined to the digests of
 known licence texts; so are the digests of its single lines, which finds
@@ -49,7 +49,11 @@ SPELLINGS = [
     ("utilis", "utiliz"),
     ("whilst", "while"),
 ]
-COPYRIGHT = r"^copyright (copyright|[0-9]{4}|year|yyyy)|^all rights reserved$"
+#: A line that starts with copyright names its owner, unless it goes on as a sentence of a licence does.
+COPYRIGHT = r"^(portions )?copyright |^all rights reserved$"
+SENTENCE = r"^(portions )?copyright (notices?|statements?|representations?|you|holders?|owners?|licen[sc]es?|laws?|law or|rights?|interests?|treat(y|ies)|protection|permission|permissions|disclaimers?|acts?|registration|infringement|resulting|relinquished|exceptions?|also|and|or|is|are|in|to|of|on|for|by any|with|that|this|under|as used|treatment|doctrines?|status|term|terms|works?|ownership|assignment|claims?|line|lines|page|information|file|files|directory|legend|as a|applies|if|does|may|shall|will|can|the)( |$)"
+#: A line that is a licence's title and no part of its text.
+TITLE = r"^(the )?(mit|isc|zlib|x11|((new|modified|simplified|revised|original) )?bsd( [0-9] clause)?|[0-9] clause bsd|bsd zero clause|zero clause bsd|boost software) licen[sc]e( mit| x11| zlib| isc)?$"
 
 
 def _spelled(text: pa.Array) -> pa.Array:
@@ -58,23 +62,27 @@ def _spelled(text: pa.Array) -> pa.Array:
     return text
 
 
-def _flat_lines(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Canonical lines of all texts, spellings apart, without empty and copyright lines; and each text's offset into them."""
+def _flat_lines(text: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """Canonical lines of all texts, spellings apart, without empty and copyright lines; each text's offset into them; which are titles."""
     lines = pc.split_pattern(pc.fill_null(text.cast(pa.string()), ""), "\n")
     edge = np.concatenate([[0], np.cumsum(pc.list_value_length(lines).to_numpy(zero_copy_only=False))])
     line = pc.utf8_lower(pc.list_flatten(lines))
     for pattern, to in PATTERNS:
         line = pc.replace_substring_regex(line, pattern, to)
     line = pc.utf8_trim(line, " ")
-    stay = pc.and_(pc.not_equal(line, ""), pc.invert(pc.match_substring_regex(line, COPYRIGHT)))
+    owner = pc.and_not(pc.match_substring_regex(line, COPYRIGHT), pc.match_substring_regex(line, SENTENCE))
+    stay = pc.and_(pc.not_equal(line, ""), pc.invert(owner))
     kept = np.concatenate([[0], np.cumsum(stay.to_numpy(zero_copy_only=False))])
-    return line.filter(stay), kept[edge]
+    line = line.filter(stay)
+    return line, kept[edge], pc.match_substring_regex(line, TITLE)
 
 
 def canonical(text: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
-    """Canonical texts; canonical lines; and each text's offset into the lines."""
-    line, edge = _flat_lines(text)
-    lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), line)
+    """Canonical texts, without title lines; canonical lines; and each text's offset into the lines."""
+    line, edge, title = _flat_lines(text)
+    body = pc.invert(title)
+    upto = np.concatenate([[0], np.cumsum(body.to_numpy(zero_copy_only=False))])
+    lists = pa.ListArray.from_arrays(pa.array(upto[edge].astype(np.int32)), line.filter(body))
     return _spelled(pc.binary_join(lists, " ")), _spelled(line), edge
 
 
@@ -164,8 +172,8 @@ def oracle() -> str:
     return f"""
         WITH known(kd, kl) AS (VALUES {values}),
         raw AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-        cut AS (SELECT r, doc_id, list_filter(list_transform(ls, lambda s: trim({line})), lambda s: s <> '' AND NOT regexp_matches(s, {quote(COPYRIGHT)})) AS ls FROM raw),
-        dig AS (SELECT r, doc_id, list_transform(ls, lambda s: {spelled("s")}) AS ls, sha256({spelled("array_to_string(ls, ' ')")}) AS digest FROM cut),
+        cut AS (SELECT r, doc_id, list_filter(list_transform(ls, lambda s: trim({line})), lambda s: s <> '' AND NOT (regexp_matches(s, {quote(COPYRIGHT)}) AND NOT regexp_matches(s, {quote(SENTENCE)}))) AS ls FROM raw),
+        dig AS (SELECT r, doc_id, list_transform(ls, lambda s: {spelled("s")}) AS ls, sha256({spelled(f"array_to_string(list_filter(ls, lambda s: NOT regexp_matches(s, {quote(TITLE)})), ' ')")}) AS digest FROM cut),
         hits AS (SELECT r, list_sort(list_distinct(list(kl))) AS notices FROM (SELECT r, unnest(ls) AS s FROM dig) JOIN known ON sha256(s) = kd GROUP BY r)
         SELECT d.doc_id, d.digest, k.kl AS license, coalesce(h.notices, CAST([] AS VARCHAR[])) AS notices
         FROM dig d LEFT JOIN known k ON d.digest = k.kd LEFT JOIN hits h ON h.r = d.r
