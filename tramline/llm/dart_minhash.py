@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, meet, packed, split_by
@@ -50,6 +50,8 @@ from .textkernel import U64, Words, flat, mix, sequence_keys, slices, unit, wind
 BANDS, ROWS, SHINGLE, THRESHOLD = 24, 4, 5, 0.8
 #: Share of coordinates that must agree before texts are compared. A pair at
 #: 0.8 shares no bucket with a probability of 3e-6, and its 96 coordinates
+#: Bytes of text whose groups are compared exactly at once; a larger group is taken alone.
+VERIFY_BYTES = 4 << 20
 #: fall below 0.6 with a probability of about 1e-6.
 SCREEN = 0.6
 BLOCK, BLOCK_BYTES = 4096, 8_000_000
@@ -154,16 +156,19 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: list[str], target: int = 1 << 14) -> Iterator[pa.Table]:
-    """Rows sorted by ``key`` as tables of about ``target`` rows that never cut a key."""
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str], target: int = 1 << 14, text_bytes: int | None = None) -> Iterator[pa.Table]:
+    """Rows sorted by ``key`` as tables of about ``target`` rows, or with about ``text_bytes`` of text, that never cut a key."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
+    if text_bytes is not None:
+        batches = (part for batch in batches for part in slices(batch, limit=text_bytes))
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows >= target:
+        size += 0 if text_bytes is None else batch.column("text").nbytes
+        if rows >= target or text_bytes is not None and size >= text_bytes:
             t = pa.Table.from_batches(held)
             last = np.ones(t.num_rows, dtype=bool)
             for c in key:
@@ -172,7 +177,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: list[str], target: int = 1 <
             cut = int(np.argmax(last))
             if cut:
                 yield t.slice(0, cut)
-            held, rows = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
+            held, rows, size = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut, 0
     if held:
         yield pa.Table.from_batches(held)
 
@@ -299,7 +304,7 @@ def _shingles(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact links of a spanning forest inside each group; a document beside which no other component is left is not compared."""
-    for t in _groups(batches, GROUP, 256):
+    for t in _groups(batches, GROUP, 256, VERIFY_BYTES):
         edge = _bounds(t, GROUP)
         el, doc, weight = _shingles(t)
         group, start, side, cross = _start(t, edge)
@@ -461,5 +466,9 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
         return left.select("row.*")
     again, once = split_by(left, ["id"], repeated)
     alone = again.join(repeated, "id", "left_anti").select("row")
-    several = again.join(repeated, "id", "left_semi").withColumn("text", F.col("row").getField("text").cast("string")).dropDuplicates(["id", "text"]).select("row")
+    several = again.join(repeated, "id", "left_semi").withColumn("text", F.col("row").getField("text").cast("string"))
+    # of rows that differ elsewhere the one with the least hash stays, whatever the order they come in
+    simple = [f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    first = Window.partitionBy("id", "text").orderBy(F.xxhash64(*[F.col("row").getField(c) for c in simple]))
+    several = several.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row")
     return once.select("row").unionByName(alone).unionByName(several).select("row.*")
