@@ -313,7 +313,10 @@ def brute_items(text, item):
     return len(read) >= min(6, templates) > 0 or len(read | said) >= min(6, len(of)) > 0
 
 
-def test_decontamination_equals_brute_force(spark):
+@pytest.mark.parametrize("common", [decontaminate.COMMON, 0, 1])
+def test_decontamination_equals_brute_force(spark, monkeypatch, common):
+    # also where windows of one or two items already count as common phrases
+    monkeypatch.setattr(decontaminate, "COMMON", common)
     rng = random.Random(12)
     word = lambda: rng.choice(["red", "blue", "tall", "dog", "cat", "saw", "ran", "the", "of", "kg", "km", str(rng.randint(1, 9)), str(rng.randint(10, 99))])
     items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 3, 5, 8, 9, 13, 20, 30])))) for i in range(40)]
@@ -545,3 +548,34 @@ def test_license_scan_knows_owners_and_titles(spark):
     con = duckdb.connect()
     con.register("documents", docs.toPandas())
     assert {r[0]: r[2] for r in con.execute(license_scan.oracle()).fetchall()} == got
+
+
+def test_a_phrase_of_all_items_makes_no_pairs(spark):
+    rng = random.Random(7)
+    words = lambda n: " ".join("".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(n))
+    phrase = words(9)
+    items = [(i, f"{words(12)} {phrase} {words(12)}") for i in range(300)]
+    docs = [(i, f"{words(20)} {phrase} {words(20)}") for i in range(400)] + [(1000 + i, f"{words(5)} {items[i][1]} {words(5)}") for i in range(10)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    seen = {}
+    real = decontaminate._candidates
+
+    def counted(a, b):
+        out, used = real(a, b)
+        seen["pairs"] = out.count()
+        return out, used
+
+    decontaminate._candidates = counted
+    try:
+        got = {r.doc_id: r["items"] for r in decontaminate.contaminated(df, bench).where("contaminated").collect()}
+    finally:
+        decontaminate._candidates = real
+    assert got == {1000 + i: [i] for i in range(10)} and seen["pairs"] < 100
+
+
+def test_rows_that_repeat_an_id_have_one_outcome(spark):
+    rows = [(1, "same words in this row of text", "b", x) for x in "qrstuv"] + [(2, None, "b", "z")]
+    schema = "doc_id long, text string, source string, other string"
+    a, b = spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(rows[::-1], schema).coalesce(1)
+    for op in (dart_minhash.keep_representatives, pfair_mix.mix):
+        assert sorted(map(repr, op(a).collect())) == sorted(map(repr, op(b).collect()))

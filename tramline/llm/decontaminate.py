@@ -49,6 +49,8 @@ READINGS, PAIRS = 1 << 20, 1 << 21
 FILTER_BITS = 26
 #: Items that are compared with a text in one go.
 ITEMS = 64
+#: Items that may share a window before it counts as a common phrase.
+COMMON = 64
 
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches yd mph kph h hr hrs hour hours min mins minute minutes s sec secs second seconds day days week weeks month months year years l ml litre litres liter liters gal usd eur dollar dollars euro euros cent cents percent % °c °f degrees kwh w kw v"
 
@@ -384,6 +386,31 @@ def _keyed(docs: DataFrame) -> tuple[Column, Column, Column]:
     return text, F.xxhash64(text), F.xxhash64(F.lit(13), text)
 
 
+def _candidates(once: DataFrame, windows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``p1, p2, iid``: texts and the items of which they may have windows enough; and the written tables that it reads.
+
+    A window that over ``COMMON`` items have (a phrase of many questions) names
+    no item. An item that can't have enough of such windows alone needs another
+    one besides, and only those are joined with the texts: ``COMMON`` rows for a text's
+    window at most. For the other items the texts' sets of common windows are
+    joined, each distinct set once however many texts have it, and the pairs that have
+    enough go to all texts of the set. Both ways let more through than hold; nothing is lost.
+    """
+    common = materialize(windows.groupBy("hash").agg(F.countDistinct("iid").alias("n")).where(F.col("n") > COMMON).select("hash"), "common-windows")
+    shared_by = windows.join(common, "hash", "left_semi").groupBy("iid").agg(F.countDistinct("place").alias("also"))
+    rare = windows.join(common, "hash", "left_anti").join(shared_by, "iid", "left").select("hash", "iid", "place", "need", F.coalesce("also", F.lit(0).cast("long")).alias("also"))
+    hits = once.select("p1", "p2", F.explode("hashes").alias("hash")).join(rare, "hash")
+    out = hits.groupBy("p1", "p2", "iid").agg(F.countDistinct("place").alias("n"), F.max("need").alias("need"), F.max("also").alias("also")).where("n + also >= need").select("p1", "p2", "iid")
+    if common.isEmpty():
+        return out, [common]
+    alone = windows.join(common, "hash", "left_semi").join(shared_by, "iid").where("also >= need").select("hash", "iid", "place", "need")
+    sets = once.select("p1", "p2", F.explode("hashes").alias("hash")).join(common, "hash", "left_semi").groupBy("p1", "p2").agg(F.sort_array(F.collect_set("hash")).alias("set"))
+    sets = materialize(sets.withColumn("k", F.xxhash64("set")), "common-sets")
+    pairs = sets.select("k", "set").dropDuplicates(["k", "set"]).select("k", F.explode("set").alias("hash")).join(alone, "hash")
+    pairs = pairs.groupBy("k", "iid").agg(F.countDistinct("place").alias("n"), F.max("need").alias("need")).where("n >= need").select("k", "iid")
+    return out.unionByName(sets.select("p1", "p2", "k").join(pairs, "k").select("p1", "p2", "iid")).distinct(), [common, sets]
+
+
 def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``id, p1, p2`` of every row, and ``p1, p2, items``: the sorted items of each text that contains any."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
@@ -393,9 +420,9 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFram
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), p1.alias("p1"), p2.alias("p2"))
     shared = materialize(_shared_hashes(keyed, windows), "shared-windows")
     once = shared.where("size(hashes) > 0").groupBy("p1", "p2").agg(F.any_value("hashes").alias("hashes"))
-    hits = once.select("p1", "p2", F.explode("hashes").alias("hash")).join(windows.select("hash", "iid", "place", "need"), "hash")
-    pairs = hits.groupBy("p1", "p2", "iid").agg(F.countDistinct("place").alias("n"), F.max("need").alias("need")).where("n >= need").select("p1", "p2", "iid")
-    pairs = materialize(pairs, "pairs")
+    candidates, used = _candidates(once, windows)
+    pairs = materialize(candidates, "pairs")
+    discard(*used)
     several = pairs.groupBy("p1", "p2").agg(F.ceil(F.count("*") / ITEMS).alias("parts"))
     with_items = pairs.join(several, ["p1", "p2"]).join(items, "iid").withColumn("part", F.expr("pmod(xxhash64(iid), parts)"))
     lists = materialize(with_items.groupBy("p1", "p2", "part").agg(F.collect_list(F.struct("iid", "item_id", "text")).alias("items")), "lists")
