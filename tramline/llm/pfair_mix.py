@@ -74,7 +74,7 @@ def mix(docs: DataFrame, target: DataFrame | None = None, source: str = "source"
     slot: their schedule columns are null and ``in_mix`` is false. Documents
     fill the blocks of their source in a pseudo-random order of doc_id; rows
     without doc_id are placed by a hash of the whole row; rows with equal
-    doc_id are neighbours. A null source counts as the empty one. ``in_mix``
+    doc_id are neighbours, in the order of that hash. A null source counts as the empty one. ``in_mix``
     marks the slots before the first one that a source can't fill any more; up
     to there every prefix is within one block of the target, and later slots
     go on without the exhausted sources. An empty table gives an empty result.
@@ -103,7 +103,8 @@ def mix(docs: DataFrame, target: DataFrame | None = None, source: str = "source"
     # one row
     horizon = materialize(ends.agg(F.min(F.expr("blocks div q * total + slot")).alias("horizon")), "horizon")
     discard(sizes)
-    order = Window.partitionBy("src", "range").orderBy("key", F.col("id").asc_nulls_first())
+    # rows of one doc_id go by a hash of the whole row, so only equal rows change places
+    order = Window.partitionBy("src", "range").orderBy("key", F.col("id").asc_nulls_first(), F.xxhash64(*[F.col("row").getField(c) for c in simple]))
     ranked = keyed.withColumn("nth", F.row_number().over(order)).join(offsets, ["src", "range"])
     ranked = ranked.withColumn("at", F.col("nth") - 1 + F.col("before")).withColumns({"block": F.expr(f"at div {block}"), "place": F.expr(f"at % {block}")})
     ranked = ranked.join(per_source, "src", "left").withColumn("turn", F.expr("block % q"))
