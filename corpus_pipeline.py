@@ -7,13 +7,12 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tramline.llm import dart_minhash, decontaminate, line_dedup, pfair_mix, quality
-from tramline.llm.common import shared_dir, table
+from tramline.llm.common import discard, materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over ``documents``; the last one's rows."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/tramline/pipeline-{uuid.uuid4().hex}"
+    """The stages one after the other over ``documents``; the last one's rows.
+
+    A stage's table goes once the next one is written; the last, which the result reads, stays.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
