@@ -155,10 +155,38 @@ def connection_scan(queries: DataFrame, connections: DataFrame, footpaths: Walks
     ``to_target`` connections after the best arrival at the target are not
     scanned, and only targets are complete.
     """
-    c = connections.select("dep_stop", "arr_stop", "dep", "arr", "trip_id")
     start = queries.select("query_id", F.col("source").alias("stop_id"), F.col("dep_s").cast("long").alias("arr"))
-    delta = settle(_walk(start, footpaths))
-    best = Best(delta, queries.select("query_id", F.col("target").alias("stop_id")) if to_target else None)
+    first = settle(_walk(start, footpaths))
+    best = Best(first, queries.select("query_id", F.col("target").alias("stop_id")) if to_target else None)
+    _scan_connections(first, connections, best, lambda ride: _walk(_least(ride), footpaths), max_rounds)
+    return best.table()
+
+
+def connection_scan_between(queries: DataFrame, connections: DataFrame, cuts: DataFrame, near: DataFrame, egress: DataFrame) -> DataFrame:
+    """``query_id, arr``: earliest arrivals at targets with any walk at both ends and only ``cuts`` between two connections.
+
+    ``near`` and ``egress`` (query_id, stop_id, walk) are the walks from sources and to targets.
+    """
+    start = queries.select("query_id", F.col("dep_s").cast("long").alias("dep_s")).join(near, "query_id").select("query_id", "stop_id", (F.col("dep_s") + F.col("walk")).alias("arr"))
+    first = settle(_least(start))
+    best = Best(first, None)
+    # stops reached by riding alone: a cut and a last walk are never walked one after the other
+    ridden = [first]
+
+    def walk(ride: DataFrame) -> DataFrame:
+        ridden.append(settle(_least(ride)))
+        return _walk(ridden[-1], cuts)
+
+    _scan_connections(first, connections, best, walk, None)
+    rows = ridden[0]
+    for x in ridden[1:]:
+        rows = rows.unionByName(x)
+    return _least(rows).join(egress, ["query_id", "stop_id"]).groupBy("query_id").agg(F.min(F.col("arr") + F.col("walk")).alias("arr"))
+
+
+def _scan_connections(delta: DataFrame, connections: DataFrame, best: Best, walk: Callable[[DataFrame], DataFrame], max_rounds: int | None) -> None:
+    """Rounds over the frontier; ``best`` takes what each round improves."""
+    c = connections.select("dep_stop", "arr_stop", "dep", "arr", "trip_id")
     used = None
     for _ in rounds_of(max_rounds):
         first = delta.withColumnRenamed("arr", "at").join(c, F.col("stop_id") == F.col("dep_stop")).where("dep >= at").groupBy("query_id", "trip_id").agg(F.min("dep").alias("since"))
@@ -170,16 +198,18 @@ def connection_scan(queries: DataFrame, connections: DataFrame, footpaths: Walks
             break
         used = first if used is None else settle(used.unionByName(first).groupBy("query_id", "trip_id").agg(F.min("since").alias("since")))
         ride = first.join(c, "trip_id").where("dep >= since").select("query_id", F.col("arr_stop").alias("stop_id"), "arr")
-        delta = settle(best.improved(_walk(_least(ride), footpaths)))
+        delta = settle(best.improved(walk(ride)))
         if delta.isEmpty():
             break
         best.add(delta)
-    return best.table()
 
 
-def trip_based(queries: DataFrame, layout: DataFrame, transfers: DataFrame, footpaths: DataFrame, max_rounds: int | None = None, cells: DataFrame | None = None) -> DataFrame:
+def trip_based(queries: DataFrame, layout: DataFrame, transfers: DataFrame, footpaths: DataFrame, max_rounds: int | None = None, cells: DataFrame | None = None, near: DataFrame | None = None, egress: DataFrame | None = None) -> DataFrame:
     """``query_id, trips, arr`` at each target by trip segments and event transfers.
 
+    ``near`` and ``egress`` (query_id, stop_id, walk) replace one footpath at the
+    source and at the target, as where walks there are not the footpaths between rides.
+
     ``transfers``: from_route, from_rank, from_index, to_route, to_rank,
     to_index (and ``level`` when ``cells`` is given). A segment is a trip from a
     boarding index on; a later segment of the same route is dropped when an
@@ -188,10 +218,14 @@ def trip_based(queries: DataFrame, layout: DataFrame, transfers: DataFrame, foot
     Rounds go on until there is no new segment, or to ``max_rounds`` if given.
     """
     places = layout.select("route_id", "stop_index", "stop_id", "last_index", "deps", "slots")
-    near = _walk(queries.select("query_id", F.col("source").alias("stop_id"), F.col("dep_s").cast("long").alias("arr")), footpaths)
-    egress = queries.select("query_id", F.col("target").alias("stop_id"), F.lit(0).cast("long").alias("walk"))
-    more = queries.select("query_id", "target").join(footpaths, F.col("target") == F.col("dst")).select("query_id", F.col("src").alias("stop_id"), F.col("travel_s").alias("walk"))
-    egress = settle(egress.unionByName(more))
+    if near is None:
+        near = _walk(queries.select("query_id", F.col("source").alias("stop_id"), F.col("dep_s").cast("long").alias("arr")), footpaths)
+    else:
+        near = near.join(queries.select("query_id", "dep_s"), "query_id").select("query_id", "stop_id", (F.col("dep_s") + F.col("walk")).alias("arr"))
+    if egress is None:
+        egress = queries.select("query_id", F.col("target").alias("stop_id"), F.lit(0).cast("long").alias("walk"))
+        more = queries.select("query_id", "target").join(footpaths, F.col("target") == F.col("dst")).select("query_id", F.col("src").alias("stop_id"), F.col("travel_s").alias("walk"))
+        egress = settle(egress.unionByName(more))
     seg = near.join(places, "stop_id").where("stop_index < last_index").withColumn("rank", catch("arr")).where("rank < size(deps)")
     seg = seg.select("query_id", "route_id", F.col("rank").cast("long").alias("rank"), F.col("stop_index").alias("from_index"))
     walked = near.join(egress, ["query_id", "stop_id"]).groupBy("query_id").agg(F.min(F.col("arr") + F.col("walk")).alias("arr"))

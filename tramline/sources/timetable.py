@@ -59,6 +59,34 @@ def project(spark: SparkSession, sf_dir: str) -> Timetable:
     return Timetable(stops, trips.select("trip_id", "route_id", "t0"), events, foot, cells)
 
 
+def walking_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``src, dst, travel_s``: streets between the stops, both ways. Not closed: a crossing lies between each stop and the next, so walks have many edges."""
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("s"))
+    ns = supplier.count()
+    to = supplier.select("s", (F.col("s") + ns).alias("x"), ((F.col("s") + 1) % ns).alias("n"), (60 + F.col("s") * 37 % 5 * 30).alias("a"), (60 + F.col("s") * 53 % 7 * 20).alias("b"))
+    street = to.select(F.col("s").alias("src"), F.col("x").alias("dst"), F.col("a").alias("travel_s")).unionByName(to.select(F.col("x").alias("src"), F.col("n").alias("dst"), F.col("b").alias("travel_s")))
+    return street.unionByName(street.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "travel_s"))
+
+
+def customer_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop events like those of ``project``, a trip from each customer: the same stops and lines with a tenth of the trips."""
+    ns = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    p = max(4, ns * 2 // 5)
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("trip_id"), F.col("c_nationkey").cast("long").alias("n"))
+    trips = c.select("trip_id", ((F.col("trip_id") * 31 + F.col("n")) % p).alias("pat"), (F.col("trip_id") % 3).alias("slow"), (F.col("trip_id") * 577 % 86_400).alias("t0"))
+    e = trips.withColumn("stop_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(STOPS_PER_TRIP - 1).cast("long"))))
+    arr = F.col("t0") + F.col("stop_index") * (240 + 60 * F.col("slow"))
+    stop = (F.col("pat") * 7 + F.col("stop_index") * (1 + F.col("pat") % 5) * 3) % ns
+    return e.select("trip_id", (F.col("pat") * 3 + F.col("slow")).alias("route_id"), "stop_index", stop.alias("stop_id"), arr.alias("arr"), (arr + 30).alias("dep"))
+
+
+#: The events of ``customer_trips`` and the shortest walks over ``walking_graph`` between all stops, behind the tables of ``sql``.
+WALKERS = f""", ct AS (SELECT CAST(c_custkey AS BIGINT) AS trip_id, (CAST(c_custkey AS BIGINT) * 31 + CAST(c_nationkey AS BIGINT)) % p AS pat, CAST(c_custkey AS BIGINT) % 3 AS slow, CAST(c_custkey AS BIGINT) * 577 % 86400 AS t0 FROM customer, ns),
+    ce AS MATERIALIZED (SELECT trip_id, pat * 3 + slow AS route_id, i AS stop_index, (pat * 7 + i * (1 + pat % 5) * 3) % ns AS stop_id, t0 + i * (240 + 60 * slow) AS arr, t0 + i * (240 + 60 * slow) + 30 AS dep FROM ct, ns, range(0, {STOPS_PER_TRIP}) t(i)),
+    ring AS (SELECT stop_id, sum(w) OVER (ORDER BY stop_id) - w AS at, sum(w) OVER () AS whole FROM (SELECT stop_id, 120 + stop_id * 37 % 5 * 30 + stop_id * 53 % 7 * 20 AS w FROM stops)),
+    walks AS MATERIALIZED (SELECT a.stop_id AS src, b.stop_id AS dst, CAST(least(abs(a.at - b.at), a.whole - abs(a.at - b.at)) AS BIGINT) AS travel_s FROM ring a JOIN ring b ON a.stop_id <> b.stop_id)"""
+
+
 def query_table(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """``query_id, source, target, dep_s``: n deterministic queries."""
     ns = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
