@@ -92,15 +92,14 @@ class Best:
             self.kept, self.since = settle(self.table()), []
 
 
-def raptor(queries: DataFrame, layout: DataFrame, footpaths: Walks, max_rounds: int | None = None, to_target: bool = False, between: Walks | None = None) -> DataFrame:
+def raptor(queries: DataFrame, layout: DataFrame, footpaths: Walks, max_rounds: int | None = None, to_target: bool = False) -> DataFrame:
     """``query_id, trips, stop_id, arr``: for every number of trips the improved arrivals at all stops.
 
     ``queries`` has query_id, source, dep_s. A row (q, k, s, a) says that q can
     be at s at time a with k trips and not earlier with fewer. ``layout`` is
     ``layout.departures``; routes must be FIFO; the departures in it may already
     be lowered by a transfer buffer. Footpaths must be transitively closed, or
-    a function that walks any way; ``between`` replaces them between two rides.
-    Rounds go on until no arrival improves, or to ``max_rounds`` if given. With
+    a function that walks any way. Rounds go on until no arrival improves, or to ``max_rounds`` if given. With
     ``to_target`` labels later than the best arrival at the query's target go
     no further, and only those of targets are complete.
     """
@@ -110,12 +109,7 @@ def raptor(queries: DataFrame, layout: DataFrame, footpaths: Walks, max_rounds:
     places, arrivals = sides(layout)
     best, out = Best(delta, targets), [delta.withColumn("trips", F.lit(0))]
     for k in rounds_of(max_rounds):
-        ridden = _scan(delta, places, arrivals)
-        new = _walk(ridden, footpaths)
-        if between is not None:
-            # what a ride reaches and what a change walks on to; full walks only end journeys
-            new = new.withColumn("on", F.lit(0)).unionByName(_walk(ridden, between).withColumn("on", F.lit(1)))
-            new = new.groupBy("query_id", "stop_id").agg(F.min("arr").alias("arr"))
+        new = _walk(_scan(delta, places, arrivals), footpaths)
         delta = settle(best.improved(new))
         if delta.isEmpty():
             break

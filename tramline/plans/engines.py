@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import criteria, event_graph, graph, layout, profiles, rounds, transfers, walking
+from ..operators import criteria, event_graph, graph, layout, profiles, rounds, transfers, ultra, walking
 from ..sources import gtfs
 from ..sources.timetable import query_table
 from .catalog import FULL, MOST, N, ROUNDS, _labels, _lay, _mc, _query, _reduced, _sub, _targets
@@ -86,7 +86,7 @@ def raptor_over_hub_labels(spark, sf_dir, t):
 def raptor_over_shortcuts(spark, sf_dir, t):
     lay, q = _lay(t), settle(query_table(spark, sf_dir, N))
     cuts = settle(walking.shortcuts(_reduced(t, lay), lay, t.footpaths))
-    return rounds.at_targets(rounds.raptor(q, lay, t.footpaths, to_target=True, between=cuts), q)
+    return ultra.journeys(q, lay, cuts, *ultra.footpath_ends(q, t.footpaths))
 
 
 @_query(f"{_labels(FULL)} SELECT query_id, stop_id, arr FROM l{FULL}")
