@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import distance_cm
 from ..operators import analytics, criteria, graph, hierarchy, hub_labels, journeys, layout, rounds, time_dependent, transfer_patterns, transfers
-from ..sources import exports, gtfs
+from ..sources import exports
 from ..sources.timetable import Timetable, project, query_table, sql
 from ..streaming import hourly
 from .iterate import checkpoint_folder, settle
@@ -378,13 +378,6 @@ def pagerank_10(spark, sf_dir, t):
     return graph.pagerank(settle(e), 10).select("vertex", F.round(F.col("rank") * 1_000_000).cast("long").alias("rank_e6"))
 
 
-@_query("SELECT * FROM (VALUES ('wk', 0), ('wk', 1), ('wk', 3), ('wk', 4), ('wk', 5), ('sa', 5)) t(service_id, day)")
-def calendar_unroll(spark, sf_dir, t):
-    week = spark.sql("SELECT * FROM VALUES ('wk', array(false, true, true, true, true, true, false), date'2024-01-01', date'2024-01-07'), ('sa', array(false, false, false, false, false, false, true), date'2023-12-01', date'2024-02-01') AS t(service_id, runs, start_day, end_day)")
-    dates = spark.sql("SELECT * FROM VALUES ('wk', date'2024-01-03', false), ('wk', date'2024-01-06', true), ('no', date'2025-01-06', true) AS t(service_id, day, operates)")
-    return gtfs.service_days(week, dates, "2024-01-01", "2024-01-07")
-
-
 @_query(", k AS (SELECT stop_id FROM cells WHERE (cell_id >> 3) & 1 = 1) SELECT stop_id FROM k UNION SELECT stop_id FROM stop_events WHERE route_id IN (SELECT route_id FROM stop_events JOIN k USING (stop_id))")
 def single_bit_view(spark, sf_dir, t):
     return hierarchy.single_bit_view(t.cells, t.stop_events.select("route_id", "stop_id"), 3, 1)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import criteria, event_graph, graph, layout, profiles, rounds, transfers, ultra, walking
-from ..sources import gtfs
-from ..sources.timetable import query_table
+from ..sources import feed, gtfs
+from ..sources.feed import FEED
+from ..sources.timetable import WALKERS, query_table
 from .catalog import FULL, MOST, N, ROUNDS, _labels, _lay, _mc, _query, _reduced, _sub, _targets
-from .iterate import settle
+from .iterate import checkpoint_folder, settle
 
 
 @_query(f"{_labels(FULL)} SELECT query_id, stop_id, arr FROM l{FULL}")
@@ -139,31 +142,37 @@ def multimodal_pareto(spark, sf_dir, t):
     return walking.multimodal(q, lambda labels, cost: criteria.ride_one_trip(labels, lay, cost), walks, ["walking", "scooter"])
 
 
-def _literal_feed(spark):
-    """Four stops, a line of two trips on weekdays, a line by frequency, a walk between two stops, and rows that must not count."""
-    rows = {
-        "agency": [("a", None, "UTC")],
-        "calendar": [("wk", "0", "1", "1", "1", "1", "1", "0", "20240101", "20240107")],
-        "calendar_dates": [("wk", "20240103", "2")],
-        "frequencies": [("t3", "08:00:00", "09:00:00", "1800")],
-        "routes": [("r1", "a", "1", "One", "3", "FF0000", "zz"), ("r2", "a", "2", "Two", "3", None, None), ("r1", "a", "x", "late", "3", None, None)],
-        "stops": [("A", "Alpha", "49.0", "8.0"), ("B", "Beta", "49.01", "8.0"), ("C", "Gamma", "49.0101", "8.0"), ("D", "Delta", "49.02", "8.0"), ("A", "Other", "0", "0")],
-        "stop_times": [("t1", "08:00:00", "08:00:00", "A", "1"), ("t1", "08:10:00", "08:11:00", "B", "2"), ("t2", "10:00:00", "10:00:00", "A", "1"), ("t2", "10:10:00", "10:11:00", "B", "2"), ("t3", "00:00:00", "00:00:00", "C", "5"), ("t3", "00:20:00", "00:20:00", "D", "9"), ("t9", "08:00:00", "08:00:00", "A", "1")],
-        "transfers": [("B", "C", "120", "2"), ("C", "B", "60", "2"), ("B", "B", "30", "2"), ("A", "D", "1", "3")],
-        "trips": [("r1", "wk", "t1", None), ("r1", "wk", "t2", None), ("r2", "wk", "t3", None), ("r9", "wk", "t9", None)],
-    }
-    return gtfs.clean({n: spark.createDataFrame(rows[n], ", ".join(f"{c} string" for c in cols.split())) for n, cols in gtfs.COLUMNS.items()})
+def _feed(spark, sf_dir):
+    """The feed of the given tables, written as files and read back."""
+    folder = f"{checkpoint_folder(spark)}/feed-{uuid.uuid4().hex}"
+    feed.write(feed.tables(spark, sf_dir), folder)
+    return gtfs.read(spark, folder)
 
 
-@_query("SELECT CAST(query_id AS BIGINT) AS query_id, CAST(trips AS BIGINT) AS trips, CAST(arr AS BIGINT) AS arr FROM (VALUES (0, 2, 31800), (2, 1, 29400)) t(query_id, trips, arr)")
-def gtfs_earliest_arrival(spark, sf_dir, t):
-    # 08:00 from A, at B 08:10, a minute's walk to C, the 08:30 from there at D 08:50; who misses the 08:00 has the 10:00 and then nothing
-    net = gtfs.network(_literal_feed(spark), "2024-01-01", "2024-01-01")
-    q = spark.createDataFrame([(0, 0, 3, 28_700), (1, 0, 3, 28_801), (2, 0, 1, 28_800)], "query_id long, source long, target long, dep_s long")
-    return rounds.at_targets(rounds.raptor(q, settle(layout.departures(net.stop_events)), net.footpaths, to_target=True), q)
+@_query(f"{WALKERS} {FEED} SELECT CAST(n AS VARCHAR) AS service_id, day FROM fd")
+def calendar_unroll(spark, sf_dir, t):
+    f = _feed(spark, sf_dir)
+    return gtfs.service_days(f["calendar"], f["calendar_dates"], "2024-01-01", "2024-01-07")
 
 
-@_query("SELECT 't3' AS trip, d * 86400 + s AS dep FROM range(28800, 32401, 1800) t(s), (VALUES (0), (1), (3), (4)) v(d)")
+@_query(f"{WALKERS} {FEED} SELECT CAST(trip_id AS VARCHAR) AS trip, day * 86400 + start AS dep FROM fr JOIN fd USING (n)")
 def frequency_expand(spark, sf_dir, t):
-    e = gtfs.trip_events(_literal_feed(spark), "2024-01-01", "2024-01-07")
-    return e.where("trip = 't3' AND stop_index = 0").select("trip", "dep")
+    f = _feed(spark, sf_dir)
+    often = f["frequencies"].select(F.col("trip_id").alias("trip")).distinct()
+    return gtfs.trip_events(f, "2024-01-01", "2024-01-07").where("stop_index = 0").join(often, "trip", "left_semi").select("trip", "dep")
+
+
+@_query(f"{WALKERS} {FEED} SELECT stop_index, count(*) AS n, count(DISTINCT stop_id) AS stops, CAST(sum(CASE WHEN stop_index = 0 THEN dep - 1 ELSE arr END) AS BIGINT) AS arrs, CAST(sum(CASE WHEN stop_index = 7 THEN arr + 1 ELSE dep END) AS BIGINT) AS deps FROM fe GROUP BY 1")
+def feed_network_events(spark, sf_dir, t):
+    net = gtfs.network(_feed(spark, sf_dir), "2024-01-01", "2024-01-01")
+    return net.stop_events.groupBy("stop_index").agg(F.count("*").alias("n"), F.countDistinct("stop_id").alias("stops"), F.sum("arr").alias("arrs"), F.sum("dep").alias("deps"))
+
+
+@_query(f"{WALKERS} {FEED}, known AS (SELECT DISTINCT stop_id FROM fe), own AS (SELECT * FROM queries WHERE source IN (SELECT * FROM known) AND target IN (SELECT * FROM known)), hops AS (SELECT * FROM footpaths WHERE src IN (SELECT * FROM known) AND dst IN (SELECT * FROM known)) {_labels(ROUNDS, 'own', 'fe', 'hops')} {_targets(ROUNDS, 'own')} SELECT * FROM p")
+def gtfs_earliest_arrival(spark, sf_dir, t):
+    # stops have dense numbers after the import; names tell which they are
+    net = gtfs.network(_feed(spark, sf_dir), "2024-01-01", "2024-01-01")
+    ids = settle(net.stops.select("name", F.col("stop_id").alias("no")).join(t.stops.select("name", "stop_id"), "name").select("stop_id", "no"))
+    q = query_table(spark, sf_dir, N).join(ids.withColumnRenamed("no", "a"), F.col("source") == F.col("stop_id")).drop("stop_id").join(ids.withColumnRenamed("no", "b"), F.col("target") == F.col("stop_id"))
+    q = settle(q.select("query_id", F.col("a").alias("source"), F.col("b").alias("target"), "dep_s"))
+    return rounds.at_targets(rounds.raptor(q, settle(layout.departures(net.stop_events)), net.footpaths, to_target=True), q)
