@@ -59,11 +59,15 @@ def project(spark: SparkSession, sf_dir: str) -> Timetable:
     return Timetable(stops, trips.select("trip_id", "route_id", "t0"), events, foot, cells)
 
 
+#: Stops of one district: streets lead from each to the next, and none out of it.
+DISTRICT = 8
+
+
 def walking_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``src, dst, travel_s``: streets between the stops, both ways. Not closed: a crossing lies between each stop and the next, so walks have many edges."""
+    """``src, dst, travel_s``: streets between the stops of each district, both ways. Not closed: a crossing lies between each stop and the next, so walks have many edges."""
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("s"))
     ns = supplier.count()
-    to = supplier.select("s", (F.col("s") + ns).alias("x"), ((F.col("s") + 1) % ns).alias("n"), (60 + F.col("s") * 37 % 5 * 30).alias("a"), (60 + F.col("s") * 53 % 7 * 20).alias("b"))
+    to = supplier.where(f"s % {DISTRICT} < {DISTRICT - 1} AND s + 1 < {ns}").select("s", (F.col("s") + ns).alias("x"), (F.col("s") + 1).alias("n"), (60 + F.col("s") * 37 % 5 * 30).alias("a"), (60 + F.col("s") * 53 % 7 * 20).alias("b"))
     street = to.select(F.col("s").alias("src"), F.col("x").alias("dst"), F.col("a").alias("travel_s")).unionByName(to.select(F.col("x").alias("src"), F.col("n").alias("dst"), F.col("b").alias("travel_s")))
     return street.unionByName(street.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "travel_s"))
 
@@ -80,11 +84,27 @@ def customer_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("trip_id", (F.col("pat") * 3 + F.col("slow")).alias("route_id"), "stop_index", stop.alias("stop_id"), arr.alias("arr"), (arr + 30).alias("dep"))
 
 
-#: The events of ``customer_trips`` and the shortest walks over ``walking_graph`` between all stops, behind the tables of ``sql``.
+def supplier_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop events like those of ``project`` of a thin service, four runs a day from each supplier: where one waits long, walks matter."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("s"), F.col("s_nationkey").cast("long").alias("n"))
+    ns = s.count()
+    p = max(4, ns * 2 // 5)
+    trips = s.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    trips = trips.select((F.col("s") * 4 + F.col("run")).alias("trip_id"), (F.col("s") * 31 + F.col("n")).alias("k"), (F.col("s") * 577 % 21_600 + F.col("run") * 21_600).alias("t0"))
+    trips = trips.select("trip_id", (F.col("k") % p).alias("pat"), (F.col("k") % 3).alias("slow"), "t0")
+    e = trips.withColumn("stop_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(STOPS_PER_TRIP - 1).cast("long"))))
+    arr = F.col("t0") + F.col("stop_index") * (240 + 60 * F.col("slow"))
+    stop = (F.col("pat") * 7 + F.col("stop_index") * (1 + F.col("pat") % 5) * 3) % ns
+    return e.select("trip_id", (F.col("pat") * 3 + F.col("slow")).alias("route_id"), "stop_index", stop.alias("stop_id"), arr.alias("arr"), (arr + 30).alias("dep"))
+
+
+#: The events of ``customer_trips`` and ``supplier_trips`` and the shortest walks over ``walking_graph`` between all stops, behind the tables of ``sql``.
 WALKERS = f""", ct AS (SELECT CAST(c_custkey AS BIGINT) AS trip_id, (CAST(c_custkey AS BIGINT) * 31 + CAST(c_nationkey AS BIGINT)) % p AS pat, CAST(c_custkey AS BIGINT) % 3 AS slow, CAST(c_custkey AS BIGINT) * 577 % 86400 AS t0 FROM customer, ns),
     ce AS MATERIALIZED (SELECT trip_id, pat * 3 + slow AS route_id, i AS stop_index, (pat * 7 + i * (1 + pat % 5) * 3) % ns AS stop_id, t0 + i * (240 + 60 * slow) AS arr, t0 + i * (240 + 60 * slow) + 30 AS dep FROM ct, ns, range(0, {STOPS_PER_TRIP}) t(i)),
-    ring AS (SELECT stop_id, sum(w) OVER (ORDER BY stop_id) - w AS at, sum(w) OVER () AS whole FROM (SELECT stop_id, 120 + stop_id * 37 % 5 * 30 + stop_id * 53 % 7 * 20 AS w FROM stops)),
-    walks AS MATERIALIZED (SELECT a.stop_id AS src, b.stop_id AS dst, CAST(least(abs(a.at - b.at), a.whole - abs(a.at - b.at)) AS BIGINT) AS travel_s FROM ring a JOIN ring b ON a.stop_id <> b.stop_id)"""
+    st AS (SELECT CAST(s_suppkey AS BIGINT) * 4 + run AS trip_id, CAST(s_suppkey AS BIGINT) * 31 + CAST(s_nationkey AS BIGINT) AS k, CAST(s_suppkey AS BIGINT) * 577 % 21600 + run * 21600 AS t0 FROM supplier, range(0, 4) r(run)),
+    se AS MATERIALIZED (SELECT trip_id, k % p * 3 + k % 3 AS route_id, i AS stop_index, (k % p * 7 + i * (1 + k % p % 5) * 3) % ns AS stop_id, t0 + i * (240 + 60 * (k % 3)) AS arr, t0 + i * (240 + 60 * (k % 3)) + 30 AS dep FROM st, ns, range(0, {STOPS_PER_TRIP}) t(i)),
+    streets AS (SELECT stop_id, sum(120 + stop_id * 37 % 5 * 30 + stop_id * 53 % 7 * 20) OVER (ORDER BY stop_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM stops),
+    walks AS MATERIALIZED (SELECT a.stop_id AS src, b.stop_id AS dst, CAST(abs(coalesce(a.at, 0) - coalesce(b.at, 0)) AS BIGINT) AS travel_s FROM streets a JOIN streets b ON a.stop_id <> b.stop_id AND a.stop_id // {DISTRICT} = b.stop_id // {DISTRICT})"""
 
 
 def query_table(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
