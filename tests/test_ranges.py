@@ -26,6 +26,10 @@ def test_what_follows_in_buckets(spark, width):
     assert got == {i: min(after(k, t), default=None) for i, k, t in left}
     low = {r.id: r.least for r in asof.least_following(a, b, ["k"], "t", "v", width).collect()}
     assert low == {i: min(v for _, v in after(k, t)) for i, k, t in left if after(k, t)}
+    rows = [(i, k, t) for i, k, t in left if k is not None and t is not None]
+    order = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    want = {r[0]: (s[2], s[0]) if s and s[1] == r[1] else None for r, s in zip(order, [*order[1:], None], strict=True)}
+    assert {r.id: r.next and tuple(r.next) for r in asof.succeeding(a, ["k"], "t", ["id"], width).collect()} == want
     assert asof.following(a, b.limit(0), ["k"], "t", ["v"]).where("next IS NOT NULL").count() == 0 == asof.least_following(a, b.limit(0), ["k"], "t", "v").count()
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.iterate import settle
+from .asof import following, succeeding
 from .graph import matching, weak_components
 
 
@@ -228,8 +229,8 @@ def time_expanded_edges(events: DataFrame, footpaths: DataFrame, stops: DataFram
     trip's next arrival; stay: an arrival to the trip's next one; wait: a
     departure to the next one at the stop; change: an arrival to the first
     departure at the stop (after ``min_transfer_s`` where ``stops`` is given)
-    and at each footpath target that can be reached - an as-of join by a
-    window over the merged times.
+    and at each footpath target that can be reached. Both look ahead by as-of
+    joins in time buckets, so a hub stop is no window group of its own.
     """
     nodes = time_expanded_nodes(events)
     dep, arr = nodes.where("kind = 'dep'"), nodes.where("kind = 'arr'")
@@ -237,17 +238,13 @@ def time_expanded_edges(events: DataFrame, footpaths: DataFrame, stops: DataFram
     after = arr.select(F.col("node").alias("dst"), F.col("t").alias("t2"), "trip_id", (F.col("stop_index") - 1).alias("stop_index"))
     ride = dep.join(after, ["trip_id", "stop_index"]).select(F.col("node").alias("src"), "dst", F.lit("ride").alias("kind"), (F.col("t2") - F.col("t")).alias("travel_s"), F.lit(0).alias("hop"))
     stay = arr.select(F.col("node").alias("src"), F.lead("node").over(way).alias("dst"), F.lit("stay").alias("kind"), (F.lead("t").over(way) - F.col("t")).alias("travel_s"), F.lit(0).alias("hop")).where("dst IS NOT NULL")
-    w = Window.partitionBy("stop_id").orderBy("t", "node")
-    wait = dep.select(F.col("node").alias("src"), F.lead("node").over(w).alias("dst"), F.lit("wait").alias("kind"), (F.lead("t").over(w) - F.col("t")).alias("travel_s"), F.lit(0).alias("hop")).where("dst IS NOT NULL")
+    wait = succeeding(dep.select("stop_id", "t", "node"), ["stop_id"], "t", ["node"]).where("next IS NOT NULL")
+    wait = wait.select(F.col("node").alias("src"), F.col("next.node").alias("dst"), F.lit("wait").alias("kind"), (F.col("next.t") - F.col("t")).alias("travel_s"), F.lit(0).alias("hop"))
     here = arr if stops is None else arr.join(stops.select("stop_id", "min_transfer_s"), "stop_id").withColumn("ready", F.col("t") + F.col("min_transfer_s"))
     here = here.select("stop_id", (F.col("t") if stops is None else F.col("ready")).alias("t"), F.col("t").alias("from_t"), F.col("node").alias("from"))
     walk = arr.join(footpaths, arr.stop_id == footpaths.src).select(F.col("dst").alias("stop_id"), (F.col("t") + F.col("travel_s")).alias("t"), F.col("t").alias("from_t"), F.col("node").alias("from"))
-    none = F.lit(None).cast("struct<d:bigint,node:bigint>")
-    merged = here.unionByName(walk).withColumn("dep", none).unionByName(dep.select("stop_id", "t", F.lit(None).cast("long").alias("from_t"), F.lit(None).cast("long").alias("from"), F.struct(F.col("t").alias("d"), "node").alias("dep")))
-    # from the end backwards, so that the frame only grows
-    ahead = Window.partitionBy("stop_id").orderBy(F.desc("t"), F.col("dep").isNotNull().desc(), F.col("dep.node").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    change = merged.withColumn("next", F.last("dep", ignorenulls=True).over(ahead)).where("from IS NOT NULL AND next IS NOT NULL")
-    change = change.select(F.col("from").alias("src"), F.col("next.node").alias("dst"), F.lit("change").alias("kind"), (F.col("next.d") - F.col("from_t")).alias("travel_s"), F.lit(1).alias("hop"))
+    change = following(here.unionByName(walk), dep.select("stop_id", "t", "node"), ["stop_id"], "t", ["node"]).where("next IS NOT NULL")
+    change = change.select(F.col("from").alias("src"), F.col("next.node").alias("dst"), F.lit("change").alias("kind"), (F.col("next.t") - F.col("from_t")).alias("travel_s"), F.lit(1).alias("hop"))
     return ride.unionByName(stay).unionByName(wait).unionByName(change)
 
 
