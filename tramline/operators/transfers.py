@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.iterate import settle
 from .layout import catch
 
 
-def event_transfers(events: DataFrame, layout: DataFrame, footpaths: DataFrame) -> DataFrame:
+def event_transfers(events: DataFrame, layout: DataFrame, footpaths: DataFrame, of_trips: DataFrame | None = None, to_routes: DataFrame | None = None) -> DataFrame:
     """All useful transfers from an arrival to the first catchable trip of each route nearby.
 
+    ``of_trips`` (trip_id) and ``to_routes`` (route_id) leave only those from some trips and to some routes.
+
     Columns: from_route, from_rank, t_from_index, from_trip, from_arr,
     to_route, to_rank, to_index, to_dep, to_stop. Left out: boarding at a last
     stop; the same route with a trip and a place no earlier; U-turns (the stop
@@ -22,6 +25,10 @@ def event_transfers(events: DataFrame, layout: DataFrame, footpaths: DataFrame)
     trip = Window.partitionBy("trip_id").orderBy("stop_index")
     e = events.withColumn("rank", (F.row_number().over(rank) - 1).cast("long")).withColumns({"prev_stop": F.lag("stop_id").over(trip), "prev_arr": F.lag("arr").over(trip)})
     e = e.where("stop_index >= 1")
+    if of_trips is not None:
+        e = e.join(of_trips.select("trip_id").distinct(), "trip_id", "left_semi")
+    if to_routes is not None:
+        layout = layout.join(to_routes.select("route_id").distinct(), "route_id", "left_semi")
     stay = footpaths.select("src").unionByName(footpaths.select(F.col("dst").alias("src"))).unionByName(events.select(F.col("stop_id").alias("src"))).distinct()
     walk = footpaths.select("src", "dst", "travel_s").unionByName(stay.select("src", F.col("src").alias("dst"), F.lit(0).cast("long").alias("travel_s")))
     nxt = Window.partitionBy("route_id").orderBy("stop_index")
@@ -95,6 +102,28 @@ def crossing_footpaths(footpaths: DataFrame, cells: DataFrame) -> DataFrame:
     return footpaths.join(a, "src").join(b, "dst").where("sc <> dc").select("src", "dst")
 
 
+def updated_transfers(stored: DataFrame, before: DataFrame, events: DataFrame, layout: DataFrame, footpaths: DataFrame) -> DataFrame:
+    """The event transfers of ``events`` from those ``stored`` for the events ``before``: only what changed trips touch is made anew.
+
+    A trip has changed if any of its events has, or if it is on one side
+    alone. Transfers of changed trips, and all that lead to a route with a
+    changed trip (its first catchable trip may be another one now), are made
+    from ``layout``, that of ``events``; of the others only the trips' ranks are
+    renewed. The work follows the changed trips' routes and what is near them.
+    """
+    cols = ["trip_id", "route_id", "stop_index", "stop_id", "arr", "dep"]
+    sides = before.select(*cols, F.lit(1).alias("s")).unionByName(events.select(*cols, F.lit(2).alias("s")))
+    differ = sides.groupBy(*cols).agg(F.sum("s").alias("s")).where("s <> 3")
+    changed = settle(differ.select("trip_id").distinct())
+    routes = settle(differ.select("route_id").distinct())
+    rank = layout.where("stop_index = 0").select(F.posexplode("trip_ids").alias("from_rank", "from_trip")).withColumn("from_rank", F.col("from_rank").cast("long"))
+    kept = stored.join(changed.withColumnRenamed("trip_id", "from_trip"), "from_trip", "left_anti").join(routes.withColumnRenamed("route_id", "to_route"), "to_route", "left_anti")
+    kept = kept.drop("from_rank").join(rank, "from_trip").select(*stored.columns)
+    own = event_transfers(events, layout, footpaths, of_trips=changed)
+    others = event_transfers(events, layout, footpaths, to_routes=routes).join(changed.withColumnRenamed("trip_id", "from_trip"), "from_trip", "left_anti")
+    return kept.unionByName(own.select(*stored.columns)).unionByName(others.select(*stored.columns))
+
+
 def sampled_transfers(transfers: DataFrame, percent: int) -> DataFrame:
     """``transfers`` that leave or enter a hashed sample of ``percent`` of the trips: what new trips in a timetable would add."""
     pick = lambda c: F.pmod(F.col(c) * 2_654_435_761, F.lit(1000)) < percent * 10
