@@ -92,3 +92,21 @@ def test_shortcuts_are_enough_between_rides(spark, seed):
     for i, _, arr in want:
         best[i] = min(arr, best.get(i, arr))
     assert {r.query_id: r.arr for r in rounds.connection_scan_between(q, layout.connections(e), cuts, near, egress).collect()} == best
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_updated_transfers_equal_a_rebuild(spark, seed):
+    trips, foot = random_network(seed)
+    e, f = events(spark, trips).checkpoint(), feet(spark, foot).checkpoint()
+    lay = layout.departures(e).checkpoint()
+    ids = sorted(r.trip_id for r in e.select("trip_id").distinct().collect())
+    late = F.when(F.col("trip_id").isin(ids[1::7]), 40).otherwise(0)
+    new = e.where(~F.col("trip_id").isin(ids[3:4])).withColumns({"arr": F.col("arr") + late, "dep": F.col("dep") + late})
+    # a late trip that overtakes is a route of its own
+    new = new.withColumn("route_id", F.when(F.col("trip_id").isin(ids[1::7]), 1000 + F.col("trip_id")).otherwise(F.col("route_id"))).checkpoint()
+    lay2 = layout.departures(new).checkpoint()
+    stored = transfers.event_transfers(e, lay, f).checkpoint()
+    whole = sorted(map(tuple, transfers.event_transfers(new, lay2, f).collect()))
+    assert sorted(map(tuple, transfers.updated_transfers(stored, e, new, lay2, f).collect())) == whole
+    assert sorted(map(tuple, transfers.updated_transfers(stored, e, e, lay, f).collect())) == sorted(map(tuple, stored.collect()))
+    assert sorted(map(tuple, transfers.updated_transfers(stored.limit(0), e.limit(0), e, lay, f).collect())) == sorted(map(tuple, stored.collect()))
