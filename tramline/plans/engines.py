@@ -60,11 +60,20 @@ def mc_segments(spark, sf_dir, t):
     return profiles.walking_by_segments(settle(query_table(spark, sf_dir, 6)), lay, settle(transfers.event_transfers(t.stop_events, lay, t.footpaths)), t.footpaths)
 
 
-@_query(f"{_mc(MOST)}, an AS (SELECT * FROM (SELECT query_id, trips, min(arr) AS arr FROM mc GROUP BY 1, 2) x WHERE NOT EXISTS (SELECT 1 FROM mc y WHERE y.query_id = x.query_id AND y.trips < x.trips AND y.arr <= x.arr)) SELECT DISTINCT m.query_id, m.trips, m.arr, m.walk FROM mc m JOIN queries q USING (query_id) JOIN an ON an.query_id = m.query_id AND m.arr - dep_s <= 1.25 * (an.arr - dep_s) AND m.trips <= ceil(1.5 * an.trips)", 6)
+_bounded_twin = f"{_mc(MOST)}, an AS (SELECT * FROM (SELECT query_id, trips, min(arr) AS arr FROM mc GROUP BY 1, 2) x WHERE NOT EXISTS (SELECT 1 FROM mc y WHERE y.query_id = x.query_id AND y.trips < x.trips AND y.arr <= x.arr)) SELECT DISTINCT m.query_id, m.trips, m.arr, m.walk FROM mc m JOIN queries q USING (query_id) JOIN an ON an.query_id = m.query_id AND m.arr - dep_s <= 1.25 * (an.arr - dep_s) AND m.trips <= ceil(1.5 * an.trips)"
+
+
+@_query(_bounded_twin, 6)
 def bounded_search(spark, sf_dir, t):
     return criteria.bounded_search(settle(query_table(spark, sf_dir, 6)), _lay(t), t.footpaths, 1.25, 1.5)
 
 
+@_query(_bounded_twin, 6)
+def backward_bounded_search(spark, sf_dir, t):
+    back = settle(layout.departures(layout.reverse(t.stop_events)))
+    return criteria.bounded_search(settle(query_table(spark, sf_dir, 6)), _lay(t), t.footpaths, 1.25, 1.5, back)
+
+
 def _chain(t):
     """Footpaths as a graph that is not closed: a walk of two edges is the third footpath of each group."""
     return settle(t.footpaths.where("travel_s = 120"))
