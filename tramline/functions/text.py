@@ -42,10 +42,13 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """Bytes in the largest unit of which there is one at least."""
+    """Bytes in the largest unit of which there is one at least, to one decimal; halves go to the even one, as in C."""
     out = F.concat(n.cast("string"), F.lit("B"))
     for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1 << (10 * i), F.concat(F.format_string("%.1f", n / float(1 << (10 * i))), F.lit(unit))).otherwise(out)
+        whole, rest = F.call_function("div", n, F.lit(1 << (10 * i))), (n % (1 << (10 * i))) * 10
+        tenths, over = whole * 10 + F.shiftright(rest, 10 * i), rest % (1 << (10 * i)) * 2 - (1 << (10 * i))
+        tenths = tenths + F.when((over > 0) | ((over == 0) & (tenths % 2 == 1)), 1).otherwise(0)
+        out = F.when(n >= 1 << (10 * i), F.concat(F.call_function("div", tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(unit))).otherwise(out)
     return out
 
 
