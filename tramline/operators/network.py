@@ -63,7 +63,7 @@ def transfers_by_distance(stops: DataFrame, cm: int = 40_000, kmh: float = 5.1,
 def connect_isolated(t: Timetable, cm: int = 1000, kmh: float = 4.5, cell_e6: int = 10_000) -> DataFrame:
     """``t.footpaths`` and new ones, both ways, from stops without any to all stops within ``cm``."""
     alone = t.stops.join(t.footpaths.select(F.col("src").alias("stop_id")).distinct(), "stop_id", "left_anti").select(F.col("stop_id").alias("src"))
-    near = graph.radius_pairs(t.stops, cm, cell_e6).join(alone, "src", "left_semi").select("src", "dst", F.lit(0).cast("long").alias("travel_s"))
+    near = graph.radius_pairs(t.stops, cm, cell_e6, alone).select("src", "dst", F.lit(0).cast("long").alias("travel_s"))
     new = with_speed(near, t.stops, kmh)
     back = new.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "travel_s")
     return t.footpaths.select("src", "dst", "travel_s").unionByName(new).unionByName(back).groupBy("src", "dst").agg(F.min("travel_s").alias("travel_s"))
