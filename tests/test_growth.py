@@ -80,3 +80,34 @@ def test_geo_ranks_end_where_the_twin_ends(spark, tmp_path):
     spark.range(10).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).write.parquet(f"{sf}/orders.parquet")
     rows = catalog.queries()["geo_rank_targets"](spark, sf).collect()
     assert len(rows) == 100 and max(r.r for r in rows) == 9
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_tables_are_not_broadcast(spark):
+    # 400,000 rows that files hold in some kilobytes
+    key = "spark.sql.sources.fileCompressionFactor"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "1.0")
+        packed = iterate.settle(spark.range(400_000).select((F.col("id") % 2).alias("k"), F.lit(1).cast("long").alias("x")))
+        assert "BroadcastHashJoin" not in plan_of(packed.join(packed.withColumnRenamed("x", "y"), "k"))
+        spark.conf.set(key, "1.0")
+        few = iterate.settle(spark.range(1000).withColumnRenamed("id", "k"))
+        assert spark.conf.get(key) == "1.0" and "BroadcastHashJoin" in plan_of(packed.join(few, "k"))
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_large_connections_are_stored_in_buckets(spark, monkeypatch):
+    trips, foot = random_network(5)
+    e, f = events(spark, trips), feet(spark, foot)
+    c = iterate.settle(layout.connections(e))
+    q = spark.createDataFrame([(i, i % 7, (3 * i + 1) % 7, 10 * i) for i in range(6)], "query_id long, source long, target long, dep_s long")
+    want = sorted(rounds.connection_scan(q, c, f).collect())
+    monkeypatch.setattr(rounds, "SMALL_BYTES", 0)
+    plan = plan_of(q.select("query_id", F.col("source").alias("dep_stop")).hint("shuffle_hash").join(rounds.stored(c, "dep_stop"), "dep_stop"))
+    assert plan.count("Exchange hashpartitioning") == 1 and "Sort " not in plan
+    assert sorted(rounds.connection_scan(q, c, f).collect()) == want
