@@ -111,3 +111,8 @@ def test_large_connections_are_stored_in_buckets(spark, monkeypatch):
     plan = plan_of(q.select("query_id", F.col("source").alias("dep_stop")).hint("shuffle_hash").join(rounds.stored(c, "dep_stop"), "dep_stop"))
     assert plan.count("Exchange hashpartitioning") == 1 and "Sort " not in plan
     assert sorted(rounds.connection_scan(q, c, f).collect()) == want
+
+
+def test_events_move_once_for_a_layout(spark):
+    trips, _ = random_network(3)
+    assert plan_of(layout.departures(events(spark, trips))).count("Exchange hashpartitioning") == 1
