@@ -116,3 +116,26 @@ def test_large_connections_are_stored_in_buckets(spark, monkeypatch):
 def test_events_move_once_for_a_layout(spark):
     trips, _ = random_network(3)
     assert plan_of(layout.departures(events(spark, trips))).count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_strong_components_of_long_graphs(spark, seed, monkeypatch):
+    # rings of several lengths, chained one way, with chords and tails
+    import random
+
+    rnd, pairs, parts, at = random.Random(seed), set(), [], 0
+    for n in (60, 7, 1, 25, 2):
+        own = list(range(at, at + n))
+        rnd.shuffle(own)
+        pairs |= {(a, b) for a, b in zip(own, own[1:] + own[:1]) if a != b}
+        pairs |= {(own[i], own[(i + 2) % n]) for i in range(0, n, 3) if n > 2}
+        if parts:
+            pairs.add((parts[-1][0], own[0]))
+        parts.append(own)
+        at += n
+    monkeypatch.setattr(graph, "SHALLOW", 2)
+    asked = []
+    whole = graph._spread_least
+    monkeypatch.setattr(graph, "_spread_least", lambda v, e, r=None: asked.append(r) or whole(v, e, r))
+    got = dict(graph.strong_components(spark.createDataFrame(sorted(pairs), "src long, dst long")).collect())
+    assert got == {v: min(p) for p in parts for v in p} and asked[0] == 2 and None in asked
