@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tramline.llm import pii, quality, token_counts, toxicity
 from tramline.llm.textkernel import Words, flat, mix
@@ -361,6 +362,23 @@ def test_maximal_segments(gains):
     assert got == slow_segments(place.tolist(), gain.tolist(), -0.7, len(gains))
 
 
+def test_toxicity_sample_is_written_in_few_files(spark):
+    docs = spark.range(3000).select("id", F.concat(F.lit("text "), F.col("id") % 2000).alias("text")).withColumnRenamed("id", "doc_id")
+    labels = docs.select("doc_id", (F.col("doc_id") % 7 == 0).cast("int").alias("toxic"))
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    old = [spark.conf.get(k) for k in keys]
+    try:
+        for k, v in zip(keys, ("64", "false"), strict=True):
+            spark.conf.set(k, v)
+        chosen = toxicity.sample(docs, labels)
+        assert chosen.rdd.getNumPartitions() <= 16
+        asked = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).select("text").distinct()
+        assert sorted(r.text for r in chosen.collect()) == sorted(r.text for r in asked.collect())
+    finally:
+        for k, v in zip(keys, old, strict=True):
+            spark.conf.set(k, v)
+
+
 def test_toxicity_learns_and_ignores_everything_but_text(spark):
     rng = random.Random(4)
     prose = lambda: " ".join(f"w{rng.randint(0, 300)}" for _ in range(40))

@@ -32,6 +32,9 @@ from .textkernel import U64, Cores, flat, mix, slices, span_hashes
 
 #: Labelled documents that are learnt from, at most: the documented bound of what is gathered.
 SAMPLE = 20_000
+#: Files of a table of the sample, at most, however many partitions a shuffle has: each file that is written starts
+#: helper processes beside the executor (chmod, where Hadoop has no native library), which count with its memory until they run.
+FILES = 16
 PREFIXES = (4, 5, 6, 7, 8)
 #: The prior weighs as much as this share of the sample.
 PRIOR, MARGIN, LEAST_GAIN, LOSS, SIGNIFICANT = 0.025, 1.5, 2.0, -0.4, 0.5
@@ -155,7 +158,7 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     ids = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held)
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id")
-    return chosen.groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    return chosen.groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").coalesce(FILES)
 
 
 def moment_root(hits: np.ndarray, words: float, times: np.ndarray | float = 1.0) -> float:
@@ -192,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
                 kind = pa.list_(pa.float64())
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(words.astype(np.int64)), pa.array(best, pa.float64()), pa.array(scores, kind), pa.array(single, kind)], names=["toxic", "words", "best", "scores", "gains"])
 
-    seen = materialize(train.mapInArrow(scan, "toxic int, words long, best double, scores array<double>, gains array<double>"), "toxic-scan")
+    seen = materialize(train.mapInArrow(scan, "toxic int, words long, best double, scores array<double>, gains array<double>").coalesce(FILES), "toxic-scan")
     calm = seen.where("toxic = 0")
     # score distribution of other text: mostly the loss, some hits (as many rows as the lexicon has gains), and one unseen hit of the largest gain
     hits = calm.select(F.explode("gains").alias("gain")).groupBy("gain").agg(F.count("*").alias("n")).toPandas()
