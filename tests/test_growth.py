@@ -46,6 +46,17 @@ def test_large_layouts_are_stored_in_buckets(spark, monkeypatch):
     assert sorted(rounds.raptor(q, lay, f).collect()) == want
 
 
+def test_broadcasts_of_a_layout_are_bounded_over_all_rounds(spark, monkeypatch):
+    trips, _ = random_network(3)
+    lay = iterate.settle(layout.departures(events(spark, trips)))
+    size = lay.agg(F.sum(64 + 8 * F.size("deps"))).first()[0]
+    monkeypatch.setattr(rounds, "SMALL_BYTES", 2 * size)
+    labels = spark.range(3).withColumnRenamed("id", "stop_id").hint("shuffle_hash")
+    assert "BroadcastHashJoin" not in plan_of(labels.join(rounds.sides(lay)[0], "stop_id"))
+    monkeypatch.setattr(rounds, "SMALL_BYTES", 16 * size)
+    assert "BroadcastHashJoin" in plan_of(labels.join(rounds.sides(lay)[0], "stop_id"))
+
+
 def test_places_are_measured_once(spark):
     # three places, 40 stops each
     stops = spark.range(120).select(F.col("id").alias("stop_id"), (F.col("id") % 3 * 1000).alias("lon_e6"), F.lit(49_000_000).alias("lat_e6"))
